@@ -125,6 +125,37 @@ def payments_from_raw(orders: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
+# Declared column defaults per table (DDL DEFAULT clauses).
+def _defaults():
+    return {
+        "products": {"stock": F.lit(S.DEFAULT_STOCK), "image_url": F.lit("")},
+        "cart": {"quantity": F.lit(S.DEFAULT_CART_QUANTITY)},
+        "orders": {"order_status": F.lit(S.DEFAULT_ORDER_STATUS),
+                   "seller_approval_status": F.lit(S.DEFAULT_APPROVAL_STATUS)},
+        "payments": {"payment_status": F.lit(S.DEFAULT_PAYMENT_STATUS)},
+    }
+
+
+def with_defaults(df: DataFrame, table: str, now=None) -> DataFrame:
+    """Conform rows to a table: add missing columns, fill declared defaults
+    for missing or NULL values, created_at/added_at = ``now`` when given
+    (CURRENT_TIMESTAMP as a parameter), and cast to the declared types."""
+    schema = S.ENTITY_SCHEMAS[table]
+    defaults = _defaults().get(table, {})
+    cols = []
+    for f in schema.fields:
+        if f.name in df.columns:
+            c = F.col(f.name)
+        else:
+            c = F.lit(None)
+        if f.name in defaults:
+            c = F.coalesce(c, defaults[f.name])
+        if f.name in ("created_at", "added_at") and now is not None:
+            c = F.coalesce(c, F.lit(now))
+        cols.append(c.cast(f.dataType).alias(f.name))
+    return df.select(*cols)
+
+
 ENTITY_NAMES = ("users", "sellers", "products", "orders", "order_items", "payments")
 
 
