@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwheel import schemas as S
+from cartwheel.functions.keys import order_key
 from cartwheel.functions.money import DEFAULT_TAX_RATE, line_subtotal, tax_amount, total_with_tax
 
 PAIR = ["user_id", "product_id"]
@@ -29,7 +30,7 @@ _ORIGIN = dt.datetime(1, 1, 1)
 
 
 def _seq():
-    return F.struct(F.col("ts"), F.col("event_id"))
+    return order_key("ts", "event_id")
 
 
 def state_as_events(cart: DataFrame) -> DataFrame:

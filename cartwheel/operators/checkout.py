@@ -53,7 +53,8 @@ def new_order_lines(priced: DataFrame, placed: DataFrame, order_items: DataFrame
         "order_id", "user_id", "product_id", "quantity", F.col("line_subtotal").alias("subtotal"))
     with_ids = dense_ids(lines, "order_id", max_key(order_items, "item_id"), "item_id",
                          order=["order_id", "product_id"])
-    return with_ids.select("item_id", "order_id", "product_id", "quantity", "subtotal")
+    # user_id rides along for reporting; ORDER_ITEMS columns are the first five
+    return with_ids.select("item_id", "order_id", "product_id", "quantity", "subtotal", "user_id")
 
 
 def autocreate_payments(placed: DataFrame, payments: DataFrame | None, batch_ts=None) -> DataFrame:
@@ -102,7 +103,10 @@ def write_checkout(result: CheckoutResult, out_dir: str) -> None:
     result.priced.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for name in ("orders", "lines", "payments", "stock", "cart_after"):
-            getattr(result, name).write.mode("error").parquet(f"{out_dir}/{name}")
+            df = getattr(result, name)
+            if name == "lines":
+                df = df.select(*S.ORDER_ITEMS.names)
+            df.write.mode("error").parquet(f"{out_dir}/{name}")
         spark = result.priced.sparkSession
         spark.createDataFrame([("complete",)], "state string").coalesce(1) \
              .write.mode("error").json(f"{out_dir}/_PUBLISHED")

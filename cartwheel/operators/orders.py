@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartwheel import schemas as S
 from cartwheel.functions import status as st
 from cartwheel.functions import text as tx
-from cartwheel.functions.keys import dense_ids, latest_per_key, max_key
+from cartwheel.functions.keys import dense_ids, latest_per_key, max_key, order_key
 
 ORDER_COLS = ["order_id", "user_id", "created_at", "total_amount", "order_status"]
 PAY_COLS = ["payment_id", "payment_status", "payment_method"]
@@ -132,7 +132,7 @@ def latest_status_effects(events: DataFrame) -> DataFrame:
     latest approval event. max_by over (ts, event_id) does not depend on
     arrival order, so late events need no watermark for correctness."""
     eff = _status_effects(events)
-    seq = F.struct("ts", "event_id")
+    seq = order_key("ts", "event_id")
     is_appr = F.col("new_approval").isNotNull()
     return eff.groupBy("order_id").agg(
         F.max_by("new_status", seq).alias("new_status"),
@@ -160,7 +160,7 @@ def seller_decisions(orders: DataFrame, decisions: DataFrame, enforce_owner: boo
     if enforce_owner:
         d = d.join(orders.select("order_id", "seller_id"), ["order_id", "seller_id"], "left_semi")
     d = d.where(F.lower("value").isin("approved", "rejected"))
-    latest = d.groupBy("order_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("_decision"))
+    latest = d.groupBy("order_id").agg(F.max_by("value", order_key("ts", "event_id")).alias("_decision"))
     approved = F.lower(F.col("_decision")) == "approved"
     return (orders.join(latest, "order_id", "left").select(
         "order_id",

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from cartwheel import schemas as S
 from cartwheel.operators.cart import fold_cart_events
+from cartwheel.functions.keys import order_key
 from cartwheel.operators.orders import _status_effects
 from cartwheel.session import scratch_path
 from cartwheel.sources import feeds
@@ -102,7 +103,7 @@ def run_status_stream(spark: SparkSession, source_dir: str, work_dir: str | None
     last = {"version": None}
     events = feeds.status_events_from_raw(read_raw_stream(spark, source_dir, "events", max_files_per_trigger))
     eff = _status_effects(events)
-    seq = F.struct("ts", "event_id")
+    seq = order_key("ts", "event_id")
     is_appr = F.col("new_approval").isNotNull()
     latest = eff.groupBy("order_id").agg(
         F.max_by("new_status", seq).alias("new_status"),
