@@ -54,19 +54,28 @@ def dense_ids(keys_df: DataFrame, key: str, base: Column, out: str,
               bucket_width: int = 1 << 16, order: Sequence[str] | None = None) -> DataFrame:
     """Attach ``out = base + rank`` (1, 2, 3, ... in ``order``, default ``key``).
 
-    ``key`` is integral and leads ``order``; the rows must be unique on
-    ``order``. Keys are cut into buckets of ``bucket_width`` consecutive
-    values; ranks inside a bucket come from a window over that bucket only
-    (bounded work per task) and each bucket's offset from a running sum over
-    the per-bucket counts -- the only single-partition step, over one row per
-    non-empty bucket. Deterministic, so a recomputed task yields the same ids.
+    ``key`` is integral and leads ``order``; rows must be unique on ``order``.
+    Keys are cut into buckets of ``bucket_width`` consecutive values and
+    buckets into blocks of ``bucket_width`` buckets. Ranks inside a bucket come
+    from a window over that bucket only; a bucket's offset is the running
+    count of earlier buckets in its block plus the running count of earlier
+    blocks. Every window sees at most ``bucket_width`` distinct keys, except
+    the last one, over one row per non-empty block (key range / width^2).
+    Deterministic, so a recomputed task yields the same ids.
     """
     order = list(order or [key])
     width = F.lit(int(bucket_width))
     keyed = keys_df.withColumn("_bucket", F.floor(F.col(key) / width).cast("long"))
-    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    counts = (keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_block", F.floor(F.col("_bucket") / width).cast("long")))
+    earlier = Window.unboundedPreceding
+    in_block = Window.partitionBy("_block").orderBy("_bucket").rowsBetween(earlier, -1)
+    counts = counts.withColumn("_in_block", F.coalesce(F.sum("_n").over(in_block), F.lit(0)))
+    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_block_n"))
+    before_block = Window.orderBy("_block").rowsBetween(earlier, -1)
+    blocks = blocks.select("_block", F.coalesce(F.sum("_block_n").over(before_block), F.lit(0)).alias("_pre"))
+    offsets = counts.join(blocks, "_block").select(
+        "_bucket", (F.col("_in_block") + F.col("_pre")).alias("_offset"))
     inside = Window.partitionBy("_bucket").orderBy(*[F.col(c) for c in order])
     ranked = keyed.withColumn("_rank", F.row_number().over(inside))
     return (ranked.join(offsets, "_bucket")

@@ -28,7 +28,11 @@ def registration_ingest(users: DataFrame, registrations: DataFrame) -> tuple[Dat
     """
     r = registrations.withColumn("email_key", email_key("email"))
     first = r.groupBy("email_key").agg(F.min("request_id").alias("_first"))
-    known = users.select(email_key("email").alias("email_key")).distinct().withColumn("_known", F.lit(1))
+    # only the batch's e-mails are looked up in users (semi join first), so the
+    # users table is filtered, not shuffled whole into the comparison
+    batch_keys = r.select("email_key").distinct()
+    known = (users.select(email_key("email").alias("email_key")).join(batch_keys, "email_key", "left_semi")
+             .distinct().withColumn("_known", F.lit(1)))
     tagged = r.join(first, "email_key").join(known, "email_key", "left")
     status = (F.when(F.col("_known").isNotNull(), F.lit("duplicate_existing"))
                .when(F.col("request_id") == F.col("_first"), F.lit("accepted"))

@@ -66,6 +66,13 @@ def test_dense_ids_equal_global_row_number(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_dense_ids_sparse_keys_two_levels(spark):
+    keys = spark.range(0, 3000).select((F.col("id") * F.col("id") * 7 + 3).alias("k"))
+    got = dense_ids(keys, "k", F.lit(0).cast("long"), "id", bucket_width=4)
+    want = keys.withColumn("id", F.row_number().over(Window.orderBy("k")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_search_gram_path_equals_broadcast_path(spark):
     shop = Shop.from_raw(spark, SF_SMALL)
     extra = spark.createDataFrame([(t,) for t in ("red", "ring", "bolt", "brand#2", "r%g", "%", "_", "a_c")],
