@@ -44,10 +44,20 @@ def product_lookup(products: DataFrame, requests: DataFrame) -> DataFrame:
                      .otherwise(F.lit("no")).alias("owned_by_sender")))
 
 
-def _matches(text_name: str, text_desc: str) -> F.Column:
-    pat = F.col("_pattern")
-    return (F.like(F.lower(F.col(text_name)), pat, F.lit("\\"))
-            | F.like(F.lower(F.col(text_desc)), pat, F.lit("\\")))
+def _matches() -> F.Column:
+    """Term test on pre-lowered text: plain substring search when the term
+    has no wildcard (no per-row pattern compilation), LIKE otherwise."""
+    pat, needle = F.col("_pattern"), F.col("_needle")
+    hit_like = F.like(F.col("_name_l"), pat, F.lit("\\")) | F.like(F.col("_desc_l"), pat, F.lit("\\"))
+    hit_plain = F.col("_name_l").contains(needle) | F.col("_desc_l").contains(needle)
+    return F.when(F.col("_wild"), hit_like).otherwise(hit_plain)
+
+
+def _terms(terms: DataFrame) -> DataFrame:
+    low = F.lower(F.coalesce(F.col("term"), F.lit("")))
+    return (terms.select("term").distinct()
+            .select("term", tx.like_contains_pattern(F.col("term")).alias("_pattern"),
+                    low.alias("_needle"), low.rlike("[%_]").alias("_wild")))
 
 
 def product_search(products: DataFrame, terms: DataFrame,
@@ -58,38 +68,38 @@ def product_search(products: DataFrame, terms: DataFrame,
 
     Few terms (checked): broadcast them and test each product against all of
     them in one pass. Many terms: candidate pairs from an equi-join on a
-    3-character piece of each term's longest literal run, then the exact LIKE
+    3-character piece of each term's longest literal run, then the exact
     test; terms without such a piece stay on the broadcast path, and only
     pure-wildcard terms (which match nearly everything by definition) remain
     a full nested loop.
     """
-    t = terms.select("term").distinct().withColumn("_pattern", tx.like_contains_pattern(F.col("term")))
-    p = products.select("product_id", "name", "description")
+    t = _terms(terms)
+    p = products.select("product_id", F.lower(F.col("name")).alias("_name_l"),
+                        F.lower(F.col("description")).alias("_desc_l"))
     small, is_small = bounded_broadcast(t, max_broadcast_terms)
     if is_small:
-        return p.join(small, _matches("name", "description")).select("term", "product_id")
+        return p.join(small, _matches()).select("term", "product_id")
 
-    low = F.lower(F.coalesce(F.col("term"), F.lit("")))
-    runs = F.split(low, "[%_]")
+    runs = F.split(F.col("_needle"), "[%_]")
     longest = F.aggregate(runs, F.lit(""), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
     keyed = t.withColumn("_run", longest)
     gram_terms = keyed.where(F.length("_run") >= GRAM).withColumn("_gram", F.substring("_run", 1, GRAM))
     short_terms = keyed.where(F.length("_run") < GRAM).drop("_run")
 
     def grams(col):
-        s = F.lower(F.col(col))
-        starts = F.sequence(F.lit(1), F.greatest(F.length(s) - GRAM + 1, F.lit(0)))
+        s = F.col(col)
+        starts = F.sequence(F.lit(1), F.greatest(F.length(s) - GRAM + 1, F.lit(1)))
         return F.transform(F.when(F.length(s) >= GRAM, starts).otherwise(F.array().cast("array<int>")),
                            lambda i: F.substring(s, i, GRAM))
 
-    p_grams = (p.select("product_id", F.explode(F.array_distinct(F.concat(grams("name"), grams("description"))))
+    p_grams = (p.select("product_id", F.explode(F.array_distinct(F.concat(grams("_name_l"), grams("_desc_l"))))
                         .alias("_gram"))
                .distinct())
-    candidates = (gram_terms.join(p_grams, "_gram").select("term", "_pattern", "product_id")
+    candidates = (gram_terms.join(p_grams, "_gram").drop("_gram", "_run")
                   .join(p, "product_id"))
-    long_hits = candidates.where(_matches("name", "description")).select("term", "product_id")
+    long_hits = candidates.where(_matches()).select("term", "product_id")
     short_b, _ = bounded_broadcast(short_terms, max_broadcast_terms)
-    short_hits = p.join(short_b, _matches("name", "description")).select("term", "product_id")
+    short_hits = p.join(short_b, _matches()).select("term", "product_id")
     return long_hits.unionByName(short_hits)
 
 

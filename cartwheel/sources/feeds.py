@@ -111,4 +111,10 @@ def payment_method_changes_from_raw(orders: DataFrame) -> DataFrame:
 
 
 def search_terms(spark: SparkSession, terms=SEARCH_TERMS) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in terms], S.SEARCH_TERMS)
+    """A small constant table built JVM-side (no Python worker round trip)."""
+    return spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms])).alias("term"))
+
+
+def empty_frame(spark: SparkSession, schema) -> DataFrame:
+    """An empty DataFrame of ``schema`` planned as a JVM-side relation."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])

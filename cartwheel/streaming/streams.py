@@ -7,7 +7,8 @@
   re-executed batch rewrites the same version (idempotent per batch id).
   Exact when micro-batches arrive in event order (files in time order).
 * ``run_payment_stream`` (ST-2): new orders -> one Pending payment each;
-  ``dropDuplicatesWithinWatermark`` on order_id bounds the dedupe state.
+  ``dropDuplicatesWithinWatermark`` on order_id over an ingest-time
+  watermark bounds the dedupe state without ever discarding a late order.
 * ``run_status_stream`` (ST-3/ST-4): status events -> latest status per order
   via a streaming ``max_by`` aggregate in update mode, merged per batch into
   a versioned table. ``max_by`` over (ts, event_id) is order-insensitive, so
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartwheel import schemas as S
 from cartwheel.operators.cart import fold_cart_events
@@ -54,7 +56,7 @@ def run_cart_stream(spark: SparkSession, source_dir: str, work_dir: str | None =
         events = batch.select(*S.CART_EVENTS.names)
         touched = events.select("user_id").distinct()
         if batch_id == 0:
-            previous = spark.createDataFrame([], S.CART)
+            previous = feeds.empty_frame(spark, S.CART)
         else:
             previous = spark.read.schema(S.CART).parquet(_version(state_root, batch_id - 1))
         untouched = previous.join(touched, "user_id", "left_anti")
@@ -73,26 +75,36 @@ def run_cart_stream(spark: SparkSession, source_dir: str, work_dir: str | None =
 
 
 def run_payment_stream(spark: SparkSession, source_dir: str, work_dir: str | None = None,
-                       watermark: str = "1 day") -> str:
-    """AFTER INSERT ON orders, as a stream; returns the parquet sink path."""
+                       dedupe_horizon: str = "1 hour", max_files_per_trigger: int | None = None) -> str:
+    """AFTER INSERT ON orders, as a stream; returns the parquet sink path.
+
+    Re-delivered order rows are removed with ``dropDuplicatesWithinWatermark``
+    on order_id. Its watermark is on *ingest* time, not order time: an
+    event-time watermark would discard orders that arrive late (their payment
+    would never be created), while ingest time is never behind the watermark.
+    The dedupe state covers ``dedupe_horizon`` of arrivals and is then evicted.
+    """
     work = work_dir or scratch_path(spark, "payment-stream")
     out, ckpt = f"{work}/payments", f"{work}/checkpoint"
-    orders = read_raw_stream(spark, source_dir, "orders")
+    orders = read_raw_stream(spark, source_dir, "orders", max_files_per_trigger)
     new = orders.select(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"),
         F.col("o_totalprice").cast(S.MONEY).alias("amount"),
         F.lit(S.DEFAULT_PAYMENT_STATUS).alias("payment_status"),
         F.lit(S.DEFAULT_PAYMENT_METHOD).alias("payment_method"),
         F.col("o_orderdate").alias("created_at"),
-        F.col("o_orderdate").cast("timestamp").alias("_event_time"))
-    deduped = new.withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark(["order_id"])
-    q = (deduped.drop("_event_time").writeStream.format("parquet").option("path", out)
+        F.current_timestamp().alias("_ingested_at"))
+    deduped = new.withWatermark("_ingested_at", dedupe_horizon).dropDuplicatesWithinWatermark(["order_id"])
+    q = (deduped.drop("_ingested_at").writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return out
 
 
 STATUS_STATE = "order_id long, new_status string, status_event_id long, new_approval string"
+_STATUS_SCHEMA = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("new_status", T.StringType()),
+                               T.StructField("status_event_id", T.LongType()),
+                               T.StructField("new_approval", T.StringType())])
 
 
 def run_status_stream(spark: SparkSession, source_dir: str, work_dir: str | None = None,
@@ -112,7 +124,7 @@ def run_status_stream(spark: SparkSession, source_dir: str, work_dir: str | None
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         if batch_id == 0:
-            previous = spark.createDataFrame([], STATUS_STATE)
+            previous = feeds.empty_frame(spark, _STATUS_SCHEMA)
         else:
             previous = spark.read.schema(STATUS_STATE).parquet(_version(state_root, batch_id - 1))
         changed = batch.select("order_id", "new_status", "status_event_id", "new_approval")

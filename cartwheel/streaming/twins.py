@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from cartwheel import schemas as S
 from cartwheel.functions import status as st
 from cartwheel.sources.entities import Shop
-from cartwheel.streaming.streams import (STATUS_STATE, run_cart_stream, run_payment_stream,
+from cartwheel.sources.feeds import empty_frame
+from cartwheel.streaming.streams import (_STATUS_SCHEMA, STATUS_STATE, run_cart_stream, run_payment_stream,
                                          run_status_stream)
 
 
 def q_stream_cart(spark, sf):
     path = run_cart_stream(spark, sf)
-    state = spark.read.schema(S.CART).parquet(path) if path else spark.createDataFrame([], S.CART)
+    state = spark.read.schema(S.CART).parquet(path) if path else empty_frame(spark, S.CART)
     return state.select("user_id", "product_id", "quantity")
 
 
@@ -26,7 +27,7 @@ def q_stream_payments(spark, sf):
 
 def q_stream_order_status(spark, sf):
     path = run_status_stream(spark, sf)
-    eff = spark.read.schema(STATUS_STATE).parquet(path) if path else spark.createDataFrame([], STATUS_STATE)
+    eff = spark.read.schema(STATUS_STATE).parquet(path) if path else empty_frame(spark, _STATUS_SCHEMA)
     orders = Shop.from_raw(spark, sf).orders
     return (orders.select("order_id", "order_status", "seller_approval_status")
             .join(eff, "order_id", "left")
