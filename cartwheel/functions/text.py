@@ -14,6 +14,13 @@ SKU_PREFIX = "PRD"
 EXCERPT_SUFFIX = "..."
 
 
+def wall_clock(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a datetime (or ISO text), built from text
+    so neither the Python process's nor the session's time zone shifts it."""
+    text = value.isoformat(sep=" ") if hasattr(value, "isoformat") else str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 

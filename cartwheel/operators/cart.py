@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from cartwheel import schemas as S
 from cartwheel.functions.keys import order_key
+from cartwheel.functions.text import wall_clock
 from cartwheel.functions.money import DEFAULT_TAX_RATE, line_subtotal, tax_amount, total_with_tax
 
 PAIR = ["user_id", "product_id"]
@@ -36,7 +37,7 @@ def _seq():
 def state_as_events(cart: DataFrame) -> DataFrame:
     """Stored cart lines as 'add' events at the start of time (for folding
     a new batch on top of a stored state)."""
-    return cart.select(F.lit(-1).cast("long").alias("event_id"), F.lit(_ORIGIN).cast(S.TS).alias("ts"),
+    return cart.select(F.lit(-1).cast("long").alias("event_id"), wall_clock(_ORIGIN).alias("ts"),
                        "user_id", "product_id", F.lit("add").alias("op"),
                        F.col("quantity").cast("int").alias("value"))
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from cartwheel import schemas as S
 from cartwheel.functions.keys import dense_ids, max_key
 from cartwheel.functions.money import DEFAULT_TAX_RATE, total_with_tax
+from cartwheel.functions.text import wall_clock
 from cartwheel.operators.cart import cart_lines
 
 
@@ -44,7 +45,7 @@ def new_orders(priced: DataFrame, orders: DataFrame, batch_ts: dt.datetime,
     with_ids = dense_ids(buyers, "user_id", max_key(orders, "order_id"), "order_id")
     return with_ids.select(
         "order_id", "user_id", total_with_tax(F.col("subtotal"), tax_rate).alias("total_amount"),
-        F.lit(S.CHECKOUT_ORDER_STATUS).alias("order_status"), F.lit(batch_ts).cast(S.TS).alias("created_at"),
+        F.lit(S.CHECKOUT_ORDER_STATUS).alias("order_status"), wall_clock(batch_ts).alias("created_at"),
         F.lit(S.DEFAULT_APPROVAL_STATUS).alias("seller_approval_status"), "seller_id")
 
 
@@ -61,7 +62,7 @@ def autocreate_payments(placed: DataFrame, payments: DataFrame | None, batch_ts=
     """AFTER INSERT ON orders: a Pending / Not Specified payment per new order.
     Payment ids continue after max(payment_id) when ``payments`` is given."""
     base = max_key(payments, "payment_id") if payments is not None else F.lit(0).cast("long")
-    ts = F.lit(batch_ts).cast(S.TS) if batch_ts is not None else F.col("created_at")
+    ts = wall_clock(batch_ts) if batch_ts is not None else F.col("created_at")
     keyed = dense_ids(placed.select("order_id", "user_id", "total_amount", "created_at"),
                       "order_id", base, "payment_id")
     return keyed.select("payment_id", "order_id", "user_id", F.col("total_amount").alias("amount"),

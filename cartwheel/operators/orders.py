@@ -100,7 +100,7 @@ def payments_backfill(orders: DataFrame, payments: DataFrame, batch_ts) -> DataF
     return keyed.select("payment_id", "order_id", "user_id", F.col("total_amount").alias("amount"),
                         F.lit(S.DEFAULT_PAYMENT_STATUS).alias("payment_status"),
                         F.lit(S.BACKFILL_PAYMENT_METHOD).alias("payment_method"),
-                        F.lit(batch_ts).cast(S.TS).alias("created_at"))
+                        tx.wall_clock(batch_ts).alias("created_at"))
 
 
 def update_payment_method(payments: DataFrame, changes: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from cartwheel import schemas as S
 from cartwheel.operators import cart, catalog, checkout, ingest, orders, quality, sellers
+from cartwheel.functions.text import wall_clock
 from cartwheel.sources.entities import Shop
 
 # Fixed run parameters: the batch clock of set-based jobs (CURRENT_TIMESTAMP
@@ -97,7 +98,7 @@ def q_cart_upsert(spark, sf):
     """Stored state = fold of the events before the split; the later events
     are applied to it as one batch of upserts / sets / removes / clears."""
     s = _shop(spark, sf)
-    ts = F.lit(CART_SPLIT_TS).cast(S.TS)
+    ts = wall_clock(CART_SPLIT_TS)
     state = cart.fold_cart_events(s.cart_events.where(F.col("ts") < ts))
     nxt = cart.apply_cart_batch(state, s.cart_events.where(F.col("ts") >= ts))
     return nxt.select("user_id", "product_id", "quantity")

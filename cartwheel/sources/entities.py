@@ -151,7 +151,8 @@ def with_defaults(df: DataFrame, table: str, now=None) -> DataFrame:
         if f.name in defaults:
             c = F.coalesce(c, defaults[f.name])
         if f.name in ("created_at", "added_at") and now is not None:
-            c = F.coalesce(c, F.lit(now))
+            c = F.coalesce(c, F.lit(now.isoformat(sep=" ") if hasattr(now, "isoformat") else str(now))
+                           .cast(S.TS))
         cols.append(c.cast(f.dataType).alias(f.name))
     return df.select(*cols)
 
