@@ -11,33 +11,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-_ID_SHIFT = 5 * 10 ** 18          # event ids in [-5e18, 5e18) map to [0, 1e19)
-_ID_SPAN = 10 ** 19
-
-
-def order_key(ts: str = "ts", event_id: str = "event_id") -> Column:
-    """(ts, event_id) as one decimal(38,0) with the same order.
-
-    Micros since 1970 of the wall-clock time (time-zone free for
-    TIMESTAMP_NTZ), times 10^19, plus the shifted event id. A single numeric
-    key keeps max / max_by / comparisons in hash aggregation (a struct key
-    would force sort-based aggregation).
-    """
-    t = F.col(ts)
-    dec = "decimal(38,0)"
-    micros = (F.unix_date(F.to_date(t)).cast(dec) * F.lit(86_400_000_000).cast(dec)
-              + ((F.hour(t) * 3600 + F.minute(t) * 60).cast(dec) * F.lit(1_000_000).cast(dec))
-              + (F.date_part(F.lit("SECOND"), t) * F.lit(1_000_000)).cast(dec))
-    span, shift = F.lit(Decimal(_ID_SPAN)).cast(dec), F.lit(Decimal(_ID_SHIFT)).cast(dec)
-    return (micros * span + (F.col(event_id).cast(dec) + shift)).cast(dec)
-
-
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per ``keys``: the row with the greatest ``order`` tuple.
 

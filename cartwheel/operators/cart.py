@@ -10,7 +10,10 @@ last delete-type event (remove / set<=0 / clear) and the last positive set
 fully determine the line from their position on; with those thresholds per
 (user, product) known, the adds only need sums and counts on either side of
 them. Everything is max / max_by / sum / count, so a hot user or a hot
-(user, product) pair is combined map-side before any shuffle.
+(user, product) pair is combined map-side before any shuffle. The order key
+is struct(ts, event_id); an equivalent single decimal(38,0) key would allow
+hash instead of sort aggregation but measured ~10-15% slower (BigDecimal
+arithmetic per row) on 2.4M events, so the struct stays.
 """
 
 from __future__ import annotations
@@ -22,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwheel import schemas as S
-from cartwheel.functions.keys import order_key
 from cartwheel.functions.text import wall_clock
 from cartwheel.functions.money import DEFAULT_TAX_RATE, line_subtotal, tax_amount, total_with_tax
 
@@ -31,7 +33,7 @@ _ORIGIN = dt.datetime(1, 1, 1)
 
 
 def _seq():
-    return order_key("ts", "event_id")
+    return F.struct(F.col("ts"), F.col("event_id"))
 
 
 def state_as_events(cart: DataFrame) -> DataFrame:
