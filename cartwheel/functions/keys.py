@@ -29,9 +29,14 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def dense_ids(keys_df: DataFrame, key: str, base: Column, out: str,
-              bucket_width: int = 1 << 16, order: Sequence[str] | None = None) -> DataFrame:
+              bucket_width: int = 1 << 16, order: Sequence[str] | None = None,
+              sums: dict[str, tuple[Column, str]] | None = None) -> DataFrame:
     """Attach ``out = base + rank`` (1, 2, 3, ... in ``order``, default ``key``).
 
+    ``sums`` adds running totals in the same pass: ``{name: (start, weight)}``
+    gives ``name = start + sum(weight of all earlier rows)`` (e.g. the first
+    line id of each new order, with the line count as weight).
+
     ``key`` is integral and leads ``order``; rows must be unique on ``order``.
     Keys are cut into buckets of ``bucket_width`` consecutive values and
     buckets into blocks of ``bucket_width`` buckets. Ranks inside a bucket come
@@ -42,23 +47,33 @@ def dense_ids(keys_df: DataFrame, key: str, base: Column, out: str,
     Deterministic, so a recomputed task yields the same ids.
     """
     order = list(order or [key])
+    sums = dict(sums or {})
+    weights = {"_n": F.lit(1)} | {f"_w_{n}": F.col(w) for n, (_, w) in sums.items()}
     width = F.lit(int(bucket_width))
     keyed = keys_df.withColumn("_bucket", F.floor(F.col(key) / width).cast("long"))
-    counts = (keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = (keyed.groupBy("_bucket").agg(*[F.sum(w).alias(n) for n, w in weights.items()])
               .withColumn("_block", F.floor(F.col("_bucket") / width).cast("long")))
     earlier = Window.unboundedPreceding
     in_block = Window.partitionBy("_block").orderBy("_bucket").rowsBetween(earlier, -1)
-    counts = counts.withColumn("_in_block", F.coalesce(F.sum("_n").over(in_block), F.lit(0)))
-    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_block_n"))
+    blocks = counts.groupBy("_block").agg(*[F.sum(n).alias(n) for n in weights])
     before_block = Window.orderBy("_block").rowsBetween(earlier, -1)
-    blocks = blocks.select("_block", F.coalesce(F.sum("_block_n").over(before_block), F.lit(0)).alias("_pre"))
-    offsets = counts.join(blocks, "_block").select(
-        "_bucket", (F.col("_in_block") + F.col("_pre")).alias("_offset"))
+    blocks = blocks.select("_block", *[F.coalesce(F.sum(n).over(before_block), F.lit(0)).alias(f"_pre{n}")
+                                       for n in weights])
+    offsets = counts.select("_bucket", "_block", *[F.coalesce(F.sum(n).over(in_block), F.lit(0)).alias(f"_in{n}")
+                                                  for n in weights]) \
+        .join(blocks, "_block") \
+        .select("_bucket", *[(F.col(f"_in{n}") + F.col(f"_pre{n}")).alias(f"_off{n}") for n in weights])
     inside = Window.partitionBy("_bucket").orderBy(*[F.col(c) for c in order])
+    inside_before = inside.rowsBetween(earlier, -1)
     ranked = keyed.withColumn("_rank", F.row_number().over(inside))
-    return (ranked.join(offsets, "_bucket")
-                  .withColumn(out, (base + F.col("_offset") + F.col("_rank")).cast("long"))
-                  .drop("_bucket", "_offset", "_rank"))
+    for n, (_, w) in sums.items():
+        ranked = ranked.withColumn(f"_in_w_{n}", F.coalesce(F.sum(F.col(w)).over(inside_before), F.lit(0)))
+    out_df = ranked.join(offsets, "_bucket").withColumn(
+        out, (base + F.col("_off_n") + F.col("_rank")).cast("long"))
+    for n, (start, _) in sums.items():
+        out_df = out_df.withColumn(n, (start + F.col(f"_off_w_{n}") + F.col(f"_in_w_{n}")).cast("long"))
+    drop = ["_bucket", "_rank"] + [f"_off{n}" for n in weights] + [f"_in_w_{n}" for n in sums]
+    return out_df.drop(*drop)
 
 
 def max_key(df: DataFrame, key: str) -> Column:

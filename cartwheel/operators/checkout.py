@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwheel import schemas as S
@@ -36,35 +36,48 @@ class CheckoutResult:
 
 
 def new_orders(priced: DataFrame, orders: DataFrame, batch_ts: dt.datetime,
-               tax_rate: Decimal = DEFAULT_TAX_RATE) -> DataFrame:
+               tax_rate: Decimal = DEFAULT_TAX_RATE, order_items: DataFrame | None = None) -> DataFrame:
     """One order per user with priced lines: total = subtotal * (1 + tax),
-    status Processing, ids after max(order_id) in user order."""
+    status Processing, ids after max(order_id) in user order. With
+    ``order_items`` the same pass also yields ``_first_item``: the item id
+    before the order's first line (line ids continue max(item_id))."""
     buyers = priced.groupBy("user_id").agg(
         F.sum("line_subtotal").cast(S.MONEY_CALC).alias("subtotal"),
-        F.min("seller_id").alias("seller_id"))
-    with_ids = dense_ids(buyers, "user_id", max_key(orders, "order_id"), "order_id")
+        F.min("seller_id").alias("seller_id"), F.count(F.lit(1)).alias("_n_lines"))
+    sums = {"_first_item": (max_key(order_items, "item_id"), "_n_lines")} if order_items is not None else {}
+    with_ids = dense_ids(buyers, "user_id", max_key(orders, "order_id"), "order_id", sums=sums)
+    extra = ["_first_item"] if sums else []
     return with_ids.select(
         "order_id", "user_id", total_with_tax(F.col("subtotal"), tax_rate).alias("total_amount"),
         F.lit(S.CHECKOUT_ORDER_STATUS).alias("order_status"), wall_clock(batch_ts).alias("created_at"),
-        F.lit(S.DEFAULT_APPROVAL_STATUS).alias("seller_approval_status"), "seller_id")
+        F.lit(S.DEFAULT_APPROVAL_STATUS).alias("seller_approval_status"), "seller_id", *extra)
 
 
-def new_order_lines(priced: DataFrame, placed: DataFrame, order_items: DataFrame) -> DataFrame:
-    lines = priced.join(placed.select("user_id", "order_id"), "user_id").select(
-        "order_id", "user_id", "product_id", "quantity", F.col("line_subtotal").alias("subtotal"))
-    with_ids = dense_ids(lines, "order_id", max_key(order_items, "item_id"), "item_id",
-                         order=["order_id", "product_id"])
-    # user_id rides along for reporting; ORDER_ITEMS columns are the first five
-    return with_ids.select("item_id", "order_id", "product_id", "quantity", "subtotal", "user_id")
+def new_order_lines(priced: DataFrame, placed: DataFrame) -> DataFrame:
+    """Lines of the new orders; item ids continue after each order's
+    ``_first_item`` in product order (a window per order, no global pass)."""
+    lines = priced.join(placed.select("user_id", "order_id", "_first_item"), "user_id")
+    in_order = Window.partitionBy("order_id").orderBy("product_id")
+    return lines.select(
+        (F.col("_first_item") + F.row_number().over(in_order)).cast("long").alias("item_id"),
+        "order_id", "product_id", "quantity", F.col("line_subtotal").alias("subtotal"),
+        # user_id rides along for reporting; ORDER_ITEMS columns are the first five
+        "user_id")
 
 
-def autocreate_payments(placed: DataFrame, payments: DataFrame | None, batch_ts=None) -> DataFrame:
+def autocreate_payments(placed: DataFrame, payments: DataFrame | None, batch_ts=None,
+                        order_base: F.Column | None = None) -> DataFrame:
     """AFTER INSERT ON orders: a Pending / Not Specified payment per new order.
-    Payment ids continue after max(payment_id) when ``payments`` is given."""
+    Payment ids continue after max(payment_id). When the new orders' ids are
+    known to be dense after ``order_base`` (checkout), the payment id follows
+    by arithmetic; otherwise a dense-id pass over order_id assigns them."""
     base = max_key(payments, "payment_id") if payments is not None else F.lit(0).cast("long")
     ts = wall_clock(batch_ts) if batch_ts is not None else F.col("created_at")
-    keyed = dense_ids(placed.select("order_id", "user_id", "total_amount", "created_at"),
-                      "order_id", base, "payment_id")
+    cols = placed.select("order_id", "user_id", "total_amount", "created_at")
+    if order_base is not None:
+        keyed = cols.withColumn("payment_id", (base + F.col("order_id") - order_base).cast("long"))
+    else:
+        keyed = dense_ids(cols, "order_id", base, "payment_id")
     return keyed.select("payment_id", "order_id", "user_id", F.col("total_amount").alias("amount"),
                         F.lit(S.DEFAULT_PAYMENT_STATUS).alias("payment_status"),
                         F.lit(S.DEFAULT_PAYMENT_METHOD).alias("payment_method"), ts.alias("created_at"))
@@ -87,15 +100,15 @@ def checkout(cart: DataFrame, products: DataFrame, orders: DataFrame, order_item
     req = requests.groupBy("user_id").agg(F.max("payment_method").alias("payment_method"))
     wanted = cart.join(req.select("user_id"), "user_id", "left_semi")
     priced = cart_lines(wanted, products, extra=("seller_id",))
-    placed = new_orders(priced, orders, batch_ts, tax_rate)
-    lines = new_order_lines(priced, placed, order_items)
-    created = autocreate_payments(placed, payments, batch_ts)
+    placed = new_orders(priced, orders, batch_ts, tax_rate, order_items=order_items)
+    lines = new_order_lines(priced, placed)
+    created = autocreate_payments(placed, payments, batch_ts, order_base=max_key(orders, "order_id"))
     chosen = (created.drop("payment_method").join(req, "user_id", "left")
               .withColumn("payment_method", F.coalesce(F.col("payment_method"), F.lit(S.DEFAULT_PAYMENT_METHOD)))
               .select(*S.PAYMENTS.names))
     stock = stock_after(products, priced)
     cart_after = cart.join(placed.select("user_id"), "user_id", "left_anti")
-    return CheckoutResult(priced, placed, lines, chosen, stock, cart_after)
+    return CheckoutResult(priced, placed.drop("_first_item"), lines, chosen, stock, cart_after)
 
 
 def write_checkout(result: CheckoutResult, out_dir: str) -> None:

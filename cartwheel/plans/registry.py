@@ -134,7 +134,8 @@ def q_checkout_lines(spark, sf):
 def q_payments_autocreate(spark, sf):
     s = _shop(spark, sf)
     r = _checkout(spark, sf)
-    return checkout.autocreate_payments(r.orders, s.payments, BATCH_TS)
+    return checkout.autocreate_payments(r.orders, s.payments, BATCH_TS,
+                                        order_base=checkout.max_key(s.orders, "order_id"))
 
 
 def q_checkout_payments(spark, sf):

@@ -73,6 +73,17 @@ def test_dense_ids_sparse_keys_two_levels(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_dense_ids_running_sums(spark):
+    keys = spark.range(0, 500).select((F.col("id") * 13 + 5).alias("k"), (F.col("id") % 7).alias("w"))
+    got = dense_ids(keys, "k", F.lit(10).cast("long"), "id", bucket_width=8,
+                    sums={"start": (F.lit(1000).cast("long"), "w")}).collect()
+    rows = sorted((r.k, r.w, r.id, r.start) for r in got)
+    acc = 1000
+    for i, (k, w, ident, start) in enumerate(rows):
+        assert ident == 10 + i + 1 and start == acc
+        acc += w
+
+
 def test_search_gram_path_equals_broadcast_path(spark):
     shop = Shop.from_raw(spark, SF_SMALL)
     extra = spark.createDataFrame([(t,) for t in ("red", "ring", "bolt", "brand#2", "r%g", "%", "_", "a_c")],
@@ -94,6 +105,12 @@ def test_checkout_conservation(spark):
     top = shop.orders.agg(F.max("order_id")).collect()[0][0]
     assert ids == list(range(top + 1, top + 1 + len(ids)))
     assert r.cart_after.join(r.orders, "user_id", "left_semi").count() == 0
+    items = [(x.order_id, x.product_id, x.item_id) for x in r.lines.collect()]
+    top_item = shop.order_items.agg(F.max("item_id")).collect()[0][0]
+    assert [i for _, _, i in sorted(items)] == list(range(top_item + 1, top_item + 1 + len(items)))
+    pays = sorted((x.order_id, x.payment_id) for x in r.payments.collect())
+    top_pay = shop.payments.agg(F.max("payment_id")).collect()[0][0]
+    assert [p for _, p in pays] == list(range(top_pay + 1, top_pay + 1 + len(pays)))
     per_order = r.lines.groupBy("order_id").agg(F.sum("subtotal").alias("s")).join(r.orders, "order_id")
     bad = per_order.where(F.abs(F.col("s") * F.lit(1.1) - F.col("total_amount")) > F.lit(0.01)).count()
     assert bad == 0
