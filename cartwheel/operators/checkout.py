@@ -107,7 +107,8 @@ def checkout(cart: DataFrame, products: DataFrame, orders: DataFrame, order_item
               .withColumn("payment_method", F.coalesce(F.col("payment_method"), F.lit(S.DEFAULT_PAYMENT_METHOD)))
               .select(*S.PAYMENTS.names))
     stock = stock_after(products, priced)
-    cart_after = cart.join(placed.select("user_id"), "user_id", "left_anti")
+    # users who placed an order = users with at least one priced line (no ids needed)
+    cart_after = cart.join(priced.select("user_id"), "user_id", "left_anti")
     return CheckoutResult(priced, placed.drop("_first_item"), lines, chosen, stock, cart_after)
 
 
