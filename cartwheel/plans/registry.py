@@ -176,7 +176,9 @@ def q_order_history_nested(spark, sf):
     s = _shop(spark, sf)
     n = orders.order_history_nested(s.orders, s.order_items, s.products)
     return n.select("order_id", "user_id",
-                    F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+                    # size(NULL) is -1 when ANSI mode is off: test for NULL first
+                    F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items"))
+                     .cast("long").alias("n_items"),
                     orders.items_text("items").alias("items_text"))
 
 
