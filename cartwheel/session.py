@@ -40,6 +40,22 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def recommended_conf(input_bytes: int, total_cores: int,
+                     target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Cluster sizing for a given input size: shuffle partitions so each
+    post-shuffle partition is near ``target_partition_bytes`` (at least two
+    waves of tasks), the same advisory size for AQE coalescing and skew
+    splitting, and scan splits of the same size. E.g. 100 TB on 1000 x 8
+    cores -> ~400k shuffle partitions before AQE coalescing."""
+    partitions = max(2 * total_cores, -(-int(input_bytes) // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder; set one only when unset."""
     sc = spark.sparkContext
