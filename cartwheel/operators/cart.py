@@ -88,6 +88,23 @@ def fold_cart_events(events: DataFrame, initial: DataFrame | None = None) -> Dat
                      .alias("added_at")))
 
 
+def compact_cart_log(events: DataFrame) -> DataFrame:
+    """Drop events that can no longer change any cart line, whatever arrives
+    later: anything before its user's last clear or its (user, product)'s
+    last remove / set<=0. The last clear per user is kept as the marker that
+    cuts later-arriving older events. Exact under any arrival order."""
+    ev = events.select(*S.CART_EVENTS.names)
+    op, val, seq = F.col("op"), F.col("value"), _seq()
+    clears = ev.where(op == "clear").groupBy("user_id").agg(F.max(seq).alias("_clear_at"))
+    is_del = (op == "remove") | ((op == "set") & (F.coalesce(val, F.lit(0)) <= 0))
+    dels = ev.where(is_del & F.col("product_id").isNotNull()).groupBy(*PAIR).agg(F.max(seq).alias("_del_at"))
+    tagged = ev.join(clears, "user_id", "left").join(dels, PAIR, "left")
+    keep_clear = (op == "clear") & (seq == F.col("_clear_at"))
+    cut = F.greatest(F.col("_clear_at"), F.col("_del_at"))
+    keep_other = (op != "clear") & (cut.isNull() | (seq >= cut))
+    return tagged.where(keep_clear | keep_other).select(*S.CART_EVENTS.names)
+
+
 def apply_cart_batch(current: DataFrame, batch: DataFrame) -> DataFrame:
     """Upsert / set / remove / clear a batch of cart events onto stored lines
     (INSERT .. ON DUPLICATE KEY UPDATE q = q + n, UPDATE .. SET, DELETE).

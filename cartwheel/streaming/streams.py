@@ -1,11 +1,11 @@
 """Streaming jobs.
 
-* ``run_cart_stream`` (ST-1): cart events -> cart lines. Each micro-batch is
-  folded on top of the stored state with the batch fold (``foreachBatch``);
-  only users touched by the batch are recomputed. State versions are written
-  under the shared checkpoint folder, version k from version k-1, so a
-  re-executed batch rewrites the same version (idempotent per batch id).
-  Exact when micro-batches arrive in event order (files in time order).
+* ``run_cart_stream`` (ST-1): cart events -> cart lines. Each micro-batch
+  re-folds only the users it touches, from their compacted event log plus
+  the new events (``foreachBatch``); exact under any arrival order and
+  re-delivery. State and log versions are written under the shared
+  checkpoint folder, version k from version k-1, so a re-executed batch
+  rewrites the same version (idempotent per batch id).
 * ``run_payment_stream`` (ST-2): new orders -> one Pending payment each;
   ``dropDuplicatesWithinWatermark`` on order_id over an ingest-time
   watermark bounds the dedupe state without ever discarding a late order.
@@ -17,12 +17,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartwheel import schemas as S
-from cartwheel.operators.cart import fold_cart_events
+from cartwheel.operators.cart import compact_cart_log, fold_cart_events
 from cartwheel.operators.orders import _status_effects
 from cartwheel.session import scratch_path
 from cartwheel.sources import feeds
@@ -46,22 +47,40 @@ def _version(root: str, batch_id: int) -> str:
 def run_cart_stream(spark: SparkSession, source_dir: str, work_dir: str | None = None,
                     max_files_per_trigger: int | None = 1) -> str:
     """Run the cart stream over everything available; return the path of
-    the final cart state (CART rows)."""
+    the final cart state (CART rows).
+
+    Per micro-batch (``foreachBatch``), for the users in the batch only:
+    their compacted event log plus the new events (de-duplicated on
+    event_id, so a re-delivered file counts once) is folded again with the
+    batch fold, and the log is compacted (``compact_cart_log``). Exact under
+    any arrival order. State and log version k are written from version k-1,
+    so a re-executed batch id rewrites the same version.
+    """
     work = work_dir or scratch_path(spark, "cart-stream")
-    state_root, ckpt = f"{work}/state", f"{work}/checkpoint"
+    state_root, log_root, ckpt = f"{work}/state", f"{work}/log", f"{work}/checkpoint"
     last = {"version": None}
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         events = batch.select(*S.CART_EVENTS.names)
         touched = events.select("user_id").distinct()
         if batch_id == 0:
-            previous = feeds.empty_frame(spark, S.CART)
+            prev_state, prev_log = feeds.empty_frame(spark, S.CART), feeds.empty_frame(spark, S.CART_EVENTS)
         else:
-            previous = spark.read.schema(S.CART).parquet(_version(state_root, batch_id - 1))
-        untouched = previous.join(touched, "user_id", "left_anti")
-        redone = fold_cart_events(events, initial=previous.join(touched, "user_id", "left_semi"))
-        untouched.select(*S.CART.names).unionByName(redone.select(*S.CART.names)) \
-            .write.mode("overwrite").parquet(_version(state_root, batch_id))
+            prev_state = spark.read.schema(S.CART).parquet(_version(state_root, batch_id - 1))
+            prev_log = spark.read.schema(S.CART_EVENTS).parquet(_version(log_root, batch_id - 1))
+        history = (prev_log.join(touched, "user_id", "left_semi").unionByName(events)
+                   .dropDuplicates(["event_id"]))
+        history.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            lines = fold_cart_events(history)
+            prev_state.join(touched, "user_id", "left_anti").select(*S.CART.names) \
+                .unionByName(lines.select(*S.CART.names)) \
+                .write.mode("overwrite").parquet(_version(state_root, batch_id))
+            prev_log.join(touched, "user_id", "left_anti").select(*S.CART_EVENTS.names) \
+                .unionByName(compact_cart_log(history)) \
+                .write.mode("overwrite").parquet(_version(log_root, batch_id))
+        finally:
+            history.unpersist()
         last["version"] = batch_id
 
     stream = feeds.cart_events_from_raw(read_raw_stream(spark, source_dir, "events", max_files_per_trigger))

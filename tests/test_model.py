@@ -116,6 +116,14 @@ def test_checkout_conservation(spark):
     assert bad == 0
 
 
+def test_compacted_log_folds_the_same(spark):
+    ev = Shop.from_raw(spark, SF_MID).cart_events
+    full = {(r.user_id, r.product_id): r.quantity for r in cart.fold_cart_events(ev).collect()}
+    compact = cart.compact_cart_log(ev)
+    assert compact.count() < ev.count()
+    assert {(r.user_id, r.product_id): r.quantity for r in cart.fold_cart_events(compact).collect()} == full
+
+
 def test_cart_stream_in_event_order_equals_batch(spark):
     src = scratch_path(spark, "test-cart-source")
     from cartwheel.session import local_fs_path

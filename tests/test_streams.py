@@ -9,7 +9,7 @@ from conftest import SF_MID
 from cartwheel.operators import orders as O
 from cartwheel.session import local_fs_path, scratch_path
 from cartwheel.sources.entities import Shop
-from cartwheel.streaming.streams import STATUS_STATE, run_payment_stream, run_status_stream
+from cartwheel.streaming.streams import STATUS_STATE, run_cart_stream, run_payment_stream, run_status_stream
 
 
 def _split(spark, table, n, order, repeat=None):
@@ -46,3 +46,11 @@ def test_payment_stream_deduplicates_redelivered_orders(spark):
     assert got.count() == got.select("order_id").distinct().count() == spark.read.parquet(
         f"{SF_MID}/orders.parquet").count()
     assert got.where(F.col("payment_status") != "Pending").count() == 0
+
+
+def test_cart_stream_any_order_and_redelivery_equals_batch(spark):
+    src = _split(spark, "events", 5, [4, 1, 3, 0, 2], repeat=3)
+    path = run_cart_stream(spark, src, max_files_per_trigger=1)
+    got = {(r.user_id, r.product_id): r.quantity for r in spark.read.parquet(path).collect()}
+    want = {(r.user_id, r.product_id): r.quantity for r in Shop.from_raw(spark, SF_MID).cart.collect()}
+    assert got == want
