@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartwheel import schemas as S
 from cartwheel.operators import cart, catalog, checkout, ingest, orders, quality, sellers
 from cartwheel.functions.text import wall_clock
 from cartwheel.sources.entities import Shop
