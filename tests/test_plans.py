@@ -53,3 +53,37 @@ def test_seller_orders_aggregates_before_join(spark):
     df = sellers.seller_orders_view(s.orders, s.payments, s.order_items, s.products, s.users)
     logical = df._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" in logical
+
+
+def test_hot_pair_join_is_split_by_aqe(spark):
+    """One (user, product) pair holding a third of the events, read by many
+    map tasks: AQE splits its join partition (skew=true) and the fold is
+    unchanged."""
+    from pyspark.sql import functions as F
+    from test_model import replay
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        ev = Shop.from_raw(spark, SF_MID).cart_events
+        third = F.col("event_id") % 3 == 0
+        hot = (ev.withColumn("user_id", F.when(third, F.lit(7).cast("long")).otherwise(F.col("user_id")))
+                 .withColumn("product_id", F.when(third, F.lit(5).cast("long")).otherwise(F.col("product_id")))
+                 .repartition(16))
+        df = cart.fold_cart_events(hot)
+        got = {(r.user_id, r.product_id): r.quantity for r in df.collect()}
+        assert "SortMergeJoin(skew=true)" in plan(df)
+        rows = [tuple(r) for r in hot.select("event_id", "ts", "user_id", "product_id", "op", "value").collect()]
+        assert got == replay(rows)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
