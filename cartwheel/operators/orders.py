@@ -64,14 +64,27 @@ ITEM_FIELDS = ["product_id", "quantity", "subtotal", "name", "price"]
 
 
 def order_history_nested(orders: DataFrame, order_items: DataFrame, products: DataFrame,
-                         user_id=None) -> DataFrame:
-    """Orders with their lines as one sorted array<struct> per order: one join
-    plus one aggregate instead of a query per order."""
+                         user_id=None, max_items_per_row: int | None = None) -> DataFrame:
+    """Orders with their lines as sorted array<struct>: one join plus one
+    aggregate instead of a query per order.
+
+    Default: one row per order (the shop's page). With ``max_items_per_row``
+    an order of n lines is spread over ceil(n / max) rows (column ``part``)
+    by a hash of each line, so no single task gathers a huge order; parts hold
+    about ``max_items_per_row`` lines each.
+    """
     o = _filter(orders.select(*ORDER_COLS), user_id=user_id)
     items = order_items_detail(order_items.join(o.select("order_id"), "order_id", "left_semi"), products)
-    nested = items.groupBy("order_id").agg(
-        F.sort_array(F.collect_list(F.struct(*ITEM_FIELDS))).alias("items"))
-    return o.join(nested, "order_id", "left")
+    line = F.struct(*ITEM_FIELDS)
+    if max_items_per_row is None:
+        nested = items.groupBy("order_id").agg(F.sort_array(F.collect_list(line)).alias("items"))
+        return o.join(nested, "order_id", "left")
+    sizes = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"))
+    n_parts = F.ceil(F.col("_n") / F.lit(int(max_items_per_row)))
+    parted = items.join(sizes, "order_id").withColumn(
+        "part", F.pmod(F.xxhash64(*ITEM_FIELDS), n_parts.cast("long")).cast("int"))
+    nested = parted.groupBy("order_id", "part").agg(F.sort_array(F.collect_list(line)).alias("items"))
+    return o.join(nested, "order_id", "left").withColumn("part", F.coalesce(F.col("part"), F.lit(0)))
 
 
 def items_text(items_col) -> F.Column:

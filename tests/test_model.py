@@ -84,6 +84,19 @@ def test_dense_ids_running_sums(spark):
         acc += w
 
 
+def test_nested_history_in_bounded_parts(spark):
+    from cartwheel.operators import orders as O
+    shop = Shop.from_raw(spark, SF_SMALL)
+    whole = O.order_history_nested(shop.orders, shop.order_items, shop.products)
+    parts = O.order_history_nested(shop.orders, shop.order_items, shop.products, max_items_per_row=2)
+    merged = (parts.groupBy("order_id").agg(F.flatten(F.collect_list(F.coalesce("items", F.array()))).alias("all"))
+              .select("order_id", F.sort_array("all").alias("all")))
+    want = whole.select("order_id", F.coalesce(F.col("items"), F.array()).alias("all"))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, want.collect()))
+    biggest = parts.select(F.max(F.size("items"))).collect()[0][0]
+    assert biggest < whole.select(F.max(F.size("items"))).collect()[0][0]
+
+
 def test_search_gram_path_equals_broadcast_path(spark):
     shop = Shop.from_raw(spark, SF_SMALL)
     extra = spark.createDataFrame([(t,) for t in ("red", "ring", "bolt", "brand#2", "r%g", "%", "_", "a_c")],
