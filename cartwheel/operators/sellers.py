@@ -12,6 +12,7 @@ from cartwheel.functions import text as tx
 from cartwheel.functions.keys import latest_per_key
 from cartwheel.functions.money import money_text
 from cartwheel.operators.orders import latest_payment
+from cartwheel.sources.entities import with_defaults
 
 
 def seller_products(products: DataFrame, seller_id=None) -> DataFrame:
@@ -128,11 +129,9 @@ def apply_product_changes(products: DataFrame, changes: DataFrame) -> tuple[Data
     adds = changes.where(F.col("op") == "add")
     add_ok = adds.where(F.col("category").isNotNull() & F.col("product_id").isNotNull()) \
         .join(products.select("product_id"), "product_id", "left_anti")
-    new_rows = add_ok.select(
-        "product_id", "name", "description", F.col("price").cast(S.MONEY).alias("price"),
-        F.lit(S.DEFAULT_STOCK).cast("int").alias("stock"), "category",
-        F.coalesce("image_url", F.lit("")).alias("image_url"), F.lit(None).cast(S.TS).alias("created_at"),
-        "seller_id")
+    # declared defaults (stock 0, empty image) fill what the change leaves out
+    new_rows = with_defaults(add_ok.select("product_id", "name", "description", "price", "category",
+                                           "image_url", "seller_id"), "products")
     next_products = edited.unionByName(new_rows)
 
     owned = products.select(*own)
