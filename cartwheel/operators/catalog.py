@@ -67,11 +67,11 @@ def product_search(products: DataFrame, terms: DataFrame,
     empty term matches every product.
 
     Few terms (checked): broadcast them and test each product against all of
-    them in one pass. Many terms: candidate pairs from an equi-join on a
-    3-character piece of each term's longest literal run, then the exact
-    test; terms without such a piece stay on the broadcast path, and only
-    pure-wildcard terms (which match nearly everything by definition) remain
-    a full nested loop.
+    them in one pass. Many terms: candidate pairs from an equi-join on the
+    rarest 3-gram of each term's literal runs, then the exact test; terms
+    without any 3-gram stay on the broadcast path, and only pure-wildcard
+    terms (which match nearly everything by definition) remain a full nested
+    loop.
     """
     t = _terms(terms)
     p = products.select("product_id", F.lower(F.col("name")).alias("_name_l"),
@@ -80,22 +80,30 @@ def product_search(products: DataFrame, terms: DataFrame,
     if is_small:
         return p.join(small, _matches()).select("term", "product_id")
 
-    runs = F.split(F.col("_needle"), "[%_]")
-    longest = F.aggregate(runs, F.lit(""), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
-    keyed = t.withColumn("_run", longest)
-    gram_terms = keyed.where(F.length("_run") >= GRAM).withColumn("_gram", F.substring("_run", 1, GRAM))
-    short_terms = keyed.where(F.length("_run") < GRAM).drop("_run")
-
     def grams(col):
-        s = F.col(col)
+        s = F.col(col) if isinstance(col, str) else col
         starts = F.sequence(F.lit(1), F.greatest(F.length(s) - GRAM + 1, F.lit(1)))
         return F.transform(F.when(F.length(s) >= GRAM, starts).otherwise(F.array().cast("array<int>")),
                            lambda i: F.substring(s, i, GRAM))
 
+    # Every literal run of a term (text between wildcards) must occur in a
+    # match, so any 3-gram of any run is a complete candidate key. Each term
+    # uses its rarest gram in the catalogue, keeping candidate pairs few and
+    # away from common grams.
     p_grams = (p.select("product_id", F.explode(F.array_distinct(F.concat(grams("_name_l"), grams("_desc_l"))))
                         .alias("_gram"))
                .distinct())
-    candidates = (gram_terms.join(p_grams, "_gram").drop("_gram", "_run")
+    gram_freq = p_grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_freq"))
+    runs = F.split(F.col("_needle"), "[%_]")
+    term_grams = t.select("term", F.explode(F.array_distinct(F.flatten(F.transform(runs, lambda r: grams(r)))))
+                          .alias("_gram"))
+    # a gram absent from the catalogue means no product can match the term
+    best = (term_grams.join(gram_freq, "_gram", "left")
+            .groupBy("term").agg(F.min_by("_gram", F.struct(F.coalesce("_freq", F.lit(0)), F.col("_gram")))
+                                 .alias("_gram")))
+    gram_terms = t.join(best, "term")
+    short_terms = t.join(best, "term", "left_anti")
+    candidates = (gram_terms.join(p_grams, "_gram").drop("_gram")
                   .join(p, "product_id"))
     long_hits = candidates.where(_matches()).select("term", "product_id")
     short_b, _ = bounded_broadcast(short_terms, max_broadcast_terms)
