@@ -35,8 +35,19 @@ def portable(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+# Where entity tables come from: None = derive them from the raw tables in
+# every query; a path = entity tables written once by ``write_entities``
+# (the change feeds always derive from the raw tables).
+_ENTITY_TABLES: dict[str, str | None] = {"path": None}
+
+
+def use_entity_tables(path: str | None) -> None:
+    _ENTITY_TABLES["path"] = path
+
+
 def _shop(spark: SparkSession, sf_dir: str) -> Shop:
-    return Shop.from_raw(spark, sf_dir)
+    path = _ENTITY_TABLES["path"]
+    return Shop.from_tables(spark, path, sf_dir) if path else Shop.from_raw(spark, sf_dir)
 
 
 def _tables(shop: Shop) -> dict[str, DataFrame]:

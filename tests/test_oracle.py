@@ -40,3 +40,28 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["user_id", "n_lines", "n_units", "subtotal", "tax", "total"]
+
+
+@pytest.fixture(scope="module")
+def entity_tables(spark):
+    from cartwheel.plans.registry import use_entity_tables
+    from cartwheel.session import scratch_path
+    from cartwheel.sources.entities import Shop, write_entities
+    path = scratch_path(spark, "test-oracle-tables")
+    write_entities(Shop.from_raw(spark, SF_SMALL), path)
+    use_entity_tables(path)
+    yield path
+    use_entity_tables(None)
+
+
+def test_all_queries_on_entity_tables_match_oracle(spark, con, entity_tables):
+    """The same queries over entity tables written once (bench default mode)."""
+    bad = []
+    for name, fn in QUERIES.items():
+        df = fn(spark, SF_SMALL)
+        s = C.digest(df.columns, [tuple(r) for r in df.collect()])[0]
+        cur = con.execute(SQL[name])
+        d = C.digest([x[0] for x in cur.description], cur.fetchall())[0]
+        if s != d:
+            bad.append(name)
+    assert bad == []
