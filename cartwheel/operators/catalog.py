@@ -29,6 +29,25 @@ def product_by_id(products: DataFrame, product_id: int, seller_id: int | None =
     return products.where(cond)
 
 
+def rows_by_keys(table: DataFrame, keys: DataFrame, on: list[str] | str) -> DataFrame:
+    """Rows of any entity whose key is in ``keys`` (user, product, seller,
+    order ...): a semi join, so duplicate requests never duplicate rows."""
+    on = [on] if isinstance(on, str) else list(on)
+    return table.join(keys.select(*on).distinct(), on, "left_semi")
+
+
+def missing_keys(table: DataFrame, keys: DataFrame, on: list[str] | str) -> DataFrame:
+    """Requested keys with no row (the shop's 'not found' branch)."""
+    on = [on] if isinstance(on, str) else list(on)
+    return keys.select(*on).distinct().join(table.select(*on), on, "left_anti")
+
+
+def row_by_email(table: DataFrame, email: str) -> DataFrame:
+    """Credentials-row lookup by e-mail, case-insensitive like the shop's
+    collation (users or sellers)."""
+    return table.where(tx.email_key("email") == F.lit(email.strip().lower()))
+
+
 def product_lookup(products: DataFrame, requests: DataFrame) -> DataFrame:
     """Batch of lookups by key and by (key, owner).
 

@@ -31,3 +31,14 @@ def test_with_defaults(spark):
     r = with_defaults(df, "products", now=dt.datetime(2024, 1, 1)).collect()[0]
     assert r.stock == 0 and r.image_url == "" and r.created_at == dt.datetime(2024, 1, 1)
     assert r.seller_id is None and str(r.price) == "1.50"
+
+
+def test_key_lookups_for_any_entity(spark):
+    from cartwheel.operators import catalog
+    shop = Shop.from_raw(spark, SF_SMALL)
+    keys = spark.createDataFrame([(1,), (1,), (2,), (10 ** 9,)], "user_id long")
+    found = catalog.rows_by_keys(shop.users, keys, "user_id")
+    assert sorted(r.user_id for r in found.collect()) == [1, 2]
+    assert [r.user_id for r in catalog.missing_keys(shop.users, keys, "user_id").collect()] == [10 ** 9]
+    email = shop.sellers.first().email
+    assert catalog.row_by_email(shop.sellers, "  " + email.upper()).count() == 1
