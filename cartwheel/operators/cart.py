@@ -101,7 +101,8 @@ def compact_cart_log(events: DataFrame) -> DataFrame:
     tagged = ev.join(clears, "user_id", "left").join(dels, PAIR, "left")
     keep_clear = (op == "clear") & (seq == F.col("_clear_at"))
     cut = F.greatest(F.col("_clear_at"), F.col("_del_at"))
-    keep_other = (op != "clear") & (cut.isNull() | (seq >= cut))
+    # events without a product id (malformed) never touch a line: not kept
+    keep_other = (op != "clear") & F.col("product_id").isNotNull() & (cut.isNull() | (seq >= cut))
     return tagged.where(keep_clear | keep_other).select(*S.CART_EVENTS.names)
 
 
