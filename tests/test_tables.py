@@ -35,3 +35,28 @@ def test_checkout_writer_publishes_all_or_nothing(spark):
     assert spark.read.parquet(f"{out}/lines").columns == ["item_id", "order_id", "product_id", "quantity",
                                                           "subtotal"]
     assert spark.read.parquet(f"{out}/orders").count() == r.orders.count()
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    from cartwheel.sources.entities import save_bucketed_entities
+    raw = Shop.from_raw(spark, SF_SMALL)
+    location = scratch_path(spark, "test-bucketed")
+    save_bucketed_entities(raw, "cw_bucketed_test", location, buckets=8)
+    shop = Shop.from_catalog(spark, "cw_bucketed_test", SF_SMALL)
+    joined = shop.orders.join(shop.payments, "order_id").join(shop.order_items, "order_id")
+    # at test size Spark would broadcast; turn that off to see the big-table plan
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    assert "Exchange hashpartitioning" not in plan
+    want = raw.orders.join(raw.payments, "order_id").join(raw.order_items, "order_id")
+    assert joined.count() == want.count()
+    q = orders.order_payment(shop.orders, shop.payments)
+    assert sorted(map(tuple, q.collect())) == sorted(map(tuple, orders.order_payment(raw.orders, raw.payments).collect()))
