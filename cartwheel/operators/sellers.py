@@ -113,7 +113,10 @@ def apply_product_changes(products: DataFrame, changes: DataFrame) -> tuple[Data
     price, image_url of an owned product (last change_id wins, NULL fields
     keep the old value); add: new row with stock 0 and the sender as owner,
     category required (the shop's INSERT omits it though it is NOT NULL).
-    A product both edited and deleted is deleted.
+    A product both edited and deleted is deleted. One batch applies to the
+    table as it stood before the batch: edits and deletes target existing
+    products (an edit of a product added in the same batch is rejected) and
+    an add may not reuse a key deleted in the same batch.
     """
     own = ["product_id", "seller_id"]
     deletes = changes.where(F.col("op") == "delete").select(*own).distinct()
