@@ -353,6 +353,10 @@ SQL: dict[str, str] = {
         WHERE EXISTS (SELECT 1 FROM e_users u WHERE u.user_id = c.user_id)
           AND EXISTS (SELECT 1 FROM e_products p WHERE p.product_id = c.product_id)""",
                                "e_cart", "e_users", "e_products"),
+    "cart_event_rejects": with_ctes("""
+        SELECT event_id, user_id, event_type, 'bad_product_id' AS reason FROM events
+        WHERE event_type IN ('click', 'view', 'error')
+          AND TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL"""),
     "checkout_orders": with_ctes(f"SELECT {ORDER_COLS} FROM e_new_orders o", "e_new_orders"),
     "checkout_lines": with_ctes("""
         SELECT o.order_id, p.user_id, p.product_id, p.quantity, CAST(p.line_subtotal AS DOUBLE) AS subtotal

@@ -119,6 +119,11 @@ def q_cart_stock_check(spark, sf):
     return cart.stock_check(s.cart_events.where(F.col("op") == "add"), s.products)
 
 
+def q_cart_event_rejects(spark, sf):
+    from cartwheel.sources.feeds import cart_event_rejects
+    return cart_event_rejects(_shop(spark, sf).raw("events"))
+
+
 def q_cart_cascade(spark, sf):
     s = _shop(spark, sf)
     return cart.cascade_cart(s.cart, s.users, s.products).select("user_id", "product_id", "quantity")
@@ -313,6 +318,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cart_upsert": q_cart_upsert,
     "cart_stock_check": q_cart_stock_check,
     "cart_cascade": q_cart_cascade,
+    "cart_event_rejects": q_cart_event_rejects,
     "checkout_orders": q_checkout_orders,
     "checkout_lines": q_checkout_lines,
     "payments_autocreate": q_payments_autocreate,

@@ -45,6 +45,15 @@ def cart_events_from_raw(events: DataFrame) -> DataFrame:
                     op.alias("op"), value.alias("value")))
 
 
+def cart_event_rejects(events: DataFrame) -> DataFrame:
+    """Cart events whose product id cannot be parsed (SC-18 reject output):
+    add / set / remove need a product, clear does not."""
+    et = F.col("event_type")
+    product = F.expr("try_cast(get_json_object(props, '$.k') AS BIGINT)")
+    return (events.where(et.isin("click", "view", "error") & product.isNull())
+            .select("event_id", "user_id", "event_type", F.lit("bad_product_id").alias("reason")))
+
+
 def status_events_from_raw(events: DataFrame) -> DataFrame:
     et = F.col("event_type")
     kind = F.when(et == "purchase", "payment").otherwise(F.lit("approval"))

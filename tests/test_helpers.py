@@ -28,3 +28,16 @@ def test_money_rounding_half_up(spark):
                      money_text("s").alias("m")).collect()
     assert [(r.t, r.g, r.m) for r in rows] == [
         (D("180.00"), D("1979.98"), "₹1799.98"), (D("0.27"), D("2.94"), "₹2.68"), (D("0.01"), D("0.06"), "₹0.05")]
+
+
+def test_cart_event_rejects_flag_unparsable_products(spark):
+    import datetime as dt
+    from cartwheel.sources.feeds import cart_event_rejects, cart_events_from_raw
+    from cartwheel.sources.raw import RAW_SCHEMAS
+    t = dt.datetime(2024, 1, 1)
+    raw = spark.createDataFrame([(1, t, 5, "click", 1.0, '{"k": 3}'), (2, t, 5, "click", 1.0, '{"k": "x"}'),
+                                 (3, t, 5, "view", 2.0, "not json"), (4, t, 5, "purchase", 0.0, "not json")],
+                                RAW_SCHEMAS["events"])
+    assert sorted(r.event_id for r in cart_event_rejects(raw).collect()) == [2, 3]
+    assert sorted((r.event_id, r.product_id) for r in cart_events_from_raw(raw).collect()) == \
+        [(1, 3), (2, None), (3, None), (4, None)]
