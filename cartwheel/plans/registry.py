@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from cartwheel.operators import cart, catalog, checkout, ingest, orders, quality, sellers
 from cartwheel.functions.text import wall_clock
+from cartwheel.session import ensure_checkpoint_dir
 from cartwheel.sources.entities import Shop
 
 # Fixed run parameters: the batch clock of set-based jobs (CURRENT_TIMESTAMP
@@ -109,7 +110,10 @@ def q_cart_upsert(spark, sf):
     are applied to it as one batch of upserts / sets / removes / clears."""
     s = _shop(spark, sf)
     ts = wall_clock(CART_SPLIT_TS)
-    state = cart.fold_cart_events(s.cart_events.where(F.col("ts") < ts))
+    # the stored state is a table, not a plan: checkpoint it into the
+    # cluster's checkpoint folder, which also cuts the lineage
+    ensure_checkpoint_dir(spark)
+    state = cart.fold_cart_events(s.cart_events.where(F.col("ts") < ts)).checkpoint()
     nxt = cart.apply_cart_batch(state, s.cart_events.where(F.col("ts") >= ts))
     return nxt.select("user_id", "product_id", "quantity")
 
