@@ -28,16 +28,24 @@ def latest_payment(payments: DataFrame) -> DataFrame:
                           ["order_id"], ["created_at", "payment_id"]).drop("created_at")
 
 
+def _payments_for(payments: DataFrame, o: DataFrame, filtered: bool) -> DataFrame:
+    """With a key filter, cut payments to the selected orders first (a small
+    semi join) so one user's page does not aggregate every payment."""
+    return payments.join(o.select("order_id"), "order_id", "left_semi") if filtered else payments
+
+
 def order_payment_raw(orders: DataFrame, payments: DataFrame, order_id=None, user_id=None) -> DataFrame:
     """orders LEFT JOIN payments, every payment kept (fan-out as in SQL)."""
     o = _filter(orders.select(*ORDER_COLS), order_id=order_id, user_id=user_id)
-    return o.join(payments.select("order_id", *PAY_COLS), "order_id", "left")
+    p = _payments_for(payments, o, order_id is not None or user_id is not None)
+    return o.join(p.select("order_id", *PAY_COLS), "order_id", "left")
 
 
 def order_payment(orders: DataFrame, payments: DataFrame, order_id=None, user_id=None) -> DataFrame:
     """One row per order with its latest payment (NULLs when none)."""
     o = _filter(orders.select(*ORDER_COLS), order_id=order_id, user_id=user_id)
-    return o.join(latest_payment(payments), "order_id", "left")
+    p = _payments_for(payments, o, order_id is not None or user_id is not None)
+    return o.join(latest_payment(p), "order_id", "left")
 
 
 def order_history(orders: DataFrame, payments: DataFrame, user_id=None) -> DataFrame:
@@ -74,7 +82,9 @@ def order_history_nested(orders: DataFrame, order_items: DataFrame, products: Da
     about ``max_items_per_row`` lines each.
     """
     o = _filter(orders.select(*ORDER_COLS), user_id=user_id)
-    items = order_items_detail(order_items.join(o.select("order_id"), "order_id", "left_semi"), products)
+    lines = order_items.join(o.select("order_id"), "order_id", "left_semi") if user_id is not None \
+        else order_items
+    items = order_items_detail(lines, products)
     line = F.struct(*ITEM_FIELDS)
     if max_items_per_row is None:
         nested = items.groupBy("order_id").agg(F.sort_array(F.collect_list(line)).alias("items"))

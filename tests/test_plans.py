@@ -87,3 +87,13 @@ def test_hot_pair_join_is_split_by_aqe(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_single_user_page_cuts_payments_first(spark):
+    s = Shop.from_raw(spark, SF_MID)
+    uid = 42
+    page = orders.order_payment(s.orders, s.payments, user_id=uid)
+    assert "LeftSemi" in plan(page)
+    full = {r.order_id: tuple(r) for r in orders.order_payment(s.orders, s.payments).collect()}
+    got = {r.order_id: tuple(r) for r in page.collect()}
+    assert got and all(full[k] == v for k, v in got.items())
