@@ -11,9 +11,13 @@ from cartwheel.functions import text as tx
 from cartwheel.functions.keys import bounded_broadcast
 from cartwheel.functions.money import money_text
 
-# Term tables up to this many rows are broadcast to a nested-loop match; larger
-# ones go through the n-gram equi-join below.
-SEARCH_BROADCAST_MAX_TERMS = 10_000
+# Up to this many terms, every product is tested against every term (broadcast
+# terms, one pass over products: cost products x terms). More terms go through
+# the n-gram equi-join below, whose cost follows the candidate pairs instead.
+SEARCH_BROADCAST_MAX_TERMS = 64
+# Pure-wildcard terms ('%', '__') match nearly every product by definition;
+# they stay broadcast up to this many distinct patterns.
+WILDCARD_TERMS_MAX = 10_000
 GRAM = 3
 
 
@@ -87,10 +91,9 @@ def product_search(products: DataFrame, terms: DataFrame,
 
     Few terms (checked): broadcast them and test each product against all of
     them in one pass. Many terms: candidate pairs from an equi-join on the
-    rarest 3-gram of each term's literal runs, then the exact test; terms
-    without any 3-gram stay on the broadcast path, and only pure-wildcard
-    terms (which match nearly everything by definition) remain a full nested
-    loop.
+    rarest k-gram (k <= 3) of each term's literal runs, then the exact test.
+    Only pure-wildcard terms, which match nearly everything by definition,
+    remain a (bounded, broadcast) nested loop.
     """
     t = _terms(terms)
     p = products.select("product_id", F.lower(F.col("name")).alias("_name_l"),
@@ -99,35 +102,45 @@ def product_search(products: DataFrame, terms: DataFrame,
     if is_small:
         return p.join(small, _matches()).select("term", "product_id")
 
-    def grams(col):
-        s = F.col(col) if isinstance(col, str) else col
-        starts = F.sequence(F.lit(1), F.greatest(F.length(s) - GRAM + 1, F.lit(1)))
-        return F.transform(F.when(F.length(s) >= GRAM, starts).otherwise(F.array().cast("array<int>")),
-                           lambda i: F.substring(s, i, GRAM))
-
-    # Every literal run of a term (text between wildcards) must occur in a
-    # match, so any 3-gram of any run is a complete candidate key. Each term
-    # uses its rarest gram in the catalogue, keeping candidate pairs few and
-    # away from common grams.
-    p_grams = (p.select("product_id", F.explode(F.array_distinct(F.concat(grams("_name_l"), grams("_desc_l"))))
+    # Every literal run of a term (text between wildcards) occurs in a match,
+    # so any k-gram of any run is a complete candidate key. A term whose
+    # longest run has length L uses k = min(3, L) and, among its k-grams, the
+    # rarest one in the catalogue: few candidate pairs, common grams avoided.
+    runs = F.split(F.col("_needle"), "[%_]")
+    longest = F.aggregate(runs, F.lit(0), lambda acc, r: F.greatest(acc, F.length(r)))
+    keyed = t.withColumn("_k", F.least(longest, F.lit(GRAM)))
+    hits = None
+    for k in range(1, GRAM + 1):
+        part = _gram_hits(p, keyed.where(F.col("_k") == k).drop("_k"), k)
+        hits = part if hits is None else hits.unionByName(part)
+    wild = keyed.where(F.col("_k") == 0).drop("_k")
+    wild_b, _ = bounded_broadcast(wild, WILDCARD_TERMS_MAX)
+    return hits.unionByName(p.join(wild_b, _matches()).select("term", "product_id"))
+
+
+def _grams(col, k: int) -> F.Column:
+    s = F.col(col) if isinstance(col, str) else col
+    starts = F.sequence(F.lit(1), F.greatest(F.length(s) - k + 1, F.lit(1)))
+    return F.transform(F.when(F.length(s) >= k, starts).otherwise(F.array().cast("array<int>")),
+                       lambda i: F.substring(s, i, k))
+
+
+def _gram_hits(p: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """(term, product_id) for terms keyed on their rarest k-gram."""
+    p_grams = (p.select("product_id", F.explode(F.array_distinct(F.concat(_grams("_name_l", k),
+                                                                         _grams("_desc_l", k))))
                         .alias("_gram"))
                .distinct())
-    gram_freq = p_grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_freq"))
+    freq = p_grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_freq"))
     runs = F.split(F.col("_needle"), "[%_]")
-    term_grams = t.select("term", F.explode(F.array_distinct(F.flatten(F.transform(runs, lambda r: grams(r)))))
-                          .alias("_gram"))
-    # a gram absent from the catalogue means no product can match the term
-    best = (term_grams.join(gram_freq, "_gram", "left")
+    term_grams = terms.select("term", F.explode(F.array_distinct(F.flatten(
+        F.transform(runs, lambda r: _grams(r, k))))).alias("_gram"))
+    # a gram absent from the catalogue (frequency 0) means the term matches nothing
+    best = (term_grams.join(freq, "_gram", "left")
             .groupBy("term").agg(F.min_by("_gram", F.struct(F.coalesce("_freq", F.lit(0)), F.col("_gram")))
                                  .alias("_gram")))
-    gram_terms = t.join(best, "term")
-    short_terms = t.join(best, "term", "left_anti")
-    candidates = (gram_terms.join(p_grams, "_gram").drop("_gram")
-                  .join(p, "product_id"))
-    long_hits = candidates.where(_matches()).select("term", "product_id")
-    short_b, _ = bounded_broadcast(short_terms, max_broadcast_terms)
-    short_hits = p.join(short_b, _matches()).select("term", "product_id")
-    return long_hits.unionByName(short_hits)
+    candidates = terms.join(best, "term").join(p_grams, "_gram").drop("_gram").join(p, "product_id")
+    return candidates.where(_matches()).select("term", "product_id")
 
 
 def featured_products(products: DataFrame, n: int = 4) -> DataFrame:

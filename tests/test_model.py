@@ -100,7 +100,7 @@ def test_nested_history_in_bounded_parts(spark):
 def test_search_gram_path_equals_broadcast_path(spark):
     shop = Shop.from_raw(spark, SF_SMALL)
     extra = spark.createDataFrame([(t,) for t in ("red", "ring", "bolt", "brand#2", "r%g", "%", "_", "a_c",
-                                                  "bra%1", "wid_et", "%ring%", "d wid")],
+                                                  "bra%1", "wid_et", "%ring%", "d wid", "ed", "re%bo", "__")],
                                   "term string")
     terms = shop.search_terms.unionByName(extra)
     fast = catalog.product_search(shop.products, terms)
