@@ -10,9 +10,10 @@
   ``dropDuplicatesWithinWatermark`` on order_id over an ingest-time
   watermark bounds the dedupe state without ever discarding a late order.
 * ``run_status_stream`` (ST-3/ST-4): status events -> latest status per order
-  via a streaming ``max_by`` aggregate in update mode, merged per batch into
-  a versioned table. ``max_by`` over (ts, event_id) is order-insensitive, so
-  late events need no watermark for correctness.
+  via a streaming ``max_by`` aggregate in update mode; each batch appends its
+  changed orders to an update log read as latest-batch-per-order. ``max_by``
+  over (ts, event_id) is order-insensitive, so late events need no watermark
+  for correctness.
 """
 
 from __future__ import annotations
@@ -119,7 +120,6 @@ def run_payment_stream(spark: SparkSession, source_dir: str, work_dir: str | Non
     return out
 
 
-STATUS_STATE = "order_id long, new_status string, status_event_id long, new_approval string"
 _STATUS_SCHEMA = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("new_status", T.StringType()),
                                T.StructField("status_event_id", T.LongType()),
                                T.StructField("new_approval", T.StringType())])
@@ -127,10 +127,18 @@ _STATUS_SCHEMA = T.StructType([T.StructField("order_id", T.LongType()), T.Struct
 
 def run_status_stream(spark: SparkSession, source_dir: str, work_dir: str | None = None,
                       max_files_per_trigger: int | None = None) -> str:
-    """Latest status effects per order; returns the path of the final table."""
+    """Latest status effects per order; returns the folder of the update log
+    (read it with ``read_status_table``).
+
+    The streaming aggregate emits, per micro-batch, the complete current
+    value of every order it changed (update mode). Each batch appends just
+    those rows under ``batch_id=<k>`` (overwritten if the batch re-runs, so
+    idempotent); readers take the row of the latest batch per order. A batch
+    costs its changes, not a rewrite of every order.
+    """
     work = work_dir or scratch_path(spark, "status-stream")
-    state_root, ckpt = f"{work}/state", f"{work}/checkpoint"
-    last = {"version": None}
+    log_root, ckpt = f"{work}/updates", f"{work}/checkpoint"
+    seen = {"any": False}
     events = feeds.status_events_from_raw(read_raw_stream(spark, source_dir, "events", max_files_per_trigger))
     eff = _status_effects(events)
     seq = F.struct("ts", "event_id")
@@ -140,17 +148,21 @@ def run_status_stream(spark: SparkSession, source_dir: str, work_dir: str | None
         F.max_by(F.col("event_id"), seq).alias("status_event_id"),
         F.max_by(F.when(is_appr, F.col("new_approval")), F.when(is_appr, seq)).alias("new_approval"))
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        if batch_id == 0:
-            previous = feeds.empty_frame(spark, _STATUS_SCHEMA)
-        else:
-            previous = spark.read.schema(STATUS_STATE).parquet(_version(state_root, batch_id - 1))
-        changed = batch.select("order_id", "new_status", "status_event_id", "new_approval")
-        previous.join(changed.select("order_id"), "order_id", "left_anti").unionByName(changed) \
-            .write.mode("overwrite").parquet(_version(state_root, batch_id))
-        last["version"] = batch_id
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.select("order_id", "new_status", "status_event_id", "new_approval") \
+            .write.mode("overwrite").parquet(f"{log_root}/batch_id={batch_id}")
+        seen["any"] = True
 
-    q = (latest.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", ckpt)
+    q = (latest.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return "" if last["version"] is None else _version(state_root, last["version"])
+    return log_root if seen["any"] else ""
+
+
+def read_status_table(spark: SparkSession, log_root: str) -> DataFrame:
+    """Current status effects: the latest batch's row per order."""
+    log = spark.read.parquet(log_root)
+    cols = ["new_status", "status_event_id", "new_approval"]
+    picked = F.max_by(F.struct(*cols), F.col("batch_id")).alias("_row")
+    return (log.groupBy("order_id").agg(picked)
+            .select("order_id", *[F.col(f"_row.{c}").alias(c) for c in cols]))

@@ -9,8 +9,8 @@ from cartwheel import schemas as S
 from cartwheel.functions import status as st
 from cartwheel.sources.entities import Shop
 from cartwheel.sources.feeds import empty_frame
-from cartwheel.streaming.streams import (_STATUS_SCHEMA, STATUS_STATE, run_cart_stream, run_payment_stream,
-                                         run_status_stream)
+from cartwheel.streaming.streams import (_STATUS_SCHEMA, read_status_table, run_cart_stream,
+                                         run_payment_stream, run_status_stream)
 
 
 def q_stream_cart(spark, sf):
@@ -27,7 +27,7 @@ def q_stream_payments(spark, sf):
 
 def q_stream_order_status(spark, sf):
     path = run_status_stream(spark, sf)
-    eff = spark.read.schema(STATUS_STATE).parquet(path) if path else empty_frame(spark, _STATUS_SCHEMA)
+    eff = read_status_table(spark, path) if path else empty_frame(spark, _STATUS_SCHEMA)
     orders = Shop.from_raw(spark, sf).orders
     return (orders.select("order_id", "order_status", "seller_approval_status")
             .join(eff, "order_id", "left")
