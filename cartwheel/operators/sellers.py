@@ -50,7 +50,7 @@ def seller_pending_orders(orders: DataFrame, order_items: DataFrame, products: D
                     tx.short_datetime("created_at").alias("created_text"),
                     tx.title_case("order_status").alias("status_title"),
                     st.approval_badge("seller_approval_status").alias("approval_badge"))
-            .orderBy(F.desc("created_at"), F.desc("order_id"), "seller_id"))
+            .orderBy("seller_id", F.desc("created_at"), F.desc("order_id")))
 
 
 def seller_dashboard_view(orders: DataFrame, payments: DataFrame, users: DataFrame) -> DataFrame:
