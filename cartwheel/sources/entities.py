@@ -174,10 +174,12 @@ class Shop:
     a ``Shop`` so the same code runs on raw-derived or materialised tables.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str | None = None, tables_dir: str | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str | None = None, tables_dir: str | None = None,
+                 database: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.tables_dir = tables_dir
+        self.database = database
 
     @classmethod
     def from_raw(cls, spark: SparkSession, sf_dir: str) -> "Shop":
@@ -186,9 +188,7 @@ class Shop:
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str, sf_dir: str) -> "Shop":
         """Entities from catalog tables saved by ``save_bucketed_entities``."""
-        shop = cls(spark, sf_dir=sf_dir)
-        shop.database = database
-        return shop
+        return cls(spark, sf_dir=sf_dir, database=database)
 
     @classmethod
     def from_tables(cls, spark: SparkSession, tables_dir: str, sf_dir: str) -> "Shop":
@@ -200,7 +200,7 @@ class Shop:
         return read_raw(self.spark, self.sf_dir, name)
 
     def _entity(self, name: str, build) -> DataFrame:
-        if getattr(self, "database", None):
+        if self.database:
             return self.spark.table(f"{self.database}.{name}")
         if self.tables_dir:
             return self.spark.read.schema(S.ENTITY_SCHEMAS[name]).parquet(f"{self.tables_dir}/{name}")
@@ -233,7 +233,7 @@ class Shop:
     @cached_property
     def cart(self) -> DataFrame:
         """Current cart lines = fold of all cart events."""
-        if getattr(self, "database", None):
+        if self.database:
             return self.spark.table(f"{self.database}.cart")
         if self.tables_dir:
             return self.spark.read.schema(S.CART).parquet(f"{self.tables_dir}/cart")
