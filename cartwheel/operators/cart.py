@@ -133,12 +133,15 @@ def cart_totals(lines: DataFrame, tax_rate: Decimal = DEFAULT_TAX_RATE) -> DataF
                       total_with_tax(F.col("subtotal"), tax_rate).alias("total"))
 
 
-def stock_check(requests: DataFrame, products: DataFrame) -> DataFrame:
+def stock_check(requests: DataFrame, products: DataFrame, cart: DataFrame | None = None) -> DataFrame:
     """Add-to-cart admission: each requested add against current stock.
 
     ``requests``: event_id, user_id, product_id, value (requested quantity).
     Status: bad_request (no product id / quantity), not_found,
-    not_enough_stock (stock < requested), ok.
+    not_enough_stock (stock < requested), ok. The shop checks only the
+    increment, so a cart can still end above stock: with ``cart`` given,
+    ``cart_exceeds_stock`` flags requests whose (user, product) cart line
+    ends above the product's stock.
     """
     p = products.select("product_id", "stock")
     r = requests.select("event_id", "user_id", "product_id", F.col("value").alias("requested"))
@@ -146,8 +149,12 @@ def stock_check(requests: DataFrame, products: DataFrame) -> DataFrame:
                .when(F.col("stock").isNull(), F.lit("not_found"))
                .when(F.col("stock") < F.col("requested"), F.lit("not_enough_stock"))
                .otherwise(F.lit("ok")))
-    return r.join(p, "product_id", "left").select(
-        "event_id", "user_id", "product_id", "requested", "stock", status.alias("check_status"))
+    out = r.join(p, "product_id", "left")
+    cols = ["event_id", "user_id", "product_id", "requested", "stock", status.alias("check_status")]
+    if cart is not None:
+        out = out.join(cart.select(*PAIR, F.col("quantity").alias("_in_cart")), PAIR, "left")
+        cols.append(F.coalesce(F.col("_in_cart") > F.col("stock"), F.lit(False)).alias("cart_exceeds_stock"))
+    return out.select(*cols)
 
 
 def cascade_cart(cart: DataFrame, users: DataFrame, products: DataFrame) -> DataFrame:

@@ -345,9 +345,11 @@ SQL: dict[str, str] = {
         SELECT e.event_id, e.user_id, e.product_id, e.value AS requested, p.stock,
                CASE WHEN e.product_id IS NULL OR e.value IS NULL THEN 'bad_request'
                     WHEN p.stock IS NULL THEN 'not_found'
-                    WHEN p.stock < e.value THEN 'not_enough_stock' ELSE 'ok' END AS check_status
+                    WHEN p.stock < e.value THEN 'not_enough_stock' ELSE 'ok' END AS check_status,
+               coalesce(c.quantity > p.stock, false) AS cart_exceeds_stock
         FROM e_cart_events e LEFT JOIN e_products p ON p.product_id = e.product_id
-        WHERE e.op = 'add'""", "e_cart_events", "e_products"),
+        LEFT JOIN e_cart c ON c.user_id = e.user_id AND c.product_id = e.product_id
+        WHERE e.op = 'add'""", "e_cart_events", "e_products", "e_cart"),
     "cart_cascade": with_ctes("""
         SELECT c.user_id, c.product_id, c.quantity FROM e_cart c
         WHERE EXISTS (SELECT 1 FROM e_users u WHERE u.user_id = c.user_id)

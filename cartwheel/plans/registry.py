@@ -120,7 +120,7 @@ def q_cart_upsert(spark, sf):
 
 def q_cart_stock_check(spark, sf):
     s = _shop(spark, sf)
-    return cart.stock_check(s.cart_events.where(F.col("op") == "add"), s.products)
+    return cart.stock_check(s.cart_events.where(F.col("op") == "add"), s.products, s.cart)
 
 
 def q_cart_event_rejects(spark, sf):
