@@ -64,26 +64,38 @@ def seller_dashboard_view(orders: DataFrame, payments: DataFrame, users: DataFra
     return o.join(p, "order_id").join(u, "user_id").drop("user_id")
 
 
-def order_labels(order_items: DataFrame, products: DataFrame) -> DataFrame:
+def order_labels(order_items: DataFrame, products: DataFrame,
+                 max_labels_per_row: int | None = None) -> DataFrame:
     """GROUP_CONCAT(CONCAT(name,' (',qty,')') SEPARATOR ', ') per order, in
-    label order and without the 1024-byte cut."""
+    label order and without the 1024-byte cut.
+
+    Default: one string per order. With ``max_labels_per_row`` an order of n
+    lines is spread over ceil(n / max) rows (column ``part``) by a hash of
+    the label, so no task concatenates a huge order whole.
+    """
     label = F.concat(F.col("name"), F.lit(" ("), F.col("quantity").cast("string"), F.lit(")"))
     lab = order_items.select("order_id", "product_id", "quantity") \
         .join(products.select("product_id", "name"), "product_id").select("order_id", label.alias("label"))
-    return lab.groupBy("order_id").agg(
-        F.array_join(F.sort_array(F.collect_list("label")), ", ").alias("products"))
+    joined = F.array_join(F.sort_array(F.collect_list("label")), ", ").alias("products")
+    if max_labels_per_row is None:
+        return lab.groupBy("order_id").agg(joined)
+    sizes = lab.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"))
+    n_parts = F.ceil(F.col("_n") / F.lit(int(max_labels_per_row))).cast("long")
+    parted = lab.join(sizes, "order_id").withColumn("part", F.pmod(F.xxhash64("label"), n_parts).cast("int"))
+    return parted.groupBy("order_id", "part").agg(joined)
 
 
 def seller_orders_view(orders: DataFrame, payments: DataFrame, order_items: DataFrame,
-                       products: DataFrame, users: DataFrame) -> DataFrame:
+                       products: DataFrame, users: DataFrame,
+                       max_labels_per_row: int | None = None) -> DataFrame:
     """View seller_orders. Lines are aggregated per order before the join;
     the payment columns come from the latest payment (the SQL view leaves
-    them undetermined)."""
+    them undetermined). ``max_labels_per_row``: see ``order_labels``."""
     o = orders.where(F.col("seller_id").isNotNull()).select(
         "order_id", "user_id", "seller_id", "created_at", "total_amount", "order_status",
         "seller_approval_status")
     items = order_items.join(o.select("order_id"), "order_id", "left_semi")
-    labels = order_labels(items, products)
+    labels = order_labels(items, products, max_labels_per_row)
     pay = latest_payment(payments).select("order_id", "payment_status", "payment_method")
     u = users.select("user_id", F.col("name").alias("customer_name"))
     return o.join(pay, "order_id").join(u, "user_id").join(labels, "order_id").drop("user_id")

@@ -153,3 +153,15 @@ def test_cart_stream_in_event_order_equals_batch(spark):
     got = {(r.user_id, r.product_id): r.quantity for r in spark.read.parquet(path).collect()}
     want = {(r.user_id, r.product_id): r.quantity for r in Shop.from_raw(spark, SF_MID).cart.collect()}
     assert got == want
+
+
+def test_order_labels_in_bounded_parts(spark):
+    from cartwheel.operators import sellers as SL
+    shop = Shop.from_raw(spark, SF_SMALL)
+    whole = {r.order_id: sorted(r.products.split(", ")) for r in SL.order_labels(shop.order_items, shop.products).collect()}
+    parts = SL.order_labels(shop.order_items, shop.products, max_labels_per_row=2).collect()
+    merged = {}
+    for r in parts:
+        merged.setdefault(r.order_id, []).extend(r.products.split(", "))
+    assert {k: sorted(v) for k, v in merged.items()} == whole
+    assert max(len(r.products.split(", ")) for r in parts) < max(len(v) for v in whole.values())
