@@ -36,19 +36,27 @@ def portable(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-# Where entity tables come from: None = derive them from the raw tables in
-# every query; a path = entity tables written once by ``write_entities``
-# (the change feeds always derive from the raw tables).
-_ENTITY_TABLES: dict[str, str | None] = {"path": None}
+# Where entity tables come from: nothing set = derive them from the raw
+# tables in every query; a path = parquet entity tables written once by
+# ``write_entities``; a database = bucketed catalog tables saved by
+# ``save_bucketed_entities``. The change feeds always derive from raw tables.
+_ENTITY_SOURCE: dict[str, str | None] = {"path": None, "database": None}
 
 
 def use_entity_tables(path: str | None) -> None:
-    _ENTITY_TABLES["path"] = path
+    _ENTITY_SOURCE.update(path=path, database=None)
+
+
+def use_entity_catalog(database: str | None) -> None:
+    _ENTITY_SOURCE.update(path=None, database=database)
 
 
 def _shop(spark: SparkSession, sf_dir: str) -> Shop:
-    path = _ENTITY_TABLES["path"]
-    return Shop.from_tables(spark, path, sf_dir) if path else Shop.from_raw(spark, sf_dir)
+    if _ENTITY_SOURCE["database"]:
+        return Shop.from_catalog(spark, _ENTITY_SOURCE["database"], sf_dir)
+    if _ENTITY_SOURCE["path"]:
+        return Shop.from_tables(spark, _ENTITY_SOURCE["path"], sf_dir)
+    return Shop.from_raw(spark, sf_dir)
 
 
 def _tables(shop: Shop) -> dict[str, DataFrame]:

@@ -65,3 +65,24 @@ def test_all_queries_on_entity_tables_match_oracle(spark, con, entity_tables):
         if s != d:
             bad.append(name)
     assert bad == []
+
+
+def test_all_queries_on_bucketed_catalog_match_oracle(spark, con):
+    from cartwheel.plans.registry import use_entity_catalog
+    from cartwheel.session import scratch_path
+    from cartwheel.sources.entities import Shop, save_bucketed_entities
+    save_bucketed_entities(Shop.from_raw(spark, SF_SMALL), "cw_oracle_catalog",
+                           scratch_path(spark, "test-oracle-catalog"), buckets=4)
+    use_entity_catalog("cw_oracle_catalog")
+    try:
+        bad = []
+        for name, fn in QUERIES.items():
+            df = fn(spark, SF_SMALL)
+            s = C.digest(df.columns, [tuple(r) for r in df.collect()])[0]
+            cur = con.execute(SQL[name])
+            d = C.digest([x[0] for x in cur.description], cur.fetchall())[0]
+            if s != d:
+                bad.append(name)
+        assert bad == []
+    finally:
+        use_entity_catalog(None)
