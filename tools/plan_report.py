@@ -53,6 +53,15 @@ def main(argv):
         s = summarise(plan)
         pushed = sorted(set(x for x in re.findall(r"PushedFilters: \[([^\]]+)\]", plan)))
         print(f"| {name} | " + " | ".join(str(s[c]) for c in cols) + f" | {'; '.join(pushed)[:120]} |")
+    # Appendix: the flagship query's full formatted plan (cart events -> fold ->
+    # priced lines -> totals), as Spark prints it before execution.
+    flagship = QUERIES["cart_totals"](spark, sf_dir)
+    text = flagship._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    print("\n## Appendix: flagship plan (cart_totals), formatted\n")
+    print("```")
+    print(text.strip())
+    print("```")
     spark.stop()
 
 
