@@ -11,15 +11,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwheel.llm import mixing, sharding
+from cartwheel.llm import bpe, chat, mixing, sharding
 from cartwheel.llm.common import table
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    rows = mixed.select("doc_id", "size", "source_size", "target", "taken",
+    rows = mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken",
                         F.try_element_at("positions", F.lit(1)).alias("first_position"))
-    return mixing.range_sorted(rows, "first_position")
+    return mixing.range_sorted(rows, "first_position").drop("first_position")
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
+        spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)],
+                              "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.format_conversations(rows)).drop("in_order")
+
+
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """The public vocabulary file; every worker has the package installed."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +46,66 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
+    "op5_chat_format": op5_chat_format,
+    "op8_bpe_codec": op8_bpe_codec,
     "op10_sharding": op10_sharding,
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: The same water filling as a recursion over rounds: each round closes the
+#: sources above their cap and shares the rest by weight. The order within a
+#: source is by md5 of the id.
+_OP2 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+s AS (
+  SELECT source, sum(size)::DOUBLE AS n,
+         [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS w
+  FROM d GROUP BY source),
+fill AS (
+  SELECT 0 AS round, source, n, w, NULL::DOUBLE AS target, (SELECT 1.5 * sum(n) FROM s) AS budget FROM s
+  UNION ALL
+  SELECT round + 1, source, n, w,
+         CASE WHEN target IS NOT NULL THEN target
+              WHEN w * unit > 2 * n THEN 2 * n END, budget
+  FROM (SELECT *, (budget - coalesce(sum(target) OVER (), 0))
+                  / nullif(sum(CASE WHEN target IS NULL THEN w END) OVER (), 0) AS unit FROM fill) AS f
+  WHERE round < (SELECT count(*) FROM s)),
+final AS (
+  SELECT source, n, coalesce(target, w * (budget - coalesce(sum(target) OVER (), 0))
+         / sum(CASE WHEN target IS NULL THEN w END) OVER ()) AS target
+  FROM fill WHERE round = (SELECT max(round) FROM fill)),
+placed AS (
+  SELECT d.doc_id, d.size, f.n, f.target, round(f.target)::BIGINT AS t,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c
+  FROM d JOIN final AS f ON d.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, size, n::BIGINT AS source_size, round(target, 3) AS target,
+       (greatest(0, least(size, t - c)) + greatest(0, least(size, t - n::BIGINT - c)))::BIGINT AS taken
+FROM placed
+"""
+
+_MARKS = "([INST]|[/INST]|[SYS]|[/SYS]|[ANS]|</s>|[TURN]|[/TURN]|[SAYS]|\\)"
+_MARKS_RE = _MARKS.replace("[", r"\[").replace("]", r"\]")
+_OP5 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '{_MARKS_RE}'))
+       + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 11
+         ELSE 7 + length(role) + len(regexp_extract_all(role, '{_MARKS_RE}')) + 8 + 8 END AS formatted FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(formatted)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+SQL: dict[str, str] = {
+    "op2_source_mixing": _OP2,
+    "op5_chat_format": _OP5,
+}
