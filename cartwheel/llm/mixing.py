@@ -15,10 +15,10 @@ Targets: ``budget`` words are shared by weight; a source's target stops at
 weight, until none is above (water filling over the sources' totals, one row a
 source).
 
-Scale: the place c is a two-level running sum. Documents fall in BUCKETS hash
-buckets of each source; sums per (source, bucket) are added up in order (at most
-BUCKETS rows a source), and inside a bucket a window adds up its own documents,
-so a source with a third of all rows is spread over BUCKETS windows. Texts are
+Scale: the place c is a two-level running sum. A source's documents fall in
+16^BUCKET_DIGITS hash buckets; sums per (source, bucket) are added up in order
+(so many rows a source at most), and inside a bucket a window adds up its own
+documents, so a source with a third of all rows is spread over all buckets. Texts are
 never shuffled.
 
 Defined cases: a null text has 0 words and takes none; a null source is a
@@ -39,7 +39,7 @@ from cartwheel.llm.common import WORD, persisted
 WEIGHTS = (5, 2, 1)
 BUDGET_SHARE = 1.5
 MAX_EPOCHS = 2
-BUCKETS = 4096
+BUCKET_DIGITS = 3            # hex digits of the order key: 4096 buckets a source
 STEPS = 64                   # schedule steps over the run
 
 
@@ -119,8 +119,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float
         [(s, n, t, c) for (s, n), t, c in zip(totals, target, curves)],
         "plan_source string, source_size long, target double, curve array<double>")
 
-    bucket = F.conv(F.substring("order_key", 1, 8), 16, 10).cast("long") % BUCKETS
-    records = records.withColumn("bucket", bucket)
+    records = records.withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS))
     sums = records.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("start_source"), F.col("bucket").alias("start_bucket"),

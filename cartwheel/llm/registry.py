@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwheel.llm import bpe, chat, mixing, sharding
+from cartwheel.llm import bpe, chat, langid, mixing, sharding
 from cartwheel.llm.common import table
 
 
@@ -30,6 +30,13 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows)).drop("in_order")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.identify(docs, model).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     """The public vocabulary file; every worker has the package installed."""
     import public_tokenizers
@@ -47,6 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op5_chat_format": op5_chat_format,
+    "op7_language_id": op7_language_id,
     "op8_bpe_codec": op8_bpe_codec,
     "op10_sharding": op10_sharding,
 }
@@ -87,7 +95,7 @@ SELECT doc_id, size, n::BIGINT AS source_size, round(target, 3) AS target,
 FROM placed
 """
 
-_MARKS = "([INST]|[/INST]|[SYS]|[/SYS]|[ANS]|</s>|[TURN]|[/TURN]|[SAYS]|\\)"
+_MARKS = "([INST]|[/INST]|[SYS]|[/SYS]|[ANS]|</s>|[TURN]|[/TURN]|[SAYS]|\\\\)"
 _MARKS_RE = _MARKS.replace("[", r"\[").replace("]", r"\]")
 _OP5 = f"""
 WITH t AS (
