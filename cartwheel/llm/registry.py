@@ -11,10 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwheel.llm import bpe, chat, langid, mixing, sharding
+from cartwheel.llm import bpe, chat, html_mincut, langid, mixing, sharding
 from cartwheel.llm.common import table
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     rows = mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken",
@@ -52,6 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op2_source_mixing": op2_source_mixing,
     "op5_chat_format": op5_chat_format,
     "op7_language_id": op7_language_id,
