@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwheel.llm import bpe, chat, embedding_dedup, hnsw, html_mincut, langid, mixing, sharding
+from cartwheel.llm import bpe, chat, embedding_dedup, hnsw, html_mincut, langid, mixing, sharding, substring_dedup
 from cartwheel.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.range_sorted(rows, "first_position").drop("first_position")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
@@ -66,6 +70,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_source_mixing": op2_source_mixing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_hnsw": op6_hnsw,
     "op7_language_id": op7_language_id,
@@ -110,6 +115,22 @@ SELECT doc_id, size, n::BIGINT AS source_size, round(target, 3) AS target,
 FROM placed
 """
 
+_OP3 = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS t
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50)),
+least AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) AS m FROM win),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM least WHERE m < doc_id),
+word AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM w),
+kept AS (
+  SELECT word.doc_id, string_agg(word, ' ' ORDER BY k) FILTER (gone.k IS NULL) AS t,
+         count(gone.k) AS n FROM word LEFT JOIN gone USING (doc_id, k) GROUP BY word.doc_id)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(kept.n, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 _MARKS = "([INST]|[/INST]|[SYS]|[/SYS]|[ANS]|</s>|[TURN]|[/TURN]|[SAYS]|\\\\)"
 _MARKS_RE = _MARKS.replace("[", r"\[").replace("]", r"\]")
 _OP5 = f"""
@@ -130,5 +151,6 @@ FROM e GROUP BY conv_id
 
 SQL: dict[str, str] = {
     "op2_source_mixing": _OP2,
+    "op3_substring_dedup": _OP3,
     "op5_chat_format": _OP5,
 }
