@@ -210,34 +210,33 @@ def _groups(column: pa.Array) -> Iterator[list[bytes]]:
         yield group
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32-bit) and decoded text."""
-    return _over_texts(docs, vocabulary, id_col, text_col, "ids binary, decoded string",
-                       lambda ids, decoded: (ids, decoded.decode()), [pa.binary(), pa.string()])
-
-
-def digest_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: the same encoding, with the
-    digests taken in place so neither ids nor texts leave the task."""
-    return _over_texts(
-        docs, vocabulary, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string",
-        lambda ids, decoded: (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()),
-        [pa.int64(), pa.string(), pa.string()])
-
-
-def _over_texts(docs, vocabulary, id_col, text_col, columns, make, types) -> DataFrame:
-    names = [c.split()[0] for c in columns.split(", ")]
+#: What can be returned of a text: Arrow type, Spark type, value from (ids, decoded).
+OUTPUTS = {
+    "n_tokens": (pa.int64(), "long", lambda ids, decoded: len(ids) // 4),
+    "ids": (pa.binary(), "binary", lambda ids, decoded: ids),
+    "ids_sha256": (pa.string(), "string", lambda ids, decoded: hashlib.sha256(ids).hexdigest()),
+    "decoded": (pa.string(), "string", lambda ids, decoded: decoded.decode()),
+    "decoded_sha256": (pa.string(), "string", lambda ids, decoded: hashlib.sha256(decoded).hexdigest()),
+}
+
+
+def encode_documents(docs: DataFrame, vocabulary: str, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"),
+                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ``outputs`` (OUTPUTS) of every row. ``ids`` are little-endian
+    unsigned 32-bit integers; digests are taken in the task, so neither ids nor
+    texts need to leave it."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
+    made = [OUTPUTS[o] for o in outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(vocabulary)
         for batch in batches:
             at = 0
             for group in _groups(batch.column("text")):
-                made = [make(ids, decoded) for ids, decoded in encoder.encode(group)]
-                arrays = [pa.array([m[k] for m in made], type=t) for k, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(group)), *arrays], ["doc_id", *names])
+                encoded = encoder.encode(group)
+                arrays = [pa.array([value(*e) for e in encoded], type=kind) for kind, _, value in made]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(group)), *arrays], ["doc_id", *outputs])
                 at += len(group)
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, {columns}")
+    return rows.mapInArrow(run, ", ".join([f"doc_id {id_type}", *(f"{o} {m[1]}" for o, m in zip(outputs, made))]))

@@ -148,9 +148,25 @@ def range_sorted(rows: DataFrame, position_col: str) -> DataFrame:
         .repartitionByRange("_order", "doc_id").sortWithinPartitions("_order", "doc_id").drop("_order")
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """One row per document and pass that takes any of it, range-sorted by
-    training position: doc_id, pass, position, words."""
+def training_order_ids(mixed: DataFrame) -> DataFrame:
+    """One row per document and pass that takes any of it: doc_id, pass,
+    position, words."""
     one = mixed.select("doc_id", F.posexplode(F.filter("passes", lambda n: n > 0)).alias("pass", "words"), "positions")
-    return range_sorted(one.select(
-        "doc_id", "pass", F.element_at("positions", F.col("pass") + 1).alias("position"), "words"), "position")
+    return one.select("doc_id", "pass", F.element_at("positions", F.col("pass") + 1).alias("position"), "words")
+
+
+def training_order(mixed: DataFrame) -> DataFrame:
+    """``training_order_ids`` range-sorted by training position."""
+    return range_sorted(training_order_ids(mixed), "position")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` in training order, one per pass that takes any of the
+    document, whole (a source's last document isn't cut). Rows of one id get the
+    same passes."""
+    order = training_order_ids(mix(docs, id_col=id_col, **options))
+    ids = order.groupBy("doc_id").agg(F.sort_array(F.collect_set("position")).alias("_positions"))    # MAX_EPOCHS at most
+    ids = ids.withColumnRenamed("doc_id", "_mixed_id")
+    taken = docs.join(ids, docs[id_col].eqNullSafe(F.col("_mixed_id"))).drop("_mixed_id") \
+        .withColumn("_position", F.explode("_positions")).drop("_positions")
+    return taken.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col).drop("_position")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwheel.llm import bpe, chat, embedding_dedup, hnsw, html_mincut, langid, mixing, sharding, substring_dedup
+from cartwheel.llm import bpe, chat, embedding_dedup, hnsw, html_mincut, langid, mixing, ngram_jaccard, sharding, substring_dedup
 from cartwheel.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.link_components(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
@@ -56,7 +60,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary_path())
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_source_mixing": op2_source_mixing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_chat_format": op5_chat_format,
     "op6_hnsw": op6_hnsw,
     "op7_language_id": op7_language_id,
@@ -131,6 +136,25 @@ SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(kept.n, 0)::BIGINT AS
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+_OP4 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS t
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s AS a JOIN s AS b ON a.t = b.t AND a.doc_id <> b.doc_id
+  JOIN n AS na ON na.doc_id = a.doc_id JOIN n AS nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y)
+SELECT reach.x AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reach.y) AS component_id
+FROM reach LEFT JOIN n ON n.doc_id = reach.x GROUP BY reach.x
+"""
+
 _MARKS = "([INST]|[/INST]|[SYS]|[/SYS]|[ANS]|</s>|[TURN]|[/TURN]|[SAYS]|\\\\)"
 _MARKS_RE = _MARKS.replace("[", r"\[").replace("]", r"\]")
 _OP5 = f"""
@@ -152,5 +176,6 @@ FROM e GROUP BY conv_id
 SQL: dict[str, str] = {
     "op2_source_mixing": _OP2,
     "op3_substring_dedup": _OP3,
+    "op4_ngram_jaccard": _OP4,
     "op5_chat_format": _OP5,
 }

@@ -247,23 +247,29 @@ def _kept(data: bytes, removed: np.ndarray) -> bytes:
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``; a text that loses words is its kept words joined
-    by one space, any other is unchanged. ``n_words`` and ``n_removed`` follow
-    (under ``_n_words``, ``_n_removed``)."""
+    """All columns of ``docs``, then n_words and n_removed. A text that loses
+    words becomes its kept words joined by one space, any other stays as it is.
+    (Columns named n_words or n_removed that ``docs`` has are replaced.)"""
     from pyspark.sql.pandas.types import to_arrow_schema
-    names = docs.columns
-    kind = docs.withColumn(text_col, F.col(text_col).cast("string")).schema.add("_n_words", "long").add("_n_removed", "long")
+    others = [c for c in docs.columns if c not in (id_col, text_col, "n_words", "n_removed")]
+    # The other columns ride along as one struct, so their names can't clash.
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       F.struct(F.lit(True).alias("_"), *[F.col(c) for c in others]).alias("others"))
+    kind = rows.schema.add("n_words", "long").add("n_removed", "long")
     output = to_arrow_schema(kind)
 
     def emit(group: pa.Table, texts: Texts, removed: list[np.ndarray]) -> pa.Table:
         text = [_kept(d, r).decode() if r.any() else old
-                for d, r, old in zip(texts.raw, removed, group.column(text_col).to_pylist())]
-        columns = [pa.array(text, pa.string()) if c == text_col else group.column(c) for c in names]
-        return pa.Table.from_arrays([*columns, pa.array(texts.words), pa.array([int(r.sum()) for r in removed], pa.int64())],
-                                    names=[*names, "_n_words", "_n_removed"]).cast(output)
+                for d, r, old in zip(texts.raw, removed, group.column("text").to_pylist())]
+        return pa.Table.from_arrays(
+            [group.column("doc_id"), pa.array(text, pa.string()), group.column("others").cast(output.field("others").type),
+             pa.array(texts.words), pa.array([int(r.sum()) for r in removed], pa.int64())], schema=output)
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind)
-    return _dedup(docs, emit, output, ddl, window, id_col, text_col)
+    done = _dedup(rows, emit, output, ddl, window, "doc_id", "text")
+    named = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), text_col: F.col("text").alias(text_col)}
+    return done.select(*[named.get(c, F.col("others").getField(c).alias(c)) for c in docs.columns if c not in ("n_words", "n_removed")],
+                       "n_words", "n_removed")
 
 
 def dedup_digest(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
