@@ -279,20 +279,18 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                                 "spans array<struct<begin:int,end:int,lang:string>>")
 
 
-def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``_lang_pred``, ``_lang_score``: for filters
-    that pass whole rows on (no join back)."""
+def keep_identified(docs: DataFrame, model: Model, min_share: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, in which one language has ``min_share`` of
+    the letters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*docs.columns, "_lang_pred", "_lang_score"]
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores, _ = identify_texts(shared.value, batch.column(at).to_pylist(), spans=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+            yield batch.filter(pa.array([x != "und" and s >= min_share for x, s in zip(langs, scores)], pa.bool_()))
 
-    schema = docs.schema.add("_lang_pred", "string").add("_lang_score", "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_column):

@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartwheel.llm.common import (concat_binary, mix, shuffle_width, split_by, text_bytes, window_hashes, word_bounds,
                                   word_hashes)
@@ -255,8 +256,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     # The other columns ride along as one struct, so their names can't clash.
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.struct(F.lit(True).alias("_"), *[F.col(c) for c in others]).alias("others"))
-    kind = rows.schema.add("n_words", "long").add("n_removed", "long")
-    output = to_arrow_schema(kind)
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "n_words long", "n_removed long"])
+    output = to_arrow_schema(T.StructType.fromDDL(ddl))      # everything nullable
 
     def emit(group: pa.Table, texts: Texts, removed: list[np.ndarray]) -> pa.Table:
         text = [_kept(d, r).decode() if r.any() else old
@@ -265,7 +266,6 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
             [group.column("doc_id"), pa.array(text, pa.string()), group.column("others").cast(output.field("others").type),
              pa.array(texts.words), pa.array([int(r.sum()) for r in removed], pa.int64())], schema=output)
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind)
     done = _dedup(rows, emit, output, ddl, window, "doc_id", "text")
     named = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), text_col: F.col("text").alias(text_col)}
     return done.select(*[named.get(c, F.col("others").getField(c).alias(c)) for c in docs.columns if c not in ("n_words", "n_removed")],
