@@ -28,9 +28,7 @@ MIN_LANGUAGE_SHARE = 0.4
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
-    return langid.with_language(docs, model) \
-        .where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= MIN_LANGUAGE_SHARE)) \
-        .select(*docs.columns)
+    return langid.keep_identified(docs, model, MIN_LANGUAGE_SHARE)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
