@@ -201,7 +201,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_DOCS) -> Model:
                     counts[lang][2 * CELLS:] += np.bincount(w.script, weights=w.size, minlength=N_SCRIPTS).astype(np.int64)
         for lang, c in counts.items():
             cells = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells)), pa.array(cells.astype(np.int32)),
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells), pa.string()), pa.array(cells.astype(np.int32)),
                                               pa.array(c[cells])], ["lang", "cell", "n"])
 
     found = _sample(good, rows).mapInArrow(run, "lang string, cell int, n long") \
