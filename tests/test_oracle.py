@@ -10,9 +10,10 @@ from conftest import ROOT, SF_SMALL
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 import check_oracle as C  # noqa: E402
 import __spark_entry__ as E  # noqa: E402
+from cartwheel.plans.registry import registered  # noqa: E402
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = registered()
+SQL = {k: v for k, v in E.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")
