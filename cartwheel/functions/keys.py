@@ -5,7 +5,6 @@
   one window task.
 * ``dense_ids``: consecutive surrogate keys after a base value (AUTO_INCREMENT
   re-aimed at a whole batch), computed without a global single-partition sort.
-* ``bounded_broadcast``: broadcast a side only after proving its row count.
 """
 
 from __future__ import annotations
@@ -79,12 +78,3 @@ def dense_ids(keys_df: DataFrame, key: str, base: Column, out: str,
 def max_key(df: DataFrame, key: str) -> Column:
     """max(key) of ``df`` as a scalar-subquery column (0 for an empty table)."""
     return df.select(F.coalesce(F.max(key), F.lit(0)).cast("long")).scalar()
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows (checked with a
-    bounded ``limit`` count); otherwise return it unchanged for a shuffle plan."""
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False

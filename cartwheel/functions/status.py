@@ -27,12 +27,8 @@ def canonical_approval(col) -> Column:
     return _canonical(col, ("Pending", "Approved", "Rejected"))
 
 
-def canonical_payment_status(col) -> Column:
-    return _canonical(col, ("Pending", "Completed"))
-
-
 def is_status(col, value: str) -> Column:
-    return F.lower(_c(col)) == F.lit(value.lower())
+    return F.lower(F.trim(_c(col))) == F.lit(value.lower())
 
 
 def approval_badge(col) -> Column:

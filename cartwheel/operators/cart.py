@@ -21,14 +21,16 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwheel import schemas as S
+from cartwheel.functions.keys import dense_ids, max_key
 from cartwheel.functions.text import wall_clock
 from cartwheel.functions.money import DEFAULT_TAX_RATE, line_subtotal, tax_amount, total_with_tax
 
 PAIR = ["user_id", "product_id"]
+SALTS = 8                    # tasks that share the adds of one (user, product)
 _ORIGIN = dt.datetime(1, 1, 1)
 
 
@@ -37,17 +39,20 @@ def _seq():
 
 
 def state_as_events(cart: DataFrame) -> DataFrame:
-    """Stored cart lines as 'add' events at the start of time (for folding
-    a new batch on top of a stored state)."""
+    """Stored cart lines as 'add' events at the start of time (for folding a new
+    batch on top of a stored state), with their row's identity."""
     return cart.select(F.lit(-1).cast("long").alias("event_id"), wall_clock(_ORIGIN).alias("ts"),
-                       "user_id", "product_id", F.lit("add").alias("op"),
-                       F.col("quantity").cast("int").alias("value"))
+                       "user_id", "product_id", F.lit("add").alias("op"), F.col("quantity").cast("int").alias("value"),
+                       F.struct("cart_id", "added_at").alias("_row"))
 
 
 def fold_cart_events(events: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """Cart lines after applying ``events`` (CART_EVENTS) on top of ``initial``
-    (CART rows, optional). Returns CART rows (cart_id is left NULL)."""
-    ev = events.select("event_id", "ts", "user_id", "product_id", "op", "value")
+    (CART rows, optional). Returns CART rows: a stored line that nothing has
+    deleted since keeps its cart_id and added_at; other lines have no cart_id
+    yet (``with_cart_ids`` assigns them)."""
+    identity = "struct<cart_id:bigint,added_at:timestamp>"
+    ev = events.select("event_id", "ts", "user_id", "product_id", "op", "value", F.lit(None).cast(identity).alias("_row"))
     if initial is not None:
         ev = state_as_events(initial).unionByName(ev)
     op, val, seq = F.col("op"), F.col("value"), _seq()
@@ -65,27 +70,42 @@ def fold_cart_events(events: DataFrame, initial: DataFrame | None = None) -> Dat
     thresholds = (per_pair.join(clears, "user_id", "left")
                   .select(*PAIR, cutoff.alias("cut_at"),
                           F.when(set_counts, F.col("set_at")).alias("set_at"),
-                          F.when(set_counts, F.col("set_value")).alias("set_value")))
+                          F.when(set_counts, F.col("set_value")).alias("set_value"),
+                          F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")))
 
     cut, set_at = F.col("cut_at"), F.col("set_at")
     reset = F.coalesce(set_at, cut)                       # last event that fixes the line
     after_reset = reset.isNull() | (seq > reset)
     before_set = (cut.isNull() | (seq > cut)) & (seq < set_at)
-    adds = ev.where(op == "add").join(thresholds, PAIR)
-    agg = (adds.groupBy(*PAIR)
-           .agg(F.first("set_value", ignorenulls=True).alias("set_value"),
-                F.sum(F.when(after_reset, val)).alias("adds_after"),
-                F.count(F.when(after_reset, F.lit(1))).alias("n_after"),
-                F.min(F.when(after_reset, F.col("ts"))).alias("first_after"),
-                F.min(F.when(before_set, F.col("ts"))).alias("first_before_set")))
+    kept = F.when(cut.isNull() & F.col("_row").isNotNull(), F.col("_row"))
+    # A pair's adds are spread over SALTS tasks, whatever the session's skew
+    # settings, and come together again as one row each.
+    salted = ev.where(op == "add").withColumn("_salt", F.pmod(F.xxhash64("event_id", "ts"), F.lit(SALTS)).cast("int"))
+    part = (salted.join(thresholds, [*PAIR, "_salt"]).groupBy(*PAIR, "_salt")
+            .agg(F.first("set_value", ignorenulls=True).alias("set_value"),
+                 F.sum(F.when(after_reset, val)).alias("adds_after"),
+                 F.count(F.when(after_reset, F.lit(1))).alias("n_after"),
+                 F.min(F.when(after_reset, F.col("ts"))).alias("first_after"),
+                 F.min(F.when(before_set, F.col("ts"))).alias("first_before_set"),
+                 F.max(kept).alias("_row")))
+    agg = part.groupBy(*PAIR).agg(
+        F.first("set_value", ignorenulls=True).alias("set_value"), F.sum("adds_after").alias("adds_after"),
+        F.sum("n_after").alias("n_after"), F.min("first_after").alias("first_after"),
+        F.min("first_before_set").alias("first_before_set"), F.max("_row").alias("_row"))
     set_applies = F.col("set_value").isNotNull() & F.col("first_before_set").isNotNull()
     quantity = (F.when(set_applies, F.col("set_value")).otherwise(F.lit(0))
                 + F.coalesce(F.col("adds_after"), F.lit(0)))
     return (agg.where(set_applies | (F.col("n_after") > 0))
-            .select(F.lit(None).cast("long").alias("cart_id"), *PAIR,
-                    quantity.cast("int").alias("quantity"),
-                    F.when(set_applies, F.col("first_before_set")).otherwise(F.col("first_after"))
-                     .alias("added_at")))
+            .select(F.col("_row.cart_id").alias("cart_id"), *PAIR, quantity.cast("int").alias("quantity"),
+                    F.when(F.col("_row").isNotNull(), F.col("_row.added_at"))
+                     .when(set_applies, F.col("first_before_set")).otherwise(F.col("first_after")).alias("added_at")))
+
+
+def with_cart_ids(lines: DataFrame, base: Column) -> DataFrame:
+    """CART rows in which lines without a cart_id get ids after ``base``, in
+    (user, product) order."""
+    new = dense_ids(lines.where(F.col("cart_id").isNull()).drop("cart_id"), "user_id", base, "cart_id", order=PAIR)
+    return lines.where(F.col("cart_id").isNotNull()).select(*S.CART.names).unionByName(new.select(*S.CART.names))
 
 
 def compact_cart_log(events: DataFrame) -> DataFrame:
@@ -110,7 +130,7 @@ def apply_cart_batch(current: DataFrame, batch: DataFrame) -> DataFrame:
     """Upsert / set / remove / clear a batch of cart events onto stored lines
     (INSERT .. ON DUPLICATE KEY UPDATE q = q + n, UPDATE .. SET, DELETE).
     Exact when the batch is later than the events the state came from."""
-    return fold_cart_events(batch, initial=current.select(*S.CART.names))
+    return with_cart_ids(fold_cart_events(batch, initial=current.select(*S.CART.names)), max_key(current, "cart_id"))
 
 
 def cart_lines(cart: DataFrame, products: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:

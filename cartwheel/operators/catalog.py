@@ -8,16 +8,8 @@ from pyspark.sql import functions as F
 from cartwheel import schemas as S
 from cartwheel.functions import status as st
 from cartwheel.functions import text as tx
-from cartwheel.functions.keys import bounded_broadcast
 from cartwheel.functions.money import money_text
 
-# Up to this many terms, every product is tested against every term (broadcast
-# terms, one pass over products: cost products x terms). More terms go through
-# the n-gram equi-join below, whose cost follows the candidate pairs instead.
-SEARCH_BROADCAST_MAX_TERMS = 64
-# Pure-wildcard terms ('%', '__') match nearly every product by definition;
-# they stay broadcast up to this many distinct patterns.
-WILDCARD_TERMS_MAX = 10_000
 GRAM = 3
 
 
@@ -46,6 +38,12 @@ def missing_keys(table: DataFrame, keys: DataFrame, on: list[str] | str) -> Data
     return keys.select(*on).distinct().join(table.select(*on), on, "left_anti")
 
 
+def rows_by_email(table: DataFrame, emails: DataFrame) -> DataFrame:
+    """The same lookup for a table of e-mails (column email), each asked once."""
+    asked = emails.select(tx.email_key("email").alias("email_key")).where("email_key is not null").distinct()
+    return table.withColumn("email_key", tx.email_key("email")).join(asked, "email_key", "left_semi")
+
+
 def row_by_email(table: DataFrame, email: str) -> DataFrame:
     """Credentials-row lookup by e-mail, case-insensitive like the shop's
     collation (users or sellers)."""
@@ -83,58 +81,50 @@ def _terms(terms: DataFrame) -> DataFrame:
                     low.alias("_needle"), low.rlike("[%_]").alias("_wild")))
 
 
-def product_search(products: DataFrame, terms: DataFrame,
-                   max_broadcast_terms: int = SEARCH_BROADCAST_MAX_TERMS) -> DataFrame:
+def product_search(products: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, product_id) for every product whose name or description contains
     the term, case-insensitively; '%' and '_' in a term are wildcards and the
     empty term matches every product.
 
-    Few terms (checked): broadcast them and test each product against all of
-    them in one pass. Many terms: candidate pairs from an equi-join on the
-    rarest k-gram (k <= 3) of each term's literal runs, then the exact test.
-    Only pure-wildcard terms, which match nearly everything by definition,
-    remain a (bounded, broadcast) nested loop.
+    Terms are told apart by kind, never by number. Every literal run of a term
+    (text between wildcards) occurs in a match, so any k-gram of any run is a
+    complete candidate key: a term with a longest run of length L joins the
+    catalogue on the rarest of its min(3, L)-grams, then the exact test follows.
+    Terms without a literal character match by their wildcards alone and are
+    joined to every product, which is what they ask for.
     """
     t = _terms(terms)
     p = products.select("product_id", F.lower(F.col("name")).alias("_name_l"),
                         F.lower(F.col("description")).alias("_desc_l"))
-    small, is_small = bounded_broadcast(t, max_broadcast_terms)
-    if is_small:
-        return p.join(small, _matches()).select("term", "product_id")
-
-    # Every literal run of a term (text between wildcards) occurs in a match,
-    # so any k-gram of any run is a complete candidate key. A term whose
-    # longest run has length L uses k = min(3, L) and, among its k-grams, the
-    # rarest one in the catalogue: few candidate pairs, common grams avoided.
     runs = F.split(F.col("_needle"), "[%_]")
     longest = F.aggregate(runs, F.lit(0), lambda acc, r: F.greatest(acc, F.length(r)))
     keyed = t.withColumn("_k", F.least(longest, F.lit(GRAM)))
-    hits = None
-    for k in range(1, GRAM + 1):
-        part = _gram_hits(p, keyed.where(F.col("_k") == k).drop("_k"), k)
-        hits = part if hits is None else hits.unionByName(part)
-    wild = keyed.where(F.col("_k") == 0).drop("_k")
-    wild_b, _ = bounded_broadcast(wild, WILDCARD_TERMS_MAX)
-    return hits.unionByName(p.join(wild_b, _matches()).select("term", "product_id"))
+    hits = _gram_hits(p, keyed.where(F.col("_k") > 0))
+    wild = keyed.where(F.col("_k") == 0)
+    return hits.unionByName(p.join(wild, _matches()).select("term", "product_id"))
+
 
+def _run_grams(runs: F.Column, k: int) -> F.Column:
+    return F.flatten(F.transform(runs, lambda r: _grams(r, k)))
 
-def _grams(col, k: int) -> F.Column:
-    s = F.col(col) if isinstance(col, str) else col
+
+def _grams(s: F.Column, k: int) -> F.Column:
     starts = F.sequence(F.lit(1), F.greatest(F.length(s) - k + 1, F.lit(1)))
     return F.transform(F.when(F.length(s) >= k, starts).otherwise(F.array().cast("array<int>")),
                        lambda i: F.substring(s, i, k))
 
 
-def _gram_hits(p: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """(term, product_id) for terms keyed on their rarest k-gram."""
-    p_grams = (p.select("product_id", F.explode(F.array_distinct(F.concat(_grams("_name_l", k),
-                                                                         _grams("_desc_l", k))))
-                        .alias("_gram"))
-               .distinct())
-    freq = p_grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_freq"))
+def _gram_hits(p: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, product_id) for terms keyed on their rarest gram of length _k.
+    The catalogue's grams of all lengths are cut to those some term asks for
+    before anything is shuffled by them."""
     runs = F.split(F.col("_needle"), "[%_]")
-    term_grams = terms.select("term", F.explode(F.array_distinct(F.flatten(
-        F.transform(runs, lambda r: _grams(r, k))))).alias("_gram"))
+    by_length = F.array(*[_run_grams(runs, k) for k in range(1, GRAM + 1)])
+    term_grams = terms.select("term", F.explode(F.array_distinct(F.element_at(by_length, F.col("_k")))).alias("_gram"))
+    asked = term_grams.select("_gram").distinct()
+    grams = F.array_distinct(F.concat(*[_grams(F.col(c), k) for c in ("_name_l", "_desc_l") for k in range(1, GRAM + 1)]))
+    p_grams = p.select("product_id", F.explode(grams).alias("_gram")).join(asked, "_gram", "left_semi")
+    freq = p_grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_freq"))
     # a gram absent from the catalogue (frequency 0) means the term matches nothing
     best = (term_grams.join(freq, "_gram", "left")
             .groupBy("term").agg(F.min_by("_gram", F.struct(F.coalesce("_freq", F.lit(0)), F.col("_gram")))

@@ -11,11 +11,12 @@ rerun reproduces the same rows.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartwheel import schemas as S
@@ -25,6 +26,9 @@ from cartwheel.functions.text import wall_clock
 from cartwheel.operators.cart import cart_lines
 
 
+CHECKOUT_TABLES = ("orders", "lines", "payments", "stock", "cart_after")
+
+
 @dataclass
 class CheckoutResult:
     priced: DataFrame
@@ -93,11 +97,13 @@ def stock_after(products: DataFrame, priced: DataFrame) -> DataFrame:
 
 
 def checkout(cart: DataFrame, products: DataFrame, orders: DataFrame, order_items: DataFrame,
-             payments: DataFrame, requests: DataFrame, batch_ts: dt.datetime,
+             payments: DataFrame, requests: DataFrame, batch_ts: dt.datetime, users: DataFrame,
              tax_rate: Decimal = DEFAULT_TAX_RATE) -> CheckoutResult:
-    """``requests``: (user_id, payment_method) of users submitting checkout.
-    Users whose cart has no priced line place no order (empty cart)."""
-    req = requests.groupBy("user_id").agg(F.max("payment_method").alias("payment_method"))
+    """``requests``: (request_id, user_id, payment_method) of users submitting
+    checkout; a user's last request counts. Users that don't exist, and users
+    whose cart has no priced line (empty cart), place no order."""
+    req = requests.groupBy("user_id").agg(F.max_by("payment_method", "request_id").alias("payment_method")) \
+        .join(users.select("user_id"), "user_id", "left_semi")
     wanted = cart.join(req.select("user_id"), "user_id", "left_semi")
     priced = cart_lines(wanted, products, extra=("seller_id",))
     placed = new_orders(priced, orders, batch_ts, tax_rate, order_items=order_items)
@@ -112,18 +118,27 @@ def checkout(cart: DataFrame, products: DataFrame, orders: DataFrame, order_item
     return CheckoutResult(priced, placed.drop("_first_item"), lines, chosen, stock, cart_after)
 
 
-def write_checkout(result: CheckoutResult, out_dir: str) -> None:
-    """All-or-nothing publish: every output goes to a fresh folder and a
-    marker file is written last; readers only trust folders with the marker."""
+def write_checkout(result: CheckoutResult, out_dir: str) -> str:
+    """All-or-nothing publish: every output goes to a fresh run folder below
+    ``out_dir`` and a marker is written last; a run that died leaves a folder no
+    reader looks at, and can simply be repeated. Returns the run's folder."""
+    run = f"{out_dir}/run-{uuid.uuid4().hex[:12]}"
     result.priced.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for name in ("orders", "lines", "payments", "stock", "cart_after"):
+        for name in CHECKOUT_TABLES:
             df = getattr(result, name)
             if name == "lines":
                 df = df.select(*S.ORDER_ITEMS.names)
-            df.write.mode("error").parquet(f"{out_dir}/{name}")
+            df.write.mode("error").parquet(f"{run}/{name}")
         spark = result.priced.sparkSession
-        spark.createDataFrame([("complete",)], "state string").coalesce(1) \
-             .write.mode("error").json(f"{out_dir}/_PUBLISHED")
+        spark.range(1).select(F.lit("complete").alias("state")).write.mode("error").json(f"{run}/_PUBLISHED")
     finally:
         result.priced.unpersist()
+    return run
+
+
+def read_checkout(spark: SparkSession, run: str) -> dict[str, DataFrame]:
+    """The tables of a published run; an unfinished one is refused."""
+    if spark.read.schema("state string").json(f"{run}/_PUBLISHED").where("state = 'complete'").isEmpty():
+        raise ValueError(f"not published: {run}")
+    return {name: spark.read.parquet(f"{run}/{name}") for name in CHECKOUT_TABLES}

@@ -18,30 +18,34 @@ def parse_int(col: str, default: int | None = None) -> F.Column:
 
 
 def registration_ingest(users: DataFrame, registrations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Returns (report, new_users).
-
-    E-mails compare case-insensitively. A request whose e-mail is already
-    registered is ``duplicate_existing``; among new e-mails the lowest
-    request_id is ``accepted`` and the rest ``duplicate_in_batch`` -- the
-    outcome of handling the requests one by one in id order. Accepted rows get
-    user ids after max(user_id) in request order.
+    """Returns (report, new_users); the report has every request.
+
+    E-mails compare case-insensitively. A request without an e-mail is
+    ``missing_email``; one whose e-mail is already registered is
+    ``duplicate_existing``; among new e-mails the lowest request_id is
+    ``accepted`` and the rest ``duplicate_in_batch`` -- the outcome of handling
+    the requests one by one in id order. Accepted rows get user ids after
+    max(user_id) in request order.
     """
     r = registrations.withColumn("email_key", email_key("email"))
-    first = r.groupBy("email_key").agg(F.min("request_id").alias("_first"))
-    # only the batch's e-mails are looked up in users (semi join first), so the
-    # users table is filtered, not shuffled whole into the comparison
-    batch_keys = r.select("email_key").distinct()
-    known = (users.select(email_key("email").alias("email_key")).join(batch_keys, "email_key", "left_semi")
-             .distinct().withColumn("_known", F.lit(1)))
-    tagged = r.join(first, "email_key").join(known, "email_key", "left")
-    status = (F.when(F.col("_known").isNotNull(), F.lit("duplicate_existing"))
+    # one row per e-mail of the batch: its first request, and whether users has it
+    first = r.where(F.col("email_key").isNotNull()).groupBy("email_key").agg(F.min("request_id").alias("_first"))
+    known = users.select(email_key("email").alias("email_key"), F.lit(1).alias("_known"))
+    keys = first.join(known, "email_key", "left").groupBy("email_key").agg(
+        F.first("_first").alias("_first"), F.max("_known").alias("_known"))
+    ids = dense_ids(keys.where(F.col("_known").isNull()).select(F.col("_first").alias("request_id")),
+                    "request_id", max_key(users, "user_id"), "user_id")
+    tagged = r.join(keys, "email_key", "left").join(ids, "request_id", "left")
+    status = (F.when(F.col("email_key").isNull(), F.lit("missing_email"))
+               .when(F.col("_known").isNotNull(), F.lit("duplicate_existing"))
                .when(F.col("request_id") == F.col("_first"), F.lit("accepted"))
                .otherwise(F.lit("duplicate_in_batch")))
     tagged = tagged.withColumn("status", status)
-    accepted = dense_ids(tagged.where(F.col("status") == "accepted").select("request_id"),
-                         "request_id", max_key(users, "user_id"), "user_id")
-    report = (tagged.join(accepted, "request_id", "left")
-              .select("request_id", "email_key", "status", "user_id"))
-    new_users = (tagged.join(accepted, "request_id").select(
-        "user_id", "name", "email", "address", "phone", F.lit(None).cast(S.TS).alias("created_at")))
+    report = tagged.select("request_id", "email_key", "status", "user_id")
+    new_users = tagged.where(F.col("status") == "accepted").select(
+        "user_id", "name", "email", "address", "phone", F.lit(None).cast(S.TS).alias("created_at"))
     return report, new_users
+
+
+def registration_rejects(report: DataFrame) -> DataFrame:
+    return report.where(F.col("status") != "accepted").select("request_id", F.col("status").alias("reason"))

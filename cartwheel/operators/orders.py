@@ -130,14 +130,24 @@ def payments_backfill(orders: DataFrame, payments: DataFrame, batch_ts) -> DataF
 
 def update_payment_method(payments: DataFrame, changes: DataFrame) -> DataFrame:
     """UPDATE payments SET payment_method WHERE order_id: every payment of a
-    changed order takes the new method (one change per order; if a feed
-    repeats an order the greatest method text wins, deterministically)."""
-    ch = changes.groupBy("order_id").agg(F.max("payment_method").alias("_new"))
+    changed order takes the new method; an order's last change (ts, event_id)
+    wins."""
+    ch = changes.groupBy("order_id").agg(F.max_by("payment_method", F.struct("ts", "event_id")).alias("_new"))
     return (payments.join(ch, "order_id", "left")
             .withColumn("payment_method", F.coalesce(F.col("_new"), F.col("payment_method")))
             .select(*S.PAYMENTS.names))
 
 
+def orders_after_payment_update(orders: DataFrame, payments: DataFrame, changes: DataFrame) -> DataFrame:
+    """The next ``orders`` table after ``update_payment_method``: the payment
+    trigger looks at the new row on every update, whatever was updated, so an
+    order with a Completed payment among the updated ones goes to Processing."""
+    updated = payments.where(st.is_status("payment_status", "completed")).select("order_id") \
+        .join(changes.select("order_id"), "order_id", "left_semi").distinct().withColumn("_paid", F.lit(True))
+    status = F.when(F.col("_paid"), F.lit("Processing")).otherwise(F.col("order_status"))
+    return orders.join(updated, "order_id", "left").withColumn("order_status", status).select(*S.ORDERS.names)
+
+
 def _status_effects(events: DataFrame) -> DataFrame:
     """Trigger bodies as data: what each status event sets on its order.
     payment Completed -> Processing; approval Approved -> Processing;
@@ -166,30 +176,34 @@ def latest_status_effects(events: DataFrame) -> DataFrame:
 
 
 def order_status_latest(orders: DataFrame, status_events: DataFrame) -> DataFrame:
-    """Orders after the status triggers have fired for all events."""
+    """The next ``orders`` table after the status triggers have fired for all
+    events, with the id of each order's deciding event."""
     eff = latest_status_effects(status_events)
-    return (orders.select("order_id", "order_status", "seller_approval_status")
-            .join(eff, "order_id", "left")
-            .select("order_id",
-                    st.canonical_order_status(F.coalesce("new_status", "order_status")).alias("order_status"),
-                    st.canonical_approval(F.coalesce("new_approval", "seller_approval_status"))
-                      .alias("seller_approval_status"),
-                    "status_event_id"))
+    return orders_with_effects(orders, eff)
+
+
+def orders_with_effects(orders: DataFrame, effects: DataFrame) -> DataFrame:
+    """``orders`` with status and approval replaced where ``effects`` has some."""
+    return (orders.join(effects, "order_id", "left")
+            .withColumn("order_status", st.canonical_order_status(F.coalesce("new_status", "order_status")))
+            .withColumn("seller_approval_status", st.canonical_approval(F.coalesce("new_approval", "seller_approval_status")))
+            .select(*S.ORDERS.names, "status_event_id"))
 
 
 def seller_decisions(orders: DataFrame, decisions: DataFrame, enforce_owner: bool = False) -> DataFrame:
-    """Approve / reject: approval and order status set together, last decision
-    per order wins. ``decisions``: event_id, ts, order_id, seller_id, value
-    (Approved / Rejected). The shop does not check ownership (default)."""
+    """The next ``orders`` table after approvals and rejections: approval and
+    order status set together, last decision per order wins. ``decisions``:
+    event_id, ts, order_id, seller_id, value (Approved / Rejected). The shop does
+    not check ownership (default)."""
     d = decisions
     if enforce_owner:
         d = d.join(orders.select("order_id", "seller_id"), ["order_id", "seller_id"], "left_semi")
     d = d.where(F.lower("value").isin("approved", "rejected"))
     latest = d.groupBy("order_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("_decision"))
-    approved = F.lower(F.col("_decision")) == "approved"
-    return (orders.join(latest, "order_id", "left").select(
-        "order_id",
-        F.when(F.col("_decision").isNull(), st.canonical_approval("seller_approval_status"))
-         .when(approved, F.lit("Approved")).otherwise(F.lit("Rejected")).alias("seller_approval_status"),
-        F.when(F.col("_decision").isNull(), st.canonical_order_status("order_status"))
-         .when(approved, F.lit("Processing")).otherwise(F.lit("Cancelled")).alias("order_status")))
+    approved, none = F.lower(F.col("_decision")) == "approved", F.col("_decision").isNull()
+    return (orders.join(latest, "order_id", "left")
+            .withColumn("seller_approval_status", F.when(none, st.canonical_approval("seller_approval_status"))
+                        .when(approved, F.lit("Approved")).otherwise(F.lit("Rejected")))
+            .withColumn("order_status", F.when(none, st.canonical_order_status("order_status"))
+                        .when(approved, F.lit("Processing")).otherwise(F.lit("Cancelled")))
+            .select(*S.ORDERS.names))

@@ -57,6 +57,18 @@ MONEY_COLUMNS = {"products": ("price",), "orders": ("total_amount",),
 DECIMAL_LIMIT = Decimal("100000000")
 
 
+def conservation(feeds: dict[str, tuple[DataFrame, list[DataFrame]]]) -> DataFrame:
+    """(feed, input_rows, accounted_rows): every input row must be in exactly one
+    of the outputs."""
+    out = []
+    for name, (given, outputs) in feeds.items():
+        n = given.groupBy().agg(F.count(F.lit(1)).alias("input_rows"))
+        parts = _union([o.groupBy().agg(F.count(F.lit(1)).alias("n")) for o in outputs])
+        out.append(n.select(F.lit(name).alias("feed"), "input_rows",
+                            parts.agg(F.sum("n")).scalar().alias("accounted_rows")))
+    return _union(out)
+
+
 def _union(frames):
     out = None
     for f in frames:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cartwheel import schemas as S
 from cartwheel.functions import status as st
 from cartwheel.functions import text as tx
-from cartwheel.functions.keys import latest_per_key
+from cartwheel.functions.keys import dense_ids, max_key
 from cartwheel.functions.money import money_text
 from cartwheel.operators.orders import latest_payment
 from cartwheel.sources.entities import with_defaults
@@ -118,46 +118,58 @@ def order_customer_detail(orders: DataFrame, users: DataFrame, payments: DataFra
                       .alias("payment_badge")))
 
 
-def apply_product_changes(products: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Seller product edits as (current, changes) -> (next, rejects).
-
-    delete: only when the sender owns the product; edit: name, description,
-    price, image_url of an owned product (last change_id wins, NULL fields
-    keep the old value); add: new row with stock 0 and the sender as owner,
-    category required (the shop's INSERT omits it though it is NOT NULL).
-    A product both edited and deleted is deleted. One batch applies to the
-    table as it stood before the batch: edits and deletes target existing
-    products (an edit of a product added in the same batch is rejected) and
-    an add may not reuse a key deleted in the same batch.
+def product_change_outcomes(products: DataFrame, changes: DataFrame) -> DataFrame:
+    """Every change with its ``outcome`` and, for adds, the key it gets.
+
+    delete and edit apply only when the sender owns the product (else
+    ``not_owner_or_missing``); an edit or a repeated delete is ``superseded``
+    when a later edit or a delete of the product by its owner is in the batch.
+    An add needs a category (``missing_category``; the shop's INSERT omits it
+    though it is NOT NULL); with a key that exists or that an earlier add of the
+    batch took it is a ``duplicate_key``; without a key it gets the next one
+    after all others. Any other operation is ``unknown_op``. One batch applies
+    to the table as it stood before: an edit of a product added in the same batch
+    is rejected, and an add may not reuse a key deleted in it.
     """
-    own = ["product_id", "seller_id"]
-    deletes = changes.where(F.col("op") == "delete").select(*own).distinct()
-    edits = latest_per_key(
-        changes.where(F.col("op") == "edit").select("change_id", *own, "name", "description", "price", "image_url"),
-        own, ["change_id"]).select(*own, *[F.col(c).alias(f"_new_{c}") for c in ("name", "description", "price", "image_url")])
-    kept = products.join(deletes, own, "left_anti")
-    edited = kept.join(edits, own, "left")
-    for c in ("name", "description", "price", "image_url"):
-        edited = edited.withColumn(c, F.coalesce(F.col(f"_new_{c}"), F.col(c)))
-    edited = edited.select(*S.PRODUCTS.names)
+    owner = products.select("product_id", F.col("seller_id").alias("_owner"), F.lit(True).alias("_exists"))
+    op, last = F.col("op"), F.struct(F.col("op") == "delete", F.col("change_id"))
+    owned = op.isin("edit", "delete") & (F.col("_owner") == F.col("seller_id"))
+    addable = (op == "add") & F.col("category").isNotNull()
+    looked = changes.join(owner, "product_id", "left")
+    winners = looked.where(F.col("product_id").isNotNull()).groupBy("product_id").agg(
+        F.max(F.when(owned, last)).alias("_last"), F.min(F.when(addable, F.col("change_id"))).alias("_first_add"))
+    judged = looked.join(winners, "product_id", "left").withColumn("outcome", (
+        F.when(op == "add", F.when(F.col("category").isNull(), F.lit("missing_category"))
+                             .when(F.col("_exists") | (F.col("_first_add") < F.col("change_id")), F.lit("duplicate_key"))
+                             .otherwise(F.lit("applied")))
+         .when(op.isin("edit", "delete"), F.when(F.coalesce(owned, F.lit(False)),
+               F.when(F.col("_last") == last, F.lit("applied")).otherwise(F.lit("superseded")))
+               .otherwise(F.lit("not_owner_or_missing")))
+         .otherwise(F.lit("unknown_op"))))
+    base = F.greatest(max_key(products, "product_id"), max_key(changes.where(op == "add"), "product_id"))
+    new = dense_ids(judged.where((F.col("outcome") == "applied") & F.col("product_id").isNull()).select("change_id"),
+                    "change_id", base, "_new_key")
+    return judged.join(new, "change_id", "left").withColumn("product_id", F.coalesce("product_id", "_new_key")) \
+        .select(*changes.columns, "outcome")
 
-    adds = changes.where(F.col("op") == "add")
-    add_ok = adds.where(F.col("category").isNotNull() & F.col("product_id").isNotNull()) \
-        .join(products.select("product_id"), "product_id", "left_anti")
+
+def apply_product_changes(products: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Seller product edits as (current, changes) -> (next, rejects), by
+    ``product_change_outcomes``. An edit replaces name, description, price and
+    image_url (NULL keeps the old value); an add starts with stock 0."""
+    outcomes = product_change_outcomes(products, changes)
+    applied = outcomes.where(F.col("outcome") == "applied")
+    fields = ("name", "description", "price", "image_url")
+    deletes = applied.where(F.col("op") == "delete").select("product_id")
+    edits = applied.where(F.col("op") == "edit").select("product_id", *[F.col(c).alias(f"_new_{c}") for c in fields])
+    edited = products.join(deletes, "product_id", "left_anti").join(edits, "product_id", "left")
+    for c in fields:
+        edited = edited.withColumn(c, F.coalesce(F.col(f"_new_{c}"), F.col(c)))
     # declared defaults (stock 0, empty image) fill what the change leaves out
-    new_rows = with_defaults(add_ok.select("product_id", "name", "description", "price", "category",
-                                           "image_url", "seller_id"), "products")
-    next_products = edited.unionByName(new_rows)
-
-    owned = products.select(*own)
-    rejects = (adds.where(F.col("category").isNull()).select("change_id", F.lit("missing_category").alias("reason"))
-               .unionByName(adds.where(F.col("category").isNotNull())
-                            .join(products.select("product_id"), "product_id", "left_semi")
-                            .select("change_id", F.lit("duplicate_key").alias("reason")))
-               .unionByName(changes.where(F.col("op").isin("edit", "delete"))
-                            .join(owned, own, "left_anti")
-                            .select("change_id", F.lit("not_owner_or_missing").alias("reason"))))
-    return next_products, rejects
+    new_rows = with_defaults(applied.where(F.col("op") == "add").select(
+        "product_id", "name", "description", "price", "category", "image_url", "seller_id"), "products")
+    rejects = outcomes.where(~F.col("outcome").isin("applied", "superseded")).select("change_id", F.col("outcome").alias("reason"))
+    return edited.select(*S.PRODUCTS.names).unionByName(new_rows), rejects
 
 
 def top_supplier_assignments(lineitem_like: DataFrame) -> DataFrame:

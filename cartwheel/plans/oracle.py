@@ -30,6 +30,32 @@ def canon_approval(c):
 
 _EMAIL = "lower(replace({n}, '#', '')) || '@example.com'"
 
+# Sequential cart semantics, step by step (clear, delete, first add, last set).
+CART = """
+        WITH ev AS (
+            SELECT *, row_number() OVER (ORDER BY ts, event_id) AS seq FROM {events}
+            WHERE op = 'clear' OR (product_id IS NOT NULL AND op IN ('add', 'set', 'remove'))),
+        clr AS (SELECT user_id, max(seq) AS clear_seq FROM ev WHERE op = 'clear' GROUP BY user_id),
+        e1 AS (SELECT ev.* FROM ev LEFT JOIN clr ON clr.user_id = ev.user_id
+               WHERE ev.op <> 'clear' AND (clr.clear_seq IS NULL OR ev.seq > clr.clear_seq)),
+        del AS (SELECT user_id, product_id, max(seq) AS del_seq FROM e1
+                WHERE op = 'remove' OR (op = 'set' AND coalesce(value, 0) <= 0) GROUP BY user_id, product_id),
+        e2 AS (SELECT e1.* FROM e1 LEFT JOIN del ON del.user_id = e1.user_id AND del.product_id = e1.product_id
+               WHERE del.del_seq IS NULL OR e1.seq > del.del_seq),
+        fa AS (SELECT user_id, product_id, min(seq) AS first_add FROM e2 WHERE op = 'add'
+               GROUP BY user_id, product_id),
+        e3 AS (SELECT e2.* FROM e2 JOIN fa ON fa.user_id = e2.user_id AND fa.product_id = e2.product_id
+               WHERE e2.seq >= fa.first_add),
+        ls AS (SELECT user_id, product_id, max(seq) AS set_seq FROM e3 WHERE op = 'set'
+               GROUP BY user_id, product_id)
+        SELECT row_number() OVER (ORDER BY e3.user_id, e3.product_id) AS cart_id, e3.user_id, e3.product_id,
+               CAST(sum(CASE WHEN e3.op = 'set' AND e3.seq = ls.set_seq THEN e3.value
+                             WHEN e3.op = 'add' AND (ls.set_seq IS NULL OR e3.seq > ls.set_seq) THEN e3.value
+                             ELSE 0 END) AS INTEGER) AS quantity,
+               min(e3.ts) FILTER (WHERE e3.op = 'add') AS added_at
+        FROM e3 LEFT JOIN ls ON ls.user_id = e3.user_id AND ls.product_id = e3.product_id
+        GROUP BY e3.user_id, e3.product_id"""
+
 # name -> (sql, dependencies)
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "e_users": (f"""
@@ -77,36 +103,25 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         SELECT o_orderkey * 2 + 1, o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(10,2)),
                'Completed', 'Credit Card', o_orderdate + INTERVAL 1 DAY
         FROM orders WHERE o_orderkey % 25 = 1""", ()),
-    "e_cart_events": ("""
-        SELECT event_id, ts, user_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id,
+    "e_events": ("""
+        SELECT event_id, ts, user_id, event_type,
+               CASE WHEN event_id % 89 = 0 THEN value * 1e12 ELSE value END AS value,
+               CASE WHEN event_id % 97 = 0 THEN '{"k": "x' || event_id || '"}' ELSE props END AS props
+        FROM events""", ()),
+    "e_cart_all": ("""
+        SELECT event_id, ts, user_id, event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id,
                CASE event_type WHEN 'click' THEN 'add' WHEN 'view' THEN 'set' WHEN 'error' THEN 'remove'
                     WHEN 'purchase' THEN 'clear' END AS op,
-               CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN CAST(floor(value) AS INTEGER) END AS value
-        FROM events WHERE event_type IN ('click', 'view', 'error', 'purchase')""", ()),
-    # Sequential cart semantics, step by step (clear, delete, first add, last set).
-    "e_cart": ("""
-        WITH ev AS (
-            SELECT *, row_number() OVER (ORDER BY ts, event_id) AS seq FROM e_cart_events
-            WHERE op = 'clear' OR (product_id IS NOT NULL AND op IN ('add', 'set', 'remove'))),
-        clr AS (SELECT user_id, max(seq) AS clear_seq FROM ev WHERE op = 'clear' GROUP BY user_id),
-        e1 AS (SELECT ev.* FROM ev LEFT JOIN clr ON clr.user_id = ev.user_id
-               WHERE ev.op <> 'clear' AND (clr.clear_seq IS NULL OR ev.seq > clr.clear_seq)),
-        del AS (SELECT user_id, product_id, max(seq) AS del_seq FROM e1
-                WHERE op = 'remove' OR (op = 'set' AND coalesce(value, 0) <= 0) GROUP BY user_id, product_id),
-        e2 AS (SELECT e1.* FROM e1 LEFT JOIN del ON del.user_id = e1.user_id AND del.product_id = e1.product_id
-               WHERE del.del_seq IS NULL OR e1.seq > del.del_seq),
-        fa AS (SELECT user_id, product_id, min(seq) AS first_add FROM e2 WHERE op = 'add'
-               GROUP BY user_id, product_id),
-        e3 AS (SELECT e2.* FROM e2 JOIN fa ON fa.user_id = e2.user_id AND fa.product_id = e2.product_id
-               WHERE e2.seq >= fa.first_add),
-        ls AS (SELECT user_id, product_id, max(seq) AS set_seq FROM e3 WHERE op = 'set'
-               GROUP BY user_id, product_id)
-        SELECT e3.user_id, e3.product_id,
-               CAST(sum(CASE WHEN e3.op = 'set' AND e3.seq = ls.set_seq THEN e3.value
-                             WHEN e3.op = 'add' AND (ls.set_seq IS NULL OR e3.seq > ls.set_seq) THEN e3.value
-                             ELSE 0 END) AS INTEGER) AS quantity
-        FROM e3 LEFT JOIN ls ON ls.user_id = e3.user_id AND ls.product_id = e3.product_id
-        GROUP BY e3.user_id, e3.product_id""", ("e_cart_events",)),
+               CASE event_type WHEN 'click' THEN 1
+                    WHEN 'view' THEN CASE WHEN abs(value) < 2147483647 THEN CAST(floor(value) AS INTEGER) END END AS value,
+               event_type = 'view' AND value IS NOT NULL AND NOT abs(value) < 2147483647 AS bad_quantity
+        FROM e_events WHERE event_type IN ('click', 'view', 'error', 'purchase')""", ("e_events",)),
+    "e_cart_events": ("""
+        SELECT event_id, ts, user_id, product_id, op, value FROM e_cart_all
+        WHERE NOT bad_quantity OR product_id IS NULL""", ("e_cart_all",)),
+    "e_cart": (CART.format(events="e_cart_events"), ("e_cart_events",)),
+    "e_cart_events_1": (f"SELECT * FROM e_cart_events WHERE ts < {CART_SPLIT_TS}", ("e_cart_events",)),
+    "e_cart_1": (CART.format(events="e_cart_events_1"), ("e_cart_events_1",)),
     "e_status_events": ("""
         SELECT event_id, ts, CAST(floor(event_id / 3) AS BIGINT) AS order_id,
                CASE WHEN event_type = 'purchase' THEN 'payment' ELSE 'approval' END AS kind,
@@ -114,16 +129,23 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
                     ELSE 'Rejected' END AS value
         FROM events WHERE event_type IN ('purchase', 'click', 'error')""", ()),
     "e_requests": ("""
-        SELECT c_custkey AS user_id,
-               CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Credit Card' WHEN 'BUILDING' THEN 'Debit Card'
-                    WHEN 'FURNITURE' THEN 'PayPal' WHEN 'HOUSEHOLD' THEN 'Pay on Delivery' END AS payment_method
-        FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD')""", ()),
+        WITH r AS (
+            SELECT c_custkey * 2 AS request_id, c_custkey AS user_id,
+                   CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Credit Card' WHEN 'BUILDING' THEN 'Debit Card'
+                        WHEN 'FURNITURE' THEN 'PayPal' WHEN 'HOUSEHOLD' THEN 'Pay on Delivery' END AS payment_method
+            FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD'))
+        SELECT * FROM r UNION ALL SELECT request_id + 1, user_id, 'Credit Card' FROM r WHERE user_id % 14 = 0""", ()),
+    "e_known_users": ("SELECT * FROM e_users WHERE user_id % 10 <> 3", ("e_users",)),
     "e_registrations": (f"""
         SELECT c_custkey * 3 AS request_id, c_name AS name, upper({_EMAIL.format(n='c_name')}) AS email,
                'Nation ' || CAST(c_nationkey AS VARCHAR) AS address,
                lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS phone
         FROM customer WHERE c_custkey % 7 = 0
         UNION ALL
+        SELECT c_custkey * 3 + 1000000000000, c_name, NULL, 'Nation ' || CAST(c_nationkey AS VARCHAR),
+               lpad(CAST(c_custkey AS VARCHAR), 10, '0')
+        FROM customer WHERE c_custkey % 21 = 0
+        UNION ALL
         SELECT c_custkey * 3 + 1, c_name, replace({_EMAIL.format(n='c_name')}, '@', '+new@'),
                'Nation ' || CAST(c_nationkey AS VARCHAR), lpad(CAST(c_custkey AS VARCHAR), 10, '0')
         FROM customer WHERE c_custkey % 7 = 0
@@ -149,9 +171,37 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         UNION ALL
         SELECT k * 3 + 2, 'add', k + (SELECT m FROM top) + 1, owner, 'new ' || p_name, description, price,
                CASE WHEN k % 2 = 0 THEN p_type END, ''
-        FROM base WHERE k % 17 = 0""", ("e_products",)),
+        FROM base WHERE k % 17 = 0
+        UNION ALL
+        SELECT k * 3 + 1000000000000, 'add', NULL, owner, 'keyless ' || p_name, description, price, p_type, ''
+        FROM base WHERE k % 34 = 0
+        UNION ALL
+        SELECT k * 3 + 1000000000001, 'add', k + (SELECT m FROM top) + 1, owner, 'again ' || p_name, description, price, p_type, ''
+        FROM base WHERE k % 51 = 0
+        UNION ALL
+        SELECT k * 3 + 1000000000002, 'EDIT', k, CASE WHEN k % 2 = 0 THEN owner ELSE owner + 1 END, NULL, NULL, NULL, NULL, NULL
+        FROM base WHERE k % 19 = 0""", ("e_products",)),
+    # What becomes of every change, one condition after the other.
+    "e_outcomes": ("""
+        WITH owned AS (
+            SELECT c.*, p.product_id IS NOT NULL AS present,
+                   coalesce(c.op IN ('edit', 'delete') AND p.seller_id = c.seller_id, FALSE) AS may
+            FROM e_product_changes c LEFT JOIN e_products p ON p.product_id = c.product_id),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY product_id, may ORDER BY (op = 'delete') DESC, change_id DESC) AS late,
+                   row_number() OVER (PARTITION BY product_id, op = 'add' AND category IS NOT NULL ORDER BY change_id) AS early
+            FROM owned)
+        SELECT change_id, op, product_id, seller_id, name, description, price, category, image_url,
+               CASE WHEN op = 'add' AND category IS NULL THEN 'missing_category'
+                    WHEN op = 'add' AND product_id IS NOT NULL AND (present OR early > 1) THEN 'duplicate_key'
+                    WHEN op = 'add' THEN 'applied'
+                    WHEN op NOT IN ('edit', 'delete') THEN 'unknown_op'
+                    WHEN NOT may THEN 'not_owner_or_missing'
+                    WHEN late > 1 THEN 'superseded' ELSE 'applied' END AS outcome
+        FROM ranked""", ("e_product_changes", "e_products")),
     "e_pm_changes": ("""
-        SELECT o_orderkey AS order_id, 'PayPal' AS payment_method FROM orders WHERE o_orderstatus = 'O'""", ()),
+        SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 14 = 0 THEN 'Credit Card' ELSE 'PayPal' END AS payment_method
+        FROM orders WHERE o_orderstatus = 'O'""", ()),
     "e_terms": ("""
         SELECT * FROM (VALUES (''), ('widget'), ('WIDGET'), ('r_d'), ('brand#1'), ('zzz')) t(term)""", ()),
     "e_latest_pay": ("""
@@ -163,11 +213,12 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         SELECT c.user_id, c.product_id, c.quantity, p.price, p.seller_id,
                CAST(p.price * c.quantity AS DECIMAL(18,2)) AS line_subtotal
         FROM e_cart c JOIN e_products p ON p.product_id = c.product_id
-        WHERE c.user_id IN (SELECT user_id FROM e_requests)""", ("e_cart", "e_products", "e_requests")),
+        WHERE c.user_id IN (SELECT user_id FROM e_requests) AND c.user_id IN (SELECT user_id FROM e_known_users)""",
+                 ("e_cart", "e_products", "e_requests", "e_known_users")),
     "e_new_orders": (f"""
         SELECT CAST((SELECT coalesce(max(order_id), 0) FROM e_orders)
                     + row_number() OVER (ORDER BY user_id) AS BIGINT) AS order_id,
-               user_id, CAST(round(subtotal * 1.1, 2) AS DECIMAL(18,2)) AS total_amount,
+               user_id, subtotal, CAST(round(subtotal * 1.1, 2) AS DECIMAL(18,2)) AS total_amount,
                'Processing' AS order_status, {BATCH_TS} AS created_at,
                'Pending' AS seller_approval_status, seller_id
         FROM (SELECT user_id, CAST(sum(line_subtotal) AS DECIMAL(18,2)) AS subtotal,
@@ -219,13 +270,14 @@ ORDER_STATUS_LATEST = with_ctes(f"""
     la AS (SELECT order_id, new_approval FROM (
              SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, event_id DESC) AS rn
              FROM eff WHERE new_approval IS NOT NULL) WHERE rn = 1)
-    SELECT o.order_id, {canon_order('coalesce(ls.new_status, o.order_status)')} AS order_status,
+    SELECT o.order_id, o.user_id, {_d('o.total_amount')}, o.created_at, o.seller_id,
+           {canon_order('coalesce(ls.new_status, o.order_status)')} AS order_status,
            {canon_approval('coalesce(la.new_approval, o.seller_approval_status)')} AS seller_approval_status,
            ls.status_event_id
     FROM e_orders o LEFT JOIN ls ON ls.order_id = o.order_id LEFT JOIN la ON la.order_id = o.order_id
 """, "e_orders", "e_status_effects")
 
-CART_FOLD = with_ctes("SELECT user_id, product_id, quantity FROM e_cart", "e_cart")
+CART_FOLD = with_ctes("SELECT cart_id, user_id, product_id, quantity, added_at FROM e_cart", "e_cart")
 
 
 def _dq_unique() -> str:
@@ -299,6 +351,19 @@ def _dq_domain() -> str:
     return with_ctes(" UNION ALL ".join(parts), *_ALL)
 
 
+REGISTRATIONS = with_ctes("""
+        WITH r AS (SELECT *, lower(trim(email)) AS email_key FROM e_registrations),
+        f AS (SELECT email_key, min(request_id) AS first_id FROM r GROUP BY email_key),
+        k AS (SELECT DISTINCT lower(trim(email)) AS email_key FROM e_users),
+        j AS (SELECT r.*, CASE WHEN r.email_key IS NULL THEN 'missing_email'
+                               WHEN k.email_key IS NOT NULL THEN 'duplicate_existing'
+                               WHEN r.request_id = f.first_id THEN 'accepted' ELSE 'duplicate_in_batch' END AS status
+              FROM r LEFT JOIN f ON f.email_key = r.email_key LEFT JOIN k ON k.email_key = r.email_key),
+        t AS (SELECT *, CAST(CASE WHEN status = 'accepted' THEN (SELECT max(user_id) FROM e_users)
+                    + row_number() OVER (PARTITION BY status = 'accepted' ORDER BY request_id) END AS BIGINT) AS user_id
+              FROM j)
+        {rest}""", "e_registrations", "e_users")
+
 LIKE = "lower({t}) LIKE '%' || replace(lower(e_terms.term), '\\', '\\\\') || '%' ESCAPE '\\'"
 
 SQL: dict[str, str] = {
@@ -339,8 +404,21 @@ SQL: dict[str, str] = {
                      CAST(sum(CAST(p.price * c.quantity AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS subtotal
               FROM e_cart c JOIN e_products p ON p.product_id = c.product_id GROUP BY c.user_id) t""",
                               "e_cart", "e_products"),
-    # Applying the later events to the stored state equals replaying them all.
-    "cart_upsert": CART_FOLD,
+    # Applying the later events to the stored state equals replaying them all; a
+    # line that no later event deletes keeps its row, the others get new ids.
+    "cart_upsert": with_ctes(f"""
+        WITH cut AS (SELECT DISTINCT user_id, product_id FROM e_cart_events
+                     WHERE ts >= {CART_SPLIT_TS} AND (op = 'remove' OR (op = 'set' AND coalesce(value, 0) <= 0))),
+        cleared AS (SELECT DISTINCT user_id FROM e_cart_events WHERE ts >= {CART_SPLIT_TS} AND op = 'clear'),
+        kept AS (SELECT * FROM e_cart_1 AS s
+                 WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.user_id = s.user_id AND cut.product_id = s.product_id)
+                   AND NOT EXISTS (SELECT 1 FROM cleared WHERE cleared.user_id = s.user_id))
+        SELECT coalesce(k.cart_id, (SELECT max(cart_id) FROM e_cart_1) + row_number() OVER (
+                 PARTITION BY k.cart_id IS NULL ORDER BY e.user_id, e.product_id))::BIGINT AS cart_id,
+               e.user_id, e.product_id, e.quantity,
+               CASE WHEN k.cart_id IS NULL THEN e.added_at ELSE k.added_at END AS added_at
+        FROM e_cart e LEFT JOIN kept k ON k.user_id = e.user_id AND k.product_id = e.product_id""",
+                             "e_cart", "e_cart_1"),
     "cart_stock_check": with_ctes("""
         SELECT e.event_id, e.user_id, e.product_id, e.value AS requested, p.stock,
                CASE WHEN e.product_id IS NULL OR e.value IS NULL THEN 'bad_request'
@@ -356,9 +434,9 @@ SQL: dict[str, str] = {
           AND EXISTS (SELECT 1 FROM e_products p WHERE p.product_id = c.product_id)""",
                                "e_cart", "e_users", "e_products"),
     "cart_event_rejects": with_ctes("""
-        SELECT event_id, user_id, event_type, 'bad_product_id' AS reason FROM events
-        WHERE event_type IN ('click', 'view', 'error')
-          AND TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL"""),
+        SELECT event_id, user_id, event_type,
+               CASE WHEN op <> 'clear' AND product_id IS NULL THEN 'bad_product_id' ELSE 'bad_quantity' END AS reason
+        FROM e_cart_all WHERE (op <> 'clear' AND product_id IS NULL) OR bad_quantity""", "e_cart_all"),
     "checkout_orders": with_ctes(f"SELECT {ORDER_COLS} FROM e_new_orders o", "e_new_orders"),
     "checkout_lines": with_ctes("""
         SELECT o.order_id, p.user_id, p.product_id, p.quantity, CAST(p.line_subtotal AS DOUBLE) AS subtotal
@@ -375,7 +453,7 @@ SQL: dict[str, str] = {
                o.order_id, o.user_id, CAST(o.total_amount AS DOUBLE) AS amount, 'Pending' AS payment_status,
                coalesce(r.payment_method, 'Not Specified') AS payment_method, {BATCH_TS} AS created_at
         FROM e_new_orders o
-        LEFT JOIN (SELECT user_id, max(payment_method) AS payment_method FROM e_requests GROUP BY user_id) r
+        LEFT JOIN (SELECT user_id, arg_max(payment_method, request_id) AS payment_method FROM e_requests GROUP BY user_id) r
           ON r.user_id = o.user_id""", "e_new_orders", "e_payments", "e_requests"),
     "stock_after_checkout": with_ctes("""
         SELECT p.product_id, CAST(p.stock - coalesce(q.ordered, 0) AS INTEGER) AS stock
@@ -432,15 +510,21 @@ SQL: dict[str, str] = {
         SELECT p.payment_id, p.order_id, p.user_id, CAST(p.amount AS DOUBLE) AS amount, p.payment_status,
                coalesce(c.payment_method, p.payment_method) AS payment_method, p.created_at
         FROM e_payments p
-        LEFT JOIN (SELECT order_id, max(payment_method) AS payment_method FROM e_pm_changes GROUP BY order_id) c
-          ON c.order_id = p.order_id""", "e_payments", "e_pm_changes"),
+        LEFT JOIN e_pm_changes c ON c.order_id = p.order_id""", "e_payments", "e_pm_changes"),
+    "orders_after_payment_update": with_ctes(f"""
+        SELECT o.order_id, o.user_id, {_d('o.total_amount')},
+               CASE WHEN EXISTS (SELECT 1 FROM e_payments p JOIN e_pm_changes c ON c.order_id = p.order_id
+                                 WHERE p.order_id = o.order_id AND lower(p.payment_status) = 'completed')
+                    THEN 'Processing' ELSE o.order_status END AS order_status,
+               o.created_at, o.seller_approval_status, o.seller_id
+        FROM e_orders o""", "e_orders", "e_payments", "e_pm_changes"),
     "order_status_latest": ORDER_STATUS_LATEST,
     "seller_decisions": with_ctes(f"""
         WITH d AS (SELECT order_id, value FROM (
                      SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, event_id DESC) AS rn
                      FROM e_status_events
                      WHERE kind = 'approval' AND lower(value) IN ('approved', 'rejected')) WHERE rn = 1)
-        SELECT o.order_id,
+        SELECT o.order_id, o.user_id, {_d('o.total_amount')}, o.created_at, o.seller_id,
                CASE WHEN d.value IS NULL THEN {canon_approval('o.seller_approval_status')}
                     WHEN lower(d.value) = 'approved' THEN 'Approved' ELSE 'Rejected' END AS seller_approval_status,
                CASE WHEN d.value IS NULL THEN {canon_order('o.order_status')}
@@ -452,7 +536,7 @@ SQL: dict[str, str] = {
         FROM e_products WHERE seller_id IS NOT NULL
         ORDER BY seller_id, created_at DESC, product_id DESC""", "e_products"),
     "seller_pending_orders": with_ctes(f"""
-        WITH pend AS (SELECT * FROM e_orders WHERE lower(seller_approval_status) = 'pending'),
+        WITH pend AS (SELECT * FROM e_orders WHERE lower(trim(seller_approval_status)) = 'pending'),
         pairs AS (SELECT DISTINCT i.order_id, p.seller_id FROM e_items i
                   JOIN e_products p ON p.product_id = i.product_id WHERE p.seller_id IS NOT NULL)
         SELECT pr.seller_id, o.order_id, o.user_id, {_d('o.total_amount')}, o.order_status,
@@ -489,36 +573,27 @@ SQL: dict[str, str] = {
         FROM e_orders o JOIN e_users u ON u.user_id = o.user_id
         LEFT JOIN e_latest_pay p ON p.order_id = o.order_id""", "e_orders", "e_users", "e_latest_pay"),
     "product_changes": with_ctes(f"""
-        WITH del AS (SELECT DISTINCT product_id, seller_id FROM e_product_changes WHERE op = 'delete'),
-        ed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id, seller_id
-                                                           ORDER BY change_id DESC) AS rn
-                              FROM e_product_changes WHERE op = 'edit') WHERE rn = 1),
-        kept AS (SELECT p.* FROM e_products p WHERE NOT EXISTS (
-                   SELECT 1 FROM del d WHERE d.product_id = p.product_id AND d.seller_id = p.seller_id)),
+        WITH ok AS (SELECT * FROM e_outcomes WHERE outcome = 'applied'),
+        top AS (SELECT greatest((SELECT max(product_id) FROM e_products),
+                                (SELECT max(product_id) FROM e_product_changes WHERE op = 'add')) AS m),
         nxt AS (
-            SELECT k.product_id, coalesce(e.name, k.name) AS name,
-                   coalesce(e.description, k.description) AS description,
-                   coalesce(e.price, k.price) AS price, k.stock, k.category,
-                   coalesce(e.image_url, k.image_url) AS image_url, k.created_at, k.seller_id
-            FROM kept k LEFT JOIN ed e ON e.product_id = k.product_id AND e.seller_id = k.seller_id
+            SELECT p.product_id, coalesce(e.name, p.name) AS name, coalesce(e.description, p.description) AS description,
+                   coalesce(e.price, p.price) AS price, p.stock, p.category, coalesce(e.image_url, p.image_url) AS image_url,
+                   p.created_at, p.seller_id
+            FROM e_products p LEFT JOIN ok e ON e.op = 'edit' AND e.product_id = p.product_id
+            WHERE NOT EXISTS (SELECT 1 FROM ok d WHERE d.op = 'delete' AND d.product_id = p.product_id)
             UNION ALL
-            SELECT a.product_id, a.name, a.description, a.price, 0, a.category, coalesce(a.image_url, ''),
-                   CAST(NULL AS TIMESTAMP), a.seller_id
-            FROM e_product_changes a
-            WHERE a.op = 'add' AND a.category IS NOT NULL AND a.product_id IS NOT NULL
-              AND NOT EXISTS (SELECT 1 FROM e_products p WHERE p.product_id = a.product_id))
-        SELECT {PRODUCT_COLS} FROM nxt""", "e_product_changes", "e_products"),
+            SELECT coalesce(a.product_id, top.m + row_number() OVER (PARTITION BY a.product_id IS NULL ORDER BY a.change_id)),
+                   a.name, a.description, a.price, 0, a.category, coalesce(a.image_url, ''), CAST(NULL AS TIMESTAMP), a.seller_id
+            FROM ok a, top WHERE a.op = 'add')
+        SELECT {PRODUCT_COLS} FROM nxt""", "e_outcomes", "e_product_changes", "e_products"),
     "product_change_rejects": with_ctes("""
-        SELECT change_id, 'missing_category' AS reason FROM e_product_changes WHERE op = 'add' AND category IS NULL
-        UNION ALL
-        SELECT a.change_id, 'duplicate_key' FROM e_product_changes a
-        WHERE a.op = 'add' AND a.category IS NOT NULL
-          AND EXISTS (SELECT 1 FROM e_products p WHERE p.product_id = a.product_id)
-        UNION ALL
-        SELECT c.change_id, 'not_owner_or_missing' FROM e_product_changes c
-        WHERE c.op IN ('edit', 'delete') AND NOT EXISTS (
-          SELECT 1 FROM e_products p WHERE p.product_id = c.product_id AND p.seller_id = c.seller_id)""",
-                                         "e_product_changes", "e_products"),
+        SELECT change_id, outcome AS reason FROM e_outcomes WHERE outcome NOT IN ('applied', 'superseded')""", "e_outcomes"),
+    "change_conservation": with_ctes("""
+        SELECT 'registrations' AS feed, count(*) AS input_rows, count(*) AS accounted_rows FROM e_registrations
+        UNION ALL SELECT 'product_changes', count(*), count(*) FROM e_product_changes
+        UNION ALL SELECT 'cart_events', count(*), count(*) FROM e_cart_all""",
+                                     "e_registrations", "e_product_changes", "e_cart_all"),
     "seller_assign": with_ctes("""
         WITH per AS (SELECT l_partkey AS product_id, l_suppkey AS seller_id, sum(l_quantity) AS q
                      FROM lineitem GROUP BY l_partkey, l_suppkey),
@@ -527,19 +602,33 @@ SQL: dict[str, str] = {
                    FROM per) WHERE rn = 1)
         SELECT p.product_id, coalesce(b.seller_id, p.seller_id) AS seller_id, p.seller_id AS previous_seller_id
         FROM e_products p LEFT JOIN best b ON b.product_id = p.product_id""", "e_products"),
-    "registration_ingest": with_ctes("""
-        WITH r AS (SELECT *, lower(trim(email)) AS email_key FROM e_registrations),
-        f AS (SELECT email_key, min(request_id) AS first_id FROM r GROUP BY email_key),
-        k AS (SELECT DISTINCT lower(trim(email)) AS email_key FROM e_users),
-        t AS (SELECT r.request_id, r.email_key,
-                     CASE WHEN k.email_key IS NOT NULL THEN 'duplicate_existing'
-                          WHEN r.request_id = f.first_id THEN 'accepted' ELSE 'duplicate_in_batch' END AS status
-              FROM r JOIN f ON f.email_key = r.email_key LEFT JOIN k ON k.email_key = r.email_key)
-        SELECT request_id, email_key, status,
-               CAST(CASE WHEN status = 'accepted' THEN (SELECT max(user_id) FROM e_users)
-                         + row_number() OVER (PARTITION BY status = 'accepted' ORDER BY request_id) END AS BIGINT)
-                 AS user_id
-        FROM t""", "e_registrations", "e_users"),
+    "registration_ingest": REGISTRATIONS.format(rest="SELECT request_id, email_key, status, user_id FROM t"),
+    "registration_rejects": REGISTRATIONS.format(
+        rest="SELECT request_id, status AS reason FROM t WHERE status <> 'accepted'"),
+    "new_users": REGISTRATIONS.format(rest="""
+        SELECT user_id, name, email, address, phone, CAST(NULL AS TIMESTAMP) AS created_at FROM t
+        WHERE status = 'accepted'"""),
+    "user_credentials": with_ctes("""
+        SELECT DISTINCT r.email_key, u.user_id, u.name
+        FROM (SELECT DISTINCT lower(trim(email)) AS email_key FROM e_registrations) r
+        JOIN e_users u ON lower(trim(u.email)) = r.email_key""", "e_registrations", "e_users"),
+    "orders_of_requesters": with_ctes(f"""
+        SELECT o.order_id, o.user_id, o.created_at, {_d('o.total_amount')}, o.order_status,
+               p.payment_id, p.payment_status, p.payment_method
+        FROM e_orders o LEFT JOIN e_latest_pay p ON p.order_id = o.order_id
+        WHERE o.user_id IN (SELECT user_id FROM e_requests)""", "e_orders", "e_latest_pay", "e_requests"),
+    "checkout_orders_untaxed": with_ctes(
+        f"SELECT {ORDER_COLS.replace('CAST(o.total_amount AS DOUBLE)', 'CAST(o.subtotal AS DOUBLE)')} FROM e_new_orders o",
+        "e_new_orders"),
+    "seller_assign_listed": with_ctes("""
+        SELECT product_id, CASE WHEN product_id IN (1, 2, 3, 4) THEN 1 ELSE seller_id END AS seller_id
+        FROM e_products""", "e_products"),
+    "product_search_catalogue": with_ctes(f"""
+        WITH e_terms AS (
+          SELECT DISTINCT unnest(list_concat([p_name, p_brand, p_type, p_brand || ' ' || p_type, replace(p_name, ' ', '_'),
+                 upper(p_brand || '%' || p_name)], string_split(p_name, ' '))) AS term FROM part)
+        SELECT e_terms.term, p.product_id FROM e_products p JOIN e_terms
+          ON ({LIKE.format(t='p.name')}) OR ({LIKE.format(t='p.description')})""", "e_products"),
     "dq_unique": _dq_unique(),
     "dq_foreign_keys": _dq_fk(),
     "dq_not_null": _dq_not_null(),
@@ -556,8 +645,8 @@ SQL: dict[str, str] = {
     # Stream twins: the streaming job must end where the batch query ends.
     "stream_cart": CART_FOLD,
     "stream_payments": with_ctes("""
-        SELECT o_orderkey AS order_id, o_custkey AS user_id, CAST(CAST(o_totalprice AS DECIMAL(10,2)) AS DOUBLE) AS amount,
-               'Pending' AS payment_status, 'Not Specified' AS payment_method, o_orderdate AS created_at
+        SELECT row_number() OVER (ORDER BY o_orderkey) AS payment_id, o_orderkey AS order_id, o_custkey AS user_id,
+               CAST(CAST(o_totalprice AS DECIMAL(10,2)) AS DOUBLE) AS amount, 'Pending' AS payment_status, 'Not Specified' AS payment_method, o_orderdate AS created_at
         FROM orders"""),
     "stream_order_status": ORDER_STATUS_LATEST,
 }

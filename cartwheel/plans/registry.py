@@ -10,6 +10,7 @@ representation on both sides.
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartwheel.operators import cart, catalog, checkout, ingest, orders, quality, sellers
+from cartwheel.functions.money import DEFAULT_TAX_RATE
 from cartwheel.functions.text import wall_clock
-from cartwheel.session import ensure_checkpoint_dir
+from cartwheel.sources import feeds
 from cartwheel.sources.entities import Shop
 
 # Fixed run parameters: the batch clock of set-based jobs (CURRENT_TIMESTAMP
@@ -100,7 +102,8 @@ def q_product_cards(spark, sf):
 # Cart ------------------------------------------------------------------------
 
 def q_cart_state_fold(spark, sf):
-    return _shop(spark, sf).cart.select("user_id", "product_id", "quantity")
+    """Always folds the events, also where a folded cart table exists."""
+    return cart.with_cart_ids(cart.fold_cart_events(_shop(spark, sf).cart_events), F.lit(0))
 
 
 def q_cart_lines(spark, sf):
@@ -116,14 +119,10 @@ def q_cart_totals(spark, sf):
 def q_cart_upsert(spark, sf):
     """Stored state = fold of the events before the split; the later events
     are applied to it as one batch of upserts / sets / removes / clears."""
-    s = _shop(spark, sf)
+    events = _shop(spark, sf).cart_events
     ts = wall_clock(CART_SPLIT_TS)
-    # the stored state is a table, not a plan: checkpoint it into the
-    # cluster's checkpoint folder, which also cuts the lineage
-    ensure_checkpoint_dir(spark)
-    state = cart.fold_cart_events(s.cart_events.where(F.col("ts") < ts)).checkpoint()
-    nxt = cart.apply_cart_batch(state, s.cart_events.where(F.col("ts") >= ts))
-    return nxt.select("user_id", "product_id", "quantity")
+    state = cart.with_cart_ids(cart.fold_cart_events(events.where(F.col("ts") < ts)), F.lit(0))
+    return cart.apply_cart_batch(state, events.where(F.col("ts") >= ts))
 
 
 def q_cart_stock_check(spark, sf):
@@ -132,8 +131,7 @@ def q_cart_stock_check(spark, sf):
 
 
 def q_cart_event_rejects(spark, sf):
-    from cartwheel.sources.feeds import cart_event_rejects
-    return cart_event_rejects(_shop(spark, sf).raw("events"))
+    return feeds.cart_event_rejects(_shop(spark, sf).raw("events"))
 
 
 def q_cart_cascade(spark, sf):
@@ -143,16 +141,20 @@ def q_cart_cascade(spark, sf):
 
 # Checkout ----------------------------------------------------------------------
 
-def _checkout(spark, sf) -> checkout.CheckoutResult:
+def _checkout(spark, sf, tax_rate=DEFAULT_TAX_RATE) -> checkout.CheckoutResult:
     s = _shop(spark, sf)
     return checkout.checkout(s.cart, s.products, s.orders, s.order_items, s.payments,
-                             s.checkout_requests, BATCH_TS)
+                             s.checkout_requests, BATCH_TS, feeds.known_users(s.users), tax_rate)
 
 
 def q_checkout_orders(spark, sf):
     return _checkout(spark, sf).orders.select(*ORDER_OUT)
 
 
+def q_checkout_orders_untaxed(spark, sf):
+    return _checkout(spark, sf, Decimal(0)).orders.select(*ORDER_OUT)
+
+
 def q_checkout_lines(spark, sf):
     # item_id continues a hash-keyed range, so it is left out of the comparison
     return _checkout(spark, sf).lines.select("order_id", "user_id", "product_id", "quantity", "subtotal")
@@ -294,6 +296,61 @@ def q_registration_ingest(spark, sf):
     return ingest.registration_ingest(s.users, s.registrations)[0]
 
 
+def q_registration_rejects(spark, sf):
+    return ingest.registration_rejects(q_registration_ingest(spark, sf))
+
+
+def q_new_users(spark, sf):
+    s = _shop(spark, sf)
+    return ingest.registration_ingest(s.users, s.registrations)[1]
+
+
+def q_user_credentials(spark, sf):
+    """The login lookup for every e-mail of the registration feed."""
+    s = _shop(spark, sf)
+    return catalog.rows_by_email(s.users, s.registrations.select("email")).select("email_key", "user_id", "name")
+
+
+def q_change_conservation(spark, sf):
+    """Rows of each feed and rows accounted for in its outputs."""
+    s = _shop(spark, sf)
+    report, new_users = ingest.registration_ingest(s.users, s.registrations)
+    outcomes = sellers.product_change_outcomes(s.products, s.product_changes)
+    nxt, rejects = sellers.apply_product_changes(s.products, s.product_changes)
+    added = nxt.join(s.products.select("product_id"), "product_id", "left_anti")
+    kept = outcomes.where(~((F.col("op") == "add") & (F.col("outcome") == "applied"))
+                          & F.col("outcome").isin("applied", "superseded"))
+    events = s.raw("events")
+    return quality.conservation({
+        "registrations": (s.registrations, [new_users, ingest.registration_rejects(report)]),
+        "product_changes": (s.product_changes, [added, kept, rejects]),
+        "cart_events": (events.where(F.col("event_type").isin(*feeds.CART_OP_BY_EVENT)),
+                        [s.cart_events.where(F.col("product_id").isNotNull() | (F.col("op") == "clear")),
+                         feeds.cart_event_rejects(events)])})
+
+
+def q_orders_of_requesters(spark, sf):
+    """Key-filter form for a table of keys: the orders of all users in the
+    checkout feed, with their payment."""
+    s = _shop(spark, sf)
+    return orders.order_payment(catalog.rows_by_keys(s.orders, s.checkout_requests, "user_id"), s.payments)
+
+
+def q_orders_after_payment_update(spark, sf):
+    s = _shop(spark, sf)
+    return orders.orders_after_payment_update(s.orders, s.payments, s.payment_method_changes)
+
+
+def q_seller_assign_listed(spark, sf):
+    return sellers.assign_seller_to_listed(_shop(spark, sf).products, (1, 2, 3, 4), 1).select("product_id", "seller_id")
+
+
+def q_product_search_catalogue(spark, sf):
+    """Several hundred terms taken from the catalogue itself."""
+    s = _shop(spark, sf)
+    return catalog.product_search(s.products, feeds.catalogue_terms(s.raw("part")))
+
+
 # Data quality --------------------------------------------------------------------
 
 def q_dq_unique(spark, sf):
@@ -318,6 +375,15 @@ def q_dq_order_totals(spark, sf):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "change_conservation": q_change_conservation,
+    "checkout_orders_untaxed": q_checkout_orders_untaxed,
+    "new_users": q_new_users,
+    "orders_after_payment_update": q_orders_after_payment_update,
+    "orders_of_requesters": q_orders_of_requesters,
+    "product_search_catalogue": q_product_search_catalogue,
+    "registration_rejects": q_registration_rejects,
+    "seller_assign_listed": q_seller_assign_listed,
+    "user_credentials": q_user_credentials,
     "products_all": q_products_all,
     "table_counts": q_table_counts,
     "product_lookup": q_product_lookup,
@@ -366,14 +432,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Every query wrapped with ``portable``."""
-    out = {}
-    for name, fn in QUERIES.items():
-        out[name] = (lambda f: (lambda spark, sf: portable(f(spark, sf))))(fn)
-    try:
-        from cartwheel.streaming.twins import STREAM_QUERIES
-        for name, fn in STREAM_QUERIES.items():
-            out[name] = (lambda f: (lambda spark, sf: portable(f(spark, sf))))(fn)
-    except ImportError:
-        pass
-    return out
+    """Every query, batch and stream, wrapped with ``portable``."""
+    from cartwheel.streaming.twins import STREAM_QUERIES
+    return {name: (lambda spark, sf, f=fn: portable(f(spark, sf))) for name, fn in (QUERIES | STREAM_QUERIES).items()}

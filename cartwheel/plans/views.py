@@ -1,63 +1,42 @@
-"""SQL access: entity tables and the two seller views as temp views, and the
-shop's own statements run through ``spark.sql`` with bound parameters.
-
-The statements answer the shop's page reads for one key; Catalyst plans
-them like the DataFrame versions (filters pushed into the scans).
+"""SQL access: the entity tables and the engine's own operators as temp views,
+read with ``spark.sql`` or, for one key, through ``rows_of`` (a bound parameter,
+never a value formatted into the text). Catalyst pushes the key filter through
+the operator's plan into the scans.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwheel.operators import sellers
+from cartwheel.operators import cart, catalog, orders, sellers
 from cartwheel.sources.entities import Shop
 
-# Parameterised reads over the temp views (named markers, values bound by
-# Spark, never formatted into the text).
-SHOP_SQL = {
-    "product_by_id": """
-        SELECT product_id, name, description, price, stock, category, image_url, created_at, seller_id
-        FROM products WHERE product_id = :product_id""",
-    "product_search": """
-        SELECT product_id, name, price, stock FROM products
-        WHERE lower(name) LIKE lower(:pattern) OR lower(description) LIKE lower(:pattern)""",
-    "cart_of_user": """
-        SELECT line.product_id, line.quantity, item.name, item.price, item.image_url
-        FROM cart AS line INNER JOIN products AS item USING (product_id)
-        WHERE line.user_id = :user_id""",
-    "order_confirmation": """
-        SELECT header.order_id, header.created_at, header.total_amount, header.order_status,
-               pay.payment_status, pay.payment_method
-        FROM orders AS header LEFT OUTER JOIN payments AS pay USING (order_id)
-        WHERE header.order_id = :order_id AND header.user_id = :user_id""",
-    "orders_of_user": """
-        SELECT header.order_id, header.created_at, header.total_amount, header.order_status,
-               ifnull(pay.payment_status, 'Pending') AS payment_status,
-               ifnull(pay.payment_method, 'Not Specified') AS payment_method
-        FROM orders AS header LEFT OUTER JOIN payments AS pay USING (order_id)
-        WHERE header.user_id = :user_id
-        ORDER BY header.created_at DESC, header.order_id DESC""",
-    "seller_products": """
-        SELECT product_id, name, price, stock, category, created_at FROM products
-        WHERE seller_id = :seller_id ORDER BY created_at DESC, product_id DESC""",
-    "product_count": "SELECT count(1) AS n FROM products",
-}
+TABLES = ("users", "sellers", "products", "cart", "orders", "order_items", "payments")
+
+
+def operator_views(shop: Shop) -> dict[str, DataFrame]:
+    """The operators that answer page reads, by view name."""
+    return {
+        "seller_dashboard": sellers.seller_dashboard_view(shop.orders, shop.payments, shop.users),
+        "seller_orders": sellers.seller_orders_view(shop.orders, shop.payments, shop.order_items, shop.products, shop.users),
+        "cart_lines": cart.cart_lines(shop.cart, shop.products),
+        "order_payment_raw": orders.order_payment_raw(shop.orders, shop.payments),
+        "order_history": orders.order_history(shop.orders, shop.payments),
+        "seller_products": sellers.seller_products(shop.products),
+        "product_cards": catalog.product_cards(shop.products),
+    }
 
 
 def register_views(shop: Shop) -> list[str]:
-    """Register users, sellers, products, cart, orders, order_items, payments
-    and the views seller_dashboard / seller_orders as temp views."""
-    names = []
-    for name in ("users", "sellers", "products", "cart", "orders", "order_items", "payments"):
-        getattr(shop, name).createOrReplaceTempView(name)
-        names.append(name)
-    sellers.seller_dashboard_view(shop.orders, shop.payments, shop.users).createOrReplaceTempView("seller_dashboard")
-    sellers.seller_orders_view(shop.orders, shop.payments, shop.order_items, shop.products,
-                               shop.users).createOrReplaceTempView("seller_orders")
-    return names + ["seller_dashboard", "seller_orders"]
-
-
-def run_shop_sql(spark: SparkSession, name: str, **params) -> DataFrame:
-    """Run one of the shop's statements with bound parameters (no string
-    formatting of values into SQL text)."""
-    return spark.sql(SHOP_SQL[name], args=params)
+    """Register the tables and ``operator_views`` as temp views."""
+    frames = {name: getattr(shop, name) for name in TABLES} | operator_views(shop)
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)
+    return list(frames)
+
+
+def rows_of(spark: SparkSession, view: str, **keys) -> DataFrame:
+    """Rows of a registered view for given key values."""
+    where = " AND ".join(f"IDENTIFIER(:col_{k}) = :{k}" for k in keys) or "true"
+    return spark.sql(f"SELECT * FROM IDENTIFIER(:view) WHERE {where}",
+                     args={"view": view} | {f"col_{k}": k for k in keys} | keys)

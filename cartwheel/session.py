@@ -8,7 +8,6 @@ a laptop) do we pick one ourselves.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -71,6 +70,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            # executors could not see a folder of the driver's own disk
+            raise ValueError(f"set spark.checkpoint.dir to a folder all executors share (master {sc.master})")
         configured = tempfile.mkdtemp(prefix="cartwheel-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -85,9 +87,3 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
 def local_fs_path(path: str) -> str:
     """Strip a ``file:`` scheme (used only by tests that inspect files)."""
     return path[len("file:"):] if path.startswith("file:") else path
-
-
-def make_dirs_if_local(path: str) -> None:
-    p = local_fs_path(path)
-    if "://" not in p:
-        os.makedirs(p, exist_ok=True)

@@ -237,8 +237,8 @@ class Shop:
             return self.spark.table(f"{self.database}.cart")
         if self.tables_dir:
             return self.spark.read.schema(S.CART).parquet(f"{self.tables_dir}/cart")
-        from cartwheel.operators.cart import fold_cart_events
-        return fold_cart_events(self.cart_events)
+        from cartwheel.operators.cart import fold_cart_events, with_cart_ids
+        return with_cart_ids(fold_cart_events(self.cart_events), F.lit(0))
 
     # Change feeds (always derived from the raw tables) ------------------------
     @cached_property

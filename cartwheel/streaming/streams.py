@@ -1,19 +1,16 @@
 """Streaming jobs.
 
 * ``run_cart_stream`` (ST-1): cart events -> cart lines. Each micro-batch
-  re-folds only the users it touches, from their compacted event log plus
-  the new events (``foreachBatch``); exact under any arrival order and
-  re-delivery. State and log versions are written under the shared
-  checkpoint folder, version k from version k-1, so a re-executed batch
-  rewrites the same version (idempotent per batch id).
-* ``run_payment_stream`` (ST-2): new orders -> one Pending payment each;
-  ``dropDuplicatesWithinWatermark`` on order_id over an ingest-time
-  watermark bounds the dedupe state without ever discarding a late order.
-* ``run_status_stream`` (ST-3/ST-4): status events -> latest status per order
-  via a streaming ``max_by`` aggregate in update mode; each batch appends its
-  changed orders to an update log read as latest-batch-per-order. ``max_by``
-  over (ts, event_id) is order-insensitive, so late events need no watermark
-  for correctness.
+  re-folds only the users it touches, from their compacted event log plus the
+  new events (``foreachBatch``), and rewrites only their buckets; exact under any
+  arrival order and re-delivery, and idempotent per batch id.
+* ``run_payment_stream`` (ST-2): new orders -> one Pending payment each, by an
+  anti join against the payments written before: exact however late an order is
+  delivered again.
+* ``run_status_stream`` (ST-3/ST-4): status events -> latest status per order.
+  ``max_by`` over (ts, event_id) is order-insensitive, so each batch is
+  aggregated without state and appended to an update log; late events need no
+  watermark.
 """
 
 from __future__ import annotations
@@ -24,13 +21,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartwheel import schemas as S
-from cartwheel.operators.cart import compact_cart_log, fold_cart_events
+from cartwheel.functions.keys import dense_ids
+from cartwheel.operators.cart import compact_cart_log, fold_cart_events, with_cart_ids
 from cartwheel.operators.orders import _status_effects
 from cartwheel.session import scratch_path
 from cartwheel.sources import feeds
 from cartwheel.sources.raw import RAW_SCHEMAS
 
 
+CART_BUCKETS = PAYMENT_BUCKETS = 64
+
+
 def read_raw_stream(spark: SparkSession, source_dir: str, table: str,
                     max_files_per_trigger: int | None = None) -> DataFrame:
     """Stream the parquet files of one raw table. ``source_dir`` is either a
@@ -41,67 +42,120 @@ def read_raw_stream(spark: SparkSession, source_dir: str, table: str,
     return r.parquet(source_dir)
 
 
-def _version(root: str, batch_id: int) -> str:
-    return f"{root}/v{batch_id:012d}"
-
-
 def run_cart_stream(spark: SparkSession, source_dir: str, work_dir: str | None = None,
                     max_files_per_trigger: int | None = 1) -> str:
-    """Run the cart stream over everything available; return the path of
-    the final cart state (CART rows).
-
-    Per micro-batch (``foreachBatch``), for the users in the batch only:
-    their compacted event log plus the new events (de-duplicated on
-    event_id, so a re-delivered file counts once) is folded again with the
-    batch fold, and the log is compacted (``compact_cart_log``). Exact under
-    any arrival order. State and log version k are written from version k-1,
-    so a re-executed batch id rewrites the same version.
+    """Run the cart stream over everything available; return its work folder
+    (read the cart with ``read_cart``), also when nothing new has arrived.
+
+    Users fall in CART_BUCKETS buckets. Per micro-batch (``foreachBatch``) only
+    the buckets of its users are read and written: the users' compacted event
+    log plus the new events (de-duplicated on event_id) is folded again with the
+    batch fold, and the log is compacted (``compact_cart_log``). Exact under any
+    arrival order. A line keeps its cart_id while it is the same line (not
+    deleted and added again); new ones continue the ids given so far.
+
+    Batch k writes its buckets under ``batch_id=<k>`` and then their numbers and
+    the highest id to the manifest, which is what readers go by; it only looks
+    at batches before k, so it can run again. Bucket versions that two later
+    batches have replaced are deleted.
     """
     work = work_dir or scratch_path(spark, "cart-stream")
-    state_root, log_root, ckpt = f"{work}/state", f"{work}/log", f"{work}/checkpoint"
-    last = {"version": None}
+    bucket = F.pmod(F.xxhash64("user_id"), F.lit(CART_BUCKETS)).cast("int")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         events = batch.select(*S.CART_EVENTS.names)
         touched = events.select("user_id").distinct()
-        if batch_id == 0:
-            prev_state, prev_log = feeds.empty_frame(spark, S.CART), feeds.empty_frame(spark, S.CART_EVENTS)
-        else:
-            prev_state = spark.read.schema(S.CART).parquet(_version(state_root, batch_id - 1))
-            prev_log = spark.read.schema(S.CART_EVENTS).parquet(_version(log_root, batch_id - 1))
-        history = (prev_log.join(touched, "user_id", "left_semi").unionByName(events)
+        buckets = [r["b"] for r in touched.select(bucket.alias("b")).distinct().collect()]      # at most CART_BUCKETS
+        versions, last_id = _cart_versions(spark, work, batch_id)
+        state = _cart_table(spark, work, "state", S.CART, versions, buckets)
+        log = _cart_table(spark, work, "log", S.CART_EVENTS, versions, buckets)
+        history = (log.join(touched, "user_id", "left_semi").unionByName(events)
                    .dropDuplicates(["event_id"]))
         history.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            lines = fold_cart_events(history)
-            prev_state.join(touched, "user_id", "left_anti").select(*S.CART.names) \
-                .unionByName(lines.select(*S.CART.names)) \
-                .write.mode("overwrite").parquet(_version(state_root, batch_id))
-            prev_log.join(touched, "user_id", "left_anti").select(*S.CART_EVENTS.names) \
-                .unionByName(compact_cart_log(history)) \
-                .write.mode("overwrite").parquet(_version(log_root, batch_id))
+            before = state.select("user_id", "product_id", F.col("cart_id").alias("_id"), F.col("added_at").alias("_added"))
+            same = F.col("_id").isNotNull() & (F.col("added_at") <= F.col("_added"))
+            folded = fold_cart_events(history).drop("cart_id").join(before, ["user_id", "product_id"], "left") \
+                .withColumn("cart_id", F.when(same, F.col("_id")))
+            lines = state.join(touched, "user_id", "left_anti").select(*S.CART.names) \
+                .unionByName(with_cart_ids(folded.select(*S.CART.names), F.lit(last_id)))
+            _write_buckets(lines, bucket, f"{work}/state/batch_id={batch_id}")
+            _write_buckets(log.join(touched, "user_id", "left_anti").select(*S.CART_EVENTS.names)
+                           .unionByName(compact_cart_log(history)), bucket, f"{work}/log/batch_id={batch_id}")
         finally:
             history.unpersist()
-        last["version"] = batch_id
+        written = spark.read.schema(S.CART).parquet(f"{work}/state/batch_id={batch_id}") if _exists(
+            spark, f"{work}/state/batch_id={batch_id}/_SUCCESS") else state.limit(0)
+        top = written.agg(F.max("cart_id").alias("m")).first()["m"] or 0
+        spark.range(1).select(F.explode(F.array(*[F.lit(b) for b in buckets]).cast("array<int>")).alias("bucket"),
+                              F.lit(max(top, last_id)).cast("long").alias("last_id")) \
+            .coalesce(1).write.mode("overwrite").parquet(f"{work}/manifest/batch_id={batch_id}")
+        for b, old in versions.items():
+            if b in buckets and old < batch_id - 1:
+                for kind in ("state", "log"):
+                    _delete(spark, f"{work}/{kind}/batch_id={old}/bucket={b}")
 
     stream = feeds.cart_events_from_raw(read_raw_stream(spark, source_dir, "events", max_files_per_trigger))
-    q = (stream.writeStream.foreachBatch(apply).option("checkpointLocation", ckpt)
+    q = (stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{work}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    if last["version"] is None:
-        return ""
-    return _version(state_root, last["version"])
+    return work
+
+
+def read_cart(spark: SparkSession, work: str) -> DataFrame:
+    """The cart stream's current CART rows."""
+    versions, _ = _cart_versions(spark, work)
+    return _cart_table(spark, work, "state", S.CART, versions, list(versions))
+
+
+def _cart_versions(spark: SparkSession, work: str, before: int | None = None) -> tuple[dict[int, int], int]:
+    """(bucket -> its latest batch, highest cart id) of the batches before ``before``."""
+    if not _batches(spark, f"{work}/manifest"):
+        return {}, 0
+    m = spark.read.schema("bucket int, last_id long, batch_id long").parquet(f"{work}/manifest")
+    if before is not None:
+        m = m.where(F.col("batch_id") < before)
+    rows = m.groupBy("bucket").agg(F.max("batch_id").alias("batch"), F.max("last_id").alias("last_id")).collect()
+    return {r["bucket"]: r["batch"] for r in rows}, max((r["last_id"] for r in rows), default=0)
+
+
+def _cart_table(spark: SparkSession, work: str, kind: str, schema: T.StructType, versions: dict[int, int],
+                buckets: list[int]) -> DataFrame:
+    paths = [f"{work}/{kind}/batch_id={versions[b]}/bucket={b}" for b in buckets if b in versions]
+    paths = [p for p in paths if _exists(spark, p)]          # a bucket can have become empty
+    return spark.read.schema(schema).parquet(*paths) if paths else feeds.empty_frame(spark, schema)
+
+
+def _write_buckets(rows: DataFrame, bucket, path: str) -> None:
+    rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _exists(spark: SparkSession, name: str) -> bool:
+    fs, path = _path(spark, name)
+    return fs.exists(path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    fs, path = _path(spark, name)
+    fs.delete(path, True)
 
 
 def run_payment_stream(spark: SparkSession, source_dir: str, work_dir: str | None = None,
-                       dedupe_horizon: str = "1 hour", max_files_per_trigger: int | None = None) -> str:
-    """AFTER INSERT ON orders, as a stream; returns the parquet sink path.
-
-    Re-delivered order rows are removed with ``dropDuplicatesWithinWatermark``
-    on order_id. Its watermark is on *ingest* time, not order time: an
-    event-time watermark would discard orders that arrive late (their payment
-    would never be created), while ingest time is never behind the watermark.
-    The dedupe state covers ``dedupe_horizon`` of arrivals and is then evicted.
+                       first_id: int = 1, max_files_per_trigger: int | None = None) -> str:
+    """AFTER INSERT ON orders, as a stream; returns the folder of the payments
+    (read them with ``read_payments``), also when nothing new has arrived.
+
+    Exact at any re-delivery interval: each batch keeps one row per order, drops
+    by anti join the orders that have a payment from an earlier batch, and
+    appends the rest under ``batch_id=<k>`` (overwritten if the batch runs
+    again, which only looks at batches before it). Payments are split into
+    ``bucket``s by order, and the anti join reads only the order ids of the
+    buckets the batch touches. Ids continue the earlier batches'.
     """
     work = work_dir or scratch_path(spark, "payment-stream")
     out, ckpt = f"{work}/payments", f"{work}/checkpoint"
@@ -111,15 +165,40 @@ def run_payment_stream(spark: SparkSession, source_dir: str, work_dir: str | Non
         F.col("o_totalprice").cast(S.MONEY).alias("amount"),
         F.lit(S.DEFAULT_PAYMENT_STATUS).alias("payment_status"),
         F.lit(S.DEFAULT_PAYMENT_METHOD).alias("payment_method"),
-        F.col("o_orderdate").alias("created_at"),
-        F.current_timestamp().alias("_ingested_at"))
-    deduped = new.withWatermark("_ingested_at", dedupe_horizon).dropDuplicatesWithinWatermark(["order_id"])
-    q = (deduped.drop("_ingested_at").writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+        F.col("o_orderdate").alias("created_at"))
+    bucket = F.pmod(F.xxhash64("order_id"), F.lit(PAYMENT_BUCKETS)).cast("int")
+
+    def pay(batch: DataFrame, batch_id: int) -> None:
+        earlier = read_payments(spark, out).where(F.col("batch_id") < batch_id)
+        once = batch.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(
+            F.min(F.struct("created_at", "user_id", "amount", "payment_status", "payment_method")).alias("r")) \
+            .select("order_id", "r.*").withColumn("bucket", bucket)
+        touched = [r["bucket"] for r in once.select("bucket").distinct().collect()]      # at most PAYMENT_BUCKETS
+        unpaid = once.join(earlier.where(F.col("bucket").isin(touched)).select("order_id"), "order_id", "left_anti")
+        base = earlier.agg(F.coalesce(F.max("payment_id"), F.lit(first_id - 1)).cast("long").alias("m")).first()["m"]
+        dense_ids(unpaid, "order_id", F.lit(base), "payment_id") \
+            .write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch_id={batch_id}")
+
+    q = (new.writeStream.foreachBatch(pay).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
     return out
 
 
+def read_payments(spark: SparkSession, out: str) -> DataFrame:
+    """The stream's payments with ``bucket`` and ``batch_id``; none before its
+    first batch."""
+    schema = T.StructType([*S.PAYMENTS.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(schema).parquet(out) if _batches(spark, out) else feeds.empty_frame(spark, schema)
+
+
+def _batches(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the ``batch_id=<k>`` folders below ``root``, on any file system."""
+    fs, path = _path(spark, root)
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch_id="))
+
+
 _STATUS_SCHEMA = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("new_status", T.StringType()),
                                T.StructField("status_event_id", T.LongType()),
                                T.StructField("new_approval", T.StringType())])
@@ -128,41 +207,55 @@ _STATUS_SCHEMA = T.StructType([T.StructField("order_id", T.LongType()), T.Struct
 def run_status_stream(spark: SparkSession, source_dir: str, work_dir: str | None = None,
                       max_files_per_trigger: int | None = None) -> str:
     """Latest status effects per order; returns the folder of the update log
-    (read it with ``read_status_table``).
+    (read it with ``read_status_table``), also when nothing new has arrived.
 
-    The streaming aggregate emits, per micro-batch, the complete current
-    value of every order it changed (update mode). Each batch appends just
-    those rows under ``batch_id=<k>`` (overwritten if the batch re-runs, so
-    idempotent); readers take the row of the latest batch per order. A batch
-    costs its changes, not a rewrite of every order.
+    ``max_by`` over (ts, event_id) doesn't depend on order, so a batch is
+    aggregated on its own, without streaming state, and its orders' latest
+    events are appended under ``batch_id=<k>`` (overwritten if the batch runs
+    again); readers take the latest over all batches. ``compact_status_log``
+    merges the folders when there are many.
     """
     work = work_dir or scratch_path(spark, "status-stream")
     log_root, ckpt = f"{work}/updates", f"{work}/checkpoint"
-    seen = {"any": False}
     events = feeds.status_events_from_raw(read_raw_stream(spark, source_dir, "events", max_files_per_trigger))
-    eff = _status_effects(events)
-    seq = F.struct("ts", "event_id")
-    is_appr = F.col("new_approval").isNotNull()
-    latest = eff.groupBy("order_id").agg(
-        F.max_by("new_status", seq).alias("new_status"),
-        F.max_by(F.col("event_id"), seq).alias("status_event_id"),
-        F.max_by(F.when(is_appr, F.col("new_approval")), F.when(is_appr, seq)).alias("new_approval"))
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.select("order_id", "new_status", "status_event_id", "new_approval") \
+        _latest_of(_status_effects(batch).select(
+            "order_id", "new_status", F.struct("ts", "event_id").alias("status_at"), "new_approval",
+            F.when(F.col("new_approval").isNotNull(), F.struct("ts", "event_id")).alias("approval_at"))) \
             .write.mode("overwrite").parquet(f"{log_root}/batch_id={batch_id}")
-        seen["any"] = True
 
-    q = (latest.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", ckpt)
+    q = (events.writeStream.foreachBatch(append).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return log_root if seen["any"] else ""
+    return log_root
+
+
+_AT = T.StructType([T.StructField("ts", S.TS), T.StructField("event_id", T.LongType())])
+_STATUS_LOG = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("new_status", T.StringType()),
+                            T.StructField("status_at", _AT), T.StructField("new_approval", T.StringType()),
+                            T.StructField("approval_at", _AT)])
+
+
+def _latest_of(effects: DataFrame) -> DataFrame:
+    """Status and approval of each order at their latest events (map-side combined)."""
+    return effects.groupBy("order_id").agg(
+        F.max_by("new_status", "status_at").alias("new_status"), F.max("status_at").alias("status_at"),
+        F.max_by("new_approval", "approval_at").alias("new_approval"), F.max("approval_at").alias("approval_at"))
+
+
+def compact_status_log(spark: SparkSession, log_root: str) -> str:
+    """One folder with each order's latest row; use it as the log from then on
+    (``<root>-<k>/batch_id=<k>``, k the last batch merged)."""
+    last = _batches(spark, log_root)[-1]
+    compacted = f"{log_root}-{last}"
+    _latest_of(spark.read.schema(_STATUS_LOG).parquet(log_root)).write.mode("overwrite").parquet(f"{compacted}/batch_id={last}")
+    return compacted
 
 
 def read_status_table(spark: SparkSession, log_root: str) -> DataFrame:
-    """Current status effects: the latest batch's row per order."""
-    log = spark.read.parquet(log_root)
-    cols = ["new_status", "status_event_id", "new_approval"]
-    picked = F.max_by(F.struct(*cols), F.col("batch_id")).alias("_row")
-    return (log.groupBy("order_id").agg(picked)
-            .select("order_id", *[F.col(f"_row.{c}").alias(c) for c in cols]))
+    """Current status effects: order_id, new_status, status_event_id, new_approval."""
+    if not _batches(spark, log_root):
+        return feeds.empty_frame(spark, _STATUS_SCHEMA)
+    return _latest_of(spark.read.schema(_STATUS_LOG).parquet(log_root)).select(
+        "order_id", "new_status", F.col("status_at.event_id").alias("status_event_id"), "new_approval")

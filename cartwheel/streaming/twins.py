@@ -3,39 +3,23 @@ read the sink back, and return the rows the batch twin returns."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from cartwheel import schemas as S
-from cartwheel.functions import status as st
-from cartwheel.sources.entities import Shop
-from cartwheel.sources.feeds import empty_frame
-from cartwheel.streaming.streams import (_STATUS_SCHEMA, read_status_table, run_cart_stream,
+from cartwheel.operators.orders import orders_with_effects
+from cartwheel.streaming.streams import (read_cart, read_payments, read_status_table, run_cart_stream,
                                          run_payment_stream, run_status_stream)
 
 
 def q_stream_cart(spark, sf):
-    path = run_cart_stream(spark, sf)
-    state = spark.read.schema(S.CART).parquet(path) if path else empty_frame(spark, S.CART)
-    return state.select("user_id", "product_id", "quantity")
+    return read_cart(spark, run_cart_stream(spark, sf))
 
 
 def q_stream_payments(spark, sf):
-    path = run_payment_stream(spark, sf)
-    return spark.read.parquet(path).select("order_id", "user_id", "amount", "payment_status",
-                                           "payment_method", "created_at")
+    return read_payments(spark, run_payment_stream(spark, sf)).select(*S.PAYMENTS.names)
 
 
 def q_stream_order_status(spark, sf):
-    path = run_status_stream(spark, sf)
-    eff = read_status_table(spark, path) if path else empty_frame(spark, _STATUS_SCHEMA)
-    orders = Shop.from_raw(spark, sf).orders
-    return (orders.select("order_id", "order_status", "seller_approval_status")
-            .join(eff, "order_id", "left")
-            .select("order_id",
-                    st.canonical_order_status(F.coalesce("new_status", "order_status")).alias("order_status"),
-                    st.canonical_approval(F.coalesce("new_approval", "seller_approval_status"))
-                      .alias("seller_approval_status"),
-                    "status_event_id"))
+    from cartwheel.plans.registry import _shop
+    return orders_with_effects(_shop(spark, sf).orders, read_status_table(spark, run_status_stream(spark, sf)))
 
 
 STREAM_QUERIES = {

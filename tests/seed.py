@@ -39,7 +39,7 @@ def users(spark):
 
 def sellers(spark):
     return spark.createDataFrame([(1, "Test Seller", "seller@example.com", "9876543210", T0),
-                                  (2, "Aryan Raj", "aryanraj@gmail.com", "9876543210", T0)], S.SELLERS)
+                                  (2, "Second Seller", "second@example.com", "0000000002", T0)], S.SELLERS)
 
 
 def cart(spark, with_repeat=False):

@@ -9,7 +9,8 @@ from conftest import SF_MID
 from cartwheel.operators import orders as O
 from cartwheel.session import local_fs_path, scratch_path
 from cartwheel.sources.entities import Shop
-from cartwheel.streaming.streams import read_status_table, run_cart_stream, run_payment_stream, run_status_stream
+from cartwheel.streaming.streams import (compact_status_log, read_cart, read_payments, read_status_table, run_cart_stream,
+                                         run_payment_stream, run_status_stream)
 
 
 def _split(spark, table, n, order, repeat=None):
@@ -38,20 +39,45 @@ def test_status_stream_any_order_equals_batch(spark):
     want = {tuple(r) for r in O.latest_status_effects(shop.status_events)
             .select("order_id", "new_status", "status_event_id", "new_approval").collect()}
     assert got == want
+    assert {tuple(r) for r in read_status_table(spark, compact_status_log(spark, path)).collect()} == want
+    again = run_status_stream(spark, src, os.path.dirname(path), max_files_per_trigger=1)
+    assert {tuple(r) for r in read_status_table(spark, again).collect()} == want      # a restart with nothing new
 
 
 def test_payment_stream_deduplicates_redelivered_orders(spark):
     src = _split(spark, "orders", 4, [2, 0, 3, 1], repeat=0)
-    out = run_payment_stream(spark, src, max_files_per_trigger=1)
-    got = spark.read.parquet(out)
-    assert got.count() == got.select("order_id").distinct().count() == spark.read.parquet(
-        f"{SF_MID}/orders.parquet").count()
-    assert got.where(F.col("payment_status") != "Pending").count() == 0
+    work = scratch_path(spark, "test-payments")
+    n = spark.read.parquet(f"{SF_MID}/orders.parquet").count()
+
+    def check():
+        got = read_payments(spark, run_payment_stream(spark, src, work, first_id=101, max_files_per_trigger=1))
+        assert got.where(F.col("payment_status") != "Pending").count() == 0
+        assert got.select("order_id").distinct().count() == got.count() == n
+        ids = got.agg(F.min("payment_id"), F.max("payment_id"), F.countDistinct("payment_id")).first()
+        assert tuple(ids) == (101, 100 + n, n)
+        return sorted(map(tuple, got.collect()))
+
+    first = check()
+    assert check() == first                                   # a restart with nothing new
+    for k in range(3):                                        # delivered again, any time later
+        one = [f for f in os.listdir(local_fs_path(src)) if f.startswith("orders00")][k]
+        shutil.copyfile(os.path.join(local_fs_path(src), one), os.path.join(local_fs_path(src), f"orders9{k}.parquet"))
+        assert check() == first
+
+
+def test_streams_without_input_return_empty_tables(spark):
+    src = scratch_path(spark, "test-nothing")
+    spark.read.parquet(f"{SF_MID}/orders.parquet").limit(0).write.parquet(f"{src}/x")
+    assert read_payments(spark, run_payment_stream(spark, src)).count() == 0
+    assert read_status_table(spark, run_status_stream(spark, src)).count() == 0
+    assert read_cart(spark, run_cart_stream(spark, src)).count() == 0
 
 
 def test_cart_stream_any_order_and_redelivery_equals_batch(spark):
     src = _split(spark, "events", 5, [4, 1, 3, 0, 2], repeat=3)
-    path = run_cart_stream(spark, src, max_files_per_trigger=1)
-    got = {(r.user_id, r.product_id): r.quantity for r in spark.read.parquet(path).collect()}
+    work = scratch_path(spark, "test-cart")
     want = {(r.user_id, r.product_id): r.quantity for r in Shop.from_raw(spark, SF_MID).cart.collect()}
-    assert got == want
+    for _ in range(2):                                        # the second run finds nothing new
+        rows = read_cart(spark, run_cart_stream(spark, src, work, max_files_per_trigger=1)).collect()
+        assert {(r.user_id, r.product_id): r.quantity for r in rows} == want
+        assert len({r.cart_id for r in rows}) == len(rows) and all(r.cart_id for r in rows)

@@ -3,25 +3,38 @@
 import datetime as dt
 
 from conftest import SF_SMALL
-from cartwheel.operators import orders
-from cartwheel.plans.views import register_views, run_shop_sql
+from pyspark.sql import functions as F
+
+from cartwheel.operators import orders, sellers
+from cartwheel.plans.views import register_views, rows_of
 from cartwheel.sources.entities import Shop, with_defaults
 
 
 def test_views_and_bound_parameters(spark):
     shop = Shop.from_raw(spark, SF_SMALL)
     names = register_views(shop)
-    assert "seller_orders" in names
-    n = run_shop_sql(spark, "product_count").collect()[0].n
-    assert n == shop.products.count()
-    one = run_shop_sql(spark, "product_by_id", product_id=5).collect()
-    assert [r.product_id for r in one] == [5]
+    assert {"seller_orders", "order_history", "cart_lines", "users"} <= set(names)
+    assert rows_of(spark, "products").count() == shop.products.count()
+    assert [r.product_id for r in rows_of(spark, "products", product_id=5).collect()] == [5]
     uid = shop.orders.select("user_id").first().user_id
-    sql_rows = run_shop_sql(spark, "orders_of_user", user_id=uid).count()
-    df_rows = orders.order_payment_raw(shop.orders, shop.payments, user_id=uid).count()
-    assert sql_rows == df_rows
-    hits = run_shop_sql(spark, "product_search", pattern="%widget%").count()
-    assert hits > 0
+    raw = rows_of(spark, "order_payment_raw", user_id=uid).count()
+    assert raw == orders.order_payment_raw(shop.orders, shop.payments, user_id=uid).count()
+    history = rows_of(spark, "order_history", user_id=uid)
+    assert history.count() == shop.orders.where(shop.orders.user_id == uid).count()
+    # a value is a value, whatever it looks like
+    assert rows_of(spark, "users", name="x' OR '1'='1").count() == 0
+
+
+def test_sort_orders(spark):
+    shop = Shop.from_raw(spark, SF_SMALL)
+    history = [(r.user_id, -r.created_at.timestamp(), -r.order_id) for r in orders.order_history(shop.orders, shop.payments).collect()]
+    assert history == sorted(history)
+    dated = shop.products.withColumn("created_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("product_id") % 7 * 86400))
+    rows = [(r.seller_id, -r.created_at.timestamp(), -r.product_id) for r in sellers.seller_products(dated).collect()]
+    assert rows == sorted(rows) and len({t for _, t, _ in rows}) > 1
+    pending = sellers.seller_pending_orders(shop.orders, shop.order_items, shop.products, shop.users).collect()
+    keys = [(r.seller_id, -r.created_at.timestamp(), -r.order_id) for r in pending]
+    assert keys == sorted(keys)
 
 
 def test_with_defaults(spark):
