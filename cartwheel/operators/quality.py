@@ -21,12 +21,17 @@ UNIQUE_RULES = (
     ("sellers_pk", "sellers", ("seller_id",)),
     ("sellers_email", "sellers", ("email",)),
     ("products_pk", "products", ("product_id",)),
+    ("cart_pk", "cart", ("cart_id",)),
     ("cart_user_product", "cart", ("user_id", "product_id")),
     ("orders_pk", "orders", ("order_id",)),
     ("order_items_pk", "order_items", ("item_id",)),
     ("payments_pk", "payments", ("payment_id",)),
 )
 
+# Primary keys.
+PRIMARY_KEYS = {"users": "user_id", "sellers": "seller_id", "products": "product_id", "cart": "cart_id",
+                "orders": "order_id", "order_items": "item_id", "payments": "payment_id"}
+
 # The nine declared foreign keys (name, child, column, parent, key).
 FOREIGN_KEYS = (
     ("products_seller", "products", "seller_id", "sellers", "seller_id"),
@@ -45,7 +50,7 @@ NOT_NULL = {
     "users": ("user_id", "name", "email", "address", "phone"),
     "sellers": ("seller_id", "name", "email", "phone"),
     "products": ("product_id", "name", "description", "price", "stock", "category", "image_url"),
-    "cart": ("user_id", "product_id", "quantity"),
+    "cart": ("cart_id", "user_id", "product_id", "quantity"),
     "orders": ("order_id", "user_id", "total_amount", "order_status"),
     "order_items": ("item_id", "order_id", "product_id", "quantity", "subtotal"),
     "payments": ("payment_id", "order_id", "user_id", "amount", "payment_status", "payment_method"),
@@ -95,14 +100,16 @@ def dq_unique(tables: dict[str, DataFrame]) -> DataFrame:
 
 def dq_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
     """Per foreign key: child rows with a non-NULL key and those without a
-    parent row (anti join)."""
+    parent row. Children are counted per key before the join, so a key in many
+    rows is one row of it."""
     frames = []
     for name, child, col, parent, pkey in FOREIGN_KEYS:
-        c = tables[child].select(F.col(col).alias("_k")).where(F.col("_k").isNotNull())
+        c = tables[child].select(F.col(col).alias("_k")).where(F.col("_k").isNotNull()) \
+            .groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
         p = tables[parent].select(F.col(pkey).alias("_k")).distinct().withColumn("_hit", F.lit(1))
         frames.append(c.join(p, "_k", "left").agg(
-            F.count(F.lit(1)).alias("child_rows"),
-            F.count_if(F.col("_hit").isNull()).alias("orphan_rows"))
+            F.coalesce(F.sum("_n"), F.lit(0)).alias("child_rows"),
+            F.coalesce(F.sum(F.when(F.col("_hit").isNull(), F.col("_n"))), F.lit(0)).alias("orphan_rows"))
             .select(F.lit(name).alias("rule"), F.lit(child).alias("table_name"), "child_rows", "orphan_rows"))
     return _union(frames)
 
@@ -127,7 +134,7 @@ def _domain_rules(table: str) -> list[tuple[str, F.Column]]:
     for col, limit in S.VARCHAR_LIMITS.get(table, {}).items():
         rules.append((f"{col}_longer_than_{limit}", F.length(F.col(col)) > limit))
     for col in MONEY_COLUMNS.get(table, ()):
-        rules.append((f"{col}_out_of_decimal_10_2", F.abs(F.col(col)) >= F.lit(DECIMAL_LIMIT)))
+        rules.append((f"{col}_out_of_decimal_10_2", F.abs(F.col(col)) >= F.lit(float(DECIMAL_LIMIT))))
     if table == "products":
         rules += [("price_negative", F.col("price") < 0),
                   ("name_empty", F.length(F.trim(F.col("name"))) == 0),
@@ -150,9 +157,8 @@ def dq_domain(tables: dict[str, DataFrame]) -> DataFrame:
             continue
         agg = tables[table].agg(*[F.count_if(F.coalesce(cond, F.lit(False))).alias(n) for n, cond in rules])
         frames.append(_stack(agg, table, [n for n, _ in rules], "violations", "rule"))
-    over = (tables["cart"].select("product_id", "quantity")
-            .join(tables["products"].select("product_id", "stock"), "product_id")
-            .agg(F.count_if(F.col("quantity") > F.col("stock")).alias("quantity_above_stock")))
+    stock = tables["products"].where(F.col("product_id").isNotNull()).groupBy("product_id").agg(F.max("stock").alias("stock"))
+    over = (tables["cart"].select("product_id", "quantity").join(stock, "product_id").agg(F.count_if(F.col("quantity") > F.col("stock")).alias("quantity_above_stock")))
     frames.append(_stack(over, "cart", ["quantity_above_stock"], "violations", "rule"))
     return _union(frames)
 

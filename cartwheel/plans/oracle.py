@@ -8,9 +8,6 @@ exact DECIMAL arithmetic, matching ``registry.portable``.
 
 from __future__ import annotations
 
-from cartwheel.operators import quality as Q
-from cartwheel import schemas as S
-
 BATCH_TS = "TIMESTAMP '2024-02-01 00:00:00'"
 CART_SPLIT_TS = "TIMESTAMP '2024-01-16 00:00:00'"
 
@@ -86,10 +83,14 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         FROM orders o LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS seller_id FROM lineitem GROUP BY l_orderkey) l
           ON l.l_orderkey = o.o_orderkey""", ()),
     "e_items": ("""
-        SELECT l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS quantity,
-               CAST(l_extendedprice AS DECIMAL(10,2)) AS subtotal,
-               l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_shipdate
+        SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+                                  l_shipdate) AS item_id,
+               l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS quantity,
+               CAST(l_extendedprice AS DECIMAL(10,2)) AS subtotal
         FROM lineitem""", ()),
+    "e_listed": ("""
+        SELECT * REPLACE (CASE WHEN product_id % 5 = 1 THEN 0 ELSE stock END AS stock) FROM e_products
+        WHERE product_id % 10 <> 4""", ("e_products",)),
     "e_payments": ("""
         SELECT o_orderkey * 2 AS payment_id, o_orderkey AS order_id, o_custkey AS user_id,
                CAST(o_totalprice AS DECIMAL(10,2)) AS amount,
@@ -280,62 +281,94 @@ ORDER_STATUS_LATEST = with_ctes(f"""
 CART_FOLD = with_ctes("SELECT cart_id, user_id, product_id, quantity, added_at FROM e_cart", "e_cart")
 
 
+# The shop's constraints, written down here once more from its DDL: table ->
+# (key, NOT NULL columns, VARCHAR lengths, DECIMAL(10,2) columns, references).
+DDL = {
+    "users": ("user_id", ["name", "email", "address", "phone"], {"name": 100, "email": 100, "phone": 20}, [], {}),
+    "sellers": ("seller_id", ["name", "email", "phone"], {"name": 100, "email": 100, "phone": 20}, [], {}),
+    "products": ("product_id", ["name", "description", "price", "stock", "category", "image_url"],
+                 {"name": 200, "category": 50, "image_url": 255}, ["price"], {"seller_id": ("products_seller", "sellers")}),
+    "cart": ("cart_id", ["user_id", "product_id", "quantity"], {}, [],
+             {"user_id": ("cart_user", "users"), "product_id": ("cart_product", "products")}),
+    "orders": ("order_id", ["user_id", "total_amount", "order_status"], {"order_status": 20, "seller_approval_status": 20},
+               ["total_amount"], {"user_id": ("orders_user", "users"), "seller_id": ("orders_seller", "sellers")}),
+    "order_items": ("item_id", ["order_id", "product_id", "quantity", "subtotal"], {}, ["subtotal"],
+                    {"order_id": ("order_items_order", "orders"), "product_id": ("order_items_product", "products")}),
+    "payments": ("payment_id", ["order_id", "user_id", "amount", "payment_status", "payment_method"],
+                 {"payment_status": 20, "payment_method": 50}, ["amount"],
+                 {"order_id": ("payments_order", "orders"), "user_id": ("payments_user", "users")}),
+}
+_CLEAN = {"users": "e_users", "sellers": "e_sellers", "products": "e_products", "cart": "e_cart",
+          "orders": "e_orders", "order_items": "e_items", "payments": "e_payments"}
+_ALL = tuple(_CLEAN.values())
+
+
+def _incoming(table: str) -> str:
+    """The table with its bad copies (see sources/incoming.py)."""
+    key, required, text, money, refs = DDL[table]
+    src = _CLEAN[table]
+    as_double = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in money)
+    wide = f"SELECT * REPLACE ({as_double}) FROM {src}" if money else f"SELECT * FROM {src}"
+
+    def copy(residue, changes):
+        moved = [f"{key} + {residue} * 1000000000000 AS {key}"] + [f"{v} AS {c}" for c, v in changes.items()]
+        return f"SELECT * REPLACE ({', '.join(moved)}) FROM w WHERE {key} % 50 = {residue}"
+
+    parts = ["SELECT * FROM w", f"SELECT * FROM w WHERE {key} % 50 = 8", copy(12, {c: "NULL" for c in required}),
+             f"SELECT * REPLACE (NULL AS {key}) FROM w WHERE {key} % 50 = 14", copy(22, {c: "-1" for c in refs})]
+    if text:
+        parts.append(copy(16, {c: f"repeat('x', {n + 1})" for c, n in text.items()}))
+    if money:
+        parts.append(copy(18, {c: "1e9" for c in money}))
+    if table == "products":
+        parts.append(copy(32, {"price": "-1.0", "name": "'  '", "description": "''", "image_url": "'https://example.com/x.jpg'"}))
+    if table in ("cart", "order_items"):
+        parts += [copy(32, {"quantity": "0"}), copy(34, {"quantity": "1000000"})]
+    return f"WITH w AS ({wide}) " + " UNION ALL ".join(parts)
+
+
+for _t, _src in _CLEAN.items():
+    CTES[f"i_{_t}"] = (_incoming(_t), (_src,))
+_INCOMING = tuple(f"i_{t}" for t in DDL)
+
+
 def _dq_unique() -> str:
+    rules = [(f"{t}_pk", t, [d[0]]) for t, d in DDL.items()] + [
+        ("users_email", "users", ["lower(trim(email))"]), ("sellers_email", "sellers", ["lower(trim(email))"]),
+        ("cart_user_product", "cart", ["user_id", "product_id"])]
     parts = []
-    for name, table, cols in Q.UNIQUE_RULES:
-        src = {"users": "e_users", "sellers": "e_sellers", "products": "e_products", "cart": "e_cart",
-               "orders": "e_orders", "order_items": "e_items", "payments": "e_payments"}[table]
-        if table == "order_items":
-            keys = ["order_id", "l_linenumber", "product_id", "l_suppkey", "l_quantity", "l_extendedprice",
-                    "l_shipdate"]
-        else:
-            keys = [f"lower(trim({c}))" if c == "email" else c for c in cols]
-        key_list = ", ".join(keys)
-        not_null = " AND ".join(f"{k} IS NOT NULL" for k in keys) if table != "order_items" else "TRUE"
+    for name, table, keys in rules:
         parts.append(f"""
         SELECT '{name}' AS rule, '{table}' AS table_name, CAST(count(*) AS BIGINT) AS duplicate_keys,
                CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS excess_rows
-        FROM (SELECT {key_list}, count(*) AS n FROM {src} WHERE {not_null} GROUP BY {key_list}
-              HAVING count(*) > 1) d""")
-    return with_ctes(" UNION ALL ".join(parts), "e_users", "e_sellers", "e_products", "e_cart", "e_orders",
-                     "e_items", "e_payments")
-
-
-_SRC = {"users": "e_users", "sellers": "e_sellers", "products": "e_products", "cart": "e_cart",
-        "orders": "e_orders", "order_items": "e_items", "payments": "e_payments"}
-_ALL = tuple(_SRC.values())
+        FROM (SELECT count(*) AS n FROM i_{table} WHERE {' AND '.join(f'{k} IS NOT NULL' for k in keys)}
+              GROUP BY {', '.join(keys)} HAVING count(*) > 1) d""")
+    return with_ctes(" UNION ALL ".join(parts), *_INCOMING)
 
 
 def _dq_fk() -> str:
     parts = []
-    for name, child, col, parent, pkey in Q.FOREIGN_KEYS:
-        parts.append(f"""
+    for child, (*_, refs) in DDL.items():
+        for col, (name, parent) in refs.items():
+            parts.append(f"""
         SELECT '{name}' AS rule, '{child}' AS table_name, CAST(count(*) AS BIGINT) AS child_rows,
                CAST(count(*) FILTER (WHERE p.k IS NULL) AS BIGINT) AS orphan_rows
-        FROM {_SRC[child]} c LEFT JOIN (SELECT DISTINCT {pkey} AS k FROM {_SRC[parent]}) p ON p.k = c.{col}
+        FROM i_{child} c LEFT JOIN (SELECT DISTINCT {DDL[parent][0]} AS k FROM i_{parent}) p ON p.k = c.{col}
         WHERE c.{col} IS NOT NULL""")
-    return with_ctes(" UNION ALL ".join(parts), *_ALL)
+    return with_ctes(" UNION ALL ".join(parts), *_INCOMING)
 
 
 def _dq_not_null() -> str:
-    parts = []
-    for table, cols in Q.NOT_NULL.items():
-        for c in cols:
-            expr = "count(*) FILTER (WHERE FALSE)" if (table, c) == ("order_items", "item_id") \
-                else f"count(*) FILTER (WHERE {c} IS NULL)"
-            parts.append(f"SELECT '{table}' AS table_name, '{c}' AS column_name, "
-                         f"CAST({expr} AS BIGINT) AS null_rows FROM {_SRC[table]}")
-    return with_ctes(" UNION ALL ".join(parts), *_ALL)
+    return with_ctes(" UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS null_rows "
+        f"FROM i_{t}" for t, (key, required, *_) in DDL.items() for c in (key, *required)), *_INCOMING)
 
 
 def _dq_domain() -> str:
     parts = []
-    for table in ("users", "sellers", "products", "orders", "order_items", "payments", "cart"):
-        rules = []
-        for col, limit in S.VARCHAR_LIMITS.get(table, {}).items():
-            rules.append((f"{col}_longer_than_{limit}", f"length({col}) > {limit}"))
-        for col in Q.MONEY_COLUMNS.get(table, ()):
-            rules.append((f"{col}_out_of_decimal_10_2", f"abs({col}) >= 100000000"))
+    for table, (_, _, text, money, _) in DDL.items():
+        rules = [(f"{c}_longer_than_{n}", f"length({c}) > {n}") for c, n in text.items()]
+        rules += [(f"{c}_out_of_decimal_10_2", f"abs({c}) >= 100000000") for c in money]
         if table == "products":
             rules += [("price_negative", "price < 0"), ("name_empty", "length(trim(name)) = 0"),
                       ("description_empty", "length(trim(description)) = 0"),
@@ -344,11 +377,11 @@ def _dq_domain() -> str:
             rules.append(("quantity_below_1", "quantity < 1"))
         for rule, cond in rules:
             parts.append(f"SELECT '{table}' AS table_name, '{rule}' AS rule, "
-                         f"CAST(count(*) FILTER (WHERE {cond}) AS BIGINT) AS violations FROM {_SRC[table]}")
+                         f"CAST(count(*) FILTER (WHERE {cond}) AS BIGINT) AS violations FROM i_{table}")
     parts.append("SELECT 'cart' AS table_name, 'quantity_above_stock' AS rule, "
-                 "CAST(count(*) FILTER (WHERE c.quantity > p.stock) AS BIGINT) AS violations "
-                 "FROM e_cart c JOIN e_products p ON p.product_id = c.product_id")
-    return with_ctes(" UNION ALL ".join(parts), *_ALL)
+                 "CAST(count(*) FILTER (WHERE c.quantity > p.stock) AS BIGINT) AS violations FROM i_cart c "
+                 "JOIN (SELECT product_id, max(stock) AS stock FROM i_products GROUP BY product_id) p ON p.product_id = c.product_id")
+    return with_ctes(" UNION ALL ".join(parts), *_INCOMING)
 
 
 REGISTRATIONS = with_ctes("""
@@ -425,22 +458,23 @@ SQL: dict[str, str] = {
                     WHEN p.stock IS NULL THEN 'not_found'
                     WHEN p.stock < e.value THEN 'not_enough_stock' ELSE 'ok' END AS check_status,
                coalesce(c.quantity > p.stock, false) AS cart_exceeds_stock
-        FROM e_cart_events e LEFT JOIN e_products p ON p.product_id = e.product_id
+        FROM e_cart_events e LEFT JOIN e_listed p ON p.product_id = e.product_id
         LEFT JOIN e_cart c ON c.user_id = e.user_id AND c.product_id = e.product_id
-        WHERE e.op = 'add'""", "e_cart_events", "e_products", "e_cart"),
+        WHERE e.op = 'add'""", "e_cart_events", "e_listed", "e_cart"),
     "cart_cascade": with_ctes("""
         SELECT c.user_id, c.product_id, c.quantity FROM e_cart c
-        WHERE EXISTS (SELECT 1 FROM e_users u WHERE u.user_id = c.user_id)
-          AND EXISTS (SELECT 1 FROM e_products p WHERE p.product_id = c.product_id)""",
-                               "e_cart", "e_users", "e_products"),
+        WHERE EXISTS (SELECT 1 FROM e_known_users u WHERE u.user_id = c.user_id)
+          AND EXISTS (SELECT 1 FROM e_listed p WHERE p.product_id = c.product_id)""",
+                               "e_cart", "e_known_users", "e_listed"),
     "cart_event_rejects": with_ctes("""
         SELECT event_id, user_id, event_type,
                CASE WHEN op <> 'clear' AND product_id IS NULL THEN 'bad_product_id' ELSE 'bad_quantity' END AS reason
         FROM e_cart_all WHERE (op <> 'clear' AND product_id IS NULL) OR bad_quantity""", "e_cart_all"),
     "checkout_orders": with_ctes(f"SELECT {ORDER_COLS} FROM e_new_orders o", "e_new_orders"),
     "checkout_lines": with_ctes("""
-        SELECT o.order_id, p.user_id, p.product_id, p.quantity, CAST(p.line_subtotal AS DOUBLE) AS subtotal
-        FROM e_priced p JOIN e_new_orders o ON o.user_id = p.user_id""", "e_priced", "e_new_orders"),
+        SELECT (SELECT max(item_id) FROM e_items) + row_number() OVER (ORDER BY o.order_id, p.product_id) AS item_id,
+               o.order_id, p.user_id, p.product_id, p.quantity, CAST(p.line_subtotal AS DOUBLE) AS subtotal
+        FROM e_priced p JOIN e_new_orders o ON o.user_id = p.user_id""", "e_priced", "e_new_orders", "e_items"),
     "payments_autocreate": with_ctes(f"""
         SELECT CAST((SELECT coalesce(max(payment_id), 0) FROM e_payments)
                     + row_number() OVER (ORDER BY order_id) AS BIGINT) AS payment_id,
@@ -634,14 +668,15 @@ SQL: dict[str, str] = {
     "dq_not_null": _dq_not_null(),
     "dq_domain": _dq_domain(),
     "dq_order_totals": with_ctes("""
-        SELECT o.order_id, CAST(o.total_amount AS DOUBLE) AS total_amount, CAST(l.lines_total AS DOUBLE) AS lines_total,
-               CASE WHEN l.lines_total IS NULL THEN 'no_lines'
-                    WHEN o.total_amount = l.lines_total THEN 'equal'
-                    WHEN o.total_amount = round(l.lines_total * 1.1, 2) THEN 'with_tax'
-                    ELSE 'mismatch' END AS total_check
-        FROM e_orders o
-        LEFT JOIN (SELECT order_id, CAST(sum(subtotal) AS DECIMAL(18,2)) AS lines_total FROM e_items
-                   GROUP BY order_id) l ON l.order_id = o.order_id""", "e_orders", "e_items"),
+        WITH l AS (SELECT order_id, CAST(sum(subtotal) AS DECIMAL(18,2)) AS lines_total FROM e_items GROUP BY order_id),
+        r AS (SELECT o.order_id, l.lines_total,
+                     CAST(coalesce(CASE o.order_id % 50 WHEN 21 THEN l.lines_total WHEN 23 THEN round(l.lines_total * 1.1, 2) END,
+                                   o.total_amount) AS DECIMAL(18,2)) AS total_amount
+              FROM e_orders o LEFT JOIN l ON l.order_id = o.order_id)
+        SELECT order_id, CAST(total_amount AS DOUBLE) AS total_amount, CAST(lines_total AS DOUBLE) AS lines_total,
+               CASE WHEN lines_total IS NULL THEN 'no_lines' WHEN total_amount = lines_total THEN 'equal'
+                    WHEN total_amount = round(lines_total * 1.1, 2) THEN 'with_tax' ELSE 'mismatch' END AS total_check
+        FROM r""", "e_orders", "e_items"),
     # Stream twins: the streaming job must end where the batch query ends.
     "stream_cart": CART_FOLD,
     "stream_payments": with_ctes("""

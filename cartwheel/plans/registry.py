@@ -22,6 +22,7 @@ from cartwheel.functions.money import DEFAULT_TAX_RATE
 from cartwheel.functions.text import wall_clock
 from cartwheel.sources import feeds
 from cartwheel.sources.entities import Shop
+from cartwheel.sources.incoming import incoming_tables, retotalled
 
 # Fixed run parameters: the batch clock of set-based jobs (CURRENT_TIMESTAMP
 # as a parameter, so reruns are identical) and the point where the stored
@@ -127,7 +128,7 @@ def q_cart_upsert(spark, sf):
 
 def q_cart_stock_check(spark, sf):
     s = _shop(spark, sf)
-    return cart.stock_check(s.cart_events.where(F.col("op") == "add"), s.products, s.cart)
+    return cart.stock_check(s.cart_events.where(F.col("op") == "add"), feeds.listed_products(s.products), s.cart)
 
 
 def q_cart_event_rejects(spark, sf):
@@ -136,7 +137,7 @@ def q_cart_event_rejects(spark, sf):
 
 def q_cart_cascade(spark, sf):
     s = _shop(spark, sf)
-    return cart.cascade_cart(s.cart, s.users, s.products).select("user_id", "product_id", "quantity")
+    return cart.cascade_cart(s.cart, feeds.known_users(s.users), feeds.listed_products(s.products)).select("user_id", "product_id", "quantity")
 
 
 # Checkout ----------------------------------------------------------------------
@@ -156,8 +157,7 @@ def q_checkout_orders_untaxed(spark, sf):
 
 
 def q_checkout_lines(spark, sf):
-    # item_id continues a hash-keyed range, so it is left out of the comparison
-    return _checkout(spark, sf).lines.select("order_id", "user_id", "product_id", "quantity", "subtotal")
+    return _checkout(spark, sf).lines.select("item_id", "order_id", "user_id", "product_id", "quantity", "subtotal")
 
 
 def q_payments_autocreate(spark, sf):
@@ -198,12 +198,12 @@ def q_order_history(spark, sf):
 
 def q_order_items_detail(spark, sf):
     s = _shop(spark, sf)
-    return orders.order_items_detail(s.order_items, s.products)
+    return orders.order_items_detail(s.order_lines, s.products)
 
 
 def q_order_history_nested(spark, sf):
     s = _shop(spark, sf)
-    n = orders.order_history_nested(s.orders, s.order_items, s.products)
+    n = orders.order_history_nested(s.orders, s.order_lines, s.products)
     return n.select("order_id", "user_id",
                     # size(NULL) is -1 when ANSI mode is off: test for NULL first
                     F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items"))
@@ -254,7 +254,7 @@ def q_seller_products(spark, sf):
 
 def q_seller_pending_orders(spark, sf):
     s = _shop(spark, sf)
-    return sellers.seller_pending_orders(s.orders, s.order_items, s.products, s.users)
+    return sellers.seller_pending_orders(s.orders, s.order_lines, s.products, s.users)
 
 
 def q_seller_dashboard_view(spark, sf):
@@ -264,7 +264,7 @@ def q_seller_dashboard_view(spark, sf):
 
 def q_seller_orders_view(spark, sf):
     s = _shop(spark, sf)
-    return sellers.seller_orders_view(s.orders, s.payments, s.order_items, s.products, s.users)
+    return sellers.seller_orders_view(s.orders, s.payments, s.order_lines, s.products, s.users)
 
 
 def q_order_customer_detail(spark, sf):
@@ -354,24 +354,24 @@ def q_product_search_catalogue(spark, sf):
 # Data quality --------------------------------------------------------------------
 
 def q_dq_unique(spark, sf):
-    return quality.dq_unique(_tables(_shop(spark, sf)))
+    return quality.dq_unique(incoming_tables(_tables(_shop(spark, sf))))
 
 
 def q_dq_foreign_keys(spark, sf):
-    return quality.dq_foreign_keys(_tables(_shop(spark, sf)))
+    return quality.dq_foreign_keys(incoming_tables(_tables(_shop(spark, sf))))
 
 
 def q_dq_not_null(spark, sf):
-    return quality.dq_not_null(_tables(_shop(spark, sf)))
+    return quality.dq_not_null(incoming_tables(_tables(_shop(spark, sf))))
 
 
 def q_dq_domain(spark, sf):
-    return quality.dq_domain(_tables(_shop(spark, sf)))
+    return quality.dq_domain(incoming_tables(_tables(_shop(spark, sf))))
 
 
 def q_dq_order_totals(spark, sf):
     s = _shop(spark, sf)
-    return quality.dq_order_totals(s.orders, s.order_items)
+    return quality.dq_order_totals(retotalled(s.orders, s.order_lines), s.order_lines)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -61,12 +61,6 @@ ENTITY_SCHEMAS = {
     "orders": ORDERS, "order_items": ORDER_ITEMS, "payments": PAYMENTS,
 }
 
-PRIMARY_KEYS = {
-    "users": ["user_id"], "sellers": ["seller_id"], "products": ["product_id"],
-    "cart": ["user_id", "product_id"], "orders": ["order_id"],
-    "order_items": ["item_id"], "payments": ["payment_id"],
-}
-
 # Change feeds ---------------------------------------------------------------
 
 CART_EVENTS = T.StructType([
@@ -92,22 +86,15 @@ PRODUCT_CHANGES = T.StructType([
 ])
 
 CHECKOUT_REQUESTS = T.StructType([
-    _f("user_id", KEY), _f("payment_method", T.StringType(), True),
+    _f("request_id", KEY), _f("user_id", KEY), _f("payment_method", T.StringType(), True),
 ])
 
 PAYMENT_METHOD_CHANGES = T.StructType([
-    _f("order_id", KEY), _f("payment_method", T.StringType()),
+    _f("event_id", KEY), _f("ts", TS), _f("order_id", KEY), _f("payment_method", T.StringType()),
 ])
 
 SEARCH_TERMS = T.StructType([_f("term", T.StringType())])
 
-# Canonical spellings of the status enumerations and the
-# payment methods offered at checkout (same text as the shop's forms/SQL).
-ORDER_STATUSES = ("Pending", "Processing", "Shipped", "Cancelled")
-APPROVAL_STATUSES = ("Pending", "Approved", "Rejected")
-PAYMENT_STATUSES = ("Pending", "Completed")
-PAYMENT_METHODS = ("Credit Card", "Debit Card", "PayPal", "Pay on Delivery", "Not Specified")
-
 # Column defaults declared by the shop's DDL.
 DEFAULT_STOCK = 0
 DEFAULT_CART_QUANTITY = 1

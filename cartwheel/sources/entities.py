@@ -17,6 +17,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartwheel.functions.keys import dense_ids
 from cartwheel import schemas as S
 from cartwheel.sources import feeds
 from cartwheel.sources.raw import read_raw
@@ -96,18 +97,27 @@ def orders_from_raw(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
                      .otherwise(F.col("_s")).alias("seller_id")))
 
 
-def order_items_from_raw(lineitem: DataFrame) -> DataFrame:
-    # lineitem has no key ((orderkey, linenumber) repeats), so item_id is a
-    # 62-bit hash of the whole row: stable across recomputation.
-    row_hash = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                          "l_quantity", "l_extendedprice", "l_shipdate")
+LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+
+
+def order_lines_from_raw(lineitem: DataFrame) -> DataFrame:
+    """ORDER_ITEMS rows without their key."""
     return lineitem.select(
-        row_hash.bitwiseAND(F.lit((1 << 62) - 1)).alias("item_id"),
         F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
         F.col("l_quantity").cast("int").alias("quantity"),
         F.col("l_extendedprice").cast(S.MONEY).alias("subtotal"))
 
 
+def order_items_from_raw(lineitem: DataFrame) -> DataFrame:
+    """lineitem has no key ((orderkey, linenumber) repeats): item ids number its
+    rows by order, then by everything else, so equal rows have ids of their own."""
+    keyed = dense_ids(lineitem.select(*LINE_ORDER), "l_orderkey", F.lit(0), "item_id", order=LINE_ORDER)
+    return keyed.select(
+        "item_id", F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+        F.col("l_extendedprice").cast(S.MONEY).alias("subtotal"))
+
+
 def payments_from_raw(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     base = orders.select(
@@ -226,6 +236,12 @@ class Shop:
     def order_items(self) -> DataFrame:
         return self._entity("order_items", lambda: order_items_from_raw(self.raw("lineitem")))
 
+    @cached_property
+    def order_lines(self) -> DataFrame:
+        """order_items without item_id, for reports that don't need the key."""
+        return (self.order_items if self.database or self.tables_dir else order_lines_from_raw(self.raw("lineitem"))) \
+            .select("order_id", "product_id", "quantity", "subtotal")
+
     @cached_property
     def payments(self) -> DataFrame:
         return self._entity("payments", lambda: payments_from_raw(self.raw("orders")))

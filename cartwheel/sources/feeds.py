@@ -28,7 +28,7 @@ REPEATED_NEW_EVERY = 14         # of those, the ones sending the new e-mail twic
 EDIT_EVERY, DELETE_EVERY, ADD_EVERY = 11, 13, 17
 BAD_PRODUCT_EVERY, BAD_QUANTITY_EVERY = 97, 89
 NO_EMAIL_EVERY, UNKNOWN_OP_EVERY, NO_KEY_EVERY, REPEATED_ADD_EVERY = 21, 19, 34, 51
-UNKNOWN_USER_EVERY = 10
+UNKNOWN_USER_EVERY, WITHDRAWN_EVERY, SOLD_OUT_EVERY = 10, 10, 5
 NO_EMAIL_OFFSET = 1_000_000_000_000
 CHANGE_OFFSET = 1_000_000_000_000
 MAX_INT = 2147483647
@@ -101,6 +101,12 @@ def known_users(users: DataFrame) -> DataFrame:
     return users.where(F.col("user_id") % UNKNOWN_USER_EVERY != 3)
 
 
+def listed_products(products: DataFrame) -> DataFrame:
+    """The catalogue after some products have been withdrawn and some sold out."""
+    return products.where(F.col("product_id") % WITHDRAWN_EVERY != 4) \
+        .withColumn("stock", F.when(F.col("product_id") % SOLD_OUT_EVERY == 1, 0).otherwise(F.col("stock")))
+
+
 def registrations_from_raw(customer: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
     email = F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit(""))), F.lit("@example.com"))

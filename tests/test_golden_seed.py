@@ -55,9 +55,10 @@ def test_clear_then_add(spark):
 
 
 def _checkout(spark, tax=D("0.1")):
-    req = spark.createDataFrame([(1, None)], "user_id long, payment_method string")
+    # user 2's cart and request are there, but no such user: no order
+    req = spark.createDataFrame([(1, 1, "PayPal"), (2, 1, None), (3, 2, None)], "request_id long, user_id long, payment_method string")
     return checkout.checkout(seed.cart(spark), seed.products(spark), seed.orders(spark), seed.order_items(spark),
-                             seed.payments(spark), req, dt.datetime(2024, 3, 6), tax_rate=tax)
+                             seed.payments(spark), req, dt.datetime(2024, 3, 6), seed.users(spark), tax_rate=tax)
 
 
 def test_checkout_user_1(spark):
@@ -127,15 +128,20 @@ def test_product_changes_owner_rules(spark):
         (4, "delete", 4, 2, None, None, None, None, None),
         (5, "add", 13, 1, "Pixel", "phone", D("499.00"), "Electronics", None),
         (6, "add", 14, 1, "NoCat", "x", D("1.00"), None, None),
+        (7, "add", None, 1, "Keyless", "x", D("2.00"), "Home", None),
+        (8, "add", 13, 1, "Pixel again", "phone", D("1.00"), "Electronics", None),
+        (9, "EDIT", 1, 1, "shouted", None, None, None, None),
+        (10, "edit", 3, 1, "deleted anyway", None, None, None, None),
     ], seed.S.PRODUCT_CHANGES)
     nxt, rej = sellers.apply_product_changes(seed.products(spark), ch)
     rows = {r.product_id: r for r in nxt.collect()}
     assert rows[1].name == "iPhone 14" and rows[1].price == D("1099.99")
     assert rows[2].name == "Samsung Galaxy S21"
     assert 3 not in rows and 4 in rows
-    assert rows[13].stock == 0 and 14 not in rows
+    assert rows[13].stock == 0 and rows[13].name == "Pixel" and rows[15].name == "Keyless" and len(rows) == 13
     assert {(r.change_id, r.reason) for r in rej.collect()} == {
-        (2, "not_owner_or_missing"), (4, "not_owner_or_missing"), (6, "missing_category")}
+        (2, "not_owner_or_missing"), (4, "not_owner_or_missing"), (6, "missing_category"),
+        (8, "duplicate_key"), (9, "unknown_op")}
 
 
 def test_literal_seller_assign(spark):

@@ -41,3 +41,19 @@ def test_cart_event_rejects_flag_unparsable_products(spark):
     assert sorted(r.event_id for r in cart_event_rejects(raw).collect()) == [2, 3]
     assert sorted((r.event_id, r.product_id) for r in cart_events_from_raw(raw).collect()) == \
         [(1, 3), (2, None), (3, None), (4, None)]
+
+
+def test_every_constraint_is_broken_somewhere():
+    """The reports would be green on clean data whatever they did. (That the
+    engine reports the same rows is what the oracle test checks.)"""
+    import os
+    import sys
+    from conftest import ROOT, SF_MID
+    sys.path.insert(0, os.path.join(ROOT, "tools"))
+    import check_oracle
+    from cartwheel.plans.oracle import SQL
+    con = check_oracle.duck(SF_MID)
+    for query in ("dq_unique", "dq_foreign_keys", "dq_not_null", "dq_domain"):
+        assert all(row[-1] > 0 for row in con.execute(SQL[query]).fetchall()), query
+    classes = {row[-1] for row in con.execute(SQL["dq_order_totals"]).fetchall()}
+    assert {"equal", "with_tax", "mismatch"} <= classes

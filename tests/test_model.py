@@ -124,6 +124,8 @@ def test_checkout_conservation(spark):
     top = shop.orders.agg(F.max("order_id")).collect()[0][0]
     assert ids == list(range(top + 1, top + 1 + len(ids)))
     assert r.cart_after.join(r.orders, "user_id", "left_semi").count() == 0
+    known = {x.user_id for x in registry.feeds.known_users(shop.users).collect()}
+    assert {x.user_id for x in r.orders.collect()} <= known
     items = [(x.order_id, x.product_id, x.item_id) for x in r.lines.collect()]
     top_item = shop.order_items.agg(F.max("item_id")).collect()[0][0]
     assert [i for _, _, i in sorted(items)] == list(range(top_item + 1, top_item + 1 + len(items)))

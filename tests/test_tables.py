@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from conftest import SF_SMALL
 from cartwheel.operators import checkout, orders
 from cartwheel.plans import registry
@@ -27,14 +29,16 @@ def test_materialised_entities_answer_the_same(spark):
 def test_checkout_writer_publishes_all_or_nothing(spark):
     s = Shop.from_raw(spark, SF_SMALL)
     r = checkout.checkout(s.cart, s.products, s.orders, s.order_items, s.payments, s.checkout_requests,
-                          registry.BATCH_TS)
+                          registry.BATCH_TS, s.users)
     out = scratch_path(spark, "test-checkout")
-    checkout.write_checkout(r, out)
-    names = set(os.listdir(local_fs_path(out)))
-    assert {"orders", "lines", "payments", "stock", "cart_after", "_PUBLISHED"} <= names
-    assert spark.read.parquet(f"{out}/lines").columns == ["item_id", "order_id", "product_id", "quantity",
-                                                          "subtotal"]
-    assert spark.read.parquet(f"{out}/orders").count() == r.orders.count()
+    first, run = checkout.write_checkout(r, out), checkout.write_checkout(r, out)      # a retry doesn't meet the first run
+    assert first != run and set(os.listdir(local_fs_path(run))) >= {*checkout.CHECKOUT_TABLES, "_PUBLISHED"}
+    tables = checkout.read_checkout(spark, run)
+    assert tables["lines"].columns == ["item_id", "order_id", "product_id", "quantity", "subtotal"]
+    assert tables["orders"].count() == r.orders.count()
+    os.rename(os.path.join(local_fs_path(first), "_PUBLISHED"), os.path.join(local_fs_path(first), "x"))
+    with pytest.raises(Exception):
+        checkout.read_checkout(spark, first)
 
 
 def test_bucketed_tables_join_without_shuffle(spark):
