@@ -215,18 +215,19 @@ def covered(texts: Texts, answers: pa.Table, window: int) -> list[np.ndarray]:
 
 def _dedup(docs: DataFrame, emit, output: pa.Schema, output_ddl: str, window: int, id_col: str, text_col: str) -> DataFrame:
     """The three passes; ``emit(group, texts, removed)`` makes the output rows."""
-    parts = BUCKETS_PER_PARTITION * shuffle_width(docs.sparkSession)
+    segments = shuffle_width(docs.sparkSession)
+    parts = BUCKETS_PER_PARTITION * segments
     bucketed = docs.withColumn("_bucket", F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(parts)).cast("int")) \
         .withColumn(text_col, F.col(text_col).cast("string")).repartition("_bucket")
 
     def sketch(group: pa.Table) -> pa.Table:
-        return partition_sketch(Texts(group, window, id_col, text_col, True, False), group.column("_bucket")[0].as_py(), parts)
+        return partition_sketch(Texts(group, window, id_col, text_col, True, False), group.column("_bucket")[0].as_py(), segments)
 
     def prints(group: pa.Table, flagged: pa.Table) -> pa.Table:
         if not len(group) or not len(flagged):
             return _PRINTS.empty_table()
         return send_prints(Texts(group, window, id_col, text_col, True, True), concat_binary(flagged.column("anchors"), "<u8"),
-                           group.column("_bucket")[0].as_py(), parts)
+                           group.column("_bucket")[0].as_py(), segments)
 
     def apply(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(group):
