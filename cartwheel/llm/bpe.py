@@ -2,7 +2,7 @@
 
 A text is cut into chunks of whole words where a rolling hash over the last
 ``ROLL`` words ends in zeros, so equal passages in different documents are cut
-at the same places. A chunk is encoded once and kept in the worker's bounded
+at the same places. A chunk is encoded once and kept in the task's bounded
 cache; every document that contains it takes the ids from there. The cut is at
 white space, but that alone proves nothing about a tokenizer: each join of two
 chunks is re-encoded with a few words from both sides, and the two chunks'
@@ -11,7 +11,7 @@ reaches the whole of both chunks these are merged and encoded as one.
 
 Documents stay where they are read: one narrow stage, no shuffle. Memory is one
 batch of texts plus the cache (``CACHE_BYTES``). Chunks are shared by the
-documents that one worker process sees; shipping every distinct chunk through a
+documents of one task; shipping every distinct chunk through a
 shuffle to encode it once in the whole cluster would move more bytes than the
 texts have.
 
@@ -70,6 +70,11 @@ class ChunkEncoder:
         self.held = self.encoded = self.reused = self.merged = 0
         self.joins_by_space = tokenizer.decoder is None
 
+    def forget(self) -> None:
+        """Empty the caches (a worker outlives its tasks)."""
+        self.chunks, self.held = {}, 0
+        self.word_ids, self.word_texts, self.silent = {}, {}, set()
+
     def library(self, texts: list[bytes]) -> list[Encoded]:
         """(ids, decoded) of each text straight from the library."""
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
@@ -238,5 +243,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, outputs: tuple[str, ...]
                 arrays = [pa.array([value(*e) for e in encoded], type=kind) for kind, _, value in made]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(group)), *arrays], ["doc_id", *outputs])
                 at += len(group)
+        encoder.forget()
 
     return rows.mapInArrow(run, ", ".join([f"doc_id {id_type}", *(f"{o} {m[1]}" for o, m in zip(outputs, made))]))
