@@ -22,32 +22,34 @@ def incoming(df: DataFrame, key: str, required: tuple[str, ...], text: dict[str,
              references: tuple[str, ...]) -> DataFrame:
     """``df`` and its bad copies."""
     wide = df.withColumns({c: F.col(c).cast("double") for c in money})
-    k = F.col(key)
-
-    def copy(residue: int, **changes) -> DataFrame:
-        moved = wide.where(k % BAD_EVERY == residue).withColumns(changes)
-        return moved.withColumn(key, k + residue * KEY_STEP).select(*wide.columns)
-
-    kinds = dict(wide.dtypes)
-    null = {c: F.lit(None).cast(kinds[c]) for c in required if c != key}
-    parts = [wide.where(k % BAD_EVERY == TWICE), copy(NULLS, **null),
-             wide.where(k % BAD_EVERY == NO_KEY).withColumn(key, F.lit(None).cast("long")),
-             copy(ORPHAN, **{c: F.lit(-1).cast("long") for c in references})]
+    kinds, k = dict(wide.dtypes), F.col(key)
+    changes: dict[int, dict[str, F.Column]] = {
+        TWICE: {}, NO_KEY: {}, NULLS: {c: F.lit(None).cast(kinds[c]) for c in required if c != key},
+        ORPHAN: {c: F.lit(-1).cast("long") for c in references}}
     if text:
-        parts.append(copy(LONG, **{c: F.repeat(F.lit("x"), n + 1) for c, n in text.items()}))
+        changes[LONG] = {c: F.repeat(F.lit("x"), n + 1) for c, n in text.items()}
     if money:
-        parts.append(copy(RANGE, **{c: F.lit(1e9) for c in money}))
-    below = {"quantity": F.lit(0)} if "quantity" in wide.columns else {}
-    if "price" in wide.columns:
-        below |= {"price": F.lit(-1.0), "name": F.lit("  "), "description": F.lit(""), "image_url": F.lit("https://example.com/x.jpg")}
-    if below:
-        parts.append(copy(NEGATIVE, **below))
-    if "quantity" in wide.columns:
-        parts.append(copy(TOO_MANY, quantity=F.lit(1_000_000)))
-    out = wide
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+        changes[RANGE] = {c: F.lit(1e9) for c in money}
+    if "quantity" in kinds:
+        changes[NEGATIVE], changes[TOO_MANY] = {"quantity": F.lit(0)}, {"quantity": F.lit(1_000_000)}
+    if "price" in kinds:
+        changes[NEGATIVE] = {"price": F.lit(-1.0), "name": F.lit("  "), "description": F.lit(""),
+                             "image_url": F.lit("https://example.com/x.jpg")}
+    # One pass: a row comes out as it is and, by its key, once more in a bad form.
+    form = (k % BAD_EVERY).cast("int")
+    out = wide.withColumn("_form", F.explode(F.when(form.isin(list(changes)), F.array(F.lit(0), form)).otherwise(F.array(F.lit(0)))))
+
+    def value(column: str) -> F.Column:
+        c = F.col(column)
+        if column == key:
+            return F.when(F.col("_form") == NO_KEY, F.lit(None).cast("long")) \
+                .when(F.col("_form").isin(0, TWICE), c).otherwise(c + F.col("_form") * F.lit(KEY_STEP))
+        for number, put in changes.items():
+            if column in put:
+                c = F.when(F.col("_form") == number, put[column]).otherwise(c)
+        return c.alias(column)
+
+    return out.select(*[value(c).alias(c) for c in wide.columns])
 
 
 def incoming_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
