@@ -23,15 +23,15 @@ key. At most H segments of a linked pair differ, which gives two schemes:
 A cost model over measured sizes and token frequencies allocates one of the two
 to each group (long keys pay in small groups of much-repeated tokens).
 
-Candidates. Sets that share a key make a candidate group. Round 1 takes every
-set's best partner (most shared keys with the smallest id of a group); its links
-make components. Round 2 takes all pairs of sets that share a key and are in
-different components yet, so a group of near copies is joined by one link a set
-and its pairs are never listed, and no link between components is lost.
-
-Verification. First a lower bound of the symmetric difference from small
-histograms of the token hashes (exact: it never drops a link); what is left is
-counted on whole sets (array_intersect). Only sets in such pairs are read out,
+Candidates. Sets that share a key make a candidate group. Round 1 pairs every
+set with the smallest id of each of its groups; its links make components. Round
+2 takes all pairs of sets that share a key and are in different components yet,
+so the pairs inside a group of near copies are never listed, and no link between
+components is lost.
+
+Verification. First a lower bound of the symmetric difference from a bitmap of
+two to four bits per token (it never drops a link); what is left is counted on whole
+sets (array_intersect). Only sets in such pairs are read out,
 through a bitmap of their ids with a fixed number of bits.
 
 Copies. Equal sets are one node (its smallest id): 128-bit fingerprints, grouped.
@@ -66,8 +66,8 @@ SKETCH_BITS = 18             # cells of the document frequency sketch
 HOT = 4                      # a token counts as common from so many times the mean cell
 BLOCK = 1024                 # members of a candidate group compared in one go
 ID_BITS = 27                 # bitmap of ids whose sets are read out: 16 MB
-FLUSH_KEYS = 1 << 21
-SEGMENTS_PER_PARTITION = 4
+FLUSH_KEYS = 1 << 20
+SEGMENTS_PER_PARTITION = 2
 
 
 class Bounds:
@@ -116,22 +116,27 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def profile(tokens: np.ndarray) -> bytes:
-    """Histogram of the tokens' leading bits, about three tokens a cell."""
-    bits = min(10, max(5, (len(tokens) // 3).bit_length()))
-    cells = np.bincount((mix(tokens) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return np.minimum(cells, 255).astype(np.uint8).tobytes()
+    """Parities of the token counts in two to four cells a token, as bits: where
+    two sets differ in a cell's parity they differ in a token of it."""
+    bits = min(17, max(6, (2 * len(tokens) - 1).bit_length()))
+    odd = np.bincount((mix(tokens) & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def fold(cells: np.ndarray, width: int) -> np.ndarray:
-    """Histograms (rows) summed to ``width`` cells."""
-    return cells.reshape(*cells.shape[:-1], width, -1).sum(axis=-1)
+    """A bitmap halved (cells that agree in the lower bits of their number
+    meet) until it has ``width`` bytes."""
+    while len(cells) > width:
+        half = len(cells) // 2
+        cells = cells[:half] ^ cells[half:]
+    return cells
 
 
 def difference_bound(a: bytes, b: bytes) -> int:
     """A lower bound of the symmetric difference of two sets."""
-    x, y = (np.frombuffer(v, dtype=np.uint8).astype(np.int32) for v in (a, b))
-    width = min(len(x), len(y))
-    return int(np.abs(fold(x, width) - fold(y, width)).sum())
+    width = min(len(a), len(b))
+    x, y = (fold(np.frombuffer(v, dtype=np.uint8), width) for v in (a, b))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 # ---- pass 1: facts of every document, and the frequency sketch ----------------
@@ -285,15 +290,15 @@ def _keys(rows: DataFrame, allocation: Allocation, heat: np.ndarray, segments: i
     return rows.mapInArrow(run, _KEYS_DDL)
 
 
-_CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("id1", pa.int64()), ("id2", pa.int64()),
+_CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id1", pa.int64()), ("id2", pa.int64()),
                          ("members", pa.list_(pa.int64()))])
-_CANDIDATES_DDL = "a long, b long, shared long, id1 long, id2 long, members array<long>"
+_CANDIDATES_DDL = "a long, b long, id1 long, id2 long, members array<long>"
 
 
 def candidate_groups(group: pa.Table) -> pa.Table:
     """One segment's entries: for every key the smallest document paired with
-    each other one (a, b, number of keys), and each distinct list of three or
-    more documents once (id1, id2, members)."""
+    each other one (a, b), and each distinct list of three or more documents once
+    (id1, id2, members)."""
     docs = []
     for first, offsets, low in zip(*(group.column(c).to_pylist() for c in ("first", "offsets", "low"))):
         docs.append(first + np.frombuffer(offsets, dtype="<u4" if len(offsets) == len(low) else "<u8").astype(np.int64))
@@ -313,7 +318,7 @@ def candidate_groups(group: pa.Table) -> pa.Table:
     first = np.repeat(member[start], size)
     other = np.ones(len(member), dtype=bool)
     other[start] = False
-    pairs, shared = np.unique(np.stack((first[other], member[other])), axis=1, return_counts=True)
+    pairs = np.unique(np.stack((first[other], member[other])), axis=1)
     id1 = np.add.reduceat(mix(member.astype(np.uint64)), start).view(np.int64)
     id2 = np.add.reduceat(mix(member.astype(np.uint64) ^ np.uint64(0xABCDEF)), start).view(np.int64)
     _, lists = np.unique(np.stack((id1, id2, size)), axis=1, return_index=True)
@@ -321,7 +326,7 @@ def candidate_groups(group: pa.Table) -> pa.Table:
     pad = lambda v, kind: pa.concat_arrays([v, pa.nulls(len(lists), kind)])
     none = pa.nulls(pairs.shape[1], pa.int64())
     return pa.Table.from_arrays(
-        [pad(pa.array(pairs[0]), pa.int64()), pad(pa.array(pairs[1]), pa.int64()), pad(pa.array(shared), pa.int64()),
+        [pad(pa.array(pairs[0]), pa.int64()), pad(pa.array(pairs[1]), pa.int64()),
          pa.concat_arrays([none, pa.array(id1[lists])]), pa.concat_arrays([none, pa.array(id2[lists])]),
          pa.array([None] * pairs.shape[1] + [member[start[k]:start[k] + size[k]] for k in lists], pa.list_(pa.int64()))],
         schema=_CANDIDATES)
@@ -333,7 +338,7 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _possible(pairs: DataFrame, facts: DataFrame, bounds: Bounds) -> DataFrame:
-    """Pairs (a < b) whose sizes and histograms allow a link; distinct."""
+    """Pairs (a < b) whose sizes and bitmaps allow a link; distinct."""
     side = lambda x: facts.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("profile").alias(f"p{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(
         (F.least("na", "nb") * bounds.q >= F.greatest("na", "nb") * bounds.p) & (F.least("na", "nb") > 0))
@@ -350,8 +355,8 @@ def _possible(pairs: DataFrame, facts: DataFrame, bounds: Bounds) -> DataFrame:
 def _sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc_id, tokens) of the documents in ``pairs`` and a few more: ids are
     looked up in a bitmap of 2^ID_BITS bits, the only thing collected."""
-    bits = F.pmod(F.xxhash64("id"), F.lit(1 << ID_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(bits.alias("bit"))
+    number = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << ID_BITS)) + 1  # noqa: E731  Spark's bit numbers begin at 1
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(number("id").alias("bit"))
     maps = ids.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")).collect()
     size = len(maps[0]["map"]) if maps else 4096
@@ -360,10 +365,8 @@ def _sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         at = (r["bucket"] - 1) * size
         bitmap[at:at + size] = np.frombuffer(bytes(r["map"]), dtype=np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(bitmap.tobytes())
-    # Bit numbers as bitmap_bucket_number and bitmap_bit_position see them: the
-    # first bucket is 1 and holds bits 1 .. 8 * size, position = bit - 1.
-    wanted = rows.where("doc_id is not null").withColumn(
-        "bit", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << ID_BITS))) \
+    # Buckets begin at 1 and hold 8 * size bits; positions in them at 0.
+    wanted = rows.where("doc_id is not null").withColumn("bit", number(F.col("doc_id").cast("long"))) \
         .withColumn("place", (F.bitmap_bucket_number("bit") - 1) * F.lit(8 * size) + F.bitmap_bit_position("bit"))
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
@@ -399,28 +402,39 @@ def _verified(pairs: DataFrame, facts: DataFrame, rows: DataFrame, bounds: Bound
 
 
 def compare_members(group: pa.Table, bounds: Bounds) -> pa.Table:
-    """Pairs of one task's blocks that are in different components and whose
-    sizes and histograms allow a link."""
+    """Pairs of one task's units (hub, i, j) that share a candidate group, are in
+    different components, and whose sizes and bitmaps allow a link. A pair is
+    looked at once, however many groups it shares."""
     out_a, out_b = [], []
-    unit = np.stack([group.column(c).to_numpy() for c in ("id1", "id2", "i", "j")])
+    unit = np.stack([group.column(c).to_numpy() for c in ("hub", "i", "j")])
     _, number = np.unique(unit, axis=1, return_inverse=True)
     for _, at in split_by(number.reshape(-1), int(number.max()) + 1):
         part = group.take(pa.array(at))
         node, comp, n, block, i, j = (part.column(c).to_numpy() for c in ("node", "component", "n", "block", "i", "j"))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        row, column = np.full(len(node), -1), np.full(len(node), -1)
+        row[left], column[right] = np.arange(len(left)), np.arange(len(right))
+        together = np.zeros((len(left), len(right)), dtype=bool)
+        lists = part.column("lists").to_pylist()
+        owner = np.repeat(np.arange(len(node)), [len(x) for x in lists])
+        order = np.argsort(flat := np.array([y for x in lists for y in x], dtype=np.int64), kind="stable")
+        for members in np.split(owner[order], np.flatnonzero(np.diff(flat[order])) + 1):
+            r, c = row[members], column[members]
+            together[np.ix_(r[r >= 0], c[c >= 0])] = True
+        together &= comp[left][:, None] != comp[right][None, :]
+        if i[0] == j[0]:
+            together &= node[left][:, None] < node[right][None, :]
         cells = [np.frombuffer(p, dtype=np.uint8) for p in part.column("profile").to_pylist()]
         width = min(map(len, cells))
-        cells = np.stack([fold(c.astype(np.int32), width) for c in cells])
-        left = np.flatnonzero(block == i)
-        for k in left.tolist():
-            others = np.flatnonzero((block == j) & (comp != comp[k]) & ((node > node[k]) | (i[0] != j[0])))
-            if not len(others):
-                continue
-            small, large = np.minimum(n[others], n[k]), np.maximum(n[others], n[k])
-            bound = np.abs(cells[others] - cells[k]).sum(axis=1)
-            others = others[(small * bounds.q >= large * bounds.p)
-                            & (bound <= (small + large) * (bounds.q - bounds.p) // (bounds.q + bounds.p))]
-            out_a.append(np.minimum(node[others], node[k]))
-            out_b.append(np.maximum(node[others], node[k]))
+        cells = np.stack([fold(c, width) for c in cells])
+        for k in np.flatnonzero(together.any(axis=1)).tolist():
+            x, others = left[k], right[np.flatnonzero(together[k])]
+            small, large = np.minimum(n[others], n[x]), np.maximum(n[others], n[x])
+            others, total = others[near := small * bounds.q >= large * bounds.p], (small + large)[near]
+            bound = np.bitwise_count(cells[others] ^ cells[x]).sum(axis=1, dtype=np.int64)
+            others = others[bound <= total * (bounds.q - bounds.p) // (bounds.q + bounds.p)]
+            out_a.append(np.minimum(node[others], node[x]))
+            out_b.append(np.maximum(node[others], node[x]))
     if not out_a:
         return _PAIRS.empty_table()
     pairs = np.unique(np.stack((np.concatenate(out_a), np.concatenate(out_b))), axis=1)
@@ -429,17 +443,22 @@ def compare_members(group: pa.Table, bounds: Bounds) -> pa.Table:
 
 def _cross_pairs(groups: DataFrame, nodes: DataFrame, reps: DataFrame, bounds: Bounds, parts: int) -> DataFrame:
     """Pairs of different components inside the candidate groups, in blocks.
-    ``nodes``: doc_id, rep, component; ``reps``: doc_id, n, profile."""
-    members = groups.select("id1", "id2", F.explode("members").alias("doc_id")).join(nodes, "doc_id") \
-        .select("id1", "id2", F.col("rep").alias("node"), "component").distinct()
-    mixed = members.groupBy("id1", "id2").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")) \
-        .where("low <> high").select("id1", "id2", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(mixed, ["id1", "id2"]).join(reps.withColumnRenamed("doc_id", "node"), "node") \
+    Groups with the same smallest member (their hub) overlap most: they go to
+    the same tasks, where a set's bitmap is sent once. ``nodes``: doc_id, rep,
+    component; ``reps``: doc_id, n, profile."""
+    members = groups.select(F.element_at("members", 1).alias("hub"), "id1", F.explode("members").alias("doc_id")) \
+        .join(nodes, "doc_id").select("hub", "id1", F.col("rep").alias("node"), "component").distinct()
+    mixed = members.groupBy("hub", "id1").agg(F.min("component").alias("low"), F.max("component").alias("high")) \
+        .where("low <> high").select("hub", "id1")
+    per_node = members.join(mixed, ["hub", "id1"]).groupBy("hub", "node").agg(
+        F.first("component").alias("component"), F.collect_list("id1").alias("lists"))
+    blocks = per_node.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = per_node.join(blocks, "hub").join(reps.withColumnRenamed("doc_id", "node"), "node") \
         .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")) \
-        .withColumn("task", F.pmod(F.xxhash64("id1", "id2", "i", "j"), F.lit(parts)))
-    return members.select("task", "id1", "id2", "i", "j", "block", "node", "component", "n", "profile") \
+        .withColumn("task", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(parts)))
+    return placed.select("task", "hub", "i", "j", "block", "node", "component", "n", "profile", "lists") \
         .groupBy("task").applyInArrow(lambda g: compare_members(g, bounds), "a long, b long").distinct()
 
 
@@ -468,12 +487,11 @@ def link_components(docs: DataFrame, similarity: Fraction = SIMILARITY, id_col:
     found = persisted(_keys(rows, allocation, heat_table(cells), parts).groupBy("segment").applyInArrow(candidate_groups, _CANDIDATES_DDL),
                       "ngram-candidates")
 
-    pairs = found.where("a is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    pairs = found.where("a is not null").select("a", "b").distinct()
     to = lambda x: rep_of.select(F.col("doc_id").alias(x), F.col("rep").alias(f"r{x}"))
-    pairs = persisted(pairs.join(to("a"), "a").join(to("b"), "b").where("ra <> rb").select("ra", "rb", "shared"), "ngram-pairs")
-    best = pairs.groupBy("rb").agg(F.max_by("ra", F.struct("shared", -F.col("ra"))).alias("ra"))
+    pairs = persisted(pairs.join(to("a"), "a").join(to("b"), "b").where("ra <> rb").select("ra", "rb"), "ngram-pairs")
     ordered = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-    links = _verified(ordered(best, "ra", "rb"), reps, rows, bounds)
+    links = _verified(ordered(pairs, "ra", "rb"), reps, rows, bounds)
 
     # Rows of one doc_id with different texts are one node: their sets are tied.
     repeated = rep_of.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
@@ -483,10 +501,8 @@ def link_components(docs: DataFrame, similarity: Fraction = SIMILARITY, id_col:
 
     nodes = rep_of.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", "rep", F.coalesce("component", "rep").alias("component"))
-    label = lambda x: nodes.where("doc_id = rep").select(F.col("rep").alias(x), F.col("component").alias(f"c{x}"))
-    open_pairs = pairs.join(label("ra"), "ra").join(label("rb"), "rb").where("cra <> crb")
     groups = found.where("id1 is not null").select("id1", "id2", "members").dropDuplicates(["id1", "id2"])
-    more = _verified(ordered(open_pairs, "ra", "rb").union(_cross_pairs(groups, nodes, reps, bounds, parts)).distinct(), reps, rows, bounds)
+    more = _verified(_cross_pairs(groups, nodes, reps, bounds, parts), reps, rows, bounds)
     final = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     component = rep_of.join(final.withColumnRenamed("node", "rep"), "rep", "left") \
