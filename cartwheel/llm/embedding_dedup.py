@@ -11,13 +11,13 @@ the cells, one representative kept per group.
    never the pairs.
 4. Components of the forests; the smallest id of each is kept.
 
-A link (u, v) is found from u's home cell if v is there. |u - v| is at most
-sqrt(2 - 2 * 0.95) = 0.316, and v is missing only if u - v lies within a few
-degrees of the direction between two centres: with differences of no preferred
-direction in d dimensions its component along that direction has the standard
-deviation 0.316 / sqrt(d), and MARGIN (0.316 * MARGIN_SHARE) is 4 of them at
-d = 64. MARGIN_SHARE = 1 makes the search exact for any data, at the price of
-more visitors. The README has the measured recall.
+Every link (u, v) is found, for any data. |u - v| is at most
+sqrt(2 - 2 * 0.95) = 0.316, and the border between two home cells lies between u
+and v, so their distances from it add up to 0.316 at most: with MARGIN_SHARE =
+0.5 at least one of the two visits the other's home cell. If only v visits, u's
+home cell counts the link for both: a home row has the list of the cells it is
+in, a visitor its home, so the task sees that u is not in v's home. A larger
+share costs more visitors and finds the same; below 0.5 links are lost.
 
 Defined cases: null, empty, zero vectors and those with null or non-finite
 components link with nothing (component: themselves; kept); vectors of
@@ -45,6 +45,7 @@ MAX_CELLS = 4096
 SAMPLE_PER_CELL = 64         # k-means sees so many vectors per cell
 ITERATIONS = 10
 MARGIN_SHARE = 0.5
+ROUNDING = 1e-7              # centres that are almost equal have an apart of rounding errors
 BLOCK = 4096                 # rows of one side in a task
 
 
@@ -83,18 +84,19 @@ def cells_of(x: np.ndarray, centres: np.ndarray, margin: float) -> tuple[np.ndar
     home = near.argmax(axis=1)
     apart = np.sqrt(np.maximum(0.0, 2 - 2 * (centres @ centres.T)))
     gap = near[np.arange(len(x)), home][:, None] - near
-    inside = gap <= margin * apart[home]
+    inside = gap <= margin * apart[home] + ROUNDING
     inside[np.arange(len(x)), home] = True
     row, cell = np.nonzero(inside)
     return row, cell, cell == home[row]
 
 
 def assign(classes: DataFrame, centres: dict[int, np.ndarray], threshold: float, margin_share: float) -> DataFrame:
-    """One row per class and cell it is in: cell, home, rep, copies, v."""
+    """One row per class and cell it is in: cell, home, at (its home's number),
+    cells (home rows: the numbers of all cells the class is in), rep, copies, v."""
     shared = classes.sparkSession.sparkContext.broadcast(centres)      # at most MAX_CELLS centres
     margin = margin_share * float(np.sqrt(2 - 2 * threshold)) + 1e-9
-    schema = pa.schema([("cell", pa.string()), ("home", pa.bool_()), ("rep", pa.int64()), ("copies", pa.int64()),
-                        ("v", pa.list_(pa.float64()))])
+    schema = pa.schema([("cell", pa.string()), ("home", pa.bool_()), ("at", pa.int32()), ("cells", pa.list_(pa.int32())),
+                        ("rep", pa.int64()), ("copies", pa.int64()), ("v", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,11 +114,14 @@ def assign(classes: DataFrame, centres: dict[int, np.ndarray], threshold: float,
                     else:
                         row, cell, home = cells_of(x[a:a + 2048], centre, margin)
                     took = part.take(pa.array(row + a))
+                    # A row's cells stand together and one of them is its home, so the lists are cuts of ``cell``.
+                    cuts = np.concatenate(([0], np.cumsum(np.where(home, np.bincount(row)[row], 0))))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([f"{d}:{c}" for c in cell]), pa.array(home), took.column("rep"), took.column("copies"),
-                         took.column("v")], schema=schema)
+                        [pa.array([f"{d}:{c}" for c in cell]), pa.array(home), pa.array(cell[home][row], pa.int32()),
+                         pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(cell, pa.int32())),
+                         took.column("rep"), took.column("copies"), took.column("v")], schema=schema)
 
-    return classes.mapInArrow(run, "cell string, home boolean, rep long, copies long, v array<double>")
+    return classes.mapInArrow(run, "cell string, home boolean, at int, cells array<int>, rep long, copies long, v array<double>")
 
 
 def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
@@ -137,17 +142,18 @@ def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
 
 def compare_blocks(assigned: DataFrame, threshold: float) -> DataFrame:
     """Links of every home class within its cell: kind 'n' rows (rep, count of
-    linked vectors) and kind 'e' rows (rep, rep): a spanning forest."""
+    linked vectors) and kind 'e' rows (rep, rep): a spanning forest. A link with
+    a visitor whose own home cell doesn't have the class counts for the visitor too."""
     sizes = assigned.groupBy("cell").agg(F.sum(F.col("home").cast("int")).alias("homes"), F.count(F.lit(1)).alias("members")) \
         .select("cell", F.ceil(F.col("homes") / BLOCK).cast("int").alias("ni"), F.ceil(F.col("members") / BLOCK).cast("int").alias("nj"))
     sized = assigned.join(F.broadcast(sizes), "cell")      # at most MAX_CELLS rows
     spread = F.xxhash64("rep", F.lit(11))
     homes = sized.where("home and ni > 0").select(
         "cell", F.pmod(spread, "ni").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"),
-        F.lit(0).alias("side"), "rep", "copies", "v")
+        F.lit(0).alias("side"), "home", "at", "cells", "rep", "copies", "v")
     members = sized.where("ni > 0").select(
         "cell", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(spread, "nj").cast("int").alias("j"),
-        F.lit(1).alias("side"), "rep", "copies", "v")
+        F.lit(1).alias("side"), "home", "at", F.lit(None).cast("array<int>").alias("cells"), "rep", "copies", "v")
     schema = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
@@ -161,16 +167,26 @@ def compare_blocks(assigned: DataFrame, threshold: float) -> DataFrame:
         copies = right.column("copies").to_numpy()
         nodes, place = np.unique(np.concatenate((xr, yr)), return_inverse=True)
         xp, yp = place[:len(xr)], place[len(xr):]
-        links, root = np.zeros(len(x), dtype=np.int64), np.arange(len(nodes))
+        links, back, root = np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64), np.arange(len(nodes))
+        mine, visitor = left.column("copies").to_numpy(), ~right.column("home").to_numpy()
+        homes_of, home = np.unique(right.column("at").to_numpy(), return_inverse=True)
+        lists = left.column("cells").combine_chunks()
+        owner, cell = np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+        known = np.isin(cell, homes_of)
+        there = np.zeros((len(x), len(homes_of)), dtype=bool)      # left row is in the cell that is the right row's home
+        there[owner[known], np.searchsorted(homes_of, cell[known])] = True
         for a in range(0, len(x), 512):
             found = (x[a:a + 512] @ y.T >= threshold) & (xr[a:a + 512, None] != yr[None, :])
             links[a:a + 512] = found @ copies
             i, j = np.nonzero(found)
+            unseen = np.flatnonzero(visitor[j] & ~there[a + i, home[j]])
+            np.add.at(back, j[unseen], mine[a + i[unseen]])
             root = _forest((np.concatenate((xp[a + i], np.arange(len(nodes)))), np.concatenate((yp[j], root))), len(nodes))
-        some, joined = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(nodes)))
+        some, more, joined = np.flatnonzero(links), np.flatnonzero(back), np.flatnonzero(root != np.arange(len(nodes)))
         return pa.Table.from_arrays(
-            [pa.array(["n"] * len(some) + ["e"] * len(joined)), pa.array(np.concatenate((xr[some], nodes[joined]))),
-             pa.array(np.concatenate((links[some], nodes[root[joined]])))], schema=schema)
+            [pa.array(["n"] * (len(some) + len(more)) + ["e"] * len(joined)),
+             pa.array(np.concatenate((xr[some], yr[more], nodes[joined]))),
+             pa.array(np.concatenate((links[some], back[more], nodes[root[joined]])))], schema=schema)
 
     return homes.unionByName(members).groupBy("cell", "i", "j").applyInArrow(run, "kind string, a long, b long")
 

@@ -52,6 +52,21 @@ def test_dedup_cells_find_every_link(spark, monkeypatch):
     assert exact == {i: int(linked[i].sum()) for i in range(600)}
 
 
+def test_dedup_counts_links_across_deep_borders(spark, monkeypatch):
+    """Few strong directions: linked vectors lie along the line between two
+    centres, one of them too deep in its cell to visit the other's."""
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 100)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    n = 1500
+    x = np.random.default_rng(8).normal(size=(n, 5)).astype(np.float32)
+    x[-60:] = x[:60]                                # copies count as often as they are there
+    x[-90:-60] = 3 * x[60:90]                       # other vectors of equal direction
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(frame(spark, x)).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.95) & ~np.eye(n, dtype=bool)
+    assert {i: got[i].n_links for i in range(n)} == {i: int(linked[i].sum()) for i in range(n)}
+
+
 def test_dedup_of_repeated_rows_and_nothing(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()), key=str)
