@@ -2,8 +2,8 @@
 the cells, one representative kept per group.
 
 1. Equal vectors become one class (an aggregate), so copies are never compared.
-2. Spherical k-means on a bounded sample gives the centres; every class goes to
-   its nearest centre's cell (its home) and, as a visitor, to each cell whose
+2. Spherical k-means on a bounded sample, in Spark, gives the centres (only they
+   come to the driver); every class goes to its nearest centre's cell (its home) and, as a visitor, to each cell whose
    border is within ``MARGIN`` of it.
 3. In a cell, home vectors are compared with all vectors of the cell, in blocks
    of a bounded number of rows: a task holds one block of each side, whatever
@@ -49,32 +49,97 @@ ROUNDING = 1e-7              # centres that are almost equal have an apart of ro
 BLOCK = 4096                 # rows of one side in a task
 
 
-def spherical_kmeans(sample: np.ndarray, k: int, iterations: int = ITERATIONS, seed: int = 7) -> np.ndarray:
-    """``k`` unit centres of unit vectors."""
-    rng = np.random.default_rng(seed)
-    centres = sample[rng.permutation(len(sample))[:k]].copy()
-    for _ in range(iterations):
-        nearest = (sample @ centres.T).argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, nearest, sample)
-        norms = np.linalg.norm(sums, axis=1)
-        centres[norms > 0] = sums[norms > 0] / norms[norms > 0, None]
-    return centres
+def _unit_blocks(batch: pa.RecordBatch, rows: int = 2048) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, positions, unit vectors) of a batch's ``v``, by length, in blocks of ``rows``."""
+    lengths = np.array([len(x) for x in batch.column("v")])
+    for d in np.unique(lengths):
+        at = np.flatnonzero(lengths == d)
+        for a in range(0, len(at), rows):
+            x = matrix(batch.column("v").take(pa.array(at[a:a + rows])))
+            yield int(d), at[a:a + rows], x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _by_length(table: pa.Table) -> dict[int, np.ndarray]:
+    """Rows (d, c, centre) as a matrix by length, in the order of c."""
+    table = table.sort_by([("d", "ascending"), ("c", "ascending")])
+    d, rows = table.column("d").to_numpy(), table.column("centre").to_pylist()
+    return {int(k): np.stack([np.frombuffer(rows[i], "<f8") for i in np.flatnonzero(d == k)]) for k in np.unique(d)}
+
+
+_CENTRES = pa.schema([("d", pa.int32()), ("c", pa.int64()), ("centre", pa.binary())])
+
+
+def first_centres(sample: DataFrame, highest: dict[int, int]) -> dict[int, np.ndarray]:
+    """The unit vectors of the sample's rows whose draw is at most their length's ``highest``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            draw = batch.column("draw").to_numpy()
+            batch = batch.filter(pa.array([draw[i] <= highest[len(x)] for i, x in enumerate(batch.column("v"))], pa.bool_()))
+            for d, at, x in _unit_blocks(batch):
+                draws = batch.column("draw").take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(x), pa.int32()), draws, pa.array([r.tobytes() for r in x], pa.binary())],
+                                                 schema=_CENTRES)
+
+    return _by_length(sample.select("draw", "v").mapInArrow(run, "d int, c long, centre binary").toArrow())
+
+
+def lloyd_step(sample: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Centres moved to the mean direction of the sample's vectors nearest to
+    them. A task adds up its own vectors, then a centre's sums meet."""
+    shared = sample.sparkSession.sparkContext.broadcast(centres)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, seen = {}, {}
+        for batch in batches:
+            for d, _, x in _unit_blocks(batch):
+                nearest = (x @ shared.value[d].T).argmax(axis=1)
+                order = np.argsort(nearest, kind="stable")
+                some, start = np.unique(nearest[order], return_index=True)
+                sums.setdefault(d, np.zeros_like(shared.value[d]))[some] += np.add.reduceat(x[order], start)
+                seen.setdefault(d, np.zeros(len(shared.value[d]), dtype=bool))[some] = True
+        for d in sums:
+            c = np.flatnonzero(seen[d])
+            yield pa.RecordBatch.from_arrays([pa.array([d] * len(c), pa.int32()), pa.array(c, pa.int64()),
+                                              pa.array([sums[d][k].tobytes() for k in c], pa.binary())], schema=_CENTRES)
+
+    def meet(group: pa.Table) -> pa.Table:
+        total = np.zeros(group.column("d")[0].as_py())
+        for part in group.column("centre").to_pylist():
+            total += np.frombuffer(part, "<f8")
+        norm = np.linalg.norm(total)
+        return group.slice(0, 1).set_column(2, "centre", pa.array([(total / norm).tobytes()], pa.binary())) if norm > 0 else group.slice(0, 0)
+
+    moved = sample.select("v").mapInArrow(add_up, "d int, c long, centre binary").groupBy("d", "c") \
+        .applyInArrow(meet, "d int, c long, centre binary").toArrow()
+    out = {d: x.copy() for d, x in centres.items()}          # one without vectors stays
+    for d, c, x in zip(*(moved.column(i).to_pylist() for i in range(3))):
+        out[d][c] = np.frombuffer(x, "<f8")
+    return out
 
 
 def fit_centres(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Centres by vector length, for lengths with more than CELL_ROWS vectors;
-    fitted on at most about MAX_CELLS * SAMPLE_PER_CELL vectors."""
+    """Centres by vector length, for lengths that get more than one; spherical
+    k-means on at most about MAX_CELLS * SAMPLE_PER_CELL vectors. The sample
+    stays in Spark: the driver sees two numbers of each sampled row, and the centres."""
     k_all = min(MAX_CELLS, max(1, -(-n // CELL_ROWS)))
+    if k_all == 1:
+        return {}
     share = min(1.0, k_all * SAMPLE_PER_CELL / max(1, n))
     unit = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    rows = classes.where(unit <= share).select(F.size("v").alias("d"), "v").collect()
-    centres = {}
-    for d in {r["d"] for r in rows}:
-        x = np.array([r["v"] for r in rows if r["d"] == d])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        k = min(len(x), max(1, round(k_all * len(x) / len(rows))))
-        centres[d] = spherical_kmeans(x, k)
+    sample = persisted(classes.where(unit <= share).select(F.size("v").alias("d"), F.xxhash64("rep", F.lit(7)).alias("draw"), "v"),
+                       "dedup-sample")
+    drawn = sample.select("d", "draw").toArrow()
+    d, draw = drawn.column("d").to_numpy(), drawn.column("draw").to_numpy()
+    highest = {}
+    for length, count in zip(*(x.tolist() for x in np.unique(d, return_counts=True))):
+        if (k := min(count, round(k_all * count / len(d)))) > 1:
+            highest[length] = int(np.partition(draw[d == length], k - 1)[k - 1])
+    if not highest:
+        return {}
+    sample = sample.where(F.col("d").isin(list(highest)))
+    centres = first_centres(sample, highest)
+    for _ in range(ITERATIONS):
+        centres = lloyd_step(sample, centres)
     return centres
 
 
@@ -108,7 +173,7 @@ def assign(classes: DataFrame, centres: dict[int, np.ndarray], threshold: float,
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 centre = shared.value.get(int(d))
                 for a in range(0, len(x), 2048):
-                    if centre is None:       # a length too rare for the sample: one cell
+                    if centre is None:       # a length of few vectors: one cell
                         row = np.arange(len(x[a:a + 2048]))
                         cell, home = np.zeros(len(row), dtype=int), np.ones(len(row), dtype=bool)
                     else:

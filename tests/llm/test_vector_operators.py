@@ -67,6 +67,28 @@ def test_dedup_counts_links_across_deep_borders(spark, monkeypatch):
     assert {i: got[i].n_links for i in range(n)} == {i: int(linked[i].sum()) for i in range(n)}
 
 
+def test_centres_are_fitted_without_the_sample_on_the_driver(spark, monkeypatch):
+    """The sample (5 MB) is above what may come to the driver, the centres aren't."""
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 100)
+    n, d = 5000, 128
+    x = np.random.default_rng(9).normal(size=(n, d))
+    classes = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "rep long, v array<double>, copies long").repartition(4)
+    rows = [(n + i, v.tolist(), 1) for i, v in enumerate(x[:40, :3])]       # another length, too few for cells
+    classes = embedding_dedup.persisted(classes.unionByName(spark.createDataFrame(rows, classes.schema)), "test-classes")
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "1m")
+    try:
+        centres = embedding_dedup.fit_centres(classes, n + 40)
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+    assert set(centres) == {d} and 45 <= len(centres[d]) <= 51
+    assert np.allclose(np.linalg.norm(centres[d], axis=1), 1)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    own = (unit @ centres[d].T).max(axis=1).mean()
+    assert own > (unit @ unit[:len(centres[d])].T)[len(centres[d]):].max(axis=1).mean()     # nearer than to vectors picked at random
+
+
 def test_dedup_of_repeated_rows_and_nothing(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()), key=str)
