@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cartwheel.session import scratch_path
 
@@ -36,6 +37,12 @@ def persisted(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame, name: str, purpose: str) -> DataFrame:
+    """``df`` with a column ``name``: a long of its own for every row. Written and
+    read back, so every reader sees the same keys."""
+    return persisted(df.withColumn(name, F.monotonically_increasing_id()), purpose)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's shuffle partition count: what the cluster's owner sized to
     the input. Numbers of buckets are derived from it, so a bucket's size stays

@@ -34,7 +34,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwheel.llm.common import WORD, persisted
+from cartwheel.llm.common import WORD, persisted, with_row_key
 
 WEIGHTS = (5, 2, 1)
 BUDGET_SHARE = 1.5
@@ -43,9 +43,12 @@ BUCKET_DIGITS = 3            # hex digits of the order key: 4096 buckets a sourc
 STEPS = 64                   # schedule steps over the run
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size (words of the whole text) and the order key."""
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          row_col: str | None = None) -> DataFrame:
+    """doc_id, source, size (words of the whole text) and the order key; the row
+    key first, if there is one."""
     return docs.select(
+        *([F.col(row_col).alias("row")] if row_col else []),
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("order_key"))
@@ -105,11 +108,13 @@ def position(demand: Column, curve: Column, steps: int) -> Column:
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float = BUDGET_SHARE,
         max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source") -> DataFrame:
+        source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """Every document with source_size, target, taken (words over all passes),
     passes (array of words taken in each pass) and positions (array, the time
-    of each pass that takes any)."""
-    records = persisted(sized(docs, id_col, text_col, source_col), "mixing-sizes")
+    of each pass that takes any). With ``row_col``, a column with a value of its
+    own for every row, that value comes first, as ``row``."""
+    own = ["row"] if row_col else []
+    records = persisted(sized(docs, id_col, text_col, source_col, row_col), "mixing-sizes")
     spark = records.sparkSession
     totals = source_totals(records)
     share = [float(weights[i % len(weights)]) for i in range(len(totals))]
@@ -124,7 +129,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("start_source"), F.col("bucket").alias("start_bucket"),
                          F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("bucket_start"))
-    inside = Window.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size") \
+    inside = Window.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size", *own) \
         .rowsBetween(Window.unboundedPreceding, -1)
     placed = records.withColumn("in_bucket", F.coalesce(F.sum("size").over(inside), F.lit(0))) \
         .join(starts, F.col("source").eqNullSafe(F.col("start_source")) & (F.col("bucket") == F.col("start_bucket"))) \
@@ -136,7 +141,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float
     times = F.filter(F.transform(F.col("passes"), lambda words, p: F.when(words > 0, position(
         (p * F.col("source_size") + F.col("place")).cast("double"), F.col("curve"), STEPS))), lambda t: t.isNotNull())
     return placed.withColumn("passes", passes).withColumn("taken", taken).withColumn("positions", times).select(
-        "doc_id", "source", "size", "source_size", "target", "taken", "passes", "positions")
+        *own, "doc_id", "source", "size", "source_size", "target", "taken", "passes", "positions")
 
 
 def range_sorted(rows: DataFrame, position_col: str) -> DataFrame:
@@ -162,11 +167,11 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` in training order, one per pass that takes any of the
-    document, whole (a source's last document isn't cut). Rows of one id get the
-    same passes."""
-    order = training_order_ids(mix(docs, id_col=id_col, **options))
-    ids = order.groupBy("doc_id").agg(F.sort_array(F.collect_set("position")).alias("_positions"))    # MAX_EPOCHS at most
-    ids = ids.withColumnRenamed("doc_id", "_mixed_id")
-    taken = docs.join(ids, docs[id_col].eqNullSafe(F.col("_mixed_id"))).drop("_mixed_id") \
-        .withColumn("_position", F.explode("_positions")).drop("_positions")
+    document, whole (a source's last document isn't cut). Every row gets its own
+    passes, rows of one id or of none too."""
+    rows = with_row_key(docs, "_row_key", "mixing-rows")
+    mixed = mix(rows, id_col=id_col, row_col="_row_key", **options)
+    positions = mixed.where("taken > 0").select(F.col("row").alias("_row_key"), F.col("positions").alias("_positions"))
+    taken = rows.join(positions, "_row_key").drop("_row_key") \
+        .withColumn("_position", F.explode("_positions")).drop("_positions")      # max_epochs at most
     return taken.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col).drop("_position")

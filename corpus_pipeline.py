@@ -5,7 +5,10 @@ last return the columns of ``documents``.
 1. language ID: a model learned from the labelled documents given; documents
    without letters, or in which no language has ``MIN_LANGUAGE_SHARE`` of the
    letters, go.
-2. n-gram Jaccard join: of each group of near duplicates the smallest id stays.
+2. n-gram Jaccard join: of each group of near duplicates the row of the smallest
+   id stays (null ids come last). Rows are compared one by one, whatever their
+   ids: of equal rows of one id, or of no id, one stays, and rows of one id with
+   different texts all stay.
 3. substring dedup: words under repeated 50-word windows go; a document that
    loses all its words goes.
 4. source mixing: documents in training order, once per pass of the mix.
@@ -20,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwheel.llm import bpe, langid, mixing, ngram_jaccard, substring_dedup
-from cartwheel.llm.common import persisted, table
+from cartwheel.llm.common import persisted, table, with_row_key
 from cartwheel.llm.registry import vocabulary_path
 
 MIN_LANGUAGE_SHARE = 0.4
+ROW = "_row_key"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +36,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_jaccard.link_components(docs)
-    copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    rows = with_row_key(docs, ROW, "pipeline-rows")
+    groups = ngram_jaccard.link_components(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW))
+    stays = rows.select(ROW, "doc_id").join(groups, ROW).groupBy("component_id").agg(first.getField(ROW).alias(ROW))
+    return rows.join(stays, ROW, "left_semi").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,39 @@ def test_query_equals_its_sql(spark, name):
     assert digest(df.columns, [tuple(r) for r in df.collect()]) == digest(columns, cursor.fetchall())
 
 
+def repeated_ids(spark):
+    """40 rows of one id and 40 of none, each text of its own and there twice."""
+    import random
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    shared = [(7, text(30 + i), "s0") for i in range(40)] + [(None, text(30 + i), "s1") for i in range(40)]
+    single = [(100 + i, text(60), "s2") for i in range(40)]
+    across = text(80)
+    rows = shared + shared + single + [(None, across, "s0"), (900, across, "s1"), (901, across, "s2")]
+    ddl = "doc_id long, text string, source string"
+    return spark.createDataFrame(rows, ddl).repartition(3), set(shared + single + [(900, across, "s1")])
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    docs, want = repeated_ids(spark)
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()]
+    assert len(kept) == len(want) and set(kept) == want
+
+
+def test_mix_of_repeated_and_null_ids(spark):
+    """Each row has passes of its own, two at most, and the mix reaches its size."""
+    from collections import Counter
+    from cartwheel.llm import mixing
+    docs, _ = repeated_ids(spark)
+    given = Counter(tuple(r) for r in docs.collect())
+    rows = Counter(tuple(r) for r in corpus_pipeline.mixing_stage(spark, docs, SF).collect())
+    assert all(n <= mixing.MAX_EPOCHS * given[r] for r, n in rows.items())
+    passes = sum(len(r.positions) for r in mixing.mix(docs).collect())
+    assert sum(rows.values()) == passes
+    words = lambda c: sum(n * len(words_of(r[1])) for r, n in c.items())
+    assert words(rows) == pytest.approx(1.5 * words(given), rel=0.1)
+
+
 def test_pipeline_against_its_operators(spark):
     """Each stage's effect, recomputed by brute force over what it was given."""
     from test_corpus_operators import linked_brute, removed_brute
