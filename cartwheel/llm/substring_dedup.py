@@ -7,8 +7,8 @@ smallest hash among the ``GRAM``-word runs inside it. Equal windows have equal
 anchors, so an anchor's count is never below a window's, and a text has one
 anchor per 16 words or so.
 
-Documents fall in buckets by a hash of their id (one shuffle of the texts, which
-all three passes read). What has to meet across buckets goes to segments (by a
+Documents fall in buckets by a hash of their id and text, so rows of one id, or
+of none, are spread as well (one shuffle of the texts, which all three passes read). What has to meet across buckets goes to segments (by a
 hash of the anchor or window) in packed rows, one per bucket and segment:
 
 1. each bucket makes its partition sketch: the cells its anchors hit, once per
@@ -217,7 +217,7 @@ def _dedup(docs: DataFrame, emit, output: pa.Schema, output_ddl: str, window: in
     """The three passes; ``emit(group, texts, removed)`` makes the output rows."""
     segments = shuffle_width(docs.sparkSession)
     parts = BUCKETS_PER_PARTITION * segments
-    bucketed = docs.withColumn("_bucket", F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(parts)).cast("int")) \
+    bucketed = docs.withColumn("_bucket", F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")), F.lit(parts)).cast("int")) \
         .withColumn(text_col, F.col(text_col).cast("string")).repartition("_bucket")
 
     def sketch(group: pa.Table) -> pa.Table:

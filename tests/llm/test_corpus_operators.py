@@ -176,6 +176,23 @@ def test_components_against_union_find(spark):
     assert len(got) == len(want) and {r.node: r.component for r in got} == want
 
 
+def test_substring_dedup_spreads_rows_of_one_id(spark):
+    """Rows of one id, and rows without one, don't meet in one bucket with their
+    texts; a passage in them goes where a smaller id has it, as before."""
+    from pyspark.sql import functions as F
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, f"t{n} " * 10 + passage, "en", "s") for n in range(60) for i in (5, None)] + [(1, passage, "en", "s")]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = substring_dedup.dedup_digest(documents(spark, rows)).withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(got) == len(rows) and all(r.n_removed == {1: 0, 5: 60, None: 70}[r.doc_id] for r in got)
+    for i in (5, None):
+        assert len({r["at"] for r in got if r.doc_id == i}) > 1
+
+
 # ---- mixing -------------------------------------------------------------------
 
 def test_water_fill():
