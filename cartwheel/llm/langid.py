@@ -17,7 +17,9 @@ flat arrays, Viterbi in lockstep over texts of similar length. Texts stay where
 they are read; the model (2 x CELLS x languages floats) is bounded and broadcast.
 
 ``train`` counts letters of a bounded sample: about ``TRAIN_DOCS`` labelled rows,
-chosen by a hash of their id among all rows given.
+shared evenly by the languages (one with fewer rows than its share gives all of
+them, and every language has ``TRAIN_LEAST`` if it can), chosen by a hash of their
+id among all rows given.
 
 Defined cases: null text or a text without a letter is ``und`` with score 0;
 rows without id or label are not learned from; without any labelled row
@@ -37,8 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwheel.llm.common import mix
+from cartwheel.llm.mixing import water_fill
 
 TRAIN_DOCS = 20_000
+TRAIN_LEAST = 100            # rows of each language, however many languages there are
 CELLS = 1 << 16
 SWITCH_PENALTY = 12.0
 GROUP_LETTERS = 1 << 21      # code points handled together
@@ -141,14 +145,14 @@ class Model:
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
     """The best label of every word. ``scores`` holds the texts' words one text
     after the other, ``counts`` the words of each text."""
-    labels = np.zeros(len(scores), dtype=np.int8)
+    labels = np.zeros(len(scores), dtype=np.int16)
     order = np.argsort(-counts, kind="stable")
     counts_down = counts[order]
     start = (np.concatenate(([0], np.cumsum(counts)))[:-1])[order]
     longest = int(counts_down[0]) if len(counts_down) else 0
     active = np.searchsorted(-counts_down, -np.arange(longest), side="left")     # texts with more than t words
-    back = np.zeros(scores.shape, dtype=np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    back = np.zeros(scores.shape, dtype=np.int16)
+    own = np.arange(scores.shape[1], dtype=np.int16)
     value = scores[start[:active[0]]].copy() if longest else None
     final = np.zeros(len(counts), dtype=np.int64)
     for t in range(1, longest):
@@ -174,11 +178,14 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH_PENA
 
 
 def _sample(labelled: DataFrame, rows: int) -> DataFrame:
-    n = labelled.count()
-    if n <= rows:
+    counts = [(r["lang"], r["n"]) for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]   # one row a language
+    if sum(n for _, n in counts) <= rows:
         return labelled
+    wanted = water_fill([n for _, n in counts], [1.0] * len(counts), rows, 1)
+    rates = labelled.sparkSession.createDataFrame(
+        [(lang, max(w, min(n, TRAIN_LEAST)) / n) for (lang, n), w in zip(counts, wanted)], "lang string, rate double")
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    return labelled.where(share < rows / n)
+    return labelled.join(F.broadcast(rates), "lang").where(share < F.col("rate")).select(*labelled.columns)
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_DOCS) -> Model:

@@ -103,6 +103,19 @@ def test_viterbi_is_the_best_labelling():
         at += n
 
 
+def test_viterbi_with_many_languages():
+    scores = np.zeros((6, 300))
+    scores[:, 299], scores[3:, 299], scores[3:, 170] = 5, 0, 50
+    assert langid.viterbi(scores, np.array([3, 3]), 1.5).tolist() == [299] * 3 + [170] * 3
+
+
+def test_rare_languages_are_learned_from_large_tables(spark):
+    rows = [(i, "the cat sat on the mat", "en", "a") for i in range(3000)] + \
+        [(5000 + i, f"word {i}", f"x{i:02}", "a") for i in range(20)]
+    model = langid.train(documents(spark, rows), rows=200)
+    assert model.languages == ["en"] + [f"x{i:02}" for i in range(20)]
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs.where(~langid.held_out(docs.doc_id)))
