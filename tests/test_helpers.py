@@ -48,7 +48,7 @@ def test_every_constraint_is_broken_somewhere():
     engine reports the same rows is what the oracle test checks.)"""
     import os
     import sys
-    from conftest import ROOT, SF_MID
+    from paths import ROOT, SF_MID
     sys.path.insert(0, os.path.join(ROOT, "tools"))
     import check_oracle
     from cartwheel.plans.oracle import SQL

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from paths import SF_MID, SF_SMALL
 from cartwheel.functions.keys import dense_ids
 from cartwheel.operators import cart, catalog
 from cartwheel.plans import registry

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from paths import SF_MID
 from cartwheel.operators import cart, catalog, orders, sellers
 from cartwheel.plans import registry
 from cartwheel.sources.entities import Shop

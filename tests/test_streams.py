@@ -5,7 +5,7 @@ import shutil
 
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from paths import SF_MID
 from cartwheel.operators import orders as O
 from cartwheel.session import local_fs_path, scratch_path
 from cartwheel.sources.entities import Shop

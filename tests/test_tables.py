@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from cartwheel.operators import checkout, orders
 from cartwheel.plans import registry
 from cartwheel.session import local_fs_path, scratch_path

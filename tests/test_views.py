@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from pyspark.sql import functions as F
 
 from cartwheel.operators import orders, sellers
