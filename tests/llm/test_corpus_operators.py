@@ -5,7 +5,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from helpers import by_id, documents, sha, words_of
+from corpus_fixtures import by_id, documents, sha, words_of
 
 from cartwheel.llm import mixing, ngram_jaccard, sharding, substring_dedup
 from cartwheel.llm.components import components

@@ -5,7 +5,7 @@ import sys
 
 import numpy as np
 import pytest
-from helpers import words_of
+from corpus_fixtures import words_of
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), "..", ".."))
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), "..", "..", "tools"))

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import by_id, documents, sha, words_of
+from corpus_fixtures import by_id, documents, sha, words_of
 
 from cartwheel.llm import bpe, chat, html_mincut, langid
 from cartwheel.llm.registry import vocabulary_path
