@@ -1,0 +1,48 @@
+"""Positions of rows in a sorted order without a window over a whole group.
+
+Rows are range-partitioned by (group, order, a tie key of their own), sorted and
+written once; a row's rank is its place in its written partition plus the rows of
+its group in earlier partitions. A group with a third of all rows, or a third of
+all rows equal, is spread over as many range partitions as its share of the rows.
+The only windows are over one row per (group, partition).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from cartwheel.llm.common import persisted
+
+
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], purpose: str,
+           rank: str = "rank", total: str = "total", attach: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``rank`` (from 0 in its group, by ``order``, nulls first) and
+    ``total`` (rows of its group). A null group is a group. ``attach``: one row
+    per group whose further columns go to all of its rows; it is joined to the
+    (group, partition) rows, so a hot group is never one join key.
+
+    ``df`` must give the same rows whenever it is read (a written table). Rows
+    equal in ``order`` are numbered as they come; ``_tie``, ``_part`` and
+    ``_row`` are used inside."""
+    keys = [*group, *order, "_tie"]
+    placed = persisted(
+        df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).drop("_tie"), purpose)
+    pieces = placed.groupBy(*group, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_part").alias("_g_part"), "_first",
+                           F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias(total))
+    more = []
+    if attach is not None:
+        more = [c for c in attach.columns if c not in group]
+        named = attach.select(*[F.col(c).alias(f"_a_{c}") for c in group], *more)
+        starts = starts.join(named, reduce(and_, [F.col(f"_g_{c}").eqNullSafe(F.col(f"_a_{c}")) for c in group]))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group], F.col("_part") == F.col("_g_part"))
+    return placed.join(starts, same).select(
+        *df.columns, (F.col("_row") - F.col("_first") + F.col("_before")).alias(rank), total, *more)

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwheel.llm import bpe, chat, embedding_dedup, hnsw, html_mincut, langid, mixing, ngram_jaccard, sharding, substring_dedup
+from cartwheel.llm import (bpe, chat, embedding_dedup, hnsw, html_mincut, langid, merkle, mixing, ngram_jaccard, sharding,
+                           substring_dedup)
 from cartwheel.llm.common import table
 
 
@@ -71,6 +72,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(merkle.build(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_source_mixing": op2_source_mixing,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_sharding": op10_sharding,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -173,9 +179,58 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+def _field(name: str, value: str | None = None) -> str:
+    text = value or f"{name}::VARCHAR"
+    return f"coalesce(strlen({text})::VARCHAR || ':' || {text}, '-')"
+
+
+#: The unsigned CRC-32 of ``{text}``, a string of ASCII characters, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(ch)::BIGINT FOR ch IN string_split({text}, '')]),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda x, step: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT)"""
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAF = " || ".join(_field(f) for f in ("doc_id", "source", "lang", "n_chars"))
+_OP13 = f"""
+WITH RECURSIVE hit AS (SELECT *, {_CRC32.format(text="doc_id::VARCHAR")} % 5 = 0 AS tampered FROM documents),
+d AS (
+  SELECT doc_id, source, sha256({_LEAF} || {_field("text", "text")}) AS leaf,
+         sha256({_LEAF} || CASE WHEN tampered THEN {_field("text", _LOWER)} ELSE {_field("text", "text")} END) AS found FROM hit),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS t, count(*) OVER (PARTITION BY source) AS n,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+tree AS (
+  SELECT t, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT t, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM tree WHERE n > 1 GROUP BY t, level, pos // 16, n),
+top AS (
+  SELECT 0::BIGINT AS t, 0 AS level, (t - 1)::BIGINT AS pos, (SELECT count(*) FROM tree WHERE n = 1) AS n, digest FROM tree WHERE n = 1
+  UNION ALL
+  SELECT 0, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM top WHERE n > 1 GROUP BY level, pos // 16, n),
+node AS (
+  SELECT *, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM (FROM tree UNION ALL FROM top) WINDOW w AS (PARTITION BY t, level, pos // 16 ORDER BY pos)),
+climb AS (
+  SELECT doc_id, leaf, t, 0 AS level, pos::BIGINT AS pos, found AS folded, '' AS path, NULL::VARCHAR AS subroot, NULL::VARCHAR AS root FROM placed
+  UNION ALL
+  SELECT c.doc_id, c.leaf, CASE WHEN n.n = 1 THEN 0 ELSE c.t END, CASE WHEN n.n = 1 THEN 0 ELSE c.level + 1 END,
+         CASE WHEN n.n = 1 THEN c.t - 1 ELSE c.pos // 16 END,
+         CASE WHEN n.n = 1 THEN folded ELSE sha256(l || folded || r) END,
+         CASE WHEN n.n = 1 THEN path ELSE path || l || r END,
+         CASE WHEN n.n = 1 AND c.t > 0 THEN n.digest ELSE c.subroot END,
+         CASE WHEN n.n = 1 AND c.t = 0 THEN n.digest END
+  FROM climb AS c JOIN node AS n ON n.t = c.t AND n.level = c.level AND n.pos = c.pos WHERE c.root IS NULL)
+SELECT doc_id, leaf, subroot, root, sha256(path) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM climb WHERE root IS NOT NULL
+"""
+
 SQL: dict[str, str] = {
     "op2_source_mixing": _OP2,
     "op3_substring_dedup": _OP3,
     "op4_ngram_jaccard": _OP4,
     "op5_chat_format": _OP5,
+    "op13_merkle_manifest": _OP13,
 }
