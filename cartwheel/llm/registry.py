@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwheel.llm import (bpe, chat, embedding_dedup, hnsw, html_mincut, langid, merkle, mixing, ngram_jaccard, sharding,
-                           substring_dedup)
+from cartwheel.llm import (bpe, chat, embedding_dedup, hnsw, html_mincut, langid, merkle, mixing, ngram_jaccard, prefix_trie,
+                           sharding, substring_dedup, toxicity)
 from cartwheel.llm.common import table
 
 
@@ -72,6 +72,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.spliced(prefix_trie.turns(table(spark, sf_dir, "conversations"))))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.build(table(spark, sf_dir, "documents")))
 
@@ -87,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_sharding": op10_sharding,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_toxicity": op12_toxicity,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -189,6 +200,41 @@ _CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(ch)::BIGINT
   lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
     lambda x, step: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT)"""
 
+_OP11 = f"""
+WITH RECURSIVE own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC32.format(text="conv_id::VARCHAR")} % 9 AS h
+      FROM (SELECT DISTINCT conv_id FROM own)),
+rebuilt AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS depth,
+         strlen(text) AS n_bytes, sha256(strlen(role)::VARCHAR || ':' || role || text) AS turn
+  FROM (SELECT c.conv_id, 1 AS part, i, role, text FROM c JOIN own ON own.conv_id = c.base AND i <= h
+        UNION ALL SELECT c.conv_id, 2, i, role, text FROM c JOIN own ON own.conv_id = c.conv_id AND i > h)),
+path AS (
+  SELECT conv_id, 0 AS depth, 0 AS n_bytes, '' AS prefix FROM c
+  UNION ALL
+  SELECT p.conv_id, r.depth, r.n_bytes, p.prefix || r.turn FROM path AS p JOIN rebuilt AS r
+    ON r.conv_id = p.conv_id AND r.depth = p.depth + 1),
+lens AS (SELECT conv_id, max(depth) AS len FROM path GROUP BY conv_id),
+node AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(len) AS longest, (count(*) - 1) * max(n_bytes) AS weight,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len = depth), '')) AS ends_sha256
+  FROM path JOIN lens USING (conv_id) GROUP BY prefix, depth),
+pair AS (
+  SELECT DISTINCT a.prefix AS top, b.prefix AS below FROM path AS a JOIN path AS b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (
+  SELECT top, sum(weight) AS saved, count(*) FILTER (longest = depth) AS leaves FROM pair JOIN node ON below = prefix GROUP BY top),
+up AS (SELECT n.prefix, p.conv_id, p.prefix AS parent FROM node AS n JOIN node AS p
+       ON n.depth = p.depth + 1 AND left(n.prefix, -64) = p.prefix),
+kids AS (SELECT parent, count(*) AS n FROM up GROUP BY parent)
+SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+       coalesce(kids.n, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, ends_sha256
+FROM node AS n JOIN sums ON sums.top = n.prefix LEFT JOIN up ON up.prefix = n.prefix LEFT JOIN kids ON kids.parent = n.prefix
+"""
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LEAF = " || ".join(_field(f) for f in ("doc_id", "source", "lang", "n_chars"))
 _OP13 = f"""
@@ -232,5 +278,6 @@ SQL: dict[str, str] = {
     "op3_substring_dedup": _OP3,
     "op4_ngram_jaccard": _OP4,
     "op5_chat_format": _OP5,
+    "op11_conversation_trie": _OP11,
     "op13_merkle_manifest": _OP13,
 }
