@@ -28,6 +28,7 @@ from cartwheel import schemas as S
 from cartwheel.functions.keys import dense_ids, max_key
 from cartwheel.functions.text import wall_clock
 from cartwheel.functions.money import DEFAULT_TAX_RATE, line_subtotal, tax_amount, total_with_tax
+from cartwheel.session import written
 
 PAIR = ["user_id", "product_id"]
 SALTS = 8                    # tasks that share the adds of one (user, product)
@@ -103,9 +104,14 @@ def fold_cart_events(events: DataFrame, initial: DataFrame | None = None) -> Dat
 
 def with_cart_ids(lines: DataFrame, base: Column) -> DataFrame:
     """CART rows in which lines without a cart_id get ids after ``base``, in
-    (user, product) order."""
-    new = dense_ids(lines.where(F.col("cart_id").isNull()).drop("cart_id"), "user_id", base, "cart_id", order=PAIR)
-    return lines.where(F.col("cart_id").isNotNull()).select(*S.CART.names).unionByName(new.select(*S.CART.names))
+    (user, product) order. The lines are written once; the numbering is a running
+    count of the lines without an id over that table."""
+    lines = written(lines.select(*S.CART.names), "cart-lines")
+    if lines.where(F.col("cart_id").isNull()).isEmpty():
+        return lines
+    counted = dense_ids(lines.withColumn("_new", F.col("cart_id").isNull().cast("int")), "user_id", F.lit(0), "_place", order=PAIR,
+                        sums={"_given": (base, "_new")})
+    return counted.withColumn("cart_id", F.coalesce("cart_id", F.col("_given") + 1)).select(*S.CART.names)
 
 
 def compact_cart_log(events: DataFrame) -> DataFrame:
@@ -129,8 +135,13 @@ def compact_cart_log(events: DataFrame) -> DataFrame:
 def apply_cart_batch(current: DataFrame, batch: DataFrame) -> DataFrame:
     """Upsert / set / remove / clear a batch of cart events onto stored lines
     (INSERT .. ON DUPLICATE KEY UPDATE q = q + n, UPDATE .. SET, DELETE).
-    Exact when the batch is later than the events the state came from."""
-    return with_cart_ids(fold_cart_events(batch, initial=current.select(*S.CART.names)), max_key(current, "cart_id"))
+    ``current`` is a stored table (it is read more than once). Only the lines of
+    the batch's users are folded; the others pass through. Exact when the batch is
+    later than the events the state came from."""
+    current, touched = current.select(*S.CART.names), batch.select("user_id").distinct()
+    folded = fold_cart_events(batch, initial=current.join(touched, "user_id", "left_semi"))
+    lines = with_cart_ids(folded, max_key(current, "cart_id"))
+    return current.join(touched, "user_id", "left_anti").unionByName(lines)
 
 
 def cart_lines(cart: DataFrame, products: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:

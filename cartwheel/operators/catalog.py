@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwheel import schemas as S
 from cartwheel.functions import status as st
 from cartwheel.functions import text as tx
+from cartwheel.functions.keys import ranked
 from cartwheel.functions.money import money_text
+from cartwheel.session import scratch_path
 
 GRAM = 3
+PAD = "\u0000"
+LIST_ROWS = 4096             # products in one part of a gram's list
+FEW_PRODUCTS = 64            # a rarest gram with more than that asks for a second one
 
 
 def products_all(products: DataFrame) -> DataFrame:
@@ -65,72 +74,125 @@ def product_lookup(products: DataFrame, requests: DataFrame) -> DataFrame:
                      .otherwise(F.lit("no")).alias("owned_by_sender")))
 
 
-def _matches() -> F.Column:
-    """Term test on pre-lowered text: plain substring search when the term
-    has no wildcard (no per-row pattern compilation), LIKE otherwise."""
-    pat, needle = F.col("_pattern"), F.col("_needle")
-    hit_like = F.like(F.col("_name_l"), pat, F.lit("\\")) | F.like(F.col("_desc_l"), pat, F.lit("\\"))
-    hit_plain = F.col("_name_l").contains(needle) | F.col("_desc_l").contains(needle)
-    return F.when(F.col("_wild"), hit_like).otherwise(hit_plain)
+# Search -----------------------------------------------------------------------
+
+@dataclass
+class SearchIndex:
+    """Inverted index of the texts' grams. ``postings`` (gram, part, product_id):
+    every product a gram occurs in; a long list is split into parts of ``LIST_ROWS``
+    products, so no join key holds a whole hot list. ``grams`` (gram, freq, parts)."""
+    postings: DataFrame
+    grams: DataFrame
+
+
+def build_search_index(products: DataFrame, path: str | None = None) -> SearchIndex:
+    """The index of the products' names and descriptions, written below ``path`` (or
+    the scratch folder). Every place of a text starts a gram, the last ones being
+    filled up with ``PAD``, so a run shorter than GRAM is a prefix of grams. Lists
+    are cut by ``ranked``: a gram that every product has is spread over the range
+    partitions its rows take."""
+    texts = products.select("product_id", F.lower("name").alias("n"), F.lower("description").alias("d"))
+    grams = F.array_distinct(F.concat(*[_grams(F.concat(F.coalesce(F.col(c), F.lit("")), F.lit(PAD * (GRAM - 1)))) for c in ("n", "d")]))
+    rows = ranked(texts.select(F.explode(grams).alias("gram"), "product_id"), ["gram"], ["product_id"], "search-order", total="freq")
+    parted = rows.select("gram", F.floor(F.col("rank") / LIST_ROWS).cast("int").alias("part"), "product_id", "freq")
+    spark, path = products.sparkSession, path or scratch_path(products.sparkSession, "search-index")
+    parted.select("gram", "part", "product_id").write.mode("overwrite").parquet(f"{path}/postings")
+    parted.groupBy("gram").agg(F.max("freq").alias("freq"), (F.max("part") + 1).alias("parts")).write.mode("overwrite").parquet(f"{path}/grams")
+    return read_search_index(spark, path)
+
+
+def read_search_index(spark: SparkSession, path: str) -> SearchIndex:
+    """An index written before."""
+    return SearchIndex(spark.read.schema("gram string, part int, product_id long").parquet(f"{path}/postings"),
+                       spark.read.schema("gram string, freq long, parts int").parquet(f"{path}/grams"))
+
+
+def _grams(text: F.Column) -> F.Column:
+    """All substrings of GRAM characters (none in a shorter text)."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1)))
+    return F.transform(F.when(F.length(text) >= GRAM, starts).otherwise(F.array().cast("array<int>")),
+                       lambda i: F.substring(text, i, GRAM))
 
 
 def _terms(terms: DataFrame) -> DataFrame:
+    """Distinct terms with their pattern, literal runs (text between wildcards) and
+    the longest run."""
     low = F.lower(F.coalesce(F.col("term"), F.lit("")))
-    return (terms.select("term").distinct()
-            .select("term", tx.like_contains_pattern(F.col("term")).alias("_pattern"),
-                    low.alias("_needle"), low.rlike("[%_]").alias("_wild")))
+    runs = F.filter(F.split(low, "[%_]"), lambda r: r != "")
+    longest = F.aggregate(runs, F.lit(""), lambda best, r: F.when(F.length(r) > F.length(best), r).otherwise(best))
+    return terms.select("term").distinct().select(
+        "term", tx.like_contains_pattern(F.col("term")).alias("_pattern"), low.contains("_").alias("_single"),
+        runs.alias("_runs"), longest.alias("_longest"))
+
+
+def _place(run: F.Column, text: F.Column, start: F.Column) -> F.Column:
+    return F.call_function("locate", run, text, start)
+
+
+def _matches() -> F.Column:
+    """Term test on pre-lowered text. Runs between '%' occur one after the other;
+    taking each as early as it comes finds them if anything does, without a
+    pattern compiled per row. '_' needs LIKE."""
+    def one(text: F.Column) -> F.Column:
+        end = F.aggregate("_runs", F.lit(1), lambda at, run: F.when(
+            (at > 0) & (_place(run, text, at) > 0), _place(run, text, at) + F.length(run)).otherwise(F.lit(0)))
+        return F.when(F.col("_single"), F.like(text, F.col("_pattern"), F.lit("\\"))).otherwise(end > 0)
+    return F.coalesce(one(F.col("_name_l")), F.lit(False)) | F.coalesce(one(F.col("_desc_l")), F.lit(False))
 
 
-def product_search(products: DataFrame, terms: DataFrame) -> DataFrame:
+def product_search(products: DataFrame, terms: DataFrame, index: SearchIndex | None = None) -> DataFrame:
     """(term, product_id) for every product whose name or description contains
     the term, case-insensitively; '%' and '_' in a term are wildcards and the
     empty term matches every product.
 
-    Terms are told apart by kind, never by number. Every literal run of a term
-    (text between wildcards) occurs in a match, so any k-gram of any run is a
-    complete candidate key: a term with a longest run of length L joins the
-    catalogue on the rarest of its min(3, L)-grams, then the exact test follows.
-    Terms without a literal character match by their wildcards alone and are
-    joined to every product, which is what they ask for.
+    Every literal run of a term occurs in a match, so any gram of any run is a
+    complete key. A term looks up its rarest gram in the index and, where that one
+    is common, the rarest gram that doesn't overlap it; products in both lists are
+    tested exactly. A term whose longest run is shorter than a gram takes the lists
+    of all grams that start with it. Terms without a literal character match by
+    their wildcards alone and are joined to every product, which is what they ask
+    for. ``index``: a stored one; without it, one is built.
     """
+    index = index or build_search_index(products)
     t = _terms(terms)
     p = products.select("product_id", F.lower(F.col("name")).alias("_name_l"),
                         F.lower(F.col("description")).alias("_desc_l"))
-    runs = F.split(F.col("_needle"), "[%_]")
-    longest = F.aggregate(runs, F.lit(0), lambda acc, r: F.greatest(acc, F.length(r)))
-    keyed = t.withColumn("_k", F.least(longest, F.lit(GRAM)))
-    hits = _gram_hits(p, keyed.where(F.col("_k") > 0))
-    wild = keyed.where(F.col("_k") == 0)
+    seeds = _long_seeds(t, index).unionByName(_short_seeds(t, index))
+    lists = seeds.select("term", "gram", "_n_seeds", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    candidates = lists.join(index.postings, ["gram", "part"]).groupBy("term", "product_id") \
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("_n_seeds").alias("_n_seeds")).where("_n >= _n_seeds").select("term", "product_id")
+    hits = candidates.join(t, "term").join(p, "product_id").where(_matches()).select("term", "product_id")
+    wild = t.where(F.col("_longest") == "")
     return hits.unionByName(p.join(wild, _matches()).select("term", "product_id"))
 
 
-def _run_grams(runs: F.Column, k: int) -> F.Column:
-    return F.flatten(F.transform(runs, lambda r: _grams(r, k)))
-
-
-def _grams(s: F.Column, k: int) -> F.Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(s) - k + 1, F.lit(1)))
-    return F.transform(F.when(F.length(s) >= k, starts).otherwise(F.array().cast("array<int>")),
-                       lambda i: F.substring(s, i, k))
-
-
-def _gram_hits(p: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, product_id) for terms keyed on their rarest gram of length _k.
-    The catalogue's grams of all lengths are cut to those some term asks for
-    before anything is shuffled by them."""
-    runs = F.split(F.col("_needle"), "[%_]")
-    by_length = F.array(*[_run_grams(runs, k) for k in range(1, GRAM + 1)])
-    term_grams = terms.select("term", F.explode(F.array_distinct(F.element_at(by_length, F.col("_k")))).alias("_gram"))
-    asked = term_grams.select("_gram").distinct()
-    grams = F.array_distinct(F.concat(*[_grams(F.col(c), k) for c in ("_name_l", "_desc_l") for k in range(1, GRAM + 1)]))
-    p_grams = p.select("product_id", F.explode(grams).alias("_gram")).join(asked, "_gram", "left_semi")
-    freq = p_grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_freq"))
-    # a gram absent from the catalogue (frequency 0) means the term matches nothing
-    best = (term_grams.join(freq, "_gram", "left")
-            .groupBy("term").agg(F.min_by("_gram", F.struct(F.coalesce("_freq", F.lit(0)), F.col("_gram")))
-                                 .alias("_gram")))
-    candidates = terms.join(best, "term").join(p_grams, "_gram").drop("_gram").join(p, "product_id")
-    return candidates.where(_matches()).select("term", "product_id")
+def _long_seeds(t: DataFrame, index: SearchIndex) -> DataFrame:
+    """(term, gram, parts, _n_seeds): the one or two grams a term is looked up by;
+    none if one of its grams occurs nowhere."""
+    asked = t.where(F.length("_longest") >= GRAM) \
+        .select("term", F.explode(F.array_distinct(F.flatten(F.transform("_runs", _grams)))).alias("gram"))
+    known = asked.join(index.grams, "gram", "left").groupBy("term").agg(F.array_sort(F.collect_list(
+        F.struct(F.coalesce("freq", F.lit(0).cast("long")).alias("freq"), "gram", "parts"))).alias("g"))     # a term's own grams
+    first = F.col("g")[0]
+    apart = F.filter("g", lambda x: ~_overlap(x["gram"], first["gram"]) & ~_overlap(first["gram"], x["gram"]))
+    chosen = F.when((first["freq"] > FEW_PRODUCTS) & (F.size(apart) > 0), F.array(first, apart[0])).otherwise(F.array(first))
+    return known.where(first["freq"] > 0).select("term", F.explode(chosen).alias("s"), F.size(chosen).alias("_n_seeds")) \
+        .select("term", "s.gram", "s.parts", "_n_seeds")
+
+
+def _overlap(a: F.Column, b: F.Column) -> F.Column:
+    """Does ``b`` start with an end of ``a`` (of one character or more)?"""
+    ends = [F.right(a, F.lit(k)) == F.left(b, F.lit(k)) for k in range(1, GRAM + 1)]
+    return reduce(or_, ends)
+
+
+def _short_seeds(t: DataFrame, index: SearchIndex) -> DataFrame:
+    """The same for terms whose longest run is shorter than a gram: every gram it
+    starts, one of which is enough."""
+    run = F.col("_longest")
+    asked = t.where((F.length(run) > 0) & (F.length(run) < GRAM)).select("term", run.alias("_run"))
+    starts = index.grams.select("gram", "parts", F.explode(F.array(*[F.left("gram", F.lit(k)) for k in range(1, GRAM)])).alias("_run"))
+    return asked.join(starts, "_run").select("term", "gram", "parts", F.lit(1).alias("_n_seeds"))
 
 
 def featured_products(products: DataFrame, n: int = 4) -> DataFrame:

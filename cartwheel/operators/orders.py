@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cartwheel import schemas as S
 from cartwheel.functions import status as st
 from cartwheel.functions import text as tx
-from cartwheel.functions.keys import dense_ids, latest_per_key, max_key
+from cartwheel.functions.keys import dense_ids, latest_per_key, max_key, newest, ranked
+from cartwheel.session import written
 
 ORDER_COLS = ["order_id", "user_id", "created_at", "total_amount", "order_status"]
 PAY_COLS = ["payment_id", "payment_status", "payment_method"]
@@ -48,9 +49,14 @@ def order_payment(orders: DataFrame, payments: DataFrame, order_id=None, user_id
     return o.join(latest_payment(p), "order_id", "left")
 
 
-def order_history(orders: DataFrame, payments: DataFrame, user_id=None) -> DataFrame:
+def order_history(orders: DataFrame, payments: DataFrame, user_id=None, last: int | None = None) -> DataFrame:
     """A user's (or every user's) orders, newest first, with payment defaults
-    and the display dates (placed at, estimated delivery = +3 days)."""
+    and the display dates (placed at, estimated delivery = +3 days). ``last``: each
+    user's newest so many only (the first page); older ones are left behind before
+    the shuffle, and payments are cut to the orders kept."""
+    if last is not None:
+        orders = newest(_filter(orders.select(*ORDER_COLS), user_id=user_id), "user_id", ["created_at", "order_id"], last)
+        payments = _payments_for(payments, orders, True)
     base = order_payment(orders, payments, user_id=user_id)
     return (base.select(
         "order_id", "user_id", "created_at", "total_amount", "order_status",
@@ -79,9 +85,9 @@ def order_history_nested(orders: DataFrame, order_items: DataFrame, products: Da
     aggregate instead of a query per order.
 
     Default: one row per order (the shop's page). With ``max_items_per_row``
-    an order of n lines is spread over ceil(n / max) rows (column ``part``)
-    by a hash of each line, so no single task gathers a huge order; parts hold
-    about ``max_items_per_row`` lines each.
+    an order of n lines comes as ceil(n / max) rows (column ``part``, from 0), each
+    a range of its sorted lines: the parts joined in order are the whole array.
+    Lines are put in order by ``ranked``, so no task gathers a huge order.
     """
     o = _filter(orders.select(*ORDER_COLS), user_id=user_id)
     lines = order_items.join(o.select("order_id"), "order_id", "left_semi") if user_id is not None \
@@ -91,11 +97,9 @@ def order_history_nested(orders: DataFrame, order_items: DataFrame, products: Da
     if max_items_per_row is None:
         nested = items.groupBy("order_id").agg(F.sort_array(F.collect_list(line)).alias("items"))
         return o.join(nested, "order_id", "left")
-    sizes = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"))
-    n_parts = F.ceil(F.col("_n") / F.lit(int(max_items_per_row)))
-    parted = items.join(sizes, "order_id").withColumn(
-        "part", F.pmod(F.xxhash64(*ITEM_FIELDS), n_parts.cast("long")).cast("int"))
-    nested = parted.groupBy("order_id", "part").agg(F.sort_array(F.collect_list(line)).alias("items"))
+    placed = ranked(written(items.select("order_id", *ITEM_FIELDS), "order-items"), ["order_id"], ITEM_FIELDS, "order-items-sorted")
+    part = F.floor(F.col("rank") / int(max_items_per_row)).cast("int")
+    nested = placed.withColumn("part", part).groupBy("order_id", "part").agg(F.sort_array(F.collect_list(line)).alias("items"))
     return o.join(nested, "order_id", "left").withColumn("part", F.coalesce(F.col("part"), F.lit(0)))
 
 

@@ -25,7 +25,7 @@ def home(shop: Shop, n: int = 4) -> DataFrame:
 def search(shop: Shop, term: str) -> DataFrame:
     """Product list for one search term (empty term: every product)."""
     terms = shop.spark.range(1).select(F.lit(term or "").alias("term"))
-    hits = catalog.product_search(shop.products, terms).select("product_id")
+    hits = catalog.product_search(shop.products, terms, shop.search_index).select("product_id")
     return catalog.product_cards(shop.products).join(hits, "product_id", "left_semi")
 
 

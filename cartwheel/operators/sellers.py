@@ -9,18 +9,22 @@ from pyspark.sql import functions as F
 from cartwheel import schemas as S
 from cartwheel.functions import status as st
 from cartwheel.functions import text as tx
-from cartwheel.functions.keys import dense_ids, max_key
+from cartwheel.functions.keys import dense_ids, max_key, newest, ranked
 from cartwheel.functions.money import money_text
 from cartwheel.operators.orders import latest_payment
+from cartwheel.session import written
 from cartwheel.sources.entities import with_defaults
 
 
-def seller_products(products: DataFrame, seller_id=None) -> DataFrame:
+def seller_products(products: DataFrame, seller_id=None, last: int | None = None) -> DataFrame:
     """Each seller's products, newest first (global range-partitioned sort,
-    so one big seller is split across tasks)."""
+    so one big seller is split across tasks). ``last``: each seller's newest so
+    many only."""
     p = products.where(F.col("seller_id").isNotNull())
     if seller_id is not None:
         p = p.where(F.col("seller_id") == F.lit(seller_id))
+    if last is not None:
+        p = newest(p, "seller_id", ["created_at", "product_id"], last)
     return (p.select("seller_id", "product_id", "name", "price", "stock", "category", "created_at",
                      tx.excerpt("description", 100).alias("excerpt"),
                      money_text("price").alias("price_text"))
@@ -70,8 +74,9 @@ def order_labels(order_items: DataFrame, products: DataFrame,
     label order and without the 1024-byte cut.
 
     Default: one string per order. With ``max_labels_per_row`` an order of n
-    lines is spread over ceil(n / max) rows (column ``part``) by a hash of
-    the label, so no task concatenates a huge order whole.
+    lines comes as ceil(n / max) rows (column ``part``, from 0), each a range of
+    its labels: the parts joined in order are the whole string. Labels are put in
+    order by ``ranked``, so no task sorts or concatenates a huge order whole.
     """
     label = F.concat(F.col("name"), F.lit(" ("), F.col("quantity").cast("string"), F.lit(")"))
     lab = order_items.select("order_id", "product_id", "quantity") \
@@ -79,10 +84,9 @@ def order_labels(order_items: DataFrame, products: DataFrame,
     joined = F.array_join(F.sort_array(F.collect_list("label")), ", ").alias("products")
     if max_labels_per_row is None:
         return lab.groupBy("order_id").agg(joined)
-    sizes = lab.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"))
-    n_parts = F.ceil(F.col("_n") / F.lit(int(max_labels_per_row))).cast("long")
-    parted = lab.join(sizes, "order_id").withColumn("part", F.pmod(F.xxhash64("label"), n_parts).cast("int"))
-    return parted.groupBy("order_id", "part").agg(joined)
+    placed = ranked(written(lab, "order-labels"), ["order_id"], ["label"], "order-labels-sorted")
+    part = F.floor(F.col("rank") / int(max_labels_per_row)).cast("int")
+    return placed.withColumn("part", part).groupBy("order_id", "part").agg(joined)
 
 
 def seller_orders_view(orders: DataFrame, payments: DataFrame, order_items: DataFrame,
@@ -135,17 +139,18 @@ def product_change_outcomes(products: DataFrame, changes: DataFrame) -> DataFram
     op, last = F.col("op"), F.struct(F.col("op") == "delete", F.col("change_id"))
     owned = op.isin("edit", "delete") & (F.col("_owner") == F.col("seller_id"))
     addable = (op == "add") & F.col("category").isNotNull()
+    changes = written(changes, "product-changes")            # read five times
     looked = changes.join(owner, "product_id", "left")
     winners = looked.where(F.col("product_id").isNotNull()).groupBy("product_id").agg(
         F.max(F.when(owned, last)).alias("_last"), F.min(F.when(addable, F.col("change_id"))).alias("_first_add"))
-    judged = looked.join(winners, "product_id", "left").withColumn("outcome", (
+    judged = written(looked.join(winners, "product_id", "left").withColumn("outcome", (
         F.when(op == "add", F.when(F.col("category").isNull(), F.lit("missing_category"))
                              .when(F.col("_exists") | (F.col("_first_add") < F.col("change_id")), F.lit("duplicate_key"))
                              .otherwise(F.lit("applied")))
          .when(op.isin("edit", "delete"), F.when(F.coalesce(owned, F.lit(False)),
                F.when(F.col("_last") == last, F.lit("applied")).otherwise(F.lit("superseded")))
                .otherwise(F.lit("not_owner_or_missing")))
-         .otherwise(F.lit("unknown_op"))))
+         .otherwise(F.lit("unknown_op")))), "product-judged")
     base = F.greatest(max_key(products, "product_id"), max_key(changes.where(op == "add"), "product_id"))
     new = dense_ids(judged.where((F.col("outcome") == "applied") & F.col("product_id").isNull()).select("change_id"),
                     "change_id", base, "_new_key")
@@ -153,11 +158,13 @@ def product_change_outcomes(products: DataFrame, changes: DataFrame) -> DataFram
         .select(*changes.columns, "outcome")
 
 
-def apply_product_changes(products: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_product_changes(products: DataFrame, changes: DataFrame, outcomes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Seller product edits as (current, changes) -> (next, rejects), by
     ``product_change_outcomes``. An edit replaces name, description, price and
-    image_url (NULL keeps the old value); an add starts with stock 0."""
-    outcomes = product_change_outcomes(products, changes)
+    image_url (NULL keeps the old value); an add starts with stock 0. ``outcomes``:
+    the judged changes, where they are known already (a written table: each output
+    takes its part of them)."""
+    outcomes = written(product_change_outcomes(products, changes), "product-outcomes") if outcomes is None else outcomes
     applied = outcomes.where(F.col("outcome") == "applied")
     fields = ("name", "description", "price", "image_url")
     deletes = applied.where(F.col("op") == "delete").select("product_id")

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from cartwheel.operators import cart, catalog, checkout, ingest, orders, quality, sellers
 from cartwheel.functions.money import DEFAULT_TAX_RATE
 from cartwheel.functions.text import wall_clock
+from cartwheel.session import written
 from cartwheel.sources import feeds
 from cartwheel.sources.entities import Shop
 from cartwheel.sources.incoming import incoming_tables, retotalled
@@ -54,12 +55,17 @@ def use_entity_catalog(database: str | None) -> None:
     _ENTITY_SOURCE.update(path=None, database=database)
 
 
+def given_shop(spark: SparkSession, sf_dir: str) -> Shop:
+    """The shop over the given tables, its events damaged as the queries expect."""
+    return Shop.from_raw(spark, sf_dir, incoming=feeds.dirty_events)
+
+
 def _shop(spark: SparkSession, sf_dir: str) -> Shop:
     if _ENTITY_SOURCE["database"]:
-        return Shop.from_catalog(spark, _ENTITY_SOURCE["database"], sf_dir)
+        return Shop.from_catalog(spark, _ENTITY_SOURCE["database"], sf_dir, incoming=feeds.dirty_events)
     if _ENTITY_SOURCE["path"]:
-        return Shop.from_tables(spark, _ENTITY_SOURCE["path"], sf_dir)
-    return Shop.from_raw(spark, sf_dir)
+        return Shop.from_tables(spark, _ENTITY_SOURCE["path"], sf_dir, incoming=feeds.dirty_events)
+    return given_shop(spark, sf_dir)
 
 
 def _tables(shop: Shop) -> dict[str, DataFrame]:
@@ -89,7 +95,7 @@ def q_product_lookup(spark, sf):
 
 def q_product_search(spark, sf):
     s = _shop(spark, sf)
-    return catalog.product_search(s.products, s.search_terms)
+    return catalog.product_search(s.products, s.search_terms, s.search_index)
 
 
 def q_featured_products(spark, sf):
@@ -122,7 +128,7 @@ def q_cart_upsert(spark, sf):
     are applied to it as one batch of upserts / sets / removes / clears."""
     events = _shop(spark, sf).cart_events
     ts = wall_clock(CART_SPLIT_TS)
-    state = cart.with_cart_ids(cart.fold_cart_events(events.where(F.col("ts") < ts)), F.lit(0))
+    state = written(cart.with_cart_ids(cart.fold_cart_events(events.where(F.col("ts") < ts)), F.lit(0)), "cart-state")
     return cart.apply_cart_batch(state, events.where(F.col("ts") >= ts))
 
 
@@ -132,7 +138,7 @@ def q_cart_stock_check(spark, sf):
 
 
 def q_cart_event_rejects(spark, sf):
-    return feeds.cart_event_rejects(_shop(spark, sf).raw("events"))
+    return feeds.cart_event_rejects(_shop(spark, sf).events)
 
 
 def q_cart_cascade(spark, sf):
@@ -314,13 +320,13 @@ def q_user_credentials(spark, sf):
 def q_change_conservation(spark, sf):
     """Rows of each feed and rows accounted for in its outputs."""
     s = _shop(spark, sf)
-    report, new_users = ingest.registration_ingest(s.users, s.registrations)
-    outcomes = sellers.product_change_outcomes(s.products, s.product_changes)
-    nxt, rejects = sellers.apply_product_changes(s.products, s.product_changes)
+    report, new_users = (written(df, "conservation") for df in ingest.registration_ingest(s.users, s.registrations))
+    outcomes = written(sellers.product_change_outcomes(s.products, s.product_changes), "conservation")
+    nxt, rejects = sellers.apply_product_changes(s.products, s.product_changes, outcomes)
     added = nxt.join(s.products.select("product_id"), "product_id", "left_anti")
     kept = outcomes.where(~((F.col("op") == "add") & (F.col("outcome") == "applied"))
                           & F.col("outcome").isin("applied", "superseded"))
-    events = s.raw("events")
+    events = s.events
     return quality.conservation({
         "registrations": (s.registrations, [new_users, ingest.registration_rejects(report)]),
         "product_changes": (s.product_changes, [added, kept, rejects]),
@@ -348,7 +354,7 @@ def q_seller_assign_listed(spark, sf):
 def q_product_search_catalogue(spark, sf):
     """Several hundred terms taken from the catalogue itself."""
     s = _shop(spark, sf)
-    return catalog.product_search(s.products, feeds.catalogue_terms(s.raw("part")))
+    return catalog.product_search(s.products, feeds.catalogue_terms(s.raw("part")), s.search_index)
 
 
 # Data quality --------------------------------------------------------------------

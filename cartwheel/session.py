@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on; sizes are for local tests and are meant to be
 # overridden by the cluster's own defaults.
@@ -84,6 +87,37 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{root}/cartwheel/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+_COLLECTED: ContextVar[list[str] | None] = ContextVar("scratch folders", default=None)
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back: what
+    is read several times is worked out once, the lineage is cut, and a lost
+    executor costs a re-read, not a re-run."""
+    path = scratch_path(df.sparkSession, purpose)
+    if (collected := _COLLECTED.get()) is not None:
+        collected.append(path)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_noted(paths: list[str]) -> Iterator[None]:
+    """The folders that ``written`` makes meanwhile are added to ``paths``."""
+    token = _COLLECTED.set(paths)
+    try:
+        yield
+    finally:
+        _COLLECTED.reset(token)
+
+
+def delete_scratch(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove folders that ``written`` has made."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_fs_path(path: str) -> str:
     """Strip a ``file:`` scheme (used only by tests that inspect files)."""
     return path[len("file:"):] if path.startswith("file:") else path

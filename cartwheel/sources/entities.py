@@ -185,26 +185,28 @@ class Shop:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str | None = None, tables_dir: str | None = None,
-                 database: str | None = None):
+                 database: str | None = None, incoming=None):
+        """``incoming``: applied to the raw events before anything reads them."""
         self.spark = spark
+        self.incoming = incoming or (lambda events: events)
         self.sf_dir = sf_dir
         self.tables_dir = tables_dir
         self.database = database
 
     @classmethod
-    def from_raw(cls, spark: SparkSession, sf_dir: str) -> "Shop":
-        return cls(spark, sf_dir=sf_dir)
+    def from_raw(cls, spark: SparkSession, sf_dir: str, incoming=None) -> "Shop":
+        return cls(spark, sf_dir=sf_dir, incoming=incoming)
 
     @classmethod
-    def from_catalog(cls, spark: SparkSession, database: str, sf_dir: str) -> "Shop":
+    def from_catalog(cls, spark: SparkSession, database: str, sf_dir: str, incoming=None) -> "Shop":
         """Entities from catalog tables saved by ``save_bucketed_entities``."""
-        return cls(spark, sf_dir=sf_dir, database=database)
+        return cls(spark, sf_dir=sf_dir, database=database, incoming=incoming)
 
     @classmethod
-    def from_tables(cls, spark: SparkSession, tables_dir: str, sf_dir: str) -> "Shop":
+    def from_tables(cls, spark: SparkSession, tables_dir: str, sf_dir: str, incoming=None) -> "Shop":
         """Entities from parquet written by ``write_entities``; feeds still
         derive from the raw tables under ``sf_dir``."""
-        return cls(spark, sf_dir=sf_dir, tables_dir=tables_dir)
+        return cls(spark, sf_dir=sf_dir, tables_dir=tables_dir, incoming=incoming)
 
     def raw(self, name: str) -> DataFrame:
         return read_raw(self.spark, self.sf_dir, name)
@@ -256,14 +258,26 @@ class Shop:
         from cartwheel.operators.cart import fold_cart_events, with_cart_ids
         return with_cart_ids(fold_cart_events(self.cart_events), F.lit(0))
 
+    @cached_property
+    def search_index(self):
+        """The stored index of the catalogue, where there is one, else a new one."""
+        from cartwheel.operators.catalog import build_search_index, read_search_index
+        if self.tables_dir:
+            return read_search_index(self.spark, f"{self.tables_dir}/search")
+        return build_search_index(self.products)
+
     # Change feeds (always derived from the raw tables) ------------------------
+    @property
+    def events(self) -> DataFrame:
+        return self.incoming(self.raw("events"))
+
     @cached_property
     def cart_events(self) -> DataFrame:
-        return feeds.cart_events_from_raw(self.raw("events"))
+        return feeds.cart_events_from_raw(self.events)
 
     @cached_property
     def status_events(self) -> DataFrame:
-        return feeds.status_events_from_raw(self.raw("events"))
+        return feeds.status_events_from_raw(self.events)
 
     @cached_property
     def checkout_requests(self) -> DataFrame:
@@ -287,10 +301,14 @@ class Shop:
 
 
 def write_entities(shop: Shop, out_dir: str, mode: str = "overwrite") -> None:
-    """Materialise the entities (and the folded cart) as parquet tables."""
+    """Materialise the entities, the folded cart and the catalogue's search index
+    as parquet tables."""
+    from cartwheel.operators.catalog import build_search_index
     for name in ENTITY_NAMES:
         getattr(shop, name).write.mode(mode).parquet(f"{out_dir}/{name}")
     shop.cart.write.mode(mode).parquet(f"{out_dir}/cart")
+    products = shop.spark.read.schema(S.PRODUCTS).parquet(f"{out_dir}/products")
+    build_search_index(products, f"{out_dir}/search")
 
 
 def save_bucketed_entities(shop: Shop, database: str, location: str, buckets: int,

@@ -38,8 +38,9 @@ SEARCH_TERMS = ("", "widget", "WIDGET", "r_d", "brand#1", "zzz")
 
 
 def dirty_events(events: DataFrame) -> DataFrame:
-    """The raw events as a shop receives them: some with an unreadable product
-    id, some with a quantity no cart can hold."""
+    """The given events with damage: some with an unreadable product id, some with a
+    quantity no cart can hold. What the registered queries take in, so that their
+    rejects aren't empty; no adapter applies it by itself."""
     bad_id = F.concat(F.lit('{"k": "x'), F.col("event_id").cast("string"), F.lit('"}'))
     return events.withColumn("props", F.when(F.col("event_id") % BAD_PRODUCT_EVERY == 0, bad_id).otherwise(F.col("props"))) \
         .withColumn("value", F.when(F.col("event_id") % BAD_QUANTITY_EVERY == 0, F.col("value") * 1e12).otherwise(F.col("value")))
@@ -55,7 +56,7 @@ def _cart_fields(events: DataFrame) -> DataFrame:
     product = F.expr("try_cast(get_json_object(props, '$.k') AS BIGINT)")
     reason = (F.when((et != "purchase") & product.isNull(), F.lit("bad_product_id"))
                .when((et == "view") & F.col("value").isNotNull() & whole.isNull(), F.lit("bad_quantity")))
-    return dirty_events(events).where(et.isin(*CART_OP_BY_EVENT)).select(
+    return events.where(et.isin(*CART_OP_BY_EVENT)).select(
         "event_id", "ts", "user_id", "event_type", product.alias("product_id"), op.alias("op"),
         F.when(et == "click", F.lit(1)).when(et == "view", whole).alias("value"), reason.alias("reason"))
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from cartwheel import schemas as S
 from cartwheel.operators.orders import orders_with_effects
+from cartwheel.sources import feeds
 from cartwheel.streaming.streams import (read_cart, read_payments, read_status_table, run_cart_stream,
                                          run_payment_stream, run_status_stream)
 
 
 def q_stream_cart(spark, sf):
-    return read_cart(spark, run_cart_stream(spark, sf))
+    return read_cart(spark, run_cart_stream(spark, sf, prepare=feeds.dirty_events))
 
 
 def q_stream_payments(spark, sf):

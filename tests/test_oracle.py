@@ -45,11 +45,11 @@ def test_entry_smoke(spark):
 
 @pytest.fixture(scope="module")
 def entity_tables(spark):
-    from cartwheel.plans.registry import use_entity_tables
+    from cartwheel.plans.registry import given_shop, use_entity_tables
     from cartwheel.session import scratch_path
-    from cartwheel.sources.entities import Shop, write_entities
+    from cartwheel.sources.entities import write_entities
     path = scratch_path(spark, "test-oracle-tables")
-    write_entities(Shop.from_raw(spark, SF_SMALL), path)
+    write_entities(given_shop(spark, SF_SMALL), path)
     use_entity_tables(path)
     yield path
     use_entity_tables(None)
@@ -69,10 +69,10 @@ def test_all_queries_on_entity_tables_match_oracle(spark, con, entity_tables):
 
 
 def test_all_queries_on_bucketed_catalog_match_oracle(spark, con):
-    from cartwheel.plans.registry import use_entity_catalog
+    from cartwheel.plans.registry import given_shop, use_entity_catalog
     from cartwheel.session import scratch_path
-    from cartwheel.sources.entities import Shop, save_bucketed_entities
-    save_bucketed_entities(Shop.from_raw(spark, SF_SMALL), "cw_oracle_catalog",
+    from cartwheel.sources.entities import save_bucketed_entities
+    save_bucketed_entities(given_shop(spark, SF_SMALL), "cw_oracle_catalog",
                            scratch_path(spark, "test-oracle-catalog"), buckets=4)
     use_entity_catalog("cw_oracle_catalog")
     try:
