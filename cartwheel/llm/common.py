@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwheel.session import scratch_path
+from cartwheel.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
@@ -28,13 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def persisted(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` below the shared checkpoint folder and read it back: cuts
-    the lineage, and a lost executor costs a re-read, not a re-run."""
-    spark = df.sparkSession
-    path = scratch_path(spark, purpose)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Written once below the shared checkpoint folder and read back.
+persisted = written
 
 
 def with_row_key(df: DataFrame, name: str, purpose: str) -> DataFrame:
@@ -43,6 +39,32 @@ def with_row_key(df: DataFrame, name: str, purpose: str) -> DataFrame:
     return persisted(df.withColumn(name, F.monotonically_increasing_id()), purpose)
 
 
+HOT_PARTS = 1024
+
+
+def hot_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` joined to ``table`` (one row per key), where one key may have a
+    third of all rows. ``weight``: the column of ``table`` that says how many rows
+    have the key, at most; ``total``: their sum. Keys with a HOT_PARTS-th of the
+    total, of which there are HOT_PARTS at most, are broadcast, so their rows aren't
+    shuffled; no key of the shuffled join has more than that share. ``table`` is
+    read twice (a written one)."""
+    hot = F.col(weight) * HOT_PARTS >= F.lit(total)
+    tried = rows.join(F.broadcast(table.where(hot).withColumn("_hot", F.lit(True))), on, "left")
+    rest = tried.where("_hot IS NULL").select(*rows.columns).join(table.where(~hot), on)
+    return tried.where("_hot").drop("_hot").unionByName(rest)
+
+
+def row_keyed(df: DataFrame, name: str, purpose: str) -> DataFrame:
+    """``df`` with a column ``name`` that differs between any two rows and is the same
+    whenever it is read: file and row number, where ``df`` is a table of Parquet
+    files as read, else a long, for which ``df`` is written."""
+    try:
+        return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name))
+    except AnalysisException:        # not a plain table of files
+        return with_row_key(df, name, purpose)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's shuffle partition count: what the cluster's owner sized to
     the input. Numbers of buckets are derived from it, so a bucket's size stays
@@ -136,6 +158,13 @@ def concat_binary(column, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``rows``: what a task makes of one at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def split_by(values: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """(part, positions) for each part number occurring in ``values``."""
     order = np.argsort(values, kind="stable")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.llm.common import persisted
+from cartwheel.llm.common import hot_join, persisted, with_row_key
 from cartwheel.llm.components import components
 from cartwheel.llm.vectors import matrix, numbered, usable
 
@@ -125,8 +125,8 @@ def fit_centres(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
     if k_all == 1:
         return {}
     share = min(1.0, k_all * SAMPLE_PER_CELL / max(1, n))
-    unit = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    sample = persisted(classes.where(unit <= share).select(F.size("v").alias("d"), F.xxhash64("rep", F.lit(7)).alias("draw"), "v"),
+    unit = F.pmod(F.xxhash64("v", F.lit(3)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    sample = persisted(classes.where(unit <= share).select(F.size("v").alias("d"), F.xxhash64("v", F.lit(7)).alias("draw"), "v"),
                        "dedup-sample")
     drawn = sample.select("d", "draw").toArrow()
     d, draw = drawn.column("d").to_numpy(), drawn.column("draw").to_numpy()
@@ -260,17 +260,21 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, margin_
                     id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     rows = numbered(embeddings, id_col, vector_col)
-    good = rows.where(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    classes = persisted(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "dedup-classes")
-    assigned = assign(classes, fit_centres(classes, classes.count()), threshold, margin_share)
+    takes_part = usable(F.col("v")) & F.col("vec_id").isNotNull()
+    good = rows.where(takes_part)
+    # ids may repeat, so a class goes by a key of its own
+    classes = with_row_key(good.groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")), "rep", "dedup-classes")
+    n = classes.agg(F.count(F.lit(1)).alias("classes"), F.sum("copies").alias("rows")).first()
+    assigned = assign(classes, fit_centres(classes, n["classes"]), threshold, margin_share)
     found = persisted(compare_blocks(persisted(assigned, "dedup-cells"), threshold), "dedup-links")
     counts = found.where("kind = 'n'").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("n"))
-    groups = components(found.where("kind = 'e'").select("a", "b"))
-    per_class = classes.join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("v").alias("class_v"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component"))
-    key = F.when(usable(F.col("v")) & F.col("vec_id").isNotNull(), F.col("v"))
-    joined = rows.withColumn("key", key).join(per_class, F.col("key") == F.col("class_v"), "left")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                         F.coalesce("component", "vec_id").alias("component_id")) \
+    groups = components(found.where("kind = 'e'").select("a", "b")).withColumnRenamed("node", "rep")
+    least = groups.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("component_least"))
+    groups = groups.join(least, "component").select("rep", "component_least")
+    per_class = classes.join(counts, "rep", "left").join(groups, "rep", "left").select(
+        "v", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("component_least", "least").alias("component"))
+    joined = hot_join(good, persisted(per_class, "dedup-per-class"), ["v"], "copies", n["rows"] or 0).select("vec_id", "n_links", "component")
+    alone = rows.where(~takes_part).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component"))
+    return joined.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

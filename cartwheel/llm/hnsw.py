@@ -3,26 +3,31 @@ small-world graph per shard, stored as flat neighbour arrays, shard results
 merged.
 
 Build. Equal vectors become one node that keeps its smallest ids (as many as a
-result list can need). Nodes fall into shards of about SHARD_ROWS by a hash. In
-a shard every node draws a level (geometric); on each level it is linked to
-neighbours picked from its nearest nodes by the usual diversity rule (a
-candidate is kept if no kept one is nearer to it than the node is), and back.
-Candidates come from blocked products inside the shard, exact and bounded. Norms
-may differ: vectors get one more component that makes them equally long, which
-turns largest inner product into nearest vector. On level 0 a ring through all
-nodes keeps the graph connected. The index is a table with one row a node: its
-level and one flat array of neighbours per level.
-
-Search. Queries are cut into blocks; a task holds one shard and one block. From
-the top level's nodes a greedy walk goes down, then a beam of EF nodes over
-level 0, for all queries of the block in lockstep. The shards' lists are merged
-per query and ranked by the inner product in double precision.
+result list can need). Nodes fall into shards by a hash: SHARDS_LEAST of them, more
+where they would have over SHARD_ROWS nodes or SHARD_BYTES of vectors. In
+a shard every node draws a level (geometric). On each level, from the top down, the
+first nodes are linked by blocked products, the others inserted in batches that
+search the graph built so far; neighbours are picked by the usual diversity rule (a
+candidate is kept if no kept one is nearer to it than the node is), and linked
+back. Norms may differ: vectors get one more component that makes them equally
+long, which turns largest inner product into nearest vector. On level 0 a ring
+through all nodes keeps the graph connected. The index is a table with one row a
+node: its level and one flat array of neighbours per level.
+
+Search. Equal query vectors are asked once. They are cut into blocks; a task holds
+one shard and one block. From the top level's nodes a greedy walk goes down, then a
+beam over level 0, for all queries of the block in lockstep. With S shards a shard
+holds an S-th of a query's neighbours, so its beam is EF / sqrt(S) wide (EF_LEAST at
+least). The shards' lists are merged per query and ranked by the inner product in
+double precision. The work per query is that of a beam per shard: constant up to
+SHARDS_LEAST x SHARD_ROWS nodes, then in proportion to the shards.
 
 Defined cases: vectors that are null, empty, zero or have null or non-finite
 components take no part, neither do rows of a null id; vectors of another
-length than the query's aren't candidates (shards hold one length); repeated
-rows of one id count once each, none of them for that id's own query (different
-vectors of one id are all asked, and their lists merged); an empty table gives an empty result; other columns are not looked at.
+length than the query's aren't candidates (shards hold one length); of several rows
+of one id the nearest counts, once, and none for that id's own query; different
+vectors of one query id are all asked, and a candidate has the best of its scores;
+an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -34,15 +39,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwheel.llm.common import persisted
+from cartwheel.llm.common import hot_join, persisted
 from cartwheel.llm.vectors import matrix, numbered, usable
 
 TOP = 20
-SHARD_ROWS = 8192            # wanted nodes per shard
-QUERY_BLOCK = 2048
+SHARD_ROWS = 65_536          # nodes per shard, at most
+SHARD_BYTES = 64 << 20       # and bytes of their vectors
+SHARDS_LEAST = 8             # shards that even a small table is built in, side by side
+QUERY_BLOCK = 16_384
 M = 16                       # neighbours on upper levels; twice as many on level 0
 CANDIDATES = 64              # nearest nodes the neighbours are picked from
-EF = 160                     # beam width
+FIRST_BATCH = 8192           # nodes of a level linked by comparing all
+LARGEST_BATCH = 4096
+EF = 204                     # beam width of a query in a single shard
+EF_LEAST = 40                # beam width in one shard
 
 
 def equal_norms(x: np.ndarray) -> np.ndarray:
@@ -51,51 +61,99 @@ def equal_norms(x: np.ndarray) -> np.ndarray:
     return np.column_stack((x, np.sqrt(np.maximum(0.0, squares.max(initial=0.0) - squares))))
 
 
-def pick_neighbours(x: np.ndarray, nodes: np.ndarray, degree: int, block: int = 512) -> list[np.ndarray]:
-    """For each of ``nodes`` (rows of x), diverse near neighbours among them."""
-    n, picked = len(nodes), []
-    y = x[nodes]
-    c = min(CANDIDATES, n - 1)
-    if c <= degree:
-        return [np.delete(nodes, i) for i in range(n)]
-    for a in range(0, n, block):
-        near = y[a:a + block] @ y.T
-        rows = np.arange(len(near))
-        near[rows, a + rows] = -np.inf
-        top = np.argpartition(-near, c - 1, axis=1)[:, :c]
-        value = np.take_along_axis(near, top, axis=1)
+def diverse(x: np.ndarray, nodes: np.ndarray, near: np.ndarray, degree: int, block: int = 256) -> np.ndarray:
+    """Up to ``degree`` neighbours (-1: none) for each of ``nodes`` from its
+    candidates ``near`` (-1: none, no repeats): nearest first, one is kept if no
+    kept one is nearer to it than the node is; places left go to the nearest ones
+    that were passed over."""
+    out = np.full((len(nodes), degree), -1, dtype=np.int32)
+    for a in range(0, len(nodes), block):
+        c = near[a:a + block]
+        y = x[c]
+        value = np.where(c >= 0, np.einsum("nd,ncd->nc", x[nodes[a:a + block]], y), -np.inf)
         order = np.argsort(-value, axis=1, kind="stable")
-        top, value = np.take_along_axis(top, order, axis=1), np.take_along_axis(value, order, axis=1)
-        between = y[top] @ y[top].transpose(0, 2, 1)
-        kept = np.zeros(top.shape, dtype=bool)
-        for k in range(c):
+        c, value, y = np.take_along_axis(c, order, axis=1), np.take_along_axis(value, order, axis=1), np.take_along_axis(y, order[:, :, None], axis=1)
+        between = y @ y.transpose(0, 2, 1)
+        kept = np.zeros(c.shape, dtype=bool)
+        for k in range(c.shape[1]):
             rival = np.where(kept, between[:, k, :], -np.inf).max(axis=1)
-            kept[:, k] = (rival <= value[:, k]) & (kept.sum(axis=1) < degree)
-        # Places left go to the nearest ones that were passed over.
-        rank = np.where(kept, np.arange(c), c + np.arange(c))
+            kept[:, k] = (rival <= value[:, k]) & (kept.sum(axis=1) < degree) & (c[:, k] >= 0)
+        rank = np.where(kept, 0, np.where(c >= 0, 1, 2)) * c.shape[1] + np.arange(c.shape[1])
         best = np.argsort(rank, axis=1, kind="stable")[:, :degree]
-        picked += [nodes[r] for r in np.take_along_axis(top, best, axis=1)]
-    return picked
+        picked = np.take_along_axis(c, best, axis=1)
+        out[a:a + block, :picked.shape[1]] = picked
+    return out
+
+
+def nearest_in(x: np.ndarray, nodes: np.ndarray, among: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
+    """The ``k`` nearest of ``among`` for each of ``nodes``, itself left out (-1: none), by blocked products."""
+    k = min(k, len(among))
+    out = np.full((len(nodes), k), -1, dtype=np.int32)
+    for a in range(0, len(nodes), block):
+        value = x[nodes[a:a + block]] @ x[among].T
+        value[nodes[a:a + block, None] == among[None, :]] = -np.inf
+        top = np.argpartition(-value, k - 1, axis=1)[:, :k] if k < len(among) else np.tile(np.arange(k), (len(value), 1))
+        out[a:a + block] = np.where(np.take_along_axis(value, top, axis=1) > -np.inf, among[top], -1)
+    return out
+
+
+def add_back_links(x: np.ndarray, flat: np.ndarray, nodes: np.ndarray, picked: np.ndarray) -> None:
+    """Link the picked neighbours back to ``nodes``; a full list keeps its nearest."""
+    source, target = np.repeat(nodes, picked.shape[1]), picked.ravel()
+    source, target = source[target >= 0], target[target >= 0]
+    order = np.lexsort((-np.einsum("pd,pd->p", x[source], x[target]), target))
+    source, target = source[order], target[order]
+    ends, first, count = np.unique(target, return_index=True, return_counts=True)
+    place = np.arange(len(target)) - np.repeat(first, count)
+    room = flat.shape[1]
+    few = place < room                                              # nearest come first
+    more = np.full((len(ends), min(room, int(count.max(initial=0)))), -1, dtype=np.int32)
+    more[np.repeat(np.arange(len(ends)), count)[few], place[few]] = source[few]
+    for a in range(0, len(ends), 2048):
+        have = flat[ends[a:a + 2048]]
+        more_a = more[a:a + 2048]
+        more_a = np.where((more_a[:, :, None] == have[:, None, :]).any(axis=2), -1, more_a)
+        both = np.concatenate((have, more_a), axis=1)
+        value = np.where(both >= 0, np.einsum("nd,ncd->nc", x[ends[a:a + 2048]], x[both]), -np.inf)
+        best = np.argsort(-value, axis=1, kind="stable")[:, :room]
+        flat[ends[a:a + 2048]] = np.take_along_axis(both, best, axis=1)
 
 
 def build_graph(x: np.ndarray, levels: np.ndarray) -> list[list[np.ndarray]]:
-    """neighbours[level][node] (empty where the node isn't on the level)."""
-    n, graph = len(x), []
-    for level in range(int(levels.max(initial=0)) + 1):
-        nodes, degree = np.flatnonzero(levels >= level), 2 * M if level == 0 else M
-        links: list[list[int]] = [[] for _ in range(n)]
-        picked = pick_neighbours(x, nodes, degree)
-        for node, near in zip(nodes.tolist(), picked):
-            links[node] = near.tolist()
-        for node, near in zip(nodes.tolist(), picked):      # back links, nearest first come
-            for other in near[:degree // 2].tolist():
-                if len(links[other]) < 2 * degree and node not in links[other]:
-                    links[other].append(node)
-        if level == 0 and n > 1:
-            for node in range(n):
-                links[node].append((node + 1) % n)
-        graph.append([np.array(list(dict.fromkeys(v)), dtype=np.int32) for v in links])
-    return graph
+    """neighbours[level][node] (empty where the node isn't on the level).
+
+    Levels are built from the top down; on each one nodes are inserted in batches,
+    those of the levels above first: a batch looks for its nearest inserted nodes by
+    a beam over the graph so far, from the nearest nodes of the level above, and
+    adds the nearest of its own. A batch is an eighth of what is there, so the work
+    per node is that of a search."""
+    n = len(x)
+    order = np.argsort(-levels, kind="stable").astype(np.int32)
+    graph: list[list[np.ndarray]] = []
+    above = order[:0]
+    for level in range(int(levels.max(initial=0)), -1, -1):
+        nodes, degree = order[:int((levels >= level).sum())], 2 * M if level == 0 else M
+        flat = np.full((n + 1, 2 * degree), -1, dtype=np.int32)
+        done = min(len(nodes), FIRST_BATCH)
+        while True:
+            batch = nodes[:done] if flat.max(initial=-1) < 0 else nodes[start:done]
+            near = nearest_in(x, batch, batch, CANDIDATES)
+            if len(batch) < done:
+                entry = nearest_in(x, batch, above, 4) if len(above) else np.repeat(nodes[:1][None, :], len(batch), axis=0)
+                found = [beam_search(x, flat, entry[a:a + 512].astype(np.int64), x[batch[a:a + 512]], CANDIDATES) for a in range(0, len(batch), 512)]
+                near = np.concatenate((np.concatenate(found).astype(np.int32), near[:, :CANDIDATES // 2]), axis=1)
+            picked = diverse(x, batch, near, degree)
+            flat[batch, :degree] = picked
+            add_back_links(x, flat, batch, picked[:, :degree // 2])
+            if done == len(nodes):
+                break
+            start, done = done, min(len(nodes), done + min(done // 8, LARGEST_BATCH))
+        links = [row[row >= 0] for row in flat[:n]]
+        if level == 0 and n > 1:         # a ring through all nodes keeps the graph connected
+            links = [np.unique(np.append(v, (i + 1) % n)).astype(np.int32) for i, v in enumerate(links)]
+        graph.append(links)
+        above = nodes
+    return graph[::-1]
 
 
 def beam_search(x: np.ndarray, flat: np.ndarray, entry: np.ndarray, queries: np.ndarray, width: int) -> np.ndarray:
@@ -191,7 +249,7 @@ def build_index(embeddings: DataFrame, top: int = TOP, id_col: str = "vec_id", v
     lengths = {r["d"]: r["n"] for r in nodes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
     shard, first = F.lit(0), 0
     for d, n in sorted(lengths.items()):
-        shards = -(-n // shard_rows)
+        shards = max(min(SHARDS_LEAST, -(-n // 256)), -(-n // max(1, min(shard_rows, SHARD_BYTES // (8 * d)))))
         shard = F.when(F.size("v") == d, first + F.pmod(F.xxhash64("v"), F.lit(shards))).otherwise(shard)
         first += shards
     schema = pa.schema([("shard", pa.int32()), ("node", pa.int32()), ("v", pa.list_(pa.float64())),
@@ -224,41 +282,50 @@ def search(index: DataFrame, queries: DataFrame, top: int = TOP, ef: int = EF, q
     targets = F.array().cast("array<int>")
     for d, numbers in sorted(by_length.items()):
         targets = F.when(F.size("v") == d, F.array(*[F.lit(s) for s in sorted(numbers)])).otherwise(targets)
-    asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "v",
-                           F.explode(targets).alias("shard"))
+    width = {d: max(EF_LEAST, round(ef / len(numbers) ** 0.5)) for d, numbers in by_length.items()}
+    vectors = persisted(queries.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.xxhash64("v"))
+                        .select("key", "v", "n"), "hnsw-asked")
+    asked = vectors.select(F.pmod("key", F.lit(blocks)).cast("int").alias("block"), "v", F.explode(targets).alias("shard"))
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("v", pa.list_(pa.float64())), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def run(graph: pa.Table, ask: pa.Table) -> pa.Table:
+    def run(ask: pa.Table, graph: pa.Table) -> pa.Table:
         if not len(graph) or not len(ask):
             return schema.empty_table()
         graph = graph.take(pa.array(np.argsort(graph.column("node").to_numpy())))
         x, q = matrix(graph.column("v")), matrix(ask.column("v"))
-        ids, asking = graph.column("ids").to_pylist(), ask.column("query_id").to_pylist()
+        ids = graph.column("ids").to_pylist()
         shard = Shard(x, graph.column("level").to_numpy(), graph.column("links").to_pylist())
-        out: tuple[list, list, list] = ([], [], [])
+        asking, found_ids, scores = [], [], []
         for a in range(0, len(q), 512):
-            found = shard.search(q[a:a + 512], ef)[:, :top + 2]
-            for query, nodes, own in zip(q[a:a + 512], found, asking[a:a + 512]):
+            found = shard.search(q[a:a + 512], width[q.shape[1]])[:, :top + 2]
+            for i, nodes in enumerate(found, start=a):
                 nodes = nodes[nodes >= 0]
-                scores = x[nodes] @ query
-                taken = 0
-                for k in np.argsort(-scores, kind="stable").tolist():
-                    for vec_id in ids[nodes[k]]:
-                        if vec_id != own:
-                            out[0].append(own)
-                            out[1].append(vec_id)
-                            out[2].append(float(scores[k]))
-                            taken += 1
+                score, taken = x[nodes] @ q[i], 0
+                for k in np.argsort(-score, kind="stable").tolist():
+                    near = ids[nodes[k]]
+                    asking += [i] * len(near)
+                    found_ids += near
+                    scores += [float(score[k])] * len(near)
+                    taken += len(near)
                     if taken > top:
                         break
-        return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())],
-                                    schema=schema)
+        return pa.Table.from_arrays([ask.column("v").combine_chunks().take(pa.array(asking, pa.int64())), pa.array(found_ids, pa.int64()),
+                                     pa.array(scores, pa.float64())], schema=schema)
 
     found = asked.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInArrow(
-        lambda ask, graph: run(graph, ask), "query_id long, vec_id long, score double")
+        run, "v array<double>, vec_id long, score double")
+    # A vector's list is cut before it goes to the ids that ask for it: one more
+    # than asked for, since an id's own row may be among them.
+    nearest_of = Window.partitionBy("v").orderBy(F.desc("score"), "vec_id")
+    lists = found.groupBy("v", "vec_id").agg(F.max("score").alias("score")) \
+        .withColumn("place", F.row_number().over(nearest_of)).where(F.col("place") <= top + 1) \
+        .groupBy("v").agg(F.collect_list(F.struct("vec_id", "score")).alias("near"))           # top + 1 at most
+    lists = persisted(lists.join(vectors.select("v", "n"), "v"), "hnsw-lists")
+    each = hot_join(queries.select("query_id", "v"), lists, ["v"], "n", n).select("query_id", F.explode("near").alias("x")) \
+        .select("query_id", "x.vec_id", "x.score").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top) \
+    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top) \
         .select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 

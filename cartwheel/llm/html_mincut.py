@@ -4,12 +4,14 @@ A page is taken apart into text blocks (runs of text between block-level tags),
 each with the path of open elements above it. The graph has one node per block
 between a source (content) and a sink (boilerplate):
 
-* terminal capacities are classifier costs: a linear score over what the block
-  and its ancestors look like gives a probability of being content; labelling
+* terminal capacities are classifier costs: a linear score over the block's length
+  (against the page's longest text outside boilerplate), its share of link text
+  and the names above it gives a probability of being content; labelling
   the block boilerplate costs -log(1 - p_boilerplate), and the other way round;
 * smoothness edges join neighbouring blocks and blocks that follow each other
   under one parent; the nearer two blocks are in the element tree the more it
-  costs to label them differently.
+  costs to label them differently. A short paragraph, a bare number or a lone link
+  says little by itself: the cut gives it the label of what it stands among.
 
 The cheapest labelling is a minimum cut, found by max-flow (Dinic; flow that
 goes straight through one block is removed first, so only disagreements are
@@ -18,8 +20,13 @@ left to solve). Content blocks, in page order, make the text.
 Pages stay where they are read (no shuffle); a task holds one batch of pages.
 A page's graph is linear in its blocks.
 
+Names count by the words of each class, id or role of their own; those that say what
+a page has, lacks or is tagged with (``has-sidebar``, ``no-sidebar``, ``tag-social``,
+``modal-open``) don't, nor do any on html and body.
+
 Defined cases: null, empty or mark-up-free html is handled (null and empty give
-the empty text; plain text is one block); unclosed and stray tags never fail; an
+the empty text; plain text is one block, kept however short); unclosed and stray tags
+never fail; formulas and drawings are read as text inside their block; an
 empty table gives an empty result; repeated rows are repeated; other columns are
 not looked at.
 """
@@ -29,7 +36,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,31 +47,35 @@ from pyspark.sql import functions as F
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
                    "samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math select button option canvas "
-                "video audio".split())
+# Parts of formulas and drawings: their text stands in the line.
+DRAWN = frozenset("math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mspace "
+                  "mstyle semantics svg g defs use symbol path circle ellipse rect line polyline polygon text tspan".split())
+RAW = frozenset("script style noscript template textarea title iframe select button option canvas video audio annotation "
+                "annotation-xml desc metadata".split())
 CLOSED_BY_PEERS = frozenset("p li dt dd tr td th option".split())
-# Scores of ancestors, by element name and by word of its class, id or role.
-ELEMENT_SCORE = {"article": 3.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0,
-                 "dialog": -9.0, "head": -9.0, "address": -3.0}
-WORD_SCORE = {"content": 1.5, "article": 2.0, "post": 1.0, "entry": 1.0, "story": 1.5, "main": 1.5, "body": 0.5, "text": 0.5,
-              "nav": -9.0, "navigation": -9.0, "navbar": -9.0, "menu": -9.0, "breadcrumb": -9.0, "breadcrumbs": -9.0,
-              "header": -6.0, "masthead": -9.0, "banner": -9.0, "footer": -9.0, "sidebar": -9.0, "aside": -9.0,
-              "complementary": -9.0, "contentinfo": -9.0, "search": -6.0, "ad": -9.0, "ads": -9.0, "adv": -9.0,
-              "advert": -9.0, "adverts": -9.0, "advertisement": -9.0, "sponsor": -9.0, "sponsored": -9.0, "promo": -9.0,
-              "promoted": -9.0, "cookie": -9.0, "cookies": -9.0, "consent": -9.0, "gdpr": -9.0, "notice": -9.0,
-              "notification": -9.0, "alert": -6.0, "popup": -9.0, "modal": -9.0, "overlay": -9.0, "newsletter": -9.0,
-              "subscribe": -9.0, "subscription": -9.0, "signup": -9.0, "login": -9.0, "comment": -9.0, "comments": -9.0,
-              "reply": -6.0, "replies": -9.0, "disqus": -9.0, "respond": -6.0, "discussion": -6.0, "related": -6.0,
-              "recommended": -6.0, "share": -6.0, "sharing": -6.0, "social": -6.0, "widget": -6.0, "toolbar": -9.0,
-              "pagination": -9.0, "pager": -9.0, "skip": -6.0, "copyright": -9.0, "legal": -6.0, "disclaimer": -6.0,
-              "hidden": -6.0, "tags": -3.0, "byline": -1.0}
+# Log odds of content, by element name and by word of a class, id or role.
+CLEAR, LIKELY, HINT = -6.0, -4.0, -2.0
+ELEMENT_SCORE = {"article": 0.6, "main": 0.6, "head": CLEAR, "address": HINT} | dict.fromkeys("nav footer aside form menu dialog".split(), CLEAR)
+WORD_SCORE = (
+    dict.fromkeys("content article post entry story main body text".split(), 0.3)
+    | dict.fromkeys("nav navigation navbar menu breadcrumb breadcrumbs masthead banner footer sidebar aside complementary contentinfo "
+                    "ad ads adv advert adverts advertisement sponsor sponsored promo promoted cookie cookies consent gdpr notice "
+                    "notification popup modal overlay newsletter subscribe subscription signup login comment comments replies disqus "
+                    "toolbar pagination pager copyright".split(), CLEAR)
+    | dict.fromkeys("header search alert reply respond discussion related recommended share sharing social widget skip legal "
+                    "disclaimer hidden".split(), LIKELY)
+    | {"tags": HINT, "byline": -0.5})
+# Names that begin or end so tell of the page, not of the element.
+ABOUT_PAGE = re.compile(r"(?:no|not|has|have|with|without|is|tag|category|cat|tax|term|js|type|format|status|layout)[-_].*"
+                        r"|.*[-_](?:open|opened|closed|enabled|disabled|active|visible|loaded|layout|template|page)")
 SCALE = 100                  # capacities are integers
-SMOOTH = 0.8                 # cost of splitting two blocks under one parent
+SMOOTH = 3.0                 # cost of splitting two blocks of one element
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _NAME = re.compile(r"[a-z]+")
+_SPLIT = re.compile(r"[\s,]+")
 
 
 class Element:
@@ -77,19 +88,25 @@ class Element:
         self.score = score
 
 
+def _name_score(value: str) -> float:
+    """Of a class, id or role: the clearest word of its names."""
+    scores = [WORD_SCORE.get(w, 0.0) for name in _SPLIT.split(value) if not ABOUT_PAGE.fullmatch(name) for w in _NAME.findall(name)]
+    least = min(scores, default=0.0)
+    return least if least < 0 else max(scores, default=0.0)
+
+
 def _own_score(name: str, attributes: str, parent: Element | None) -> float:
     score = ELEMENT_SCORE.get(name, 0.0)
     if name == "header":     # a page's header, not an article's title block
-        score = -1.0 if parent and parent.in_content else -9.0
-    for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+        score = -0.5 if parent and parent.in_content else CLEAR
+    for key, value in _ATTRIBUTE.findall(attributes) if attributes and name not in ("html", "body") else ():
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "style":
-            score += -9.0 if "display:none" in value.replace(" ", "") else 0.0
+            score += CLEAR if "display:none" in value.replace(" ", "") else 0.0
         elif key in ("hidden", "aria-hidden"):
-            score += -9.0 if value != "false" else 0.0
+            score += CLEAR if value != "false" else 0.0
         else:
-            words = [WORD_SCORE.get(w, 0.0) for w in _NAME.findall(value)]
-            score += min(words, default=0.0) if min(words, default=0.0) < 0 else max(words, default=0.0)
+            score += _name_score(value)
     return score
 
 
@@ -104,6 +121,7 @@ def blocks_of(page: str) -> list[Block]:
     """The page's text blocks with the innermost block element above each."""
     root = Element("", None, 0.0, 0)
     stack, blocks, pieces, linked, links, number = [root], [], [], 0, 0, 0
+    open_names: Counter[str] = Counter()
 
     def end_block():
         nonlocal linked
@@ -137,14 +155,14 @@ def blocks_of(page: str) -> list[Block]:
             links = 0 if closing else 1
         if name == "br":
             pieces.append(" ")
-        elif name in INLINE:
+        elif name in INLINE or name in DRAWN:
             pass
         elif closing:
             end_block()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    links = 0
+            while open_names[name]:          # a stray end tag closes nothing
+                open_names[stack[-1].name] -= 1
+                links = 0
+                if stack.pop().name == name:
                     break
         elif name in RAW:
             if not token[3].endswith("/"):
@@ -155,25 +173,35 @@ def blocks_of(page: str) -> list[Block]:
             end_block()
             if name in VOID:
                 continue
-            if name in CLOSED_BY_PEERS and stack[-1].name == name:
-                stack.pop()
-            elif stack[-1].name == "p":      # a block element ends a paragraph
-                stack.pop()
+            if stack[-1].name == "p" or name in CLOSED_BY_PEERS and stack[-1].name == name:      # a block element ends a paragraph
+                open_names[stack.pop().name] -= 1
             number += 1
+            open_names[name] += 1
             stack.append(Element(name, stack[-1], stack[-1].score + _own_score(name, token[3], stack[-1]), number))
     end_block()
     return blocks
 
 
-def content_cost(block: Block) -> tuple[int, int]:
-    """(cost of labelling it boilerplate, cost of labelling it content)."""
+def longest_text(blocks: list[Block]) -> int:
+    """Length of the longest block that no name above speaks against."""
+    return max((len(b.text) - b.linked for b in blocks if b.parent.score >= -0.5), default=0)
+
+
+def content_score(block: Block, longest: int) -> float:
+    """Log odds of the block being content. Its length counts against a fifth of
+    the page's longest text (against 20 characters, if that is more): a page of
+    short texts is no less a page."""
     n = len(block.text)
-    density = min(1.0, block.linked / n)
-    score = block.parent.score + 0.4 * min(4.0, math.log1p(n / 20)) - 3.5 * density
-    name = block.parent.name
-    if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption", "td", "li"):
-        score += 0.5 if name != "li" else 0.0
-    score -= 0.6
+    measure = max(0.5, min(20.0, longest / 5))
+    score = block.parent.score + 0.9 * (min(4.0, math.log1p(n / measure)) - 1.0) - 3.5 * min(1.0, block.linked / n)
+    if block.parent.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption", "td", "th", "li", "dt", "dd"):
+        score += 0.2
+    return score
+
+
+def content_cost(block: Block, longest: int) -> tuple[int, int]:
+    """(cost of labelling it boilerplate, cost of labelling it content)."""
+    score = content_score(block, longest)
     softplus = lambda x: max(0.0, x) + math.log1p(math.exp(-abs(x)))
     return round(SCALE * softplus(score)), round(SCALE * softplus(-score))
 
@@ -192,16 +220,18 @@ def distance(a: Element, b: Element) -> int:
 
 def smoothness_edges(blocks: list[Block]) -> list[tuple[int, int, int]]:
     """(i, j, capacity): neighbours by their distance in the tree, and each
-    block with the next one of the same parent's element."""
+    block with the next one of the same parent's element. Where the names above
+    two blocks differ in what they say, there is a border to be expected."""
+    def capacity(a: Block, b: Block, steps: int) -> int:
+        return round(SCALE * SMOOTH / ((1 + steps) * (1 + abs(a.parent.score - b.parent.score))))
+
     edges, last = [], {}
     for i, b in enumerate(blocks):
-        if i:
-            capacity = round(SCALE * SMOOTH / (1 + distance(blocks[i - 1].parent, b.parent)))
-            if capacity:
-                edges.append((i - 1, i, capacity))
+        if i and (c := capacity(blocks[i - 1], b, distance(blocks[i - 1].parent, b.parent))):
+            edges.append((i - 1, i, c))
         above = (b.parent.parent or b.parent).number
-        if above in last and last[above] != i - 1:
-            edges.append((last[above], i, round(SCALE * SMOOTH / 3)))
+        if above in last and last[above] != i - 1 and (c := capacity(blocks[last[above]], b, 2)):
+            edges.append((last[above], i, c))
         last[above] = i
     return edges
 
@@ -299,7 +329,8 @@ def main_text(page: str | None) -> tuple[str, int, int]:
     blocks = blocks_of(page or "")
     if not blocks:
         return "", 0, 0
-    costs = [content_cost(b) for b in blocks]
+    longest = longest_text(blocks)
+    costs = [content_cost(b, longest) for b in blocks]
     kept = min_cut([c[0] for c in costs], [c[1] for c in costs], smoothness_edges(blocks))
     parts = [b.text for b, k in zip(blocks, kept) if k]
     return " ".join(parts), len(parts), len(blocks)

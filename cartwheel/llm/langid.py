@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.llm.common import mix
+from cartwheel.llm.common import mix, slices
 from cartwheel.llm.mixing import water_fill
 
 TRAIN_DOCS = 20_000
@@ -275,7 +275,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)      # 2 x CELLS x languages floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores, spans = identify_texts(shared.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, _SPANS)],
@@ -293,7 +293,7 @@ def keep_identified(docs: DataFrame, model: Model, min_share: float, text_col: s
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores, _ = identify_texts(shared.value, batch.column(at).to_pylist(), spans=False)
             yield batch.filter(pa.array([x != "und" and s >= min_share for x, s in zip(langs, scores)], pa.bool_()))
 

@@ -1,10 +1,9 @@
 """Mixing sources to target weights with a time-varying curriculum, DataFrame
 functions only.
 
-A run lasts from time 0 to 1. Source s has a piecewise linear weight schedule
-w_s(t); its share of the words at time t is w_s(t) over the sum of all
-schedules. Integrated, this gives the source's cumulative demand D_s(t), with
-D_s(1) its target. A document lies at a place c in its source (order: hash of
+A run lasts from time 0 to 1. Source s has a piecewise linear schedule of rates,
+scaled so that its integral, the source's cumulative demand D_s(t), ends at its
+target: D_s(1) = target. A document lies at a place c in its source (order: hash of
 the id); the mix takes it in pass p at demand p * S + c as long as that is
 below the target, and the training position is the time t with
 D_s(t) = p * S + c (linear inversion inside a schedule step). Sorting all
@@ -12,14 +11,15 @@ passes by position gives the training order.
 
 Targets: ``budget`` words are shared by weight; a source's target stops at
 ``max_epochs`` times its size and what it cannot use goes to the others by
-weight, until none is above (water filling over the sources' totals, one row a
-source).
+weight, until none is above. In order of size by weight the sources that stop are
+the first ones, so running sums over the sources tell which they are.
 
-Scale: the place c is a two-level running sum. A source's documents fall in
-16^BUCKET_DIGITS hash buckets; sums per (source, bucket) are added up in order
-(so many rows a source at most), and inside a bucket a window adds up its own
-documents, so a source with a third of all rows is spread over all buckets. Texts are
-never shuffled.
+Scale: places are running sums in ``ranked`` order (range partitions, written
+once), so neither a source with a third of all rows nor a third of all rows without
+an id meets in one window. A source's target reaches its rows through one row per
+(source, partition). Sources are rows throughout; only sums over them come to the
+driver. Texts are read where they lie for ``mix`` and travel for
+``mixed_documents`` alone, once to their row's positions and once to their range.
 
 Defined cases: a null text has 0 words and takes none; a null source is a
 source of its own, last in order; an empty table gives an empty result;
@@ -31,15 +31,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.llm.common import WORD, persisted, with_row_key
+from cartwheel.functions.keys import ranked
+from cartwheel.llm.common import WORD, persisted, row_keyed
 
 WEIGHTS = (5, 2, 1)
 BUDGET_SHARE = 1.5
 MAX_EPOCHS = 2
-BUCKET_DIGITS = 3            # hex digits of the order key: 4096 buckets a source
 STEPS = 64                   # schedule steps over the run
 
 
@@ -54,12 +54,6 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("order_key"))
 
 
-def source_totals(records: DataFrame) -> list[tuple[str | None, int]]:
-    """(source, words), by code point, null last: one row a source."""
-    rows = records.groupBy("source").agg(F.sum("size").alias("words")).collect()
-    return sorted(((r["source"], r["words"]) for r in rows), key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8")))
-
-
 def water_fill(sizes: Sequence[int], weights: Sequence[float], budget: float, cap: float) -> list[float]:
     """Share ``budget`` by weight; none above ``cap`` times its size."""
     target, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(budget)
@@ -106,6 +100,27 @@ def position(demand: Column, curve: Column, steps: int) -> Column:
     return (at + F.when(high > low, F.least(F.lit(1.0), (demand - low) / (high - low))).otherwise(F.lit(0.0))) / float(steps)
 
 
+def source_targets(records: DataFrame, weights: Sequence[float], budget_share: float, max_epochs: int) -> DataFrame:
+    """One row per source: source, source_size, number (by code point, null last),
+    target. The same shares as ``water_fill``."""
+    totals = persisted(records.groupBy("source").agg(F.sum("size").alias("source_size"))
+                       .withColumn("nameless", F.col("source").isNull()), "mixing-sources")
+    named = ranked(totals, [], ["nameless", "source"], "mixing-names", rank="number", total="sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
+    named = named.withColumn("weight", weight).withColumn("cap", (F.col("source_size") * max_epochs).cast("double"))
+    named = persisted(named.withColumn("ratio", F.col("cap") / F.col("weight")), "mixing-weights")
+    whole = named.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    budget, all_weight = budget_share * (whole["words"] or 0), whole["weight"] or 0.0
+    filled = ranked(named, [], ["ratio", "number"], "mixing-fill", rank="place", total="all", sums={"caps": "cap", "weights": "weight"})
+    # all sources before this one stop at their caps: does it stop as well?
+    unit = (F.lit(budget) - F.col("caps")) / (F.lit(all_weight) - F.col("weights"))
+    filled = persisted(filled.withColumn("stops", F.col("weight") * unit > F.col("cap")), "mixing-stops")
+    done = filled.where("stops").agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight")).first()
+    left, open_weight = budget - (done["cap"] or 0.0), all_weight - (done["weight"] or 0.0)
+    rest = F.col("weight") * F.lit(left / open_weight if open_weight else 0.0)
+    return filled.select("source", "source_size", "number", F.when(F.col("stops"), F.col("cap")).otherwise(rest).alias("target"))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float = BUDGET_SHARE,
         max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", row_col: str | None = None) -> DataFrame:
@@ -115,32 +130,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget_share: float
     own for every row, that value comes first, as ``row``."""
     own = ["row"] if row_col else []
     records = persisted(sized(docs, id_col, text_col, source_col, row_col), "mixing-sizes")
-    spark = records.sparkSession
-    totals = source_totals(records)
-    share = [float(weights[i % len(weights)]) for i in range(len(totals))]
-    target = water_fill([n for _, n in totals], share, budget_share * sum(n for _, n in totals), max_epochs)
-    curves = [demand_curve(t, r) for t, r in zip(target, linear_schedule(len(totals)))]
-    plan = spark.createDataFrame(
-        [(s, n, t, c) for (s, n), t, c in zip(totals, target, curves)],
-        "plan_source string, source_size long, target double, curve array<double>")
-
-    records = records.withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS))
-    sums = records.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("start_source"), F.col("bucket").alias("start_bucket"),
-                         F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("bucket_start"))
-    inside = Window.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size", *own) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    placed = records.withColumn("in_bucket", F.coalesce(F.sum("size").over(inside), F.lit(0))) \
-        .join(starts, F.col("source").eqNullSafe(F.col("start_source")) & (F.col("bucket") == F.col("start_bucket"))) \
-        .withColumn("place", F.col("bucket_start") + F.col("in_bucket")) \
-        .join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source")))     # one row a source
+    targets = source_targets(records, weights, budget_share, max_epochs)
+    placed = ranked(records, ["source"], ["order_key", "doc_id", "size", *own], "mixing-order", total="docs",
+                    attach=targets, sums={"place": "size"})
+    shapes = [F.array(*[F.lit(x) for x in demand_curve(1.0, rates)]) for rates in linear_schedule(2)]
+    shape = F.when(F.col("number") % 2 == 0, shapes[0]).otherwise(shapes[1])
     passes = F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda p: F.greatest(F.lit(0), F.least(
         F.col("size"), F.round("target").cast("long") - p * F.col("source_size") - F.col("place"))).cast("long"))
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x)
     times = F.filter(F.transform(F.col("passes"), lambda words, p: F.when(words > 0, position(
-        (p * F.col("source_size") + F.col("place")).cast("double"), F.col("curve"), STEPS))), lambda t: t.isNotNull())
-    return placed.withColumn("passes", passes).withColumn("taken", taken).withColumn("positions", times).select(
+        (p * F.col("source_size") + F.col("place")) / F.nullif("target", F.lit(0.0)), F.col("shape"), STEPS))), lambda t: t.isNotNull())
+    return placed.withColumn("shape", shape).withColumn("passes", passes).withColumn("taken", taken).withColumn("positions", times).select(
         *own, "doc_id", "source", "size", "source_size", "target", "taken", "passes", "positions")
 
 
@@ -169,7 +169,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     """The rows of ``docs`` in training order, one per pass that takes any of the
     document, whole (a source's last document isn't cut). Every row gets its own
     passes, rows of one id or of none too."""
-    rows = with_row_key(docs, "_row_key", "mixing-rows")
+    rows = row_keyed(docs, "_row_key", "mixing-rows")
     mixed = mix(rows, id_col=id_col, row_col="_row_key", **options)
     positions = mixed.where("taken > 0").select(F.col("row").alias("_row_key"), F.col("positions").alias("_positions"))
     taken = rows.join(positions, "_row_key").drop("_row_key") \

@@ -45,11 +45,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwheel.llm.common import mix, persisted
-from cartwheel.llm.ranking import ranked
+from cartwheel.functions.keys import ranked
+from cartwheel.llm.common import mix, persisted, shuffle_width
 
 BLOCK = 4096                 # depths of a path that stay together
-SHARD_ROWS = 200_000         # path rows a shard is meant to hold
+SHARD_ROWS = 200_000         # path rows a shard is meant to hold at most
 HOT_PARTS = 1024
 CHUNK_IDS = 8192             # ids in one row of a node's endings
 GAMMA = 1.5                  # cells per key in a level of the perfect hash
@@ -262,7 +262,7 @@ def _subtree_sums(path: DataFrame, nodes: DataFrame, path_rows: int, size: int,
         "conv_id", ((F.col("block") + 1) * size - 1).alias("depth"), "block",
         F.sum("leaves").over(lower).alias("leaves"), F.sum("saved").over(lower).alias("saved"), F.lit(False).alias("own")) \
         .where("leaves IS NOT NULL")
-    shards = max(1, -(-path_rows // shard_rows))
+    shards = max(shuffle_width(path.sparkSession), -(-path_rows // shard_rows))      # small tables are spread as well
     shard = F.pmod(F.xxhash64("conv_id", "block"), F.lit(shards)).alias("shard")
     marks = own.drop("longest").unionByName(passed).select(shard, "conv_id", "depth", "leaves", "saved", "own")
     pieces = path.select(shard, "conv_id", "depth", "block", *DIGEST, *PARENT)

@@ -7,7 +7,10 @@ import numpy as np
 import pytest
 from corpus_fixtures import by_id, documents, sha, words_of
 
+from pyspark.sql import functions as F
+
 from cartwheel.llm import mixing, ngram_jaccard, sharding, substring_dedup
+from cartwheel.llm.common import persisted
 from cartwheel.llm.components import components
 
 
@@ -270,3 +273,38 @@ def test_shards_of_awkward_tables(spark):
     assert sorted((r["size"], r.text_crc32) for r in got) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, *_ in rows)
     assert sharding.shard_documents(documents(spark, rows).limit(0)).count() == 0
     assert by_id(sharding.shard_documents(documents(spark, [(9, "only", "en", "s")])))[9].slot == 0
+
+
+def test_hot_keys_of_sharding_are_cut(spark):
+    """A third of the rows without a text, a third equal in id and text: no piece,
+    which is what a window holds, has more than its share."""
+    rows = [(i, None, "en", "s") for i in range(2000)] + [(None, "one text", "en", "s")] * 2000 + \
+        [(10_000 + i, f"text {i} " * 9, "en", "s") for i in range(2000)]
+    got = sharding.shard_documents(documents(spark, rows)).collect()
+    sizes = check_shards(rows, got, 16)
+    assert max(sizes.values()) < 1.1 * sum(sizes.values()) / 16
+    records = persisted(sharding.records_of(documents(spark, rows), "doc_id", "text").withColumn("number", F.monotonically_increasing_id()), "t")
+    total = records.agg(F.sum("size")).first()[0]
+    bounds = sharding.sample_boundaries(records, total, 6000, 24)
+    pieces = sharding.subdivided(records.withColumn("range", sharding.range_of(F.col("key"), bounds)), total, 6000, len(bounds) + 1) \
+        .groupBy("range", "sub", "step").count().collect()
+    assert max(r["count"] for r in pieces) <= 2 * 6000 / 24
+
+
+def test_mixing_of_rows_without_id_and_many_sources(spark):
+    """A third of the rows without id, and more sources than weights: the targets
+    are the water filling's, the places a running sum."""
+    rows = [(None, "w " * (1 + i % 3), "en", "hot") for i in range(600)] + \
+        [(i, "w " * (i % 7), "en", None if i % 40 == 0 else f"s{i % 40}") for i in range(1200)]
+    got = mixing.mix(documents(spark, rows)).collect()
+    words = {}
+    for _, t, _, source in rows:
+        words[source] = words.get(source, 0) + len(words_of(t))
+    names = sorted(words, key=lambda s: (s is None, (s or "").encode()))
+    weights = [mixing.WEIGHTS[i % 3] for i in range(len(names))]
+    want = dict(zip(names, mixing.water_fill([words[s] for s in names], weights, 1.5 * sum(words.values()), 2)))
+    taken = {}
+    for r in got:
+        assert r.target == pytest.approx(want[r.source]) and r.source_size == words[r.source] and r.taken <= 2 * r["size"]
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[s] - want[s]) <= 1 for s in names)

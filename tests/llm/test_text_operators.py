@@ -2,7 +2,9 @@
 
 import itertools
 import random
+import time
 
+import duckdb
 import numpy as np
 import pytest
 from corpus_fixtures import by_id, documents, sha, words_of
@@ -185,3 +187,71 @@ def test_pages(spark):
 
 def test_words_are_ascii_white_space_separated():
     assert words_of("a b\x0bc\x1cd") == ["a b".encode(), b"c\x1cd"]
+
+
+# ---- main text: names, short pages, drawings, nesting ---------------------------
+
+ARTICLE = "".join(f"<p>{('Sentence %d of a text that people read. ' % i) * (1 + i % 4)}</p>" for i in range(9)) + "<p>Yes.</p>"
+ARTICLE_TEXT = " ".join(" ".join(p.split()) for p in ARTICLE.replace("</p>", "").split("<p>")[1:])
+
+
+@pytest.mark.parametrize("page", [
+    "<body class='no-sidebar'>%s</body>", "<div class='has-sidebar'>%s</div>", "<body class='post tag-social'>%s</body>",
+    "<body class='has-cookie-banner'>%s</body>", "<div class='modal-open'>%s</div>", "<html id='comments'><body role='navigation'>%s",
+    "<article class='post tag-social category-legal'>%s</article>", "<div class='without-ads with-newsletter'><main>%s</main></div>"])
+def test_names_that_tell_of_the_page_dont_count(page):
+    assert html_mincut.main_text(page % ARTICLE)[0] == ARTICLE_TEXT
+
+
+def test_boilerplate_goes_whatever_its_length():
+    long = "A reader wrote this at some length. " * 60
+    page = (f"<nav><a href=x>Home</a> <a href=y>News</a></nav><div class='ad'>{long}</div><article>{ARTICLE}"
+            f"<div class='ad-box'>{long}</div></article><section id='comments'><p>{long}</p><p>ok</p></section>"
+            f"<aside>{long}</aside><form>{long}</form><div class='cookie-notice'>{long}</div><footer>{long}</footer>")
+    assert html_mincut.main_text(page)[0] == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("page,text", [
+    ("Hello world, a short note.", "Hello world, a short note."), ("Hi", "Hi"), ("<p>ok</p>", "ok"), (None, ""), ("", ""),
+    ("<article><h1>Hi</h1><p>Ok.</p></article>", "Hi Ok."), ("<main>5</main>", "5"), ("a &lt;b&gt; &amp; c", "a <b> & c"),
+    ("<article><p>With <math><mi>E</mi><mo>=</mo><mn>2</mn></math> in it</p></article>", "With E=2 in it"),
+    ("<article><svg width=3><path d='M0'/><text>Axis</text></svg><p>Shown</p></article>", "Axis Shown"),
+    ("<article><object data=x><p>Instead of it</p></object></article>", "Instead of it")])
+def test_short_pages_and_drawings(page, text):
+    assert html_mincut.main_text(page)[0] == text
+
+
+def test_labels_come_from_the_cut():
+    """The given pages without their article elements: the cut finds the article in
+    most of them, the blocks' own scores in far fewer."""
+    pages = duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' WHERE html IS NOT NULL").fetchall()
+    right = alone = 0
+    for (page,) in pages:
+        want = html_mincut.main_text(page)[0]
+        blocks = html_mincut.blocks_of(page.replace("<article", "<div").replace("</article", "</div"))
+        longest = html_mincut.longest_text(blocks)
+        costs = [html_mincut.content_cost(b, longest) for b in blocks]
+        kept = html_mincut.min_cut([c[0] for c in costs], [c[1] for c in costs], html_mincut.smoothness_edges(blocks))
+        right += " ".join(b.text for b, k in zip(blocks, kept) if k) == want
+        alone += " ".join(b.text for b, c in zip(blocks, costs) if c[0] >= c[1]) == want
+    assert right > 0.8 * len(pages) > 1.2 * alone
+
+
+def test_main_text_is_the_article_of_the_given_pages():
+    """Every given page has its text in one article element: parsed by itself, it is
+    what is extracted from the page."""
+    pages = duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' WHERE html LIKE '%<article%'").fetchall()
+    for (page,) in pages:
+        inside = page[page.index("<article"):]
+        inside = inside[:inside.index("</article>")] if "</article>" in inside else inside[:inside.index("<footer")]
+        blocks = [b for b in html_mincut.blocks_of(inside) if b.parent.score > -1]
+        assert html_mincut.main_text(page)[0] == " ".join(b.text for b in blocks)
+
+
+def test_deep_nesting_takes_linear_time():
+    def seconds(n):
+        page, began = "<div>" * n + "x" + "</p></span></section></li>" * n, time.process_time()
+        assert html_mincut.main_text(page)[0] == "x"
+        return time.process_time() - began
+    seconds(500)
+    assert seconds(32_000) < 30 * seconds(4_000)

@@ -142,3 +142,68 @@ def test_graph_reaches_every_node():
                 seen.add(j)
                 todo.append(j)
     assert len(seen) == 500
+
+
+def linked_rows(rows, threshold=0.95):
+    """(vec_id, links, smallest id reachable) of every row, by comparing all."""
+    x = [np.array(v, dtype=float) / np.linalg.norm(v) for _, v in rows]
+    near = [[j for j in range(len(x)) if j != i and len(x[j]) == len(x[i]) and x[i] @ x[j] >= threshold] for i in range(len(x))]
+    out = []
+    for i, (vec_id, _) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        least = min(rows[j][0] for j in seen)
+        out.append((vec_id, len(near[i]), least, vec_id == least))
+    return sorted(out)
+
+
+def test_dedup_of_ids_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [1.0, 0.02]), (7, [-1.0, 0.0]), (7, [-1.0, 0.05]),
+            (9, [0.0, 1.0]), (9, [0.0, 1.0]), (4, [0.0, -1.0])]
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 8))
+    rows += [(int(rng.integers(20, 60)), (base[i % 12] + rng.normal(size=8) * 0.08).tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(df).collect())) == linked_rows(rows)
+
+
+def test_dedup_of_many_copies_and_many_unusable_rows(spark):
+    """A third of the rows copies of one vector, a third without any: the copies are
+    broadcast to, the others never joined."""
+    rows = [(i, [1.0, 2.0]) for i in range(1000)] + [(i, None) for i in range(1000, 2000)] + [(i, [1.0, -float(i)]) for i in range(2000, 2400)]
+    got = {r.vec_id: tuple(r)[1:] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {got[i] for i in range(1000)} == {(999, 0, False), (999, 0, True)} and all(got[i] == (0, i, True) for i in range(1000, 2000))
+    assert {got[i] for i in range(2000, 2400)} == {(399, 2000, False), (399, 2000, True)}
+
+
+def test_search_of_ids_with_several_vectors(spark):
+    """Every candidate once per query id, with its best score; copies of a query's
+    vector are asked once and answered to each id."""
+    from pyspark.sql import functions as F
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (2, [0.6, 0.1]), (3, [0.1, 0.7]), (3, [0.2, 0.2]), (40, [1.0, 0.0]), (60, [1.0, 0.0]), (60, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in hnsw.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        20: [(1, 40, 1.0), (2, 60, 1.0), (3, 3, 0.7), (4, 2, 0.6)],
+        40: [(1, 20, 1.0), (2, 60, 1.0), (3, 2, 0.6), (4, 3, 0.2)],
+        60: [(1, 20, 1.0), (2, 40, 1.0), (3, 2, 0.6), (4, 3, 0.2)]}
+
+
+def test_inserted_nodes_are_found(monkeypatch):
+    """A level larger than its first batch: the inserted nodes are found as well as
+    the others."""
+    monkeypatch.setattr(hnsw, "FIRST_BATCH", 200)
+    x = vectors(8, 1500)
+    levels = np.minimum(6, (-np.log(1 - np.random.default_rng(0).random(len(x))) / np.log(hnsw.M)).astype(np.int32))
+    graph = hnsw.build_graph(hnsw.equal_norms(x), levels)
+    links = [[graph[k][i].astype("<i4").tobytes() for k in range(levels[i] + 1)] for i in range(len(x))]
+    found = hnsw.Shard(x, levels, links).search(x[::10], 80)[:, :20]
+    hits = sum(int((x[f] @ q >= np.sort(x @ q)[-20] - 1e-6).sum()) for f, q in zip(found, x[::10]))     # copies are as good as each other
+    assert hits >= 0.95 * 20 * len(found)
+    assert max(len(v) for v in graph[0]) <= 4 * hnsw.M + 1
