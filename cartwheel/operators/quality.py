@@ -114,6 +114,59 @@ def dq_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
     return _union(frames)
 
 
+# Reports of one batch ----------------------------------------------------------
+#
+# ``arrivals``: the tables with the number of the batch each row came in
+# (``batch_id``). A batch's report is the difference it makes to the full one. Stored
+# rows count only where they have a key of the batch: a semi join, for which Spark
+# builds a Bloom filter from the batch's keys and applies it in the scan of the stored
+# ones (``spark.sql.optimizer.runtime.bloomFilter``; a filter on ``batch_id`` makes the
+# batch the selective side).
+
+def _keys(df: DataFrame, cols) -> DataFrame:
+    return df.select(*[email_key(c).alias(c) if c == "email" else F.col(c) for c in cols]).dropna()
+
+
+def dq_unique_batch(arrivals: dict[str, DataFrame], batch: int) -> DataFrame:
+    """``dq_unique`` over the batches up to ``batch`` less the same before it."""
+    frames = []
+    for name, table, cols in UNIQUE_RULES:
+        df = arrivals[table]
+        new = _keys(df.where(F.col("batch_id") == batch), cols)
+        old = _keys(df.where(F.col("batch_id") < batch), cols).join(new, list(cols), "left_semi")
+        counts = new.groupBy(*cols).agg(F.count(F.lit(1)).alias("_new")).join(
+            old.groupBy(*cols).agg(F.count(F.lit(1)).alias("_stored")), list(cols), "left").select("_new", F.coalesce("_stored", F.lit(0)).alias("_old"))
+        both = F.col("_old") + F.col("_new")
+        frames.append(counts.agg(
+            F.count_if((both > 1) & (F.col("_old") <= 1)).alias("duplicate_keys"),
+            F.coalesce(F.sum(both - 1 - F.greatest(F.col("_old") - 1, F.lit(0))), F.lit(0)).cast("long").alias("excess_rows"))
+            .select(F.lit(name).alias("rule"), F.lit(table).alias("table_name"), "duplicate_keys", "excess_rows"))
+    return _union(frames)
+
+
+def dq_foreign_keys_batch(arrivals: dict[str, DataFrame], batch: int) -> DataFrame:
+    """``dq_foreign_keys`` over the batches up to ``batch`` less the same before it:
+    the batch's children without a parent, and, taken off, stored children whose
+    parent has come with the batch."""
+    def counted(df: DataFrame, col: str) -> DataFrame:
+        return df.select(F.col(col).alias("_k")).where(F.col("_k").isNotNull()).groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+
+    frames = []
+    for name, child, col, parent, pkey in FOREIGN_KEYS:
+        is_new, is_old = F.col("batch_id") == batch, F.col("batch_id") < batch
+        children = counted(arrivals[child].where(is_new), col)
+        parents = arrivals[parent].select(F.col(pkey).alias("_k"), "batch_id").where(F.col("_k").isNotNull())
+        new_parents = parents.where(is_new).select("_k").distinct()
+        known = parents.where(is_old).select("_k").join(children, "_k", "left_semi").unionByName(new_parents).distinct()
+        first_seen = new_parents.join(parents.where(is_old).select("_k").join(new_parents, "_k", "left_semi"), "_k", "left_anti")
+        healed = counted(arrivals[child].where(is_old).join(first_seen.withColumnRenamed("_k", col), col, "left_semi"), col)
+        orphans = children.join(known, "_k", "left_anti").select("_n").unionByName(healed.select((-F.col("_n")).alias("_n")))
+        frames.append(children.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("child_rows")).select(
+            F.lit(name).alias("rule"), F.lit(child).alias("table_name"), "child_rows",
+            orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long")).scalar().alias("orphan_rows")))
+    return _union(frames)
+
+
 def _stack(df: DataFrame, table: str, names: list[str], value_name: str, label: str) -> DataFrame:
     pairs = ", ".join(f"'{n}', `{n}`" for n in names)
     return df.select(F.lit(table).alias("table_name"),

@@ -332,12 +332,43 @@ for _t, _src in _CLEAN.items():
 _INCOMING = tuple(f"i_{t}" for t in DDL)
 
 
+_UNIQUE = [(f"{t}_pk", t, [d[0]]) for t, d in DDL.items()] + [
+    ("users_email", "users", ["lower(trim(email))"]), ("sellers_email", "sellers", ["lower(trim(email))"]),
+    ("cart_user_product", "cart", ["user_id", "product_id"])]
+
+
+def _earlier(table: str) -> str:
+    """Is the row of an earlier batch than the last of four?"""
+    return f"((coalesce({DDL[table][0]}, -1) % 4) + 4) % 4 < 3"
+
+
+def _dq_unique_batch() -> str:
+    """All batches' surplus less that of the batches before the last."""
+    parts = []
+    for name, table, keys in _UNIQUE:
+        def total(what, condition):
+            return (f"(SELECT coalesce({what}, 0) FROM (SELECT count(*) AS n FROM i_{table} WHERE {' AND '.join(f'{k} IS NOT NULL' for k in keys)} "
+                    f"AND {condition} GROUP BY {', '.join(keys)} HAVING count(*) > 1) d)")
+        difference = [f"CAST({total(w, 'true')} - {total(w, _earlier(table))} AS BIGINT)" for w in ("count(*)", "sum(n - 1)")]
+        parts.append(f"SELECT '{name}' AS rule, '{table}' AS table_name, {difference[0]} AS duplicate_keys, {difference[1]} AS excess_rows")
+    return with_ctes(" UNION ALL ".join(parts), *_INCOMING)
+
+
+def _dq_fk_batch() -> str:
+    parts = []
+    for child, (*_, refs) in DDL.items():
+        for col, (name, parent) in refs.items():
+            def total(extra, children, parents):
+                return (f"(SELECT count(*) FROM i_{child} c WHERE c.{col} IS NOT NULL AND {children} {extra.format(parents=parents)})")
+            orphan = f"AND c.{col} NOT IN (SELECT {DDL[parent][0]} FROM i_{parent} WHERE {DDL[parent][0]} IS NOT NULL AND {{parents}})"
+            rows = [f"CAST({total(x, 'true', 'true')} - {total(x, _earlier(child), _earlier(parent))} AS BIGINT)" for x in ("", orphan)]
+            parts.append(f"SELECT '{name}' AS rule, '{child}' AS table_name, {rows[0]} AS child_rows, {rows[1]} AS orphan_rows")
+    return with_ctes(" UNION ALL ".join(parts), *_INCOMING)
+
+
 def _dq_unique() -> str:
-    rules = [(f"{t}_pk", t, [d[0]]) for t, d in DDL.items()] + [
-        ("users_email", "users", ["lower(trim(email))"]), ("sellers_email", "sellers", ["lower(trim(email))"]),
-        ("cart_user_product", "cart", ["user_id", "product_id"])]
     parts = []
-    for name, table, keys in rules:
+    for name, table, keys in _UNIQUE:
         parts.append(f"""
         SELECT '{name}' AS rule, '{table}' AS table_name, CAST(count(*) AS BIGINT) AS duplicate_keys,
                CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS excess_rows
@@ -677,6 +708,23 @@ SQL: dict[str, str] = {
                CASE WHEN lines_total IS NULL THEN 'no_lines' WHEN total_amount = lines_total THEN 'equal'
                     WHEN total_amount = round(lines_total * 1.1, 2) THEN 'with_tax' ELSE 'mismatch' END AS total_check
         FROM r""", "e_orders", "e_items"),
+    "dq_unique_batch": _dq_unique_batch(),
+    "dq_foreign_keys_batch": _dq_fk_batch(),
+    "seller_dashboard_refreshed": with_ctes(f"""
+        SELECT o.order_id, o.seller_id, o.created_at, {_d('o.total_amount')}, o.order_status,
+               o.seller_approval_status, p.payment_status, coalesce(c.payment_method, p.payment_method) AS payment_method,
+               u.name AS customer_name, u.email AS customer_email, u.phone AS customer_phone, u.address AS customer_address
+        FROM e_orders o JOIN e_payments p ON p.order_id = o.order_id JOIN e_users u ON u.user_id = o.user_id
+        LEFT JOIN e_pm_changes c ON c.order_id = o.order_id
+        WHERE o.seller_id IS NOT NULL""", "e_orders", "e_payments", "e_users", "e_pm_changes"),
+    "order_history_parts": with_ctes("""
+        WITH l AS (
+            SELECT i.order_id, concat_ws('|', CAST(i.product_id AS VARCHAR), CAST(i.quantity AS VARCHAR), CAST(i.subtotal AS VARCHAR),
+                                         p.name, CAST(p.price AS VARCHAR)) AS line,
+                   row_number() OVER (PARTITION BY i.order_id ORDER BY i.product_id, i.quantity, i.subtotal, p.name, p.price) - 1 AS n
+            FROM e_items i JOIN e_products p ON p.product_id = i.product_id)
+        SELECT o.order_id, o.user_id, CAST(coalesce(n // 2, 0) AS INTEGER) AS part, coalesce(string_agg(line, '; ' ORDER BY n), '') AS items_text
+        FROM e_orders o LEFT JOIN l ON l.order_id = o.order_id GROUP BY o.order_id, o.user_id, n // 2""", "e_orders", "e_items", "e_products"),
     # Stream twins: the streaming job must end where the batch query ends.
     "stream_cart": CART_FOLD,
     "stream_payments": with_ctes("""
@@ -685,3 +733,11 @@ SQL: dict[str, str] = {
         FROM orders"""),
     "stream_order_status": ORDER_STATUS_LATEST,
 }
+
+_PAGE = "SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, order_id DESC) AS place FROM ({0})) WHERE place <= 3"
+# A change made in place ends where the operator on the whole table does.
+SQL |= {
+    "payment_method_update_in_place": SQL["payment_method_update"],
+    "product_changes_in_place": SQL["product_changes"],
+    "order_history_first_page": _PAGE.format(SQL["order_history"]),
+}

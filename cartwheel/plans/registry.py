@@ -20,10 +20,12 @@ from pyspark.sql import types as T
 from cartwheel.operators import cart, catalog, checkout, ingest, orders, quality, sellers
 from cartwheel.functions.money import DEFAULT_TAX_RATE
 from cartwheel.functions.text import wall_clock
-from cartwheel.session import written
-from cartwheel.sources import feeds
+from cartwheel import schemas as S
+from cartwheel.plans import views
+from cartwheel.session import scratch_path, written
+from cartwheel.sources import feeds, tables
 from cartwheel.sources.entities import Shop
-from cartwheel.sources.incoming import incoming_tables, retotalled
+from cartwheel.sources.incoming import arrivals, incoming_tables, retotalled
 
 # Fixed run parameters: the batch clock of set-based jobs (CURRENT_TIMESTAMP
 # as a parameter, so reruns are identical) and the point where the stored
@@ -380,7 +382,75 @@ def q_dq_order_totals(spark, sf):
     return quality.dq_order_totals(retotalled(s.orders, s.order_lines), s.order_lines)
 
 
+def q_dq_unique_batch(spark, sf):
+    return quality.dq_unique_batch(arrivals(_tables(_shop(spark, sf))), 3)
+
+
+def q_dq_foreign_keys_batch(spark, sf):
+    return quality.dq_foreign_keys_batch(arrivals(_tables(_shop(spark, sf))), 3)
+
+
+# Stored tables and views that change in place ---------------------------------------
+
+TABLE_BUCKETS = 32
+
+
+def _stored(spark, df, key) -> str:
+    path = scratch_path(spark, "stored-table")
+    tables.save_table(df, path, key, TABLE_BUCKETS)
+    return path
+
+
+def q_payment_method_update_in_place(spark, sf):
+    s = _shop(spark, sf)
+    path, changes = _stored(spark, s.payments, "order_id"), written(s.payment_method_changes, "method-changes")
+    tables.change_table(spark, path, S.PAYMENTS, "order_id", TABLE_BUCKETS, changes,
+                        lambda payments: orders.update_payment_method(payments, changes))
+    return tables.read_table(spark, path, S.PAYMENTS)
+
+
+def q_product_changes_in_place(spark, sf):
+    s = _shop(spark, sf)
+    path, changes = _stored(spark, s.products, "product_id"), s.product_changes
+    outcomes = written(sellers.product_change_outcomes(s.products, changes), "product-outcomes")
+    tables.change_table(spark, path, S.PRODUCTS, "product_id", TABLE_BUCKETS, outcomes,
+                        lambda products: sellers.apply_product_changes(products, changes, outcomes)[0])
+    return tables.read_table(spark, path, S.PRODUCTS)
+
+
+def q_seller_dashboard_refreshed(spark, sf):
+    """The stored view after the payment method changes: only their orders' rows are
+    worked out again."""
+    s = _shop(spark, sf)
+    entities = {"orders": s.orders, "payments": s.payments, "users": s.users}
+    path, changes = scratch_path(spark, "stored-view"), written(s.payment_method_changes, "method-changes")
+    views.store_view("seller_dashboard", entities, path, TABLE_BUCKETS)
+    entities["payments"] = orders.update_payment_method(s.payments, changes)
+    views.refresh_view("seller_dashboard", entities, {"payments": changes.select("order_id")}, path, TABLE_BUCKETS)
+    return tables.read_table(spark, path, views.ORDER_VIEWS["seller_dashboard"](entities).schema)
+
+
+def q_order_history_first_page(spark, sf):
+    """Every user's newest three orders."""
+    s = _shop(spark, sf)
+    return orders.order_history(s.orders, s.payments, last=3)
+
+
+def q_order_history_parts(spark, sf):
+    """Orders' lines in parts of two, in line order."""
+    s = _shop(spark, sf)
+    n = orders.order_history_nested(s.orders, s.order_lines, s.products, max_items_per_row=2)
+    return n.select("order_id", "user_id", "part", orders.items_text("items").alias("items_text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "dq_foreign_keys_batch": q_dq_foreign_keys_batch,
+    "dq_unique_batch": q_dq_unique_batch,
+    "order_history_first_page": q_order_history_first_page,
+    "order_history_parts": q_order_history_parts,
+    "payment_method_update_in_place": q_payment_method_update_in_place,
+    "product_changes_in_place": q_product_changes_in_place,
+    "seller_dashboard_refreshed": q_seller_dashboard_refreshed,
     "change_conservation": q_change_conservation,
     "checkout_orders_untaxed": q_checkout_orders_untaxed,
     "new_users": q_new_users,

@@ -67,3 +67,11 @@ def retotalled(orders: DataFrame, lines: DataFrame) -> DataFrame:
     total = F.when(form == EQUAL, F.col("_sum")).when(form == TAXED, F.round(F.col("_sum") * F.lit("1.1").cast("decimal(2,1)"), 2))
     return orders.join(sums, "order_id", "left").withColumn(
         "total_amount", F.coalesce(total.cast(S.MONEY_CALC), F.col("total_amount").cast(S.MONEY_CALC))).select(*orders.columns)
+
+
+def arrivals(tables: dict[str, DataFrame], batches: int = 4) -> dict[str, DataFrame]:
+    """The incoming tables, their rows dealt to ``batches`` by key (``batch_id``; rows
+    without a key come with the last one)."""
+    from cartwheel.operators.quality import PRIMARY_KEYS
+    return {t: df.withColumn("batch_id", F.pmod(F.coalesce(F.col(PRIMARY_KEYS[t]), F.lit(-1)), F.lit(batches)).cast("int"))
+            for t, df in incoming_tables(tables).items()}
