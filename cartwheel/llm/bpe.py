@@ -23,11 +23,13 @@ space is one chunk; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,16 +55,48 @@ def cut_words(words: np.ndarray, bits: int = CHUNK_BITS, roll: int = ROLL) -> np
 Encoded = tuple[bytes, bytes]
 
 
+def _parts(step: dict | None, inside: str) -> list[dict]:
+    """The steps of a normaliser or pre-tokeniser, one after the other."""
+    if step is None:
+        return []
+    return [p for s in step[inside] for p in _parts(s, inside)] if step["type"] == "Sequence" else [step]
+
+
+def _drops_white_space(step: dict) -> bool:
+    if step["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer"):
+        return True
+    if step["type"] != "Split" or step["behavior"] != "Removed" or not step["invert"] or "Regex" not in step["pattern"]:
+        return False
+    # what matches is kept: nothing in white space, no match across it
+    kept = [m for text in (" \t\n\v\f\r", "a b", "1 2", ". .", "a 's", "' s", "é\té") for m in regex.findall(step["pattern"]["Regex"], text)]
+    return not any(set(m) & set(" \t\n\v\f\r") for m in kept if isinstance(m, str))
+
+
+def words_stand_alone(vocabulary: dict) -> bool:
+    """Can a text's ids be put together from those of its words? So it is where the
+    normaliser works on single characters, on NFC (which never crosses a space) or
+    on runs of white space, the pre-tokeniser drops white space first and adds
+    nothing for the place of a word in the text, no added token has white space in it,
+    and nothing follows (no post-processor; no decoder: tokens joined by a space)."""
+    def harmless(step: dict) -> bool:
+        return step["type"] in ("NFC", "Lowercase") or step["type"] == "Replace" and step["pattern"].get("Regex") == r"\s+" and step["content"] == " "
+
+    normal, split = _parts(vocabulary.get("normalizer"), "normalizers"), _parts(vocabulary.get("pre_tokenizer"), "pretokenizers")
+    later = all(s["type"] in ("Punctuation", "Digits") or s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in split[1:])
+    added = all(not set(t["content"]) & set(" \t\n\v\f\r") and not t["lstrip"] and not t["rstrip"] for t in vocabulary.get("added_tokens") or [])
+    return bool(split) and _drops_white_space(split[0]) and later and all(map(harmless, normal)) and added \
+        and vocabulary.get("post_processor") is None and vocabulary.get("decoder") is None
+
+
 class ChunkEncoder:
     """Encodes texts with one ``tokenizers`` tokenizer through a chunk cache.
 
     ``by_word``: a chunk that isn't known is put together from its words, each
-    encoded once. Only for vocabularies whose words don't influence each other
-    across ASCII white space: the normaliser works on single characters and NFC
-    (which never crosses a space) and the pre-tokeniser drops white space."""
+    encoded once, where ``words_stand_alone`` finds in the vocabulary that words
+    don't influence each other; else it is encoded as it is."""
 
     def __init__(self, tokenizer, by_word: bool = True):
-        self.tokenizer, self.by_word = tokenizer, by_word
+        self.tokenizer, self.by_word = tokenizer, by_word and words_stand_alone(json.loads(tokenizer.to_str()))
         self.chunks: dict[bytes, Encoded] = {}
         self.word_ids: dict[bytes, bytes] = {}
         self.word_texts: dict[bytes, bytes] = {}

@@ -56,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.llm.common import (concat_binary, mix, persisted, shuffle_width, split_by, text_bytes, window_hashes,
+from cartwheel.llm.common import (concat_binary, hot_join, mix, persisted, shuffle_width, split_by, text_bytes, window_hashes,
                                   word_bounds, word_hashes)
 from cartwheel.llm.components import components
 
@@ -474,8 +474,10 @@ def link_components(docs: DataFrame, similarity: Fraction = SIMILARITY, id_col:
     some = facts.where("n > 0 and doc_id is not null")
 
     # Equal sets: one node each, the smallest id.
-    classes = some.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    rep_of = persisted(some.select("doc_id", "n", "fp1", "fp2").join(classes, ["n", "fp1", "fp2"]).select("doc_id", "rep"), "ngram-reps")
+    classes = persisted(some.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "ngram-classes")
+    given = classes.agg(F.sum("copies")).first()[0] or 0
+    rep_of = persisted(hot_join(some.select("doc_id", "n", "fp1", "fp2"), classes, ["n", "fp1", "fp2"], "copies", given)
+                       .select("doc_id", "rep"), "ngram-reps")
     reps = some.select("doc_id", "n", "profile").join(classes.select(F.col("rep").alias("doc_id"), "n").distinct(), ["doc_id", "n"], "left_semi")
 
     bands = {r["g"]: r["c"] for r in classes.groupBy(F.floor(F.log2(F.col("n") + 0.5)).cast("int").alias("g"))

@@ -8,21 +8,25 @@ anchors, so an anchor's count is never below a window's, and a text has one
 anchor per 16 words or so.
 
 Documents fall in buckets by a hash of their id and text, so rows of one id, or
-of none, are spread as well (one shuffle of the texts, which all three passes read). What has to meet across buckets goes to segments (by a
-hash of the anchor or window) in packed rows, one per bucket and segment:
-
-1. each bucket makes its partition sketch: the cells its anchors hit, once per
-   document (two cells an anchor, counts saturating at 2);
-   a segment merges the sketches by adding up and tells each bucket which of its
-   anchors are estimated at two documents or more;
-2. each bucket sends the 128-bit fingerprints of its windows with such an anchor,
-   with the smallest id it has seen each in; a segment groups them exactly and
-   answers where a smaller id exists elsewhere;
+of none, are spread as well (one shuffle of the texts, which all three passes read).
+What has to meet across buckets goes to blocks of cells or segments of windows in
+packed rows, one per bucket and block or segment:
+
+1. each bucket makes its sketch: SKETCH_ROWS rows of cells, their number fixed by the
+   cluster's shuffle partitions (BLOCK_CELLS cells a block), in which each document
+   adds 1 for each of its anchors, saturating at 2. A sketch travels without its empty
+   cells, so it has BLOCK_CELLS x blocks entries a row at most, however many anchors
+   there are. A block adds the buckets' sketches up and tells each bucket which
+   of the cells it hit are at two or more in the merged sketch. A bucket estimates
+   an anchor by the least of its cells there;
+2. each bucket sends the 128-bit fingerprints of its windows whose anchor is
+   estimated at two or more, with the smallest id it has seen each in; a segment
+   groups them exactly and answers where a smaller id exists elsewhere;
 3. each bucket removes the covered words.
 
 An anchor, window or passage in a third of all documents sends one entry per
-bucket, however many documents hold it; no task sees more than a bucket or a
-segment, and both are numbered in proportion to the cluster's shuffle partitions.
+bucket, however many documents hold it; no task sees more than a bucket, a block or
+a segment, and all are numbered in proportion to the cluster's shuffle partitions.
 Two different windows of 10^13 agree in 128 bits with probability below 1e-12.
 
 Defined cases: null text has no words; texts shorter than a window lose nothing;
@@ -48,6 +52,8 @@ from cartwheel.llm.common import (concat_binary, mix, shuffle_width, split_by, t
 WINDOW = 50
 GRAM = 20                    # words of an anchor
 BUCKETS_PER_PARTITION = 4
+SKETCH_ROWS = 2
+BLOCK_CELLS = 1 << 21        # cells of one row in one block
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -115,50 +121,61 @@ def _rows(schema: pa.Schema, rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=schema)
 
 
-_SKETCH = pa.schema([("segment", pa.int32()), ("bucket", pa.int32()), ("anchors", pa.binary()), ("counts", pa.binary())])
-_FLAGGED = pa.schema([("bucket", pa.int32()), ("anchors", pa.binary())])
+_SKETCH = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
+_REPEATED = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("cells", pa.binary())])
 _PRINTS = pa.schema([("segment", pa.int32()), ("bucket", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("ids", pa.binary())])
 _SMALLER = pa.schema([("bucket", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("ids", pa.binary())])
 
 
-def partition_sketch(texts: Texts, bucket: int, segments: int) -> pa.Table:
-    """Each anchor of the bucket with the number of documents it is in (2: two
-    or more), by segment."""
+def cells_of(anchors: np.ndarray, row: int, blocks: int, size: int) -> np.ndarray:
+    """The anchors' cells in one row of the sketch, of blocks x size."""
+    return (mix(anchors ^ np.uint64((row + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(blocks * size)).astype(np.int64)
+
+
+def partition_sketch(texts: Texts, bucket: int, blocks: int, size: int = BLOCK_CELLS) -> pa.Table:
+    """The bucket's count-min sketch, by block (row r's begin at r x blocks): cells
+    in the block and their counts (2: two or more)."""
     document = np.repeat(np.arange(len(texts.ids)), texts.counts)
     order = np.lexsort((document, texts.anchors))
     anchors, document = texts.anchors[order], document[order]
-    once = np.ones(len(anchors), dtype=bool)
+    once = np.ones(len(anchors), dtype=bool)                  # an anchor counts once per document
     once[1:] = (np.diff(anchors) != 0) | (np.diff(document) != 0)
-    anchors, counts = np.unique(anchors[once], return_counts=True)
-    counts = np.minimum(counts, 2).astype(np.uint8)
-    return _rows(_SKETCH, [{"segment": s, "bucket": bucket, "anchors": anchors[at].tobytes(), "counts": counts[at].tobytes()}
-                           for s, at in split_by(_segment(anchors, segments), segments)])
-
-
-def merge_sketches(group: pa.Table) -> pa.Table:
-    """Count-min over one segment: partition sketches added up in two rows of
-    cells; per bucket, its anchors estimated at two documents or more."""
-    anchors = concat_binary(group.column("anchors"), "<u8")
-    counts = concat_binary(group.column("counts"), np.uint8)
-    bits = max(10, int(4 * len(anchors)).bit_length())
-    estimate = np.full(len(anchors), 255, dtype=np.int64)
-    for row in (1, 2):
-        cell = (mix(anchors ^ np.uint64(row)) >> np.uint64(64 - bits)).astype(np.int64)
-        estimate = np.minimum(estimate, np.bincount(cell, weights=counts, minlength=1 << bits)[cell].astype(np.int64))
-    sizes = [len(a) // 8 for a in group.column("anchors").to_pylist()]
-    out, at = [], 0
-    for bucket, n in zip(group.column("bucket").to_pylist(), sizes):
-        some = anchors[at:at + n][estimate[at:at + n] >= 2]
-        at += n
-        if len(some):
-            out.append({"bucket": bucket, "anchors": some.tobytes()})
-    return _rows(_FLAGGED, out)
-
-
-def send_prints(texts: Texts, flagged: np.ndarray, bucket: int, segments: int) -> pa.Table:
-    """Fingerprints of the windows with a flagged anchor, each with the smallest
-    id of the bucket it starts in."""
-    keep = np.isin(texts.anchors, flagged)
+    anchors, out = anchors[once], []
+    for row in range(SKETCH_ROWS):
+        cells, counts = np.unique(cells_of(anchors, row, blocks, size), return_counts=True)
+        counts = np.minimum(counts, 2).astype(np.uint8)
+        out += [{"block": row * blocks + b, "bucket": bucket, "cells": (cells[at] % size).astype("<u4").tobytes(), "counts": counts[at].tobytes()}
+                for b, at in split_by(cells // size, blocks)]
+    return _rows(_SKETCH, out)
+
+
+def merge_sketches(group: pa.Table, size: int = BLOCK_CELLS) -> pa.Table:
+    """One block of all sketches added up; for each bucket, which of its cells are
+    at two or more."""
+    merged = np.zeros(size, dtype=np.uint8)
+    parts = [np.frombuffer(c, dtype="<u4") for c in group.column("cells").to_pylist()]
+    for cells, counts in zip(parts, group.column("counts").to_pylist()):          # a bucket has a cell once
+        merged[cells] = np.minimum(merged[cells] + np.frombuffer(counts, dtype=np.uint8), 2)
+    out = [{"block": block, "bucket": bucket, "cells": some.tobytes()} for block, bucket, cells in
+           zip(group.column("block").to_pylist(), group.column("bucket").to_pylist(), parts) if len(some := cells[merged[cells] >= 2])]
+    return _rows(_REPEATED, out)
+
+
+def estimated_repeated(anchors: np.ndarray, answers: pa.Table, blocks: int, size: int = BLOCK_CELLS) -> np.ndarray:
+    """Which anchors the merged sketch estimates at two documents or more: all of
+    their cells are."""
+    keep = np.ones(len(anchors), dtype=bool)
+    number, cells = answers.column("block").to_numpy(), answers.column("cells").to_pylist()
+    for row in range(SKETCH_ROWS):
+        mine = np.flatnonzero(number // blocks == row)
+        repeated = [np.frombuffer(cells[k], dtype="<u4").astype(np.int64) + int(number[k] % blocks) * size for k in mine]
+        keep &= np.isin(cells_of(anchors, row, blocks, size), np.concatenate(repeated) if repeated else np.empty(0, dtype=np.int64))
+    return keep
+
+
+def send_prints(texts: Texts, keep: np.ndarray, bucket: int, segments: int) -> pa.Table:
+    """Fingerprints of the windows to ``keep``, each with the smallest id of the
+    bucket it starts in."""
     first, second, ids = texts.first[keep], texts.second[keep], texts.window_ids()[keep]
     order, number = grouped(first, second)
     if not len(order):
@@ -223,11 +240,11 @@ def _dedup(docs: DataFrame, emit, output: pa.Schema, output_ddl: str, window: in
     def sketch(group: pa.Table) -> pa.Table:
         return partition_sketch(Texts(group, window, id_col, text_col, True, False), group.column("_bucket")[0].as_py(), segments)
 
-    def prints(group: pa.Table, flagged: pa.Table) -> pa.Table:
-        if not len(group) or not len(flagged):
+    def prints(group: pa.Table, repeated: pa.Table) -> pa.Table:
+        if not len(group) or not len(repeated):
             return _PRINTS.empty_table()
-        return send_prints(Texts(group, window, id_col, text_col, True, True), concat_binary(flagged.column("anchors"), "<u8"),
-                           group.column("_bucket")[0].as_py(), segments)
+        texts = Texts(group, window, id_col, text_col, True, True)
+        return send_prints(texts, estimated_repeated(texts.anchors, repeated, segments), group.column("_bucket")[0].as_py(), segments)
 
     def apply(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(group):
@@ -235,9 +252,9 @@ def _dedup(docs: DataFrame, emit, output: pa.Schema, output_ddl: str, window: in
         texts = Texts(group, window, id_col, text_col, False, True)
         return emit(group, texts, covered(texts, answers, window))
 
-    flagged = bucketed.groupBy("_bucket").applyInArrow(sketch, "segment int, bucket int, anchors binary, counts binary") \
-        .groupBy("segment").applyInArrow(merge_sketches, "bucket int, anchors binary")
-    smaller = bucketed.groupBy("_bucket").cogroup(flagged.groupBy("bucket")) \
+    repeated = bucketed.groupBy("_bucket").applyInArrow(sketch, "block int, bucket int, cells binary, counts binary") \
+        .groupBy("block").applyInArrow(lambda group: merge_sketches(group), "block int, bucket int, cells binary")
+    smaller = bucketed.groupBy("_bucket").cogroup(repeated.groupBy("bucket")) \
         .applyInArrow(prints, "segment int, bucket int, first binary, second binary, ids binary") \
         .groupBy("segment").applyInArrow(group_prints, "bucket int, first binary, second binary, ids binary")
     return bucketed.groupBy("_bucket").cogroup(smaller.groupBy("bucket")).applyInArrow(apply, output_ddl)

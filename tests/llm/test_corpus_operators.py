@@ -2,6 +2,7 @@
 
 import random
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -92,18 +93,41 @@ def test_substring_dedup_keeps_all_columns(spark):
     assert substring_dedup.dedup(docs.limit(0), 3).count() == 0
 
 
-def test_count_min_never_loses_a_repeated_anchor():
+def sketched(anchors, blocks, size):
+    """(sketches, flagged anchors of each bucket) of buckets with one document each."""
     import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+    texts = [SimpleNamespace(ids=np.array([b]), counts=np.array([len(a)]), anchors=a) for b, a in enumerate(anchors)]
+    sketches = pa.concat_tables([substring_dedup.partition_sketch(t, b, blocks, size) for b, t in enumerate(texts)])
+    answers = pa.concat_tables([substring_dedup.merge_sketches(sketches.filter(pa.compute.equal(sketches["block"], k)), size)
+                                for k in range(blocks * substring_dedup.SKETCH_ROWS)])
+    return sketches, [set(a[substring_dedup.estimated_repeated(a, answers.filter(pa.compute.equal(answers["bucket"], b)), blocks, size)].tolist())
+                      for b, a in enumerate(anchors)]
+
+
+def test_count_min_never_loses_a_repeated_anchor():
     rng = np.random.default_rng(5)
     anchors = [np.unique(rng.integers(0, 3000, 800).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(6)]
-    table = pa.Table.from_pylist([{"segment": 0, "bucket": b, "anchors": a.tobytes(), "counts": np.ones(len(a), np.uint8).tobytes()}
-                                  for b, a in enumerate(anchors)])
-    flagged = {r["bucket"]: set(np.frombuffer(r["anchors"], "<u8").tolist()) for r in substring_dedup.merge_sketches(table).to_pylist()}
+    _, flagged = sketched(anchors, 3, 1 << 12)
     values, counts = np.unique(np.concatenate(anchors), return_counts=True)
     repeated = set(values[counts > 1].tolist())
     for b, a in enumerate(anchors):
         assert repeated & set(a.tolist()) <= flagged[b]
-    assert sum(map(len, flagged.values())) < 1.3 * counts[counts > 1].sum()
+    assert sum(map(len, flagged)) < 1.3 * counts[counts > 1].sum()
+
+
+def test_a_sketch_is_no_larger_than_its_cells():
+    """Ten times the anchors make no larger a sketch once its cells are full, and a
+    full one still loses none."""
+    rng = np.random.default_rng(6)
+    sizes = []
+    for n in (20_000, 200_000):
+        anchors = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(2)]
+        anchors[1] = np.unique(np.concatenate((anchors[1], anchors[0][:50])))
+        sketches, flagged = sketched(anchors, 2, 512)
+        sizes.append(sum(len(c) for name in ("cells", "counts") for c in sketches.column(name).to_pylist()))
+        assert set(anchors[0][:50].tolist()) <= flagged[0] & flagged[1]
+    assert sizes[0] == sizes[1] == 2 * substring_dedup.SKETCH_ROWS * 2 * 512 * 5
 
 
 # ---- n-gram join --------------------------------------------------------------

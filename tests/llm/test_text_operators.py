@@ -189,6 +189,33 @@ def test_words_are_ascii_white_space_separated():
     assert words_of("a b\x0bc\x1cd") == ["a b".encode(), b"c\x1cd"]
 
 
+# ---- vocabularies whose words don't stand alone -------------------------------------
+
+def test_word_by_word_only_where_the_vocabulary_allows_it():
+    """Without a decoder, but with white space in its tokens: put together from words
+    its ids would be wrong, so chunks are encoded as they are."""
+    import json
+
+    from tokenizers import Tokenizer, models, pre_tokenizers
+    assert bpe.words_stand_alone(json.loads(Tokenizer.from_file(vocabulary_path()).to_str()))
+    assert not bpe.words_stand_alone(json.loads(Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json")).to_str()))
+    letters = list("abcdefgh .\n\t")
+    merges = [("a", "b"), (" ", "a"), ("ab", " "), ("c", "d"), (" ", "c"), ("\n", "e")]
+    keeps = Tokenizer(models.BPE({t: i for i, t in enumerate(letters + [a + b for a, b in merges])}, merges))
+    adds = Tokenizer(models.BPE({t: i for i, t in enumerate([*letters, "Ġ"])}, []))
+    adds.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh    .\n\t") for _ in range(n)) for n in (0, 1, 50, 3000, 9000)]
+    for tokenizer in (keeps, adds):
+        encoder = bpe.ChunkEncoder(tokenizer)
+        assert not encoder.by_word
+        for _ in range(2):
+            got = encoder.encode([t.encode() for t in texts])
+            want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+            assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in got] == want
+            assert [d.decode() for _, d in got] == [tokenizer.decode(ids, skip_special_tokens=False) for ids in want]
+
+
 # ---- main text: names, short pages, drawings, nesting ---------------------------
 
 ARTICLE = "".join(f"<p>{('Sentence %d of a text that people read. ' % i) * (1 + i % 4)}</p>" for i in range(9)) + "<p>Yes.</p>"
