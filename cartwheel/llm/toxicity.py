@@ -285,11 +285,11 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots (score, probability) of the ascending least-squares fit: neighbours
     out of order are pooled."""
-    order = np.argsort(score, kind="stable")
+    distinct, at = np.unique(score, return_inverse=True)            # equal scores are one point
     blocks: list[list[float]] = []                                  # sum, weight, lowest, highest score
-    for s, v in zip(score[order], y[order]):
-        blocks.append([float(v), 1.0, float(s), float(s)])
-        while len(blocks) > 1 and (blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1] or blocks[-2][3] == blocks[-1][2]):
+    for s, total, weight in zip(distinct.tolist(), np.bincount(at, weights=y).tolist(), np.bincount(at).tolist()):
+        blocks.append([total, weight, s, s])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             total, weight, _, high = blocks.pop()
             blocks[-1][0] += total
             blocks[-1][1] += weight
