@@ -90,3 +90,33 @@ def test_pipeline_against_its_operators(spark):
     tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert len(tokens) == len(kept) and all(len(np.frombuffer(r.ids, "<u4")) == r.n_tokens for r in tokens)
     assert corpus_pipeline.run(spark, SF).count() == len(tokens)
+
+
+def test_new_operators_are_registered():
+    names = entry.queries()
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(11, 14))
+
+
+def test_pipeline_of_an_empty_table(spark):
+    from cartwheel.session import scratch_path
+    folder = scratch_path(spark, "test-empty")
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_a_stage_frees_what_the_one_before_has_written(spark):
+    """Folders that the next stage's documents don't read are gone; one that a
+    result, not yet written, still reads stays."""
+    from cartwheel.llm.common import persisted, table
+    from cartwheel.session import local_fs_path
+    docs = table(spark, SF, "documents").where("doc_id < 40")
+    run_key = (spark.sparkContext.applicationId, "a run of its own")
+    lazy = corpus_pipeline.near_duplicate_stage(spark, docs, run_key[1])
+    first = list(corpus_pipeline._SCRATCH[run_key])
+    assert first and all(os.path.isdir(local_fs_path(p)) for p in first)
+    corpus_pipeline.mixing_stage(spark, lazy, run_key[1])
+    read = [p for p in first if os.path.isdir(local_fs_path(p))]
+    assert 0 < len(read) < len(first) and lazy.count() > 0
+    stored = persisted(lazy, "test-stored")
+    corpus_pipeline.substring_stage(spark, stored, run_key[1])
+    assert not any(os.path.isdir(local_fs_path(p)) for p in first)
