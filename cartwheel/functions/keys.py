@@ -86,17 +86,21 @@ def dense_ids(keys_df: DataFrame, key: str, base: Column, out: str,
     order = list(order or [key])
     sums = dict(sums or {})
     weights = {"_n": F.lit(1)} | {f"_w_{n}": F.col(w) for n, (_, w) in sums.items()}
-    keyed = keys_df.withColumn("_range", range_number(F.col(key), splitters(keys_df, key, bucket_width)))
-    earlier = Window.unboundedPreceding
-    before = Window.orderBy("_range").rowsBetween(earlier, -1)
-    offsets = keyed.groupBy("_range").agg(*[F.sum(w).alias(n) for n, w in weights.items()]).select(
-        "_range", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off{n}") for n in weights])
-    inside = Window.partitionBy("_range").orderBy(*[F.col(c) for c in order])
-    ranked_rows = keyed.withColumn("_rank", F.row_number().over(inside))
+    earlier, bounds = Window.unboundedPreceding, splitters(keys_df, key, bucket_width)
+    keyed = keys_df.withColumn("_range", range_number(F.col(key), bounds))
+    # one range: bucket_width rows at most, nothing before them
+    inside = (Window.partitionBy("_range") if bounds else Window).orderBy(*[F.col(c) for c in order])
+    out_df = keyed.withColumn("_rank", F.row_number().over(inside))
     for n, (_, w) in sums.items():
-        ranked_rows = ranked_rows.withColumn(f"_in_w_{n}", F.coalesce(F.sum(F.col(w)).over(inside.rowsBetween(earlier, -1)), F.lit(0)))
-    out_df = ranked_rows.join(F.broadcast(offsets), "_range").withColumn(
-        out, (base + F.col("_off_n") + F.col("_rank")).cast("long"))
+        out_df = out_df.withColumn(f"_in_w_{n}", F.coalesce(F.sum(F.col(w)).over(inside.rowsBetween(earlier, -1)), F.lit(0)))
+    if bounds:
+        before = Window.orderBy("_range").rowsBetween(earlier, -1)
+        offsets = keyed.groupBy("_range").agg(*[F.sum(w).alias(n) for n, w in weights.items()]).select(
+            "_range", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off{n}") for n in weights])
+        out_df = out_df.join(F.broadcast(offsets), "_range")
+    else:
+        out_df = out_df.withColumns({f"_off{n}": F.lit(0) for n in weights})
+    out_df = out_df.withColumn(out, (base + F.col("_off_n") + F.col("_rank")).cast("long"))
     for n, (start, _) in sums.items():
         out_df = out_df.withColumn(n, (start + F.col(f"_off_w_{n}") + F.col(f"_in_w_{n}")).cast("long"))
     drop = ["_range", "_rank"] + [f"_off{n}" for n in weights] + [f"_in_w_{n}" for n in sums]
