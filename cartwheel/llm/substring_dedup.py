@@ -133,26 +133,26 @@ def cells_of(anchors: np.ndarray, row: int, blocks: int, size: int) -> np.ndarra
 
 
 def partition_sketch(texts: Texts, bucket: int, blocks: int, size: int = BLOCK_CELLS) -> pa.Table:
-    """The bucket's count-min sketch, by block (row r's begin at r x blocks): cells
-    in the block and their counts (2: two or more)."""
+    """The bucket's count-min sketch, by block: cells in the block (row r's begin at
+    r x size) and their counts (2: two or more)."""
     document = np.repeat(np.arange(len(texts.ids)), texts.counts)
     order = np.lexsort((document, texts.anchors))
     anchors, document = texts.anchors[order], document[order]
     once = np.ones(len(anchors), dtype=bool)                  # an anchor counts once per document
     once[1:] = (np.diff(anchors) != 0) | (np.diff(document) != 0)
-    anchors, out = anchors[once], []
-    for row in range(SKETCH_ROWS):
-        cells, counts = np.unique(cells_of(anchors, row, blocks, size), return_counts=True)
-        counts = np.minimum(counts, 2).astype(np.uint8)
-        out += [{"block": row * blocks + b, "bucket": bucket, "cells": (cells[at] % size).astype("<u4").tobytes(), "counts": counts[at].tobytes()}
-                for b, at in split_by(cells // size, blocks)]
-    return _rows(_SKETCH, out)
+    anchors = anchors[once]
+    rows = [np.unique(cells_of(anchors, row, blocks, size), return_counts=True) for row in range(SKETCH_ROWS)]
+    block = np.concatenate([cells // size for cells, _ in rows])
+    local = np.concatenate([cells % size + row * size for row, (cells, _) in enumerate(rows)]).astype("<u4")
+    counts = np.minimum(np.concatenate([n for _, n in rows]), 2).astype(np.uint8)
+    return _rows(_SKETCH, [{"block": b, "bucket": bucket, "cells": local[at].tobytes(), "counts": counts[at].tobytes()}
+                           for b, at in split_by(block, blocks)])
 
 
 def merge_sketches(group: pa.Table, size: int = BLOCK_CELLS) -> pa.Table:
     """One block of all sketches added up; for each bucket, which of its cells are
     at two or more."""
-    merged = np.zeros(size, dtype=np.uint8)
+    merged = np.zeros(SKETCH_ROWS * size, dtype=np.uint8)
     parts = [np.frombuffer(c, dtype="<u4") for c in group.column("cells").to_pylist()]
     for cells, counts in zip(parts, group.column("counts").to_pylist()):          # a bucket has a cell once
         merged[cells] = np.minimum(merged[cells] + np.frombuffer(counts, dtype=np.uint8), 2)
@@ -164,12 +164,13 @@ def merge_sketches(group: pa.Table, size: int = BLOCK_CELLS) -> pa.Table:
 def estimated_repeated(anchors: np.ndarray, answers: pa.Table, blocks: int, size: int = BLOCK_CELLS) -> np.ndarray:
     """Which anchors the merged sketch estimates at two documents or more: all of
     their cells are."""
+    parts = [np.frombuffer(c, dtype="<u4").astype(np.int64) for c in answers.column("cells").to_pylist()]
+    local = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+    block = np.repeat(answers.column("block").to_numpy().astype(np.int64), [len(p) for p in parts])
     keep = np.ones(len(anchors), dtype=bool)
-    number, cells = answers.column("block").to_numpy(), answers.column("cells").to_pylist()
     for row in range(SKETCH_ROWS):
-        mine = np.flatnonzero(number // blocks == row)
-        repeated = [np.frombuffer(cells[k], dtype="<u4").astype(np.int64) + int(number[k] % blocks) * size for k in mine]
-        keep &= np.isin(cells_of(anchors, row, blocks, size), np.concatenate(repeated) if repeated else np.empty(0, dtype=np.int64))
+        mine = local // size == row
+        keep &= np.isin(cells_of(anchors, row, blocks, size), block[mine] * size + local[mine] % size)
     return keep
 
 
