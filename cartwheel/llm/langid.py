@@ -38,14 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.llm.common import mix, slices
+from cartwheel.llm.common import mix, released, slices
 from cartwheel.llm.mixing import water_fill
 
 TRAIN_DOCS = 20_000
 TRAIN_LEAST = 100            # rows of each language, however many languages there are
 CELLS = 1 << 16
 SWITCH_PENALTY = 12.0
-GROUP_LETTERS = 1 << 21      # code points handled together
+GROUP_LETTERS = 1 << 18      # code points handled together
 MIN_SCRIPT_SHARE = 0.01      # a language uses a script with this share of its letters
 
 # Code point ranges of scripts, [first, after last).
@@ -297,7 +297,7 @@ def keep_identified(docs: DataFrame, model: Model, min_share: float, text_col: s
             langs, scores, _ = identify_texts(shared.value, batch.column(at).to_pylist(), spans=False)
             yield batch.filter(pa.array([x != "und" and s >= min_share for x, s in zip(langs, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: released(run(batches)), docs.schema)
 
 
 def held_out(id_column):

@@ -56,8 +56,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.llm.common import (concat_binary, hot_join, mix, persisted, shuffle_width, split_by, text_bytes, window_hashes,
-                                  word_bounds, word_hashes)
+from cartwheel.llm.common import (concat_binary, hot_join, mix, persisted, released, shuffle_width, small_batches, split_by,
+                                  text_bytes, window_hashes, word_bounds, word_hashes)
 from cartwheel.llm.components import components
 
 SHINGLE = 5
@@ -66,7 +66,7 @@ SKETCH_BITS = 18             # cells of the document frequency sketch
 HOT = 4                      # a token counts as common from so many times the mean cell
 BLOCK = 1024                 # members of a candidate group compared in one go
 ID_BITS = 27                 # bitmap of ids whose sets are read out: 16 MB
-FLUSH_KEYS = 1 << 20
+FLUSH_KEYS = 1 << 18
 SEGMENTS_PER_PARTITION = 2
 
 
@@ -169,7 +169,7 @@ def _facts(rows: DataFrame) -> DataFrame:
                 [{"block": b, "counts": part.astype("<i8").tobytes()} for b, part in enumerate(np.split(cells, _SKETCH_BLOCKS))],
                 schema=_FACTS)
 
-    return rows.mapInArrow(run, _FACTS_DDL)
+    return rows.mapInArrow(lambda batches: released(run(batches)), _FACTS_DDL)
 
 
 def _merged_sketch(facts: DataFrame) -> np.ndarray:
@@ -287,7 +287,7 @@ def _keys(rows: DataFrame, allocation: Allocation, heat: np.ndarray, segments: i
             if keys:
                 yield _packed_keys(np.concatenate(keys), np.concatenate(owners), segments)
 
-    return rows.mapInArrow(run, _KEYS_DDL)
+    return rows.mapInArrow(lambda batches: released(run(batches)), _KEYS_DDL)
 
 
 _CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id1", pa.int64()), ("id2", pa.int64()),
@@ -387,7 +387,7 @@ def _sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], schema=schema)
 
-    return wanted.select("doc_id", "text", "place").mapInArrow(run, "doc_id long, tokens array<long>")
+    return wanted.select("doc_id", "text", "place").mapInArrow(lambda batches: released(run(batches)), "doc_id long, tokens array<long>")
 
 
 def _verified(pairs: DataFrame, facts: DataFrame, rows: DataFrame, bounds: Bounds) -> DataFrame:
@@ -465,6 +465,11 @@ def _cross_pairs(groups: DataFrame, nodes: DataFrame, reps: DataFrame, bounds: B
 def link_components(docs: DataFrame, similarity: Fraction = SIMILARITY, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
+    with small_batches(docs.sparkSession):
+        return _link_components(docs, similarity, id_col, text_col)
+
+
+def _link_components(docs: DataFrame, similarity: Fraction, id_col: str, text_col: str) -> DataFrame:
     spark, bounds = docs.sparkSession, Bounds(similarity)
     parts = SEGMENTS_PER_PARTITION * shuffle_width(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
