@@ -96,14 +96,16 @@ def dense_ids(keys_df: DataFrame, key: str, base: Column, out: str,
     if bounds:
         before = Window.orderBy("_range").rowsBetween(earlier, -1)
         offsets = keyed.groupBy("_range").agg(*[F.sum(w).alias(n) for n, w in weights.items()]).select(
-            "_range", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off{n}") for n in weights])
-        out_df = out_df.join(F.broadcast(offsets), "_range")
+            F.col("_range").alias("_of"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off{n}") for n in weights])
+        # joined on the range as the window gives it back: from a key computed out of ``key`` the optimizer
+        # derives a filter for the other side, where, over a micro-batch of a stream, there is no ``key``
+        out_df = out_df.withColumn("_in", F.first("_range").over(inside)).join(F.broadcast(offsets), F.col("_in") == F.col("_of"))
     else:
         out_df = out_df.withColumns({f"_off{n}": F.lit(0) for n in weights})
     out_df = out_df.withColumn(out, (base + F.col("_off_n") + F.col("_rank")).cast("long"))
     for n, (start, _) in sums.items():
         out_df = out_df.withColumn(n, (start + F.col(f"_off_w_{n}") + F.col(f"_in_w_{n}")).cast("long"))
-    drop = ["_range", "_rank"] + [f"_off{n}" for n in weights] + [f"_in_w_{n}" for n in sums]
+    drop = ["_range", "_rank", "_in", "_of"] + [f"_off{n}" for n in weights] + [f"_in_w_{n}" for n in sums]
     return out_df.drop(*drop)
 
 

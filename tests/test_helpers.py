@@ -4,6 +4,7 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
+from cartwheel.functions.keys import dense_ids
 from cartwheel.functions.money import money_text, tax_amount, total_with_tax
 from cartwheel.operators.ingest import parse_int
 from cartwheel.session import recommended_conf
@@ -57,3 +58,12 @@ def test_every_constraint_is_broken_somewhere():
         assert all(row[-1] > 0 for row in con.execute(SQL[query]).fetchall()), query
     classes = {row[-1] for row in con.execute(SQL["dq_order_totals"]).fetchall()}
     assert {"equal", "with_tax", "mismatch"} <= classes
+
+
+def test_ids_join_on_no_computed_key(spark):
+    """A join key computed from the id column let the optimizer derive a filter for the side without that column."""
+    rows = spark.range(100).select(F.when(F.col("id") >= 0, F.col("id")).alias("k"))
+    ids = dense_ids(rows, "k", F.lit(0), "n", bucket_width=30)
+    plan = ids._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "Filter isnotnull(aggregate" not in plan
+    assert sorted(map(tuple, ids.collect())) == [(k, k + 1) for k in range(100)]

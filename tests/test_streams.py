@@ -65,6 +65,18 @@ def test_payment_stream_deduplicates_redelivered_orders(spark):
         assert check() == first
 
 
+def test_payment_ids_of_a_batch_of_several_ranges(spark):
+    src, n = scratch_path(spark, "test-many-orders"), 200_000
+    rows = spark.range(n).select((F.col("id") * 3).alias("o_orderkey"), (F.col("id") % 999).alias("o_custkey"), F.lit("O").alias("o_orderstatus"),
+                                 F.lit(1.5).alias("o_totalprice"), F.lit("1996-01-02").cast("timestamp_ntz").alias("o_orderdate"),
+                                 F.lit("5-LOW").alias("o_orderpriority"))
+    rows.repartition(2).write.parquet(f"{src}/tmp")
+    for k, name in enumerate(f for f in sorted(os.listdir(local_fs_path(f"{src}/tmp"))) if f.endswith(".parquet")):
+        shutil.copyfile(os.path.join(local_fs_path(f"{src}/tmp"), name), os.path.join(local_fs_path(src), f"orders{k}.parquet"))
+    paid = read_payments(spark, run_payment_stream(spark, src))
+    assert paid.count() == n and paid.where("payment_id <> order_id / 3 + 1").count() == 0
+
+
 def test_streams_without_input_return_empty_tables(spark):
     src = scratch_path(spark, "test-nothing")
     spark.read.parquet(f"{SF_MID}/orders.parquet").limit(0).write.parquet(f"{src}/x")
