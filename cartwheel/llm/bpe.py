@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.llm.common import text_bytes, window_hashes, word_bounds, word_hashes
+from cartwheel.llm.common import released, text_bytes, window_hashes, word_bounds, word_hashes
 
 ROLL = 4                     # words under the rolling hash
 CHUNK_BITS = 8               # a cut every 2^8 words on average
@@ -279,4 +279,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, outputs: tuple[str, ...]
                 at += len(group)
         encoder.forget()
 
-    return rows.mapInArrow(run, ", ".join([f"doc_id {id_type}", *(f"{o} {m[1]}" for o, m in zip(outputs, made))]))
+    return rows.mapInArrow(lambda batches: released(run(batches)), ", ".join([f"doc_id {id_type}", *(f"{o} {m[1]}" for o, m in zip(outputs, made))]))

@@ -8,6 +8,7 @@ form in which the two-stage operators ship many small values per row.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 from collections.abc import Iterator
@@ -172,11 +173,16 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+_LIBC = ctypes.CDLL(None)
+
+
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; at the end the memory that Arrow keeps for later is given back,
-    for the worker lives on."""
+    """The batches; at the end the memory that Arrow and the C library keep for
+    later is given back, for the worker lives on."""
     yield from batches
     pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):        # glibc
+        _LIBC.malloc_trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:

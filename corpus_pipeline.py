@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwheel.llm import bpe, langid, mixing, ngram_jaccard, substring_dedup
-from cartwheel.llm.common import persisted, table, with_row_key
+from cartwheel.llm.common import persisted, small_batches, table, with_row_key
 from cartwheel.llm.registry import vocabulary_path
 from cartwheel.session import delete_scratch, scratch_noted
 
@@ -86,7 +86,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @frees_scratch
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, vocabulary_path(), ("n_tokens", "ids", "decoded_sha256"))
+    with small_batches(spark):       # run here, for it holds while a job runs
+        return persisted(bpe.encode_documents(docs, vocabulary_path(), ("n_tokens", "ids", "decoded_sha256")), "pipeline-bpe")
 
 
 STAGES: list[tuple[str, Stage]] = [

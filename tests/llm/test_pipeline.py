@@ -6,6 +6,7 @@ import sys
 import numpy as np
 import pytest
 from corpus_fixtures import words_of
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), "..", ".."))
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), "..", "..", "tools"))
@@ -46,6 +47,36 @@ def repeated_ids(spark):
     return spark.createDataFrame(rows, ddl).repartition(3), set(shared + single + [(900, across, "s1")])
 
 
+def test_memory_is_given_back_at_the_end_of_a_task():
+    import re
+    from cartwheel.llm.common import released
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Anonymous:\s+(\d+)", f.read())[1]) / 1024
+
+    def batches():
+        many = [bytes(1000) for _ in range(100_000)]       # below the size that is mapped by itself
+        last.append(bytes(1000))                           # keeps the heap's end in use
+        many.clear()
+        yield held()
+
+    last: list[bytes] = []
+    before = held()
+    kept, = released(batches())
+    assert kept - before > 60 and held() - before < 30
+
+
+def test_token_stage_encodes_small_batches(spark):
+    """It has run when it returns, while the small batches hold, and they don't hold afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words"), "id").alias("text"))
+    tokens = corpus_pipeline.token_stage(spark, docs, SF)
+    assert "MapInArrow" not in tokens._jdf.queryExecution().toString() and spark.conf.get(name) == before
+    assert tokens.count() == 30 and tokens.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     docs, want = repeated_ids(spark)
     kept = [tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()]
