@@ -111,7 +111,7 @@ def dense_ids(keys_df: DataFrame, key: str, base: Column, out: str,
 
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], purpose: str,
            rank: str = "rank", total: str = "total", attach: DataFrame | None = None,
-           sums: dict[str, str] | None = None) -> DataFrame:
+           sums: dict[str, str] | None = None, files: int | None = None) -> DataFrame:
     """``df`` with ``rank`` (from 0 in its group, by ``order``, nulls first) and
     ``total`` (rows of its group). A null group is a group. ``sums`` adds running
     totals: ``{name: column}`` gives the column's sum over all earlier rows of the
@@ -126,13 +126,16 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], purpose: s
     the only windows are over the rows of one written partition (for ``sums``) and
     over one row per (group, partition).
 
+    ``files``: the written partitions are put into so many files at most (tasks), for a
+    table smaller than the session's shuffle partitions are meant for.
+
     ``df`` must give the same rows whenever it is read (a written table). Rows
     equal in ``order`` are numbered as they come; ``_tie``, ``_part`` and
     ``_row`` are used inside."""
     keys, sums = [*group, *order, "_tie"], dict(sums or {})
-    placed = written(
-        df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
-        .withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).drop("_tie"), purpose)
+    placed = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys) \
+        .withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).drop("_tie")
+    placed = written(placed if files is None else placed.coalesce(files), purpose)
     pieces = placed.groupBy(*group, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"),
                                                  *[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()])
     whole = Window.partitionBy(*group)

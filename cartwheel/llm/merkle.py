@@ -43,6 +43,7 @@ from cartwheel.llm.common import persisted
 
 FANOUT = 16
 SHARE = 64                   # runs of leaves that one copy of a node row serves
+FILE_ROWS = 1 << 14          # runs or nodes in one file of a table between steps, where there are many
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 NODES = "node string, parent string, slot int, digest string, children array<string>, is_subroot boolean, block long"
 _ROWS_LIMIT = "spark.sql.cteRecursionRowLimit"
@@ -99,10 +100,10 @@ def _folded(digests: Column, slot: Column, own: Column) -> Column:
     return digest(left, own, right)
 
 
-def _leaf_runs(rows: DataFrame) -> DataFrame:
-    """One row per run: source, run (number in its source), n_runs, ids, children
+def _leaf_runs(rows: DataFrame, files: int) -> DataFrame:
+    """One row per run of the leaves ``rows`` (a written table): source, run (number in its source), n_runs, ids, children
     (leaves), folded (what each found leaf folds to), digest."""
-    placed = ranked(persisted(rows, "merkle-leaves"), ["source"], ["doc_id", "leaf"], "merkle-order")
+    placed = ranked(rows, ["source"], ["doc_id", "leaf"], "merkle-order", files=files)
     item = F.struct((F.col("rank") % FANOUT).cast("int").alias("at"), "doc_id", "leaf", "found")
     runs = placed.groupBy("source", F.floor(F.col("rank") / FANOUT).cast("long").alias("run")).agg(
         F.max("total").alias("total"), F.array_sort(F.collect_list(item)).alias("items"))       # FANOUT items at most
@@ -127,12 +128,27 @@ def _grouped(level: DataFrame, keys: list, at: Column) -> DataFrame:
         .withColumn("digest", F.sha2(F.array_join("children", ""), 256))
 
 
+def _files(df: DataFrame, runs: int) -> int:
+    """Files (tasks) for a table of so many runs or nodes: one per core, more where there
+    are many rows, but not one per shuffle partition, for these tables get small and every
+    file costs an executor the same."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-runs // FILE_ROWS))
+
+
+def _kept(df: DataFrame, rows: int, purpose: str) -> DataFrame:
+    """``df``, of about ``rows`` runs or nodes, written and read back."""
+    return persisted(df.coalesce(_files(df, rows)), purpose)
+
+
 def build(docs: DataFrame, **options) -> Manifest:
     """The manifest of ``docs`` (doc_id, source, lang, n_chars, text)."""
-    runs = persisted(_leaf_runs(leaves(docs, **options)), "merkle-leaf-runs")
-    runs = ranked(runs, [], ["source", "run"], "merkle-runs", rank="g", total="all_runs").drop("all_runs")
+    each = persisted(leaves(docs, **options), "merkle-leaves")
+    about = each.count() // FANOUT
+    runs = _kept(_leaf_runs(each, _files(each, about)), about, "merkle-leaf-runs")
+    n_runs = runs.count()
+    runs = ranked(runs, [], ["source", "run"], "merkle-runs", rank="g", total="all_runs", files=_files(each, n_runs)).drop("all_runs")
     # a source's number is that of its first run
-    runs = persisted(runs.withColumn("src", F.col("g") - F.col("run")).drop("source"), "merkle-numbered")
+    runs = _kept(runs.withColumn("src", F.col("g") - F.col("run")).drop("source"), n_runs, "merkle-numbered")
 
     # every level's rows: src, pos, n (nodes of the source on it), children, digest, and the runs g0..g1 below
     level = runs.select("src", F.col("run").alias("pos"), F.col("n_runs").alias("n"), "digest", F.col("g").alias("g0"), F.col("g").alias("g1"))
@@ -141,21 +157,21 @@ def build(docs: DataFrame, **options) -> Manifest:
         tops.append(level.where("n = 1").select("src", F.lit(height).alias("height"), "digest", "g0", "g1"))
         if left <= 1:
             break
-        level = persisted(_grouped(level.where("n > 1"), ["src", "n"], F.col("pos")).withColumn(
-            "n", F.ceil(F.col("n") / FANOUT).cast("long")), "merkle-level")
+        level = _kept(_grouped(level.where("n > 1"), ["src", "n"], F.col("pos")).withColumn(
+            "n", F.ceil(F.col("n") / FANOUT).cast("long")), n_runs // FANOUT ** height, "merkle-level")
         left, height = -(-left // FANOUT), height + 1
         inner.append(level.withColumn("height", F.lit(height)))
 
     # the tree over the subroots
-    subroots = persisted(reduce(DataFrame.unionByName, tops), "merkle-subroots")
-    subroots = ranked(subroots, [], ["src"], "merkle-sources", rank="pos", total="sources")
-    subroots = persisted(subroots.withColumn("slot", (F.col("pos") % FANOUT).cast("int")).withColumn(
-        "parent", F.when(F.col("sources") > 1, _node("top1", F.floor(F.col("pos") / FANOUT).cast("long")))), "merkle-tops")
+    subroots = _kept(reduce(DataFrame.unionByName, tops), n_runs, "merkle-subroots")
+    subroots = ranked(subroots, [], ["src"], "merkle-sources", rank="pos", total="sources", files=_files(each, n_runs))
+    subroots = _kept(subroots.withColumn("slot", (F.col("pos") % FANOUT).cast("int")).withColumn(
+        "parent", F.when(F.col("sources") > 1, _node("top1", F.floor(F.col("pos") / FANOUT).cast("long")))), n_runs, "merkle-tops")
     left, upper, number = subroots.count(), [], 0
     level = subroots.select("pos", "digest", "g0", "g1")
     while left > 1:
         number, left = number + 1, -(-left // FANOUT)
-        level = persisted(_grouped(level, [], F.col("pos")), "merkle-top-level")
+        level = _kept(_grouped(level, [], F.col("pos")), left, "merkle-top-level")
         upper.append(level.select(
             _node(f"top{number}", F.col("pos")).alias("node"),
             (_node(f"top{number + 1}", F.floor(F.col("pos") / FANOUT).cast("long")) if left > 1 else F.lit(None).cast("string")).alias("parent"),
@@ -177,7 +193,7 @@ def build(docs: DataFrame, **options) -> Manifest:
     if nodes:
         copies = F.sequence(F.floor(F.col("g0") / SHARE).cast("long"), F.floor(F.col("g1") / SHARE).cast("long"))
         stored = reduce(DataFrame.unionByName, nodes).withColumn("block", F.explode(copies)).drop("g0", "g1")
-        stored = persisted(stored, "merkle-nodes")
+        stored = _kept(stored, n_runs, "merkle-nodes")
     else:
         stored = spark.createDataFrame([], NODES)
 
@@ -187,7 +203,7 @@ def build(docs: DataFrame, **options) -> Manifest:
         .withColumn("slot", (F.col("run") % FANOUT).cast("int")).withColumn("subroot", F.lit(None).cast("string"))
     single = base.where("n_runs = 1").join(links.where("height = 1").drop("height"), "src") \
         .withColumnRenamed("top_slot", "slot").withColumn("subroot", F.col("digest"))
-    return Manifest(persisted(several.unionByName(single).drop("src", "run", "n_runs"), "merkle-anchor"), stored)
+    return Manifest(_kept(several.unionByName(single).drop("src", "run", "n_runs"), n_runs, "merkle-anchor"), stored)
 
 
 _CLIMB = f"""
@@ -215,7 +231,7 @@ def climb(manifest: Manifest) -> DataFrame:
     try:
         rows = spark.sql(_CLIMB, runs=manifest.runs.select("g", "block", "parent", "slot", "folded", "subroot", "digest"),
                          nodes=manifest.nodes)
-        return persisted(rows, "merkle-climb")
+        return _kept(rows, manifest.runs.count(), "merkle-climb")
     finally:
         if before is None:
             spark.conf.unset(_ROWS_LIMIT)
@@ -229,7 +245,7 @@ def verify(manifest: Manifest) -> DataFrame:
     rows = manifest.runs.select("g", "ids", F.col("children").alias("leaves")).join(climb(manifest), "g")
     each = rows.select(F.posexplode(F.arrays_zip("ids", "folded")).alias("at", "x"), "leaves", "path", "subroot", "root")
     left, right = _joined(F.col("leaves"), F.col("at"))
-    return each.select(
+    return each.coalesce(_files(each, manifest.runs.count())).select(
         F.col("x.ids").alias("doc_id"), F.element_at("leaves", F.col("at") + 1).alias("leaf"), "subroot", "root",
         digest(left, right, F.col("path")).alias("proof_sha256"), F.col("x.folded").alias("folded_root"),
         (F.col("x.folded") == F.col("root")).alias("verified"))

@@ -125,3 +125,24 @@ def test_rank_of_a_hot_group_spans_partitions(spark):
     hot = out.where("g IS NULL")
     assert hot.agg(F.min("rank"), F.max("rank"), F.countDistinct("rank"), F.max("total")).first()[:] == (0, 19_999, 20_000, 20_000)
     assert out.where("g IS NOT NULL").agg(F.max("rank"), F.max("total")).first()[:] == (0, 1)
+
+
+def test_tables_between_steps_have_few_files(spark):
+    """One file per core, whatever the number of shuffle partitions."""
+    from cartwheel.session import delete_scratch, scratch_noted
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"),
+                                    F.lit("en").alias("lang"), F.lit(4).alias("n_chars"), F.lit("Text").alias("text")).coalesce(2)
+    before, folders = spark.conf.get("spark.sql.shuffle.partitions"), []
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with scratch_noted(folders):
+            rows = merkle.verify(merkle.build(docs))
+        cores = spark.sparkContext.defaultParallelism
+        assert len(folders) > 9 and all(len(spark.read.parquet(f).inputFiles()) <= cores + 1 for f in folders)
+        assert sorted(map(tuple, rows.collect()), key=str) == brute(docs.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        delete_scratch(spark, folders)
