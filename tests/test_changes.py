@@ -272,3 +272,12 @@ def test_batch_reports_read_stored_keys_through_a_filter(spark):
         after = {r.rule: r for r in full({t: df.where("batch_id <= 2") for t, df in given.items()}).collect()}
         got = {r.rule: tuple(r)[2:] for r in part(given, 2).collect()}
         assert got == {k: tuple(a - b for a, b in zip(tuple(after[k])[2:], tuple(before[k])[2:])) for k in after}
+
+
+def test_batch_reports_derive_no_table_again(spark):
+    """The registered reports read stored keys; their rules number no order items and fold no cart."""
+    from cartwheel.operators import quality
+    from cartwheel.plans import registry
+    report = quality.dq_foreign_keys_batch(registry._stored_keys(registry.given_shop(spark, SF_SMALL)), 3)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "l_orderkey" not in plan and "get_json_object" not in plan
