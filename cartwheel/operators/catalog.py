@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartwheel import schemas as S
@@ -19,7 +17,6 @@ from cartwheel.session import scratch_path
 GRAM = 3
 PAD = "\u0000"
 LIST_ROWS = 4096             # products in one part of a gram's list
-FEW_PRODUCTS = 64            # a rarest gram with more than that asks for a second one
 
 
 def products_all(products: DataFrame) -> DataFrame:
@@ -146,53 +143,60 @@ def product_search(products: DataFrame, terms: DataFrame, index: SearchIndex | N
     empty term matches every product.
 
     Every literal run of a term occurs in a match, so any gram of any run is a
-    complete key. A term looks up its rarest gram in the index and, where that one
-    is common, the rarest gram that doesn't overlap it; products in both lists are
-    tested exactly. A term whose longest run is shorter than a gram takes the lists
-    of all grams that start with it. Terms without a literal character match by
-    their wildcards alone and are joined to every product, which is what they ask
-    for. ``index``: a stored one; without it, one is built.
+    complete key. A term is looked up by its rarest gram; one whose longest run is
+    shorter than a gram takes the lists of all grams that start with it. The asked
+    lists meet their products' texts first and the terms last, by (gram, part of its
+    list): a (term, product) pair is tested exactly where it arises, and only hits
+    leave the task, so the far more numerous candidates are neither kept nor
+    shuffled. Terms without a literal character match by their wildcards alone and
+    are joined to every product, which is what they ask for. ``index``: a stored
+    one; without it, one is built.
     """
     index = index or build_search_index(products)
     t = _terms(terms)
     p = products.select("product_id", F.lower(F.col("name")).alias("_name_l"),
                         F.lower(F.col("description")).alias("_desc_l"))
-    seeds = _long_seeds(t, index).unionByName(_short_seeds(t, index))
-    lists = seeds.select("term", "gram", "_n_seeds", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    candidates = lists.join(index.postings, ["gram", "part"]).groupBy("term", "product_id") \
-        .agg(F.count(F.lit(1)).alias("_n"), F.max("_n_seeds").alias("_n_seeds")).where("_n >= _n_seeds").select("term", "product_id")
-    hits = candidates.join(t, "term").join(p, "product_id").where(_matches()).select("term", "product_id")
+    seeds = _long_seeds(t, index).unionByName(_short_seeds(t, index)).join(t, "term")
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    asked = seeds.select("gram", "parts").distinct().select("gram", part)
+    # a product id of several rows is in a list several times; one is enough, the join brings all its rows
+    once = Window.partitionBy("product_id", "gram").orderBy("part")
+    listed = index.postings.where("product_id is not null").join(asked, ["gram", "part"], "left_semi").repartition("product_id") \
+        .withColumn("_copy", F.row_number().over(once)).where("_copy = 1").drop("_copy")
+    holds = F.contains("_name_l", "_longest") | F.contains("_desc_l", "_longest")
+    hits = seeds.select("*", part).join(listed.join(p, "product_id"), ["gram", "part"]) \
+        .where(holds & _matches() & _first_gram()).select("term", "product_id")
     wild = t.where(F.col("_longest") == "")
     return hits.unionByName(p.join(wild, _matches()).select("term", "product_id"))
 
 
+def _first_gram() -> F.Column:
+    """Of the grams that start with a run shorter than a gram, the one at the run's
+    first place in the name, else in the description: a product with several of them
+    is one hit. Longer runs are looked up by one gram alone."""
+    def at(text: str) -> F.Column:
+        padded = F.concat(F.col(text), F.lit(PAD * (GRAM - 1)))
+        return F.when(F.contains(text, "_longest"), F.substring(padded, _place(F.col("_longest"), F.col(text), F.lit(1)), GRAM))
+    return (F.length("_longest") >= GRAM) | (F.col("gram") == F.coalesce(at("_name_l"), at("_desc_l")))
+
+
 def _long_seeds(t: DataFrame, index: SearchIndex) -> DataFrame:
-    """(term, gram, parts, _n_seeds): the one or two grams a term is looked up by;
-    none if one of its grams occurs nowhere."""
+    """(term, gram, parts): the rarest gram of each term; none if one of its grams
+    occurs nowhere."""
     asked = t.where(F.length("_longest") >= GRAM) \
         .select("term", F.explode(F.array_distinct(F.flatten(F.transform("_runs", _grams)))).alias("gram"))
-    known = asked.join(index.grams, "gram", "left").groupBy("term").agg(F.array_sort(F.collect_list(
-        F.struct(F.coalesce("freq", F.lit(0).cast("long")).alias("freq"), "gram", "parts"))).alias("g"))     # a term's own grams
-    first = F.col("g")[0]
-    apart = F.filter("g", lambda x: ~_overlap(x["gram"], first["gram"]) & ~_overlap(first["gram"], x["gram"]))
-    chosen = F.when((first["freq"] > FEW_PRODUCTS) & (F.size(apart) > 0), F.array(first, apart[0])).otherwise(F.array(first))
-    return known.where(first["freq"] > 0).select("term", F.explode(chosen).alias("s"), F.size(chosen).alias("_n_seeds")) \
-        .select("term", "s.gram", "s.parts", "_n_seeds")
-
-
-def _overlap(a: F.Column, b: F.Column) -> F.Column:
-    """Does ``b`` start with an end of ``a`` (of one character or more)?"""
-    ends = [F.right(a, F.lit(k)) == F.left(b, F.lit(k)) for k in range(1, GRAM + 1)]
-    return reduce(or_, ends)
+    rarest = asked.join(index.grams, "gram", "left").groupBy("term").agg(
+        F.min(F.struct(F.coalesce("freq", F.lit(0).cast("long")).alias("freq"), "gram", "parts")).alias("s"))
+    return rarest.where("s.freq > 0").select("term", "s.gram", "s.parts")
 
 
 def _short_seeds(t: DataFrame, index: SearchIndex) -> DataFrame:
     """The same for terms whose longest run is shorter than a gram: every gram it
-    starts, one of which is enough."""
+    starts."""
     run = F.col("_longest")
     asked = t.where((F.length(run) > 0) & (F.length(run) < GRAM)).select("term", run.alias("_run"))
     starts = index.grams.select("gram", "parts", F.explode(F.array(*[F.left("gram", F.lit(k)) for k in range(1, GRAM)])).alias("_run"))
-    return asked.join(starts, "_run").select("term", "gram", "parts", F.lit(1).alias("_n_seeds"))
+    return asked.join(starts, "_run").select("term", "gram", "parts")
 
 
 def featured_products(products: DataFrame, n: int = 4) -> DataFrame:

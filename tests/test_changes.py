@@ -210,6 +210,45 @@ def test_search_index_splits_long_lists(spark, monkeypatch):
     assert got == want
 
 
+def test_search_keeps_no_candidate_pairs(spark):
+    """Pairs of a term and a product are tested where they arise: no aggregate, sort or
+    shuffle is keyed by both, nor are candidates grouped by product for each term."""
+    import re
+    shop = Shop.from_raw(spark, SF_SMALL)
+    terms = shop.raw("part").select(F.concat_ws("%", "p_brand", "p_name").alias("term"))
+    plan = catalog.product_search(shop.products, terms)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"(keys=\[|hashpartitioning\(|Sort \[)(term#\d+[^,\]]*, product_id#|product_id#\d+L?[^,\]]*, term#)", plan)
+    for exchange in re.findall(r"Exchange (?:hash|range)partitioning\(product_id.*?\n(.*?)\n", plan):
+        assert "term#" not in exchange
+
+
+def test_search_of_repeated_ids_nulls_and_short_terms(spark):
+    """Every row of a product id that comes several times is one hit of a term, however
+    many grams of it start with a short term; null names, descriptions and ids."""
+    products = written(spark.createDataFrame(
+        [(1, "Red ring red", "r re RED"), (1, "Red ring red", "r re RED"), (1, "blue bolt", None), (2, None, "reddish"), (3, None, ""),
+         (None, "red", "ring"), (4, "", "r"), (5, "ab", "re"), (6, "a red b", "bolt%ring")], "product_id long, name string, description string"), "t-odd")
+    terms = ["r", "re", "RED", "red ring", "e", "b", "r_n", "red%ring", "bolt", "%re", "zz", "d r", None, "", "_"]
+    for broadcast in ("10485760", "-1"):
+        conf = {"spark.sql.autoBroadcastJoinThreshold": broadcast, "spark.sql.adaptive.autoBroadcastJoinThreshold": broadcast}
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        try:
+            got = rows(catalog.product_search(products, spark.createDataFrame([(t,) for t in terms + ["re", "red ring"]], "term string")))
+        finally:
+            for k in conf:
+                spark.conf.unset(k)
+
+        def like(text, term):
+            import re
+            low = (term or "").lower()
+            return text is not None and re.search("".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in low), text.lower(), re.DOTALL) is not None
+        # a product without an id is no entry of the index: only terms without a literal character find it
+        want = sorted(((t, p.product_id) for t in terms for p in products.collect() if (like(p.name, t) or like(p.description, t))
+                       and (p.product_id is not None or not (t or "").strip("%_"))), key=str)
+        assert got == want
+
+
 # ---- large orders and first pages ---------------------------------------------------
 
 def test_parts_of_a_large_order_join_to_the_whole(spark):
